@@ -53,7 +53,7 @@ def expected_value(prob, odds) -> Column:
 
 def closing_line_value(prob, closing) -> Column:
     """p / (1 / closing price) - 1."""
-    return _c(prob) / implied_probability(F.nullif(_c(closing), F.lit(0.0))) - F.lit(1.0)
+    return F.when(_c(closing) > 0, _c(prob) / (F.lit(1.0) / _c(closing)) - F.lit(1.0))
 
 
 def kelly_fraction(prob, odds, fraction: float = 0.25) -> Column:

@@ -84,10 +84,11 @@ def team_log(spark, sf, measures: list[str] = ("score",)) -> DataFrame:
 
 def quotes(spark: SparkSession, sf: str) -> DataFrame:
     """Three-way price quotes of many sources per contest."""
+    price = rnd(F.lit(1.05) + F.col("l_extendedprice") / 60000, 2)
     return read_table(spark, sf, "lineitem").select(
         F.col("l_partkey").alias("contest_id"), F.col("l_suppkey").alias("source"),
         F.when(F.col("l_returnflag") == "A", "home").when(F.col("l_returnflag") == "N", "draw").otherwise("away").alias("outcome"),
-        rnd(F.lit(1.05) + F.col("l_extendedprice") / 60000, 2).alias("price"),
+        price.alias("price"), F.when(F.col("l_linenumber") % 2 == 0, price + 0.05).alias("opening"),
         F.col("l_shipdate").alias("recorded_at"), (F.col("l_linestatus") == "F").alias("is_closing"),
         F.col("l_orderkey").alias("snap_id"), F.col("l_linenumber").alias("snap_no"), F.col("l_extendedprice").alias("raw"))
 
@@ -120,6 +121,23 @@ def factors(spark: SparkSession, sf: str) -> DataFrame:
                     rnd("mkt", 4).alias("mkt"), (F.col("o_orderstatus") == "F").cast("int").alias("won")))
 
 
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Contests with best prices, a model's chances and a result; one per part."""
+    best = quotes(spark, sf).groupBy("contest_id").agg(*[
+        F.max(F.when((F.col("outcome") == s) & (F.col("price") > 1.0), F.col("price"))).alias(f"{s}_odds") for s in ("home", "draw", "away")])
+    part = read_table(spark, sf, "part").select(
+        F.col("p_partkey").alias("contest_id"), F.col("p_brand").alias("league"), F.col("p_type").alias("cluster"),
+        F.col("p_size").alias("size"), F.col("p_retailprice").alias("strength"))
+    k, u = F.col("contest_id"), F.col("contest_id") * 37 % 100
+    raw = {"home": 0.25 + (k * 13 % 61) / 100.0, "draw": 0.15 + (k * 29 % 23) / 100.0, "away": 0.15 + (k * 17 % 53) / 100.0}
+    total = raw["home"] + raw["draw"] + raw["away"]
+    return (part.join(best, "contest_id")
+            .select("contest_id", "league", "cluster", "size", "strength", "home_odds", "draw_odds", "away_odds",
+                    F.expr("timestamp_ntz'1998-01-01 00:00:00' + make_interval(0, 0, 0, cast(contest_id % 1400 as int), 0, 0, 0)").alias("ts"),
+                    *[(x / total).alias(f"p_{s}") for s, x in raw.items()],
+                    F.when(u < 45, "H").when(u < 70, "D").otherwise("A").alias("result")))
+
+
 def sql_rnd(expr: str, digits: int = 6) -> str:
     scale = f"CAST(1e{digits} AS DOUBLE)"
     return f"(floor(({expr}) * {scale} + 0.5) / {scale})"
@@ -147,7 +165,8 @@ def _log_side(me: str, you: str) -> str:
 LOG_SQL = f"{CONTESTS_SQL},\nlog AS ({_log_side('home', 'away')} UNION ALL {_log_side('away', 'home')})"
 QUOTES_SQL = f"""quotes AS (SELECT l_partkey AS contest_id, l_suppkey AS source,
   CASE l_returnflag WHEN 'A' THEN 'home' WHEN 'N' THEN 'draw' ELSE 'away' END AS outcome,
-  {sql_rnd('CAST(1.05 AS DOUBLE) + l_extendedprice / 60000', 2)} AS price, l_shipdate AS recorded_at,
+  {sql_rnd('CAST(1.05 AS DOUBLE) + l_extendedprice / 60000', 2)} AS price,
+  CASE WHEN l_linenumber % 2 = 0 THEN price + CAST(0.05 AS DOUBLE) END AS opening, l_shipdate AS recorded_at,
   l_linestatus = 'F' AS is_closing, l_orderkey AS snap_id, l_linenumber AS snap_no, l_extendedprice AS raw FROM lineitem)"""
 LEDGER_SQL = """ledger AS (SELECT o_orderkey AS id, o_orderpriority AS strategy, o_orderdate AS ts,
   CASE o_orderstatus WHEN 'F' THEN 'win' WHEN 'O' THEN 'loss' END AS result,
@@ -162,3 +181,13 @@ factors AS (SELECT o_orderkey AS contest_id, o_orderdate AS ts, c_mktsegment AS
   {sql_rnd('xg', 4)} AS xg, {sql_rnd('c_acctbal / CAST(30 AS DOUBLE) - 150', 2)} AS elo, {sql_rnd('form', 4)} AS form,
   {sql_rnd('mkt', 4)} AS mkt, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS won
   FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN agg ON l_orderkey = o_orderkey)"""
+_RAW = {"home": ("0.25", 13, 61), "draw": ("0.15", 29, 23), "away": ("0.15", 17, 53)}
+_RAW_SQL = ", ".join(f"CAST({a} AS DOUBLE) + (p_partkey * {m} % {d}) / CAST(100 AS DOUBLE) AS w_{s}" for s, (a, m, d) in _RAW.items())
+SCORED_SQL = f"""{QUOTES_SQL}, best AS (SELECT contest_id, {", ".join(f"max(price) FILTER (outcome = '{s}' AND price > 1.0) AS {s}_odds" for s in _RAW)}
+  FROM quotes GROUP BY contest_id),
+raw AS (SELECT *, {_RAW_SQL} FROM part),
+scored AS (SELECT p_partkey AS contest_id, p_brand AS league, p_type AS cluster, p_size AS size, p_retailprice AS strength, home_odds, draw_odds, away_odds,
+  TIMESTAMP '1998-01-01' + INTERVAL 1 DAY * (p_partkey % 1400) AS ts,
+  {", ".join(f"w_{s} / (w_home + w_draw + w_away) AS p_{s}" for s in _RAW)},
+  CASE WHEN p_partkey * 37 % 100 < 45 THEN 'H' WHEN p_partkey * 37 % 100 < 70 THEN 'D' ELSE 'A' END AS result
+  FROM raw JOIN best ON contest_id = p_partkey)"""
