@@ -51,17 +51,20 @@ def reverse_folds(df: DataFrame, ts: str, n_folds: int = 12, val_months: int = 2
     """Train and validation counts of folds counted back from the newest row; thin or young folds are left out."""
     span = df.agg(F.min(ts).alias("a"), F.max(ts).alias("z")).first()
     a, z = (F.lit(span[k].isoformat()).cast("timestamp_ntz") for k in ("a", "z"))
+    end = z + F.make_dt_interval(days=F.lit(1))
     days = df.groupBy(F.col(ts)).agg(F.count(F.lit(1)).alias("_n"))
     counts = []
-    for k in range(n_folds):
-        lo = z - F.make_ym_interval(months=F.lit(val_months * (n_folds - k)))
-        hi = z - F.make_ym_interval(months=F.lit(val_months * (n_folds - k - 1)))
+    for back in range(n_folds, 0, -1):
+        lo = end - F.make_ym_interval(months=F.lit(val_months * back))
+        hi = end - F.make_ym_interval(months=F.lit(val_months * (back - 1)))
         train_to = lo - F.make_dt_interval(days=F.lit(gap_days))
-        ok = train_to >= a + F.make_ym_interval(months=F.lit(min_train_months))
-        counts.append(F.struct(F.lit(k).alias("fold"), F.sum(F.when(F.col(ts) < train_to, F.col("_n"))).alias("n_train"),
-                               F.sum(F.when((F.col(ts) >= lo) & (F.col(ts) < hi), F.col("_n"))).alias("n_val"), F.max(ok).alias("ok")))
+        old_enough = F.max(train_to > a + F.make_ym_interval(months=F.lit(min_train_months)))
+        counts.append(F.struct(F.lit(back).alias("back"), F.sum(F.when(F.col(ts) < train_to, F.col("_n"))).alias("n_train"),
+                               F.sum(F.when((F.col(ts) >= lo) & (F.col(ts) < hi), F.col("_n"))).alias("n_val"), old_enough.alias("ok")))
     rows = days.agg(F.array(*counts).alias("f")).select(F.explode("f").alias("f")).select("f.*")
-    return rows.where(F.col("ok") & (F.col("n_val") >= min_val) & (F.col("n_train") >= min_train)).drop("ok")
+    kept = rows.where(F.col("ok") & (F.col("n_val") >= min_val) & (F.col("n_train") >= min_train))
+    number = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.col("back").desc()))  # at most n_folds rows
+    return kept.select(number.alias("fold"), "n_train", "n_val")
 
 
 def row_count_steps(df: DataFrame, order: list[str], train: int, step: int, offset: int = 0) -> DataFrame:

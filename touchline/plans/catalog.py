@@ -1,3 +1,3 @@
 """All query modules; importing them fills the registry."""
-from touchline.plans import form_queries, ledger_queries, metric_queries, quote_queries  # noqa: F401
+from touchline.plans import form_queries, ledger_queries, metric_queries, quote_queries, rating_queries  # noqa: F401
 from touchline.plans.registry import ORACLES, QUERIES  # noqa: F401

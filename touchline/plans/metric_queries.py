@@ -229,10 +229,10 @@ def folds_assign(spark, sf):
     return fl.expanding_folds(v.contests(spark, sf).select("contest_id", "ts"), "ts", **FOLD, roles=("test",)).select("contest_id", "fold")
 
 
-@query("folds_reverse", f"""WITH {v.CONTESTS_SQL}, span AS (SELECT min(ts) AS a, max(ts) AS z FROM contests),
-f AS (SELECT CAST(k AS INT) AS fold, z - INTERVAL 1 MONTH * (2 * (12 - k)) AS val_from, z - INTERVAL 1 MONTH * (2 * (11 - k)) AS val_to, a FROM span, generate_series(0, 11) t(k)),
-c AS (SELECT fold, count(*) FILTER (ts < val_from - INTERVAL 10 DAY) AS n_train, count(*) FILTER (ts >= val_from AND ts < val_to) AS n_val, any_value(val_from) AS vf, any_value(a) AS a FROM contests, f GROUP BY fold)
-SELECT fold, n_train, n_val FROM c WHERE n_val >= 30 AND n_train >= 300 AND vf - INTERVAL 10 DAY >= a + INTERVAL 18 MONTH""")
+@query("folds_reverse", f"""WITH {v.CONTESTS_SQL}, span AS (SELECT min(ts) AS a, max(ts) + INTERVAL 1 DAY AS z FROM contests),
+f AS (SELECT k, z - INTERVAL 1 MONTH * (2 * k) AS val_from, z - INTERVAL 1 MONTH * (2 * (k - 1)) AS val_to, a FROM span, generate_series(1, 12) t(k)),
+c AS (SELECT k, count(*) FILTER (ts < val_from - INTERVAL 10 DAY) AS n_train, count(*) FILTER (ts >= val_from AND ts < val_to) AS n_val, any_value(val_from) AS vf, any_value(a) AS a FROM contests, f GROUP BY k)
+SELECT CAST(row_number() OVER (ORDER BY k DESC) AS INT) AS fold, n_train, n_val FROM c WHERE n_val >= 30 AND n_train >= 300 AND vf - INTERVAL 10 DAY > a + INTERVAL 18 MONTH""")
 def folds_reverse(spark, sf):
     return fl.reverse_folds(v.contests(spark, sf).select("ts"), "ts")
 
