@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from touchline.operators.prefix import month_block, running
 
 
-def chronological_halves(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+def chronological_halves(df: DataFrame, by: list[str], order: list[str], split: bool = True) -> DataFrame:
     """half = 1 for the first floor(n / 2) rows of a key in order, else 2."""
-    run = running(df, by, order, month_block(order[0]), {"_rn": ("count", F.lit(1))})
+    run = running(df, by, order, month_block(order[0]), {"_rn": ("count", F.lit(1))}, split=split)
     total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
     return run.join(total, by).withColumn("half", F.when(F.col("_rn") <= F.floor(F.col("_total") / 2), 1).otherwise(2)).drop("_rn", "_total")
 

@@ -32,25 +32,25 @@ def _gain() -> Column:
     return F.when(F.col("result") == "win", F.col("fraction") * (F.col("odds") - 1)).otherwise(-F.col("fraction"))
 
 
-def compound_equity(ledger: DataFrame, by: list[str], start: float = START) -> DataFrame:
+def compound_equity(ledger: DataFrame, by: list[str], start: float = START, split: bool = True) -> DataFrame:
     """Unrounded compounding over settled rows: balance, peak and drawdown after each.
 
     Balances are kept as logarithms (ln_balance, ln_peak): a running sum that splits into blocks and
     does not overflow on long ledgers.
     """
     done = ledger.where(F.col("result").isNotNull())
-    run = running(done, by, ORDER, month_block("ts"), {"_ln": ("sum", F.log1p(_gain()))})
+    run = running(done, by, ORDER, month_block("ts"), {"_ln": ("sum", F.log1p(_gain()))}, split=split)
     curve = run.withColumn("ln_balance", F.lit(math.log(start)) + F.col("_ln")).drop("_ln")
-    top = running(curve, by, ORDER, month_block("ts"), {"ln_peak": ("max", F.col("ln_balance"))})
+    top = running(curve, by, ORDER, month_block("ts"), {"ln_peak": ("max", F.col("ln_balance"))}, split=split)
     peak = F.greatest(F.col("ln_peak"), F.lit(math.log(start)))
     return top.withColumn("ln_peak", peak).withColumn("drawdown", F.expm1(F.col("ln_balance") - F.col("ln_peak")))
 
 
-def flat_equity(ledger: DataFrame, by: list[str], start: float = 0.0) -> DataFrame:
+def flat_equity(ledger: DataFrame, by: list[str], start: float = 0.0, split: bool = True) -> DataFrame:
     """Running sum of one-unit profits over settled rows."""
     done = ledger.where(F.col("result").isNotNull())
     unit = F.when(F.col("result") == "win", F.col("odds") - 1).otherwise(F.lit(-1.0))
-    run = running(done.withColumn("unit", unit), by, ORDER, month_block("ts"), {"_sum": ("sum", F.col("unit"))})
+    run = running(done.withColumn("unit", unit), by, ORDER, month_block("ts"), {"_sum": ("sum", F.col("unit"))}, split=split)
     return run.withColumn("balance", F.lit(start) + F.col("_sum")).drop("_sum")
 
 

@@ -23,13 +23,15 @@ def _before(order: list[Column]):
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], block: Column,
-            aggs: dict[str, tuple[str, Column]], inclusive: bool = True) -> DataFrame:
+            aggs: dict[str, tuple[str, Column]], inclusive: bool = True, split: bool = True) -> DataFrame:
     """Add running aggregates over `keys` ordered by `order` (ascending, unique inside a key).
 
     aggs maps a new column to (kind, expression), kind being sum, count, min, max, first or last
     (first and last skip NULL). `block` must not decrease along `order`. With inclusive=False the
-    row itself is left out.
+    row itself is left out. split=False says that no key is hot, so one plain window does.
     """
+    if not split:
+        return _plain(df, keys, order, aggs, inclusive)
     src = df.withColumn(_BLOCK, block)
     cols = [F.col(c) for c in order]
     place = _before(cols)
@@ -76,6 +78,15 @@ def running(df: DataFrame, keys: list[str], order: list[str], block: Column,
     return joined.select(*keep, *[c.alias(n) for n, c in final.items()])
 
 
+def _plain(df: DataFrame, keys: list[str], order: list[str], aggs: dict[str, tuple[str, Column]], inclusive: bool) -> DataFrame:
+    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    make = {"sum": lambda e: F.coalesce(F.sum(e).over(w), F.lit(0)), "count": lambda e: F.coalesce(F.count(e).over(w), F.lit(0)),
+            "min": lambda e: F.min(e).over(w), "max": lambda e: F.max(e).over(w),
+            "first": lambda e: F.first(e, ignorenulls=True).over(w), "last": lambda e: F.last(e, ignorenulls=True).over(w)}
+    keep = [c for c in df.columns if c not in aggs]
+    return df.select(*keep, *[make[kind](expr).alias(name) for name, (kind, expr) in aggs.items()])
+
+
 def value_block(df: DataFrame, keys: list[str], value: str, bands: int = 1024) -> tuple[DataFrame, Column]:
     """Attach per-key bounds of `value` and return the band expression for `running`."""
     bounds = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))

@@ -82,9 +82,9 @@ def movement_gate(moves: DataFrame, on: bool = True, limits: dict = GATE) -> Dat
     return wide.withColumn("reason", reason).withColumn("skip", F.col("reason").isNotNull())
 
 
-def opening_carry(q: DataFrame, order: list[str] = TIE) -> DataFrame:
+def opening_carry(q: DataFrame, order: list[str] = TIE, split: bool = True) -> DataFrame:
     """Opening price of each snapshot: lowest earlier opening, else its own, else the price itself."""
-    earlier = running(q, ["contest_id", "outcome"], order, month_block(order[0]), {"_min": ("min", F.col("opening"))}, inclusive=False)
+    earlier = running(q, ["contest_id", "outcome"], order, month_block(order[0]), {"_min": ("min", F.col("opening"))}, inclusive=False, split=split)
     return earlier.withColumn("opening_carried", F.coalesce("_min", "opening", "price")).drop("_min")
 
 

@@ -302,4 +302,4 @@ def asof_state(spark, sf):
         (F.col("user_id") % 100).alias("team"),
         F.expr("ts - make_interval(0, 0, 0, 9000, 0, 0, 0) + make_interval(0, 0, 0, 0, cast(event_id % 24 as int), 0, 0)").alias("ts"), "event_id")
     log = v.team_log(spark, sf, ["score", "rating"])
-    return asof_attach(ev, log, ["team"], "ts", "contest_id", ["rating", "pts"]).select("event_id", "team", "ts", "rating", "pts")
+    return asof_attach(ev, log, ["team"], "ts", "contest_id", ["rating", "pts"], split=bool(v.hot_teams(spark, sf))).select("event_id", "team", "ts", "rating", "pts")

@@ -31,7 +31,7 @@ def kelly_ledger(spark, sf):
 
 @query("equity_curve", f"WITH {CURVE_SQL} SELECT strategy, id, {sql_rounded(['ln_balance', 'ln_peak', 'drawdown'])} FROM curve")
 def equity_curve(spark, sf):
-    return rounded(lg.compound_equity(kelly_ledger(spark, sf), BY), ["strategy", "id"], ["ln_balance", "ln_peak", "drawdown"])
+    return rounded(lg.compound_equity(kelly_ledger(spark, sf), BY, split=bool(v.hot_strategies(spark, sf))), ["strategy", "id"], ["ln_balance", "ln_peak", "drawdown"])
 
 
 _SUM = ["win_rate", "avg_odds", "ln_final", "max_drawdown", "ln_growth"]
@@ -41,7 +41,7 @@ _SUM = ["win_rate", "avg_odds", "ln_final", "max_drawdown", "ln_growth"]
 arg_max(ln_balance, (ts, id)) AS ln_final, min(drawdown) AS max_drawdown, arg_max(ln_balance, (ts, id)) - ln(1000.0) AS ln_growth FROM curve GROUP BY strategy)
 SELECT strategy, n, {sql_rounded(_SUM)} FROM s""")
 def equity_summary(spark, sf):
-    return rounded(lg.summary(lg.compound_equity(kelly_ledger(spark, sf), BY), BY), ["strategy", "n"], _SUM)
+    return rounded(lg.summary(lg.compound_equity(kelly_ledger(spark, sf), BY, split=bool(v.hot_strategies(spark, sf))), BY), ["strategy", "n"], _SUM)
 
 
 FLAT_SQL = f"""{v.LEDGER_SQL}, u AS (SELECT *, CASE WHEN result = 'win' THEN odds - 1 ELSE -1 END AS unit FROM ledger WHERE result IS NOT NULL)"""
@@ -55,7 +55,7 @@ def flat(spark, sf):
 @query("flat_equity", f"""WITH {FLAT_SQL}, x AS (SELECT strategy, id, sum(unit) OVER (PARTITION BY strategy ORDER BY ts, id) AS balance FROM u)
 SELECT strategy, id, {sql_rounded(['balance'])} FROM x""")
 def flat_equity(spark, sf):
-    return rounded(lg.flat_equity(v.ledger(spark, sf), BY), ["strategy", "id"], ["balance"])
+    return rounded(lg.flat_equity(v.ledger(spark, sf), BY, split=bool(v.hot_strategies(spark, sf))), ["strategy", "id"], ["balance"])
 
 
 @query("weekly_sharpe", f"""WITH {FLAT_SQL}, w AS (SELECT strategy, date_trunc('week', ts) AS week, sum(unit) AS pnl, count(*) AS n FROM u GROUP BY ALL),

@@ -195,7 +195,7 @@ def coverage(spark, sf):
 @query("half_split", f"""WITH {v.FACTORS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY league ORDER BY ts, contest_id) AS rn, count(*) OVER (PARTITION BY league) AS total FROM factors),
 h AS (SELECT league, CASE WHEN rn <= total // 2 THEN 1 ELSE 2 END AS half, {_HIT_SQL} FROM r GROUP BY ALL), w AS (SELECT *, {wilson_sql()} AS lower FROM h) SELECT league, half, n, wins, {sql_rounded([*HIT, 'lower'])} FROM w""")
 def half_split(spark, sf):
-    got = mx.hit_block(fl.chronological_halves(v.factors(spark, sf), ["league"], ["ts", "contest_id"]), ["league", "half"])
+    got = mx.hit_block(fl.chronological_halves(v.factors(spark, sf), ["league"], ["ts", "contest_id"], split=v.big(spark, sf, "orders")), ["league", "half"])
     return rounded(got, ["league", "half", "n", "wins"], [*HIT, "lower"])
 
 
@@ -335,4 +335,4 @@ def set_compare(spark, sf):
 
 @query("running_count", f"WITH {v.LOG_SQL} SELECT contest_id, team, count(*) OVER (PARTITION BY team ORDER BY ts, contest_id) AS played FROM log")
 def running_count(spark, sf):
-    return running(v.team_log(spark, sf), ["team"], ["ts", "contest_id"], month_block("ts"), {"played": ("count", F.lit(1))}).select("contest_id", "team", "played")
+    return running(v.team_log(spark, sf), ["team"], ["ts", "contest_id"], month_block("ts"), {"played": ("count", F.lit(1))}, split=bool(v.hot_teams(spark, sf))).select("contest_id", "team", "played")

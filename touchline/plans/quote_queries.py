@@ -98,7 +98,7 @@ def movement_gate(spark, sf):
 @query("opening_carry", f"""WITH {v.QUOTES_SQL} SELECT contest_id, outcome, recorded_at, snap_id, snap_no, raw, coalesce(min(opening) OVER w, opening, price) AS opening_carried
 FROM quotes WINDOW w AS (PARTITION BY contest_id, outcome ORDER BY recorded_at, snap_id, snap_no, raw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def opening_carry(spark, sf):
-    return qt.opening_carry(v.quotes(spark, sf)).select("contest_id", "outcome", *qt.TIE, "opening_carried")
+    return qt.opening_carry(v.quotes(spark, sf), split=bool(v.hot_in(spark, sf, "lineitem", "l_partkey"))).select("contest_id", "outcome", *qt.TIE, "opening_carried")
 
 
 @query("latest_quote", f"""WITH {v.QUOTES_SQL} SELECT contest_id, outcome, arg_max(price, (recorded_at, snap_id, snap_no, raw)) AS price, max(recorded_at) AS recorded_at

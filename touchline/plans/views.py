@@ -45,10 +45,19 @@ def hot_in(spark: SparkSession, sf: str, table: str, column: str) -> list[tuple]
     return _HOT[key]
 
 
+def big(spark: SparkSession, sf: str, table: str) -> bool:
+    """Whether a table is large enough that some key of it could be hot (footer count only)."""
+    return read_table(spark, sf, table).count() > hot_limit(spark)
+
+
 def hot_teams(spark, sf):
     return hot_in(spark, sf, "lineitem", "l_suppkey")
 
 
+def hot_strategies(spark, sf):
+    return hot_in(spark, sf, "orders", "o_orderpriority")
+
+
 def contests(spark: SparkSession, sf: str, measures: list[str] = ("score",)) -> DataFrame:
     """Two-participant contests: the two first lines of an order meet; both must differ."""
     lines = read_table(spark, sf, "lineitem")
