@@ -10,9 +10,9 @@ def _c(x) -> Column:
 
 
 def rnd(x, digits: int = 6) -> Column:
-    """Round half up on the binary value: floor(x * 10^d + 0.5) / 10^d."""
+    """Round half up; a tolerance of a millionth of the last digit keeps float noise from deciding ties."""
     scale = F.lit(float(10 ** digits))
-    return F.floor(_c(x) * scale + F.lit(0.5)) / scale
+    return F.floor(_c(x) * scale + F.lit(0.500001)) / scale
 
 
 def outcome(home_score, away_score) -> Column:

@@ -20,18 +20,17 @@ def months_between(start: Column, ts: Column) -> Column:
 
 
 def expanding_folds(df: DataFrame, ts: str, train_months: int = 12, test_months: int = 3, step_months: int = 3,
-                    roles: tuple[str, ...] = ("train", "test")) -> DataFrame:
+                    roles: tuple[str, ...] = ("train", "test"), ends: tuple | None = None) -> DataFrame:
     """One row per (row, fold, role): fold k trains on months before train + k * step and tests on the next ones.
 
     A row's folds follow from its month by arithmetic, so rows are exploded, not range-joined. The calendar
     span is one aggregated row.
     """
-    span = df.agg(F.min(ts).alias("a"), F.max(ts).alias("z")).first()
-    if span["a"] is None:
+    a, z = ends or df.agg(F.min(ts).alias("a"), F.max(ts).alias("z")).first()
+    if a is None:
         return df.withColumn("fold", F.lit(0)).withColumn("role", F.lit("test")).limit(0)
-    months = (span["z"].year - span["a"].year) * 12 + span["z"].month - span["a"].month
-    last = (months - train_months) // step_months
-    m = (F.year(ts) * 12 + F.month(ts)) - F.lit(span["a"].year * 12 + span["a"].month)
+    last = ((z.year - a.year) * 12 + z.month - a.month - train_months) // step_months
+    m = (F.year(ts) * 12 + F.month(ts)) - F.lit(a.year * 12 + a.month)
     empty = F.array().cast("array<int>")
     out = []
     if "train" in roles:
@@ -46,6 +45,12 @@ def expanding_folds(df: DataFrame, ts: str, train_months: int = 12, test_months:
     return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
+def spread_months(cube: DataFrame, month: str, span: DataFrame, train_months: int, test_months: int, step_months: int) -> DataFrame:
+    """Month-level aggregates to expanding folds and roles; `span` is a cheap projection giving the calendar span."""
+    ends = span.agg(F.min(month).alias(month), F.max(month).alias("_z")).first()
+    return expanding_folds(cube, month, train_months, test_months, step_months, ends=(ends[month], ends["_z"]))
+
+
 def reverse_folds(df: DataFrame, ts: str, n_folds: int = 12, val_months: int = 2, gap_days: int = 10, min_train_months: int = 18,
                   min_val: int = 30, min_train: int = 300) -> DataFrame:
     """Train and validation counts of folds counted back from the newest row; thin or young folds are left out."""

@@ -103,7 +103,7 @@ def closed_form_growth(block: DataFrame, fraction: float = 0.25, cap: float = 0.
 
 
 def _round2(x: float) -> float:
-    return math.floor(x * 100.0 + 0.5) / 100.0
+    return math.floor(x * 100.0 + 0.500001) / 100.0
 
 
 RESTAKE_OUT = T.StructType([T.StructField("id", T.LongType()), T.StructField("stake", T.DoubleType()),

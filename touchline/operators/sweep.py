@@ -124,7 +124,7 @@ def fold_selection(cube_by_month: DataFrame, folds: DataFrame, keys: list[str],
     """
     sums = [F.sum(c).alias(c) for c in ("n", "wins", "sum_odds", "payout")]
     per = hit_rates(folds.groupBy(*keys, "fold", "role").agg(*sums))
-    train = per.where((F.col("role") == "train") & (F.col("n") >= min_train) & (F.col("roi") > min_roi)).select(*keys, "fold", F.col("n").alias("train_n"), F.col("roi").alias("train_roi"))
+    train = per.where((F.col("role") == "train") & (F.col("n") >= min_train) & (rnd("roi") > min_roi)).select(*keys, "fold", F.col("n").alias("train_n"), F.col("roi").alias("train_roi"))
     test = per.where(F.col("role") == "test").select(*keys, "fold", F.col("n").alias("test_n"), F.col("roi").alias("test_roi"))
     return train.join(test, [*keys, "fold"])
 
@@ -135,6 +135,10 @@ def fold_stability(selected: DataFrame, keys: list[str], min_positive: int = 3,
     return got.where(F.col("positive") >= min_positive).withColumn("volume", F.when(F.col("avg_test_n") >= volume, "high").otherwise("low"))
 
 
+def _sized(layer: str, k: int) -> Column:
+    return F.transform(layer, lambda c: F.struct(c["combo"].alias("combo"), F.lit(k).alias("k")))
+
+
 def factor_combos(df: DataFrame, by: list[str], flags: dict[str, tuple[str, Column]], most: int = 3, min_n: int = 10) -> DataFrame:
     """Combinations of up to `most` factors of distinct columns with their hit-rate block.
 
@@ -143,18 +147,16 @@ def factor_combos(df: DataFrame, by: list[str], flags: dict[str, tuple[str, Colu
     """
     met = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(n).alias("f"), F.lit(c).alias("c"))) for n, (c, cond) in sorted(flags.items())]))
     sets = df.select(*by, "won", "odds", met.alias("met")).groupBy(*by, "met").agg(*hit_aggs())
-    rows = sets.select(*by, "n", "wins", "sum_odds", "payout", "met", F.array(F.array().cast("array<struct<f:string,c:string>>")).alias("combos"))
-    layer = "combos"
-    for k in range(most):
-        grown = F.flatten(F.transform(layer, lambda combo: F.transform(
-            F.filter("met", lambda x: ((F.size(combo) == 0) | (x["f"] > F.element_at(F.transform(combo, lambda y: y["f"]), -1)))
-                     & ~F.exists(combo, lambda y: y["c"] == x["c"])), lambda x: F.concat(combo, F.array(x)))))
-        rows = rows.withColumn(f"k{k + 1}", F.filter(grown, lambda c, k=k: F.size(c) == k + 1) if k else F.transform("met", lambda x: F.array(x)))
-        layer = f"k{k + 1}"
-    every = F.concat("combos", *[f"k{k + 1}" for k in range(most)])
-    label = F.array_join(F.transform("combo", lambda x: x["f"]), "; ")
-    per = (rows.select(*by, "n", "wins", "sum_odds", "payout", F.explode(every).alias("combo")).select(*by, "n", "wins", "sum_odds", "payout", label.alias("combo"), F.size("combo").alias("k"))
-           .groupBy(*by, "combo", "k").agg(*[F.sum(c).alias(c) for c in ("n", "wins", "sum_odds", "payout")]))
+    sums = ("n", "wins", "sum_odds", "payout")
+    rows = sets.withColumn("k1", F.transform("met", lambda x: F.struct(x["f"].alias("combo"), x["f"].alias("last"), F.array(x["c"]).alias("cols"))))
+    for k in range(2, most + 1):
+        grown = F.transform(f"k{k - 1}", lambda c: F.transform(
+            F.filter("met", lambda x: (x["f"] > c["last"]) & ~F.array_contains(c["cols"], x["c"])),
+            lambda x: F.struct(F.concat_ws("; ", c["combo"], x["f"]).alias("combo"), x["f"].alias("last"), F.array_append(c["cols"], x["c"]).alias("cols"))))
+        rows = rows.withColumn(f"k{k}", F.flatten(grown))
+    none = F.array(F.struct(F.lit("").alias("combo"), F.lit(0).alias("k")))
+    every = F.concat(none, *[_sized(f"k{k}", k) for k in range(1, most + 1)])
+    per = rows.select(*by, *sums, F.explode(every).alias("c")).groupBy(*by, "c.combo", "c.k").agg(*[F.sum(c).alias(c) for c in sums])
     return hit_rates(per.where(F.col("n") >= min_n))
 
 

@@ -149,7 +149,7 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 
 def sql_rnd(expr: str, digits: int = 6) -> str:
     scale = f"CAST(1e{digits} AS DOUBLE)"
-    return f"(floor(({expr}) * {scale} + 0.5) / {scale})"
+    return f"(floor(({expr}) * {scale} + CAST(0.500001 AS DOUBLE)) / {scale})"
 
 
 _SIDES = ", ".join(f"{e} AS {m}" for m, e in SIDE_EXPR.items())
