@@ -22,10 +22,11 @@ BLOCK_ROWS_DEFAULT = "500000"
 
 
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], step: Callable, out: T.StructType, state: T.StructType,
-                 block_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+                 block_rows: int | None = None, prior: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Fold `step(rows, state) -> (out_rows, new_state)` along `order` inside each pool.
 
-    `out` and `state` describe the produced rows (without the keys). Returns both tables with keys.
+    `out` and `state` describe the produced rows (without the keys); `prior` is a state to start from.
+    Returns both tables with keys.
     """
     spark = df.sparkSession
     block_rows = block_rows or int(spark.conf.get(BLOCK_ROWS, BLOCK_ROWS_DEFAULT))
@@ -49,7 +50,8 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], step: Callabl
         numbered = running(df, keys, order, month_block(order[0]), {"_rn": ("count", F.lit(1))})
         df = cut(numbered.withColumn("_block", F.floor((F.col("_rn") - 1) / block_rows)).drop("_rn"))
         blocks = int(df.agg(F.max("_block").alias("m")).first()["m"]) + 1
-    current = spark.createDataFrame([], T.StructType([*key_fields, *state.fields]))
+    shape = T.StructType([*key_fields, *state.fields])
+    current = spark.createDataFrame([], shape) if prior is None else prior.select(*shape.names)
     done = []
     for b in range(blocks):
         part = df.where(F.col("_block") == b).drop("_block") if blocks > 1 else df

@@ -198,9 +198,9 @@ def missing_share(reports: DataFrame, shares: DataFrame, member: str) -> DataFra
                     F.coalesce("away", F.lit(0.0)).alias("away_missing")))
 
 
-def gated_strength(rosters: DataFrame, at_least: int) -> DataFrame:
-    """Strength only where enough starters are listed; the difference needs both sides."""
-    gate = F.when(F.size("starters") >= at_least, F.col("strength"))
+def gated_strength(rosters: DataFrame, at_least: int, listed: Column | None = None) -> DataFrame:
+    """Strength only where enough starters are listed (size of `starters`, or a given count); the difference needs both sides."""
+    gate = F.when((F.size("starters") if listed is None else listed) >= at_least, F.col("strength"))
     return rosters.groupBy("contest_id").agg(
         F.max(F.when(F.col("side") == "home", gate)).alias("home_strength"),
         F.max(F.when(F.col("side") == "away", gate)).alias("away_strength")).withColumn(

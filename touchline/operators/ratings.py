@@ -24,10 +24,11 @@ def _fields(*names: str, first: str = "contest_id") -> T.StructType:
     return T.StructType([T.StructField(first, T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names]])
 
 
-def elo_fold(games: DataFrame, by: list[str], k: float = ELO_K, start: float = ELO_START, block_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+def elo_fold(games: DataFrame, by: list[str], k: float = ELO_K, start: float = ELO_START, block_rows: int | None = None,
+             prior: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Ratings of both sides before every contest, updated contest by contest, and the final ratings."""
-    def step(rows: pd.DataFrame, prior: pd.DataFrame):
-        now = dict(zip(prior["team"], prior["elo"]))
+    def step(rows: pd.DataFrame, before: pd.DataFrame):
+        now = dict(zip(before["team"], before["elo"]))
         out = []
         for cid, h, a, hs, as_ in zip(rows["contest_id"], rows["home_id"], rows["away_id"], rows["home_score"], rows["away_score"]):
             rh, ra = now.get(h, start), now.get(a, start)
@@ -36,7 +37,7 @@ def elo_fold(games: DataFrame, by: list[str], k: float = ELO_K, start: float = E
             now[h], now[a] = rh + move, ra - move
         return pd.DataFrame(out, columns=["contest_id", "home_elo", "away_elo"]), pd.DataFrame(now.items(), columns=["team", "elo"])
 
-    return ordered_fold(_played(games, by), by, ORDER, step, _fields("home_elo", "away_elo"), _fields("elo", first="team"), block_rows)
+    return ordered_fold(_played(games, by), by, ORDER, step, _fields("home_elo", "away_elo"), _fields("elo", first="team"), block_rows, prior)
 
 
 def _played(games: DataFrame, by: list[str]) -> DataFrame:

@@ -278,9 +278,9 @@ x AS (SELECT contest_id, max(CASE WHEN side = 'home' AND n >= 2 THEN strength EN
 y AS (SELECT *, home_strength - away_strength AS strength_diff FROM x) SELECT contest_id, {sql_rounded(['home_strength', 'away_strength', 'strength_diff'])} FROM y""")
 def roster_gate(spark, sf):
     li = read_table(spark, sf, "lineitem").withColumn("side", F.when(F.col("l_linenumber") % 2 == 1, "home").otherwise("away"))
-    rosters = li.groupBy(F.col("l_orderkey").alias("contest_id"), "side").agg(
-        F.collect_set("l_partkey").alias("starters"), F.avg("l_extendedprice").alias("strength"))
-    return rounded(fm.gated_strength(rosters, 2), ["contest_id"], ["home_strength", "away_strength", "strength_diff"])
+    per = li.groupBy(F.col("l_orderkey").alias("contest_id"), "side", "l_partkey").agg(F.sum("l_extendedprice").alias("s"), F.count(F.lit(1)).alias("c"))
+    rosters = per.groupBy("contest_id", "side").agg(F.count(F.lit(1)).alias("n"), (F.sum("s") / F.sum("c")).alias("strength"))
+    return rounded(fm.gated_strength(rosters, 2, F.col("n")), ["contest_id"], ["home_strength", "away_strength", "strength_diff"])
 
 
 CUTOFF = "2000-01-01"
