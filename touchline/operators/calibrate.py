@@ -15,6 +15,7 @@ from touchline.operators.prefix import quantiles, running
 from touchline.session import cut
 
 BANDS = 200
+BAND_ROWS = 50_000
 # Tail share and least rows of a league or cluster head.
 TAIL, MIN_LEAGUE, MIN_CLUSTER = 0.15, 30, 50
 
@@ -37,11 +38,12 @@ def pool_violators(lo, hi, w, s) -> pd.DataFrame:
 def isotonic_heads(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Isotonic fit of y on p per key: blocks (lo, hi, value) with their next block.
 
-    Equal chances are summed first. Pooling inside narrow chance bands and then over the surviving blocks gives the same
-    fit as one pass, so no task holds a whole head.
+    Equal chances are summed first. A head with many distinct chances is cut into chance bands; pooling inside the bands
+    and then over the surviving blocks gives the same fit as one pass, so no task holds a whole large head.
     """
     at = rows.groupBy(*keys, "p").agg(F.count(F.lit(1)).cast("double").alias("w"), F.sum("y").cast("double").alias("s"))
-    banded = at.select(*keys, F.floor(F.col("p") * BANDS).alias("band"), F.col("p").alias("lo"), F.col("p").alias("hi"), "w", "s")
+    sizes = at.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BAND_ROWS).alias("_bands"))
+    banded = at.join(sizes, keys).select(*keys, F.floor(F.col("p") * F.col("_bands")).alias("band"), F.col("p").alias("lo"), F.col("p").alias("hi"), "w", "s")
     shape = T.StructType([rows.schema[k] for k in keys] + list(BLOCK))
 
     def pool(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -55,11 +57,11 @@ def isotonic_heads(rows: DataFrame, keys: list[str]) -> DataFrame:
     return blocks.select(*keys, "lo", "hi", (F.col("s") / F.col("w")).alias("value"))
 
 
-def apply_heads(rows: DataFrame, blocks: DataFrame, keys: list[str], ids: list[str]) -> DataFrame:
+def apply_heads(rows: DataFrame, blocks: DataFrame, keys: list[str], ids: list[str], split: bool = True) -> DataFrame:
     """Calibrated value per row: constant inside a block, linear between blocks, clipped outside."""
     knots = _with_next(blocks, keys).select(*keys, F.col("from").alias("p"), F.lit(0).alias("_kind"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ids], F.struct("hi", "value", "next_lo", "next_value").alias("_k"))
     asks = rows.select(*keys, "p", F.lit(1).alias("_kind"), *ids, F.lit(None).cast(knots.schema["_k"].dataType).alias("_k"))
-    got = running(knots.unionByName(asks), keys, ["p", "_kind"], F.floor(F.greatest(F.col("p"), F.lit(0.0)) * BANDS), {"k": ("last", F.col("_k"))})
+    got = running(knots.unionByName(asks), keys, ["p", "_kind"], F.floor(F.greatest(F.col("p"), F.lit(0.0)) * BANDS), {"k": ("last", F.col("_k"))}, split=split)
     share = (F.col("p") - F.col("k.hi")) / F.nullif(F.col("k.next_lo") - F.col("k.hi"), F.lit(0.0))
     value = F.when((F.col("p") <= F.col("k.hi")) | F.col("k.next_lo").isNull(), F.col("k.value")).otherwise(
         F.col("k.value") + share * (F.col("k.next_value") - F.col("k.value")))
@@ -79,7 +81,8 @@ def tail_cut(scored: DataFrame, tail: float) -> DataFrame:
     return timed.join(quantiles(timed.select("_all", "_t"), ["_all"], "_t", {"_cut": 1.0 - tail}), "_all").where("_t >= _cut").drop("_t", "_all", "_cut")
 
 
-def calibrate(scored: DataFrame, cluster: str | None = "cluster", tail: float = TAIL, min_league: int = MIN_LEAGUE, min_cluster: int = MIN_CLUSTER) -> DataFrame:
+def calibrate(scored: DataFrame, cluster: str | None = "cluster", tail: float = TAIL, min_league: int = MIN_LEAGUE, min_cluster: int = MIN_CLUSTER,
+              split: bool = True) -> DataFrame:
     """Calibrated, renormalised chances. Heads are fitted on the newest tail; a row uses its league's head if that has
     enough rows, else its cluster's, else the global one."""
     recent = cut(tail_cut(scored, tail))
@@ -101,7 +104,7 @@ def calibrate(scored: DataFrame, cluster: str | None = "cluster", tail: float =
     train = tagged(recent).withColumn("head", F.explode(F.array_compact(F.array(F.lit("global"), *own))))
     blocks = cut(isotonic_heads(class_rows(train, ["head"]), ["head", "cls"]))
     asks = class_rows(tagged(scored).withColumn("head", F.coalesce(*own, F.lit("global"))), ["contest_id", "head"])
-    got = apply_heads(asks, blocks, ["head", "cls"], ["contest_id"])
+    got = apply_heads(asks, blocks, ["head", "cls"], ["contest_id"], split)
     wide = got.groupBy("contest_id", "head").agg(*[F.max(F.when(F.col("cls") == c, F.least(F.greatest(F.col("calibrated"), F.lit(0.0)), F.lit(1.0)))).alias(n)
                                                    for c, n in (("H", "c_home"), ("D", "c_draw"), ("A", "c_away"))])
     total = F.greatest(F.col("c_home") + F.col("c_draw") + F.col("c_away"), F.lit(1e-9))

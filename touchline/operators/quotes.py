@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline.functions.devig import SIDES
@@ -46,11 +47,10 @@ def double_chance(q: DataFrame) -> DataFrame:
         *[F.max(F.when(F.col("outcome") == o, F.col("price"))).alias(f"dc_{o.lower()}_odds") for o in ("1X", "2X")])
 
 
-def line_movement(q: DataFrame, minutes: int = 30, order: list[str] = TIE) -> DataFrame:
-    """Drift, velocity, dispersion, source and snapshot counts per (contest, outcome).
+def _series_by_groups(q: DataFrame, minutes: int, order: list[str]) -> DataFrame:
+    """First, last and look-back price per series by map-side aggregation, for tables with hot contests.
 
-    One row per (contest, outcome, source) is aggregated map-side before anything is grouped by
-    contest; the look-back row is found by joining that summary to the rows (a skewed join AQE splits).
+    The look-back row is found by joining the series summary to the rows (a skewed join AQE splits).
     """
     at = F.struct(*order)
     series = q.groupBy(*SERIES).agg(
@@ -59,11 +59,30 @@ def line_movement(q: DataFrame, minutes: int = 30, order: list[str] = TIE) -> Da
     back = F.col("recorded_at") <= F.col("last.recorded_at") - F.make_dt_interval(mins=F.lit(minutes))
     earlier = (q.join(series.select(*SERIES, "last", "last_at"), SERIES).where(back & (at < F.col("last_at")))
                .groupBy(*SERIES).agg(F.max_by("price", at).alias("before")))
-    base = F.coalesce(F.nullif(F.col("first.opening"), F.lit(0.0)), F.col("first.price"))
-    per = (series.join(earlier, SERIES, "left").withColumn("base", base).where("base > 0")
-           .select(*SERIES, "snaps", F.col("last.price").alias("latest"),
-                   ((F.col("last.price") - F.col("base")) / F.col("base")).alias("d"),
-                   F.when(F.col("before") > 0, (F.col("last.price") - F.col("before")) / F.col("base")).alias("v")))
+    return series.join(earlier, SERIES, "left").select(*SERIES, "snaps", "before", F.col("last.price").alias("latest"),
+                                                       F.coalesce(F.nullif(F.col("first.opening"), F.lit(0.0)), F.col("first.price")).alias("base"))
+
+
+def _series_by_window(q: DataFrame, minutes: int, order: list[str]) -> DataFrame:
+    """The same from one sort per series: each series is read off its newest row."""
+    slim = q.select(*SERIES, *order, "price", "opening")
+    rows = W.partitionBy(*SERIES).orderBy(*order)
+    seconds = F.col(order[0]).cast("timestamp").cast("long")
+    back = W.partitionBy(*SERIES).orderBy(seconds).rangeBetween(W.unboundedPreceding, -60 * minutes)
+    wide = slim.select(*SERIES, "price", F.row_number().over(rows).alias("snaps"), F.lead(F.lit(1)).over(rows).alias("more"),
+                       F.first(F.coalesce(F.nullif(F.col("opening"), F.lit(0.0)), F.col("price"))).over(rows.rowsBetween(W.unboundedPreceding, 0)).alias("base"),
+                       F.max(F.struct(*order, "price")).over(back)["price"].alias("before"))
+    return wide.where("more IS NULL").select(*SERIES, "snaps", "before", F.col("price").alias("latest"), "base")
+
+
+def line_movement(q: DataFrame, minutes: int = 30, order: list[str] = TIE, split: bool = True) -> DataFrame:
+    """Drift, velocity, dispersion, source and snapshot counts per (contest, outcome).
+
+    First one row per (contest, outcome, source), then medians over the sources of a contest.
+    """
+    series = (_series_by_groups if split else _series_by_window)(q, minutes, order)
+    latest, base, before = F.col("latest"), F.col("base"), F.col("before")
+    per = series.where("base > 0").select(*SERIES, "snaps", "latest", ((latest - base) / base).alias("d"), F.when(before > 0, (latest - before) / base).alias("v"))
     got = per.groupBy("contest_id", "outcome").agg(
         F.median("d").alias("drift"), F.median("v").alias("velocity"), F.stddev_pop("latest").alias("sd"),
         F.avg("latest").alias("mean"), F.count("latest").cast("int").alias("n_sources"), F.max("snaps").cast("int").alias("n_snaps"))

@@ -44,7 +44,7 @@ def side_log(spark, sf) -> DataFrame:
     out = fm.rest_days(out, 7, 30, hot)
     out = fm.momentum(out, "rating", 5, hot)
     out = fm.advanced_form(out, 10, hot)
-    keep = ["contest_id", "ts", "pool", "side", "team", "pts", "rating"]
+    keep = ["contest_id", "ts", "pool", "side", "team", "pts", "rating", "score"]
     extra = [c for c in out.columns if c not in base and c not in ROUNDED]
     return out.select(*keep, *[c for c in extra if c not in keep], *[rnd(c).alias(c) for c in ROUNDED])
 
@@ -57,10 +57,11 @@ def market_columns(spark, sf) -> DataFrame:
 
 def contest_matrix(spark, sf) -> DataFrame:
     """Contest rows with home_ / away_ features, gaps, ratings, absences, market chances and the target."""
-    wide = fm.to_contest(side_log(spark, sf).select("contest_id", "side", *[F.col(c).alias(n) for n, c in SIDE_FEATURES.items()]), list(SIDE_FEATURES))
-    games = v.contests(spark, sf).select("contest_id", "ts", "pool", "home_id", "away_id", "home_score", "away_score")
+    log = side_log(spark, sf).select("contest_id", "ts", "pool", "side", F.col("team").alias("id"), "score", *[F.col(c).alias(n) for n, c in SIDE_FEATURES.items()])
+    pivot = [F.max(F.when(F.col("side") == s, F.col(n))).alias(f"{s}_{n}") for n in ("id", "score", *SIDE_FEATURES) for s in ("home", "away")]
+    games = log.groupBy("contest_id").agg(F.max("ts").alias("ts"), F.max("pool").alias("pool"), *pivot)
     away = fm.absences(games, fq.absence_reports(spark, sf).select("contest_id", "team"))
-    rows = away.join(wide, "contest_id").join(market_columns(spark, sf), "contest_id", "left")
+    rows = away.join(market_columns(spark, sf), "contest_id", "left")
     return rows.select(
         "contest_id", "ts", "pool", "home_odds", "draw_odds", "away_odds", "market_home_prob", "market_away_prob",
         F.col("home_absent").alias("home_injured_count"), F.col("away_absent").alias("away_injured_count"),

@@ -85,14 +85,14 @@ _MOVE = ["drift", "velocity", "dispersion"]
 
 @query("line_movement", f"WITH {_MOVE_SQL} SELECT contest_id, outcome, n_sources, n_snaps, {sql_rounded(_MOVE)} FROM moves")
 def line_movement(spark, sf):
-    return rounded(qt.line_movement(v.quotes(spark, sf)), ["contest_id", "outcome", "n_sources", "n_snaps"], _MOVE)
+    return rounded(qt.line_movement(v.quotes(spark, sf), split=bool(v.hot_in(spark, sf, "lineitem", "l_partkey"))), ["contest_id", "outcome", "n_sources", "n_snaps"], _MOVE)
 
 
 @query("movement_gate", f"""WITH {_MOVE_SQL}, m AS (SELECT *, max(n_snaps) OVER (PARTITION BY contest_id) AS n_snapshots FROM moves),
 g AS (SELECT contest_id, outcome, CASE WHEN outcome = 'draw' OR n_snapshots < 3 THEN NULL WHEN drift > 0.05 THEN 'drift' WHEN velocity > 0.03 THEN 'velocity'
   WHEN n_sources >= 2 AND dispersion > 0.10 THEN 'dispersion' END AS reason FROM m) SELECT *, reason IS NOT NULL AS skip FROM g""")
 def movement_gate(spark, sf):
-    return qt.movement_gate(qt.line_movement(v.quotes(spark, sf))).select("contest_id", "outcome", "reason", "skip")
+    return qt.movement_gate(qt.line_movement(v.quotes(spark, sf), split=bool(v.hot_in(spark, sf, "lineitem", "l_partkey")))).select("contest_id", "outcome", "reason", "skip")
 
 
 @query("opening_carry", f"""WITH {v.QUOTES_SQL} SELECT contest_id, outcome, recorded_at, snap_id, snap_no, raw, coalesce(min(opening) OVER w, opening, price) AS opening_carried
