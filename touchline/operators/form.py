@@ -20,8 +20,8 @@ def _share(cond: Column) -> Column:
     return F.avg(cond.cast("double"))
 
 
-def _fill(df: DataFrame, base: list[str], defaults: dict[str, float]) -> DataFrame:
-    return df.select(*base, *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in defaults.items()])
+def _fill(df: DataFrame, defaults: dict[str, float]) -> DataFrame:
+    return df.fillna(defaults)
 
 
 def form(log: DataFrame, n: int = 5, within: list[str] = (), hot=None) -> DataFrame:
@@ -30,7 +30,7 @@ def form(log: DataFrame, n: int = 5, within: list[str] = (), hot=None) -> DataFr
              "goals_against": (F.avg("score_ag"), n, 1), "wins": (_share(F.col("pts") == 3), n, 1),
              "draws": (_share(F.col("pts") == 1), n, 1), "losses": (_share(F.col("pts") == 0), n, 1)}
     wide = trailing(log, ["team", *within], ORDER, feats, hot=hot)
-    return _fill(wide, log.columns, FORM_DEFAULTS)
+    return _fill(wide, FORM_DEFAULTS)
 
 
 def advanced_form(log: DataFrame, n: int = 10, hot=None) -> DataFrame:
@@ -38,7 +38,7 @@ def advanced_form(log: DataFrame, n: int = 10, hot=None) -> DataFrame:
     f, a = F.col("score"), F.col("score_ag")
     feats = {"clean_sheet": (_share(a == 0), n, 1), "failed_to_score": (_share(f == 0), n, 1),
              "both_scored": (_share((f > 0) & (a > 0)), n, 1), "goals_std": (F.stddev_samp("score"), n, 1)}
-    wide = _fill(trailing(log, ["team"], ORDER, feats, hot=hot), log.columns, ADVANCED_DEFAULTS)
+    wide = _fill(trailing(log, ["team"], ORDER, feats, hot=hot), ADVANCED_DEFAULTS)
     return result_streaks(wide, n, hot)
 
 
@@ -72,7 +72,7 @@ def xg_history(log: DataFrame, windows=(5, 10), hot=None) -> DataFrame:
         a, b = F.coalesce(f"xg_for_{n}", F.lit(1.3)), F.coalesce(f"xg_against_{n}", F.lit(1.3))
         out |= {f"xg_for_{n}": a, f"xg_against_{n}": b, f"xg_diff_{n}": a - b,
                 f"xg_ratio_{n}": F.when(b > 0, a / b).otherwise(F.lit(1.0))}
-    return wide.select(*log.columns, *[c.alias(k) for k, c in out.items()])
+    return wide.withColumns(out)
 
 
 def stat_averages(log: DataFrame, n: int = 5, hot=None) -> DataFrame:
@@ -81,7 +81,7 @@ def stat_averages(log: DataFrame, n: int = 5, hot=None) -> DataFrame:
            "corners": "corners", "saves": "saves", "passes_acc": "pass_acc"}
     known = F.col("sot").isNotNull() & F.col("sot_ag").isNotNull()
     wide = trailing(log, ["team"], ORDER, {f"avg_{k}": (F.avg(c), n, 1) for k, c in src.items()}, counts_if=known, hot=hot)
-    return _fill(wide, log.columns, {f"avg_{k}": v for k, v in STAT_DEFAULTS.items()})
+    return _fill(wide, {f"avg_{k}": v for k, v in STAT_DEFAULTS.items()})
 
 
 def efficiency(log: DataFrame, n: int = 10, hot=None) -> DataFrame:
@@ -92,7 +92,7 @@ def efficiency(log: DataFrame, n: int = 10, hot=None) -> DataFrame:
              "box_ratio": (ratio("box", "shots"), n, 1), "save_pct": (ratio("saves", "sot_ag"), n, 1),
              "pass_pct": (ratio("pass_acc", "pass_tot"), n, 1)}
     known = F.col("sot").isNotNull() & F.col("sot_ag").isNotNull()
-    return _fill(trailing(log, ["team"], ORDER, feats, counts_if=known, hot=hot), log.columns, RATE_DEFAULTS)
+    return _fill(trailing(log, ["team"], ORDER, feats, counts_if=known, hot=hot), RATE_DEFAULTS)
 
 
 def rolling_matrix(log: DataFrame, metrics: list[str], windows=(5, 10), scope: str = "all", hot=None) -> DataFrame:

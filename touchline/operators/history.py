@@ -61,12 +61,13 @@ def _with_halo(df: DataFrame, keys: list[str], order: list[str], depth: int, blo
 
 def trailing(df: DataFrame, keys: list[str], order: list[str], feats: dict[str, tuple[Column, int, int]],
              counts_if: Column | None = None, hot: list[tuple] | None = None,
-             block: Column | None = None) -> DataFrame:
+             block: Column | None = None, number: bool = False) -> DataFrame:
     """Add trailing features: name -> (aggregate, from, to), row offsets counted back from the current row.
 
     (agg, 5, 1) looks at the five rows before the current one. With `counts_if`, only rows meeting it
     enter the history ("skip first, then take the last n"); other rows still receive the features.
-    `hot` lists the keys to split (None: find them with one counting job).
+    `hot` lists the keys to split (None: find them with one counting job). With `number`, aggregates may use
+    `_rn`, a row number that rises by one from row to row of an entity.
     """
     hot = hot_keys(df, keys) if hot is None else hot
     depth = max(far for _, far, _ in feats.values())
@@ -75,24 +76,23 @@ def trailing(df: DataFrame, keys: list[str], order: list[str], feats: dict[str,
         block = month_block(order[0]) if block is None else block
         src = _with_halo(df, keys, order, depth, block, hot, F.lit(True) if counts_if is None else counts_if)
         part = [*keys, "_blk"]
-    place = [F.col(c) for c in order]
-    src = src.withColumn("_rn", F.row_number().over(W.partitionBy(*part).orderBy(*place)))
+    if number:
+        src = src.withColumn("_rn", F.row_number().over(W.partitionBy(*part).orderBy(*order)))
     if counts_if is None:
-        out = src.select("*", *[agg.over(W.partitionBy(*part).orderBy(*place).rowsBetween(-far, -near)).alias(name)
-                                for name, (agg, far, near) in feats.items()])
+        w = W.partitionBy(*part).orderBy(*order)
+        out = src.withColumns({name: agg.over(w.rowsBetween(-far, -near)) for name, (agg, far, near) in feats.items()})
     else:
         # State after each counted row, then the latest such state before the current row.
         src = src.withColumn("_in", F.coalesce(counts_if, F.lit(False)))
-        own = W.partitionBy(*part, "_in").orderBy(*place)
+        own = W.partitionBy(*part, "_in").orderBy(*order)
         packed = F.when(F.col("_in"), F.struct(*[agg.over(own.rowsBetween(1 - far, 1 - near)).alias(name)
                                                  for name, (agg, far, near) in feats.items()]))
-        before = W.partitionBy(*part).orderBy(*place).rowsBetween(W.unboundedPreceding, -1)
-        out = (src.withColumn("_state", packed)
-               .withColumn("_state", F.last("_state", ignorenulls=True).over(before))
-               .select(*src.columns, *[F.col(f"_state.{name}").alias(name) for name in feats]))
+        before = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        out = src.withColumn("_state", packed).withColumn("_state", F.last("_state", ignorenulls=True).over(before))
+        out = out.withColumns({name: F.col(f"_state.{name}") for name in feats})
     if hot:
         out = out.where(~F.col("_halo"))
-    return out.select(*df.columns, *feats.keys())
+    return out.drop("_rn", "_in", "_state", "_hot", "_blk", "_halo")
 
 
 def run_length(flag: Column, far: int) -> tuple[Column, int, int]:
@@ -106,10 +106,10 @@ def streaks(df: DataFrame, keys: list[str], order: list[str], flags: dict[str, C
     feats = {"_seen": (F.count(F.lit(1)), far, 1), "_last": (F.max("_rn"), 1, 1)}
     for name, flag in flags.items():
         feats[f"_break_{name}"] = run_length(flag, far)
-    wide = trailing(df, keys, order, feats, hot=hot)
-    runs = [F.coalesce(F.least(F.col("_seen"), F.col("_last") - F.coalesce(F.col(f"_break_{n}"), F.lit(-1 << 40))),
-                       F.lit(0)).cast("int").alias(n) for n in flags]
-    return wide.select(*df.columns, *runs)
+    wide = trailing(df, keys, order, feats, hot=hot, number=True)
+    runs = {n: F.coalesce(F.least(F.col("_seen"), F.col("_last") - F.coalesce(F.col(f"_break_{n}"), F.lit(-1 << 40))),
+                          F.lit(0)).cast("int") for n in flags}
+    return wide.withColumns(runs).drop("_seen", "_last", *[f"_break_{n}" for n in flags])
 
 
 def asof_attach(left: DataFrame, right: DataFrame, keys: list[str], ts: str, tie: str, cols: list[str],

@@ -31,10 +31,8 @@ def side_log(spark, sf) -> DataFrame:
     hot = v.hot_teams(spark, sf)
     side_hot = None if hot else []
     log = v.team_log(spark, sf, ["score", "xg", "sot", "shots", "box", "poss", "corners", "saves", "pass_acc", "pass_tot", "rating"])
-    base = log.columns
-
     def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
-        return df.select(*[F.col(c).alias(names.get(c, c)) for c in df.columns])
+        return df.withColumnsRenamed(names)
 
     out = renamed(fm.form(log, 5, [], hot), {c: f"f_{c}" for c in fm.FORM_DEFAULTS})
     out = renamed(fm.form(out, 5, ["side"], side_hot), {c: f"s_{c}" for c in fm.FORM_DEFAULTS})
@@ -44,9 +42,7 @@ def side_log(spark, sf) -> DataFrame:
     out = fm.rest_days(out, 7, 30, hot)
     out = fm.momentum(out, "rating", 5, hot)
     out = fm.advanced_form(out, 10, hot)
-    keep = ["contest_id", "ts", "pool", "side", "team", "pts", "rating", "score"]
-    extra = [c for c in out.columns if c not in base and c not in ROUNDED]
-    return out.select(*keep, *[c for c in extra if c not in keep], *[rnd(c).alias(c) for c in ROUNDED])
+    return out.withColumns({c: rnd(c) for c in ROUNDED})
 
 
 def market_columns(spark, sf) -> DataFrame:
