@@ -22,11 +22,12 @@ BLOCK_ROWS_DEFAULT = "500000"
 
 
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], step: Callable, out: T.StructType, state: T.StructType,
-                 block_rows: int | None = None, prior: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                 block_rows: int | None = None, prior: DataFrame | None = None, at_most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Fold `step(rows, state) -> (out_rows, new_state)` along `order` inside each pool.
 
     `out` and `state` describe the produced rows (without the keys); `prior` is a state to start from.
-    Returns both tables with keys.
+    `at_most` is a known bound on the rows (a footer count); without it the rows are counted. Returns both
+    tables with keys.
     """
     spark = df.sparkSession
     block_rows = block_rows or int(spark.conf.get(BLOCK_ROWS, BLOCK_ROWS_DEFAULT))
@@ -46,7 +47,7 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], step: Callabl
         return pd.concat(frames, ignore_index=True).assign(**key)[both.names] if frames else pd.DataFrame(columns=both.names)
 
     blocks = 1
-    if df.count() > block_rows:
+    if (df.count() if at_most is None else at_most) > block_rows:
         numbered = running(df, keys, order, month_block(order[0]), {"_rn": ("count", F.lit(1))})
         df = cut(numbered.withColumn("_block", F.floor((F.col("_rn") - 1) / block_rows)).drop("_rn"))
         blocks = int(df.agg(F.max("_block").alias("m")).first()["m"]) + 1

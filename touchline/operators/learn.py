@@ -154,7 +154,7 @@ def permutation_importance(test: DataFrame, features: list[str], fitted, seed: i
     The other row is found by a keyed join on shuffled row numbers within blocks: no global sort, no collect.
     """
     plain = loss_metrics(probabilities(fitted.transform(test))).select(F.col("log_loss").alias("base"), F.lit(1).alias("one"))
-    n_blocks = 64
+    n_blocks = max(8, test.count() // 50_000)
     keyed = test.withColumn("_b", F.pmod(F.xxhash64("contest_id", F.lit(seed)), F.lit(n_blocks)))
     numbered = keyed.withColumn("_i", F.row_number().over(W.partitionBy("_b").orderBy("contest_id"))).withColumn(
         "_j", F.row_number().over(W.partitionBy("_b").orderBy(F.xxhash64("contest_id", F.lit(seed + 1)), "contest_id")))

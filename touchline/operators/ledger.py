@@ -112,7 +112,7 @@ RESTAKE_STATE = T.StructType([T.StructField("bank", T.DoubleType())])
 
 
 def restake(ledger: DataFrame, by: list[str], start: float = START, cap: float = STAKE_CAP, floor: float | None = None,
-            block_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+            block_rows: int | None = None, at_most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Stake every row from the balance before it, rounded to cents; open rows do not move the balance.
 
     Returns (rows with stake, pnl and bank_after; final balance per key).
@@ -134,7 +134,7 @@ def restake(ledger: DataFrame, by: list[str], start: float = START, cap: float =
         return pd.DataFrame(out, columns=RESTAKE_OUT.names), pd.DataFrame({"bank": [bank]})
 
     live = ledger.where(F.col("fraction") > 0).select(*by, *ORDER, "fraction", "odds", "result")
-    return ordered_fold(live, by, ORDER, step, RESTAKE_OUT, RESTAKE_STATE, block_rows)
+    return ordered_fold(live, by, ORDER, step, RESTAKE_OUT, RESTAKE_STATE, block_rows, at_most=at_most)
 
 
 def rebalance_open(ledger: DataFrame, balances: DataFrame, by: list[str], cap: float = STAKE_CAP) -> DataFrame:

@@ -25,7 +25,7 @@ def _fields(*names: str, first: str = "contest_id") -> T.StructType:
 
 
 def elo_fold(games: DataFrame, by: list[str], k: float = ELO_K, start: float = ELO_START, block_rows: int | None = None,
-             prior: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+             prior: DataFrame | None = None, at_most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Ratings of both sides before every contest, updated contest by contest, and the final ratings."""
     def step(rows: pd.DataFrame, before: pd.DataFrame):
         now = dict(zip(before["team"], before["elo"]))
@@ -37,7 +37,7 @@ def elo_fold(games: DataFrame, by: list[str], k: float = ELO_K, start: float = E
             now[h], now[a] = rh + move, ra - move
         return pd.DataFrame(out, columns=["contest_id", "home_elo", "away_elo"]), pd.DataFrame(now.items(), columns=["team", "elo"])
 
-    return ordered_fold(_played(games, by), by, ORDER, step, _fields("home_elo", "away_elo"), _fields("elo", first="team"), block_rows, prior)
+    return ordered_fold(_played(games, by), by, ORDER, step, _fields("home_elo", "away_elo"), _fields("elo", first="team"), block_rows, prior, at_most)
 
 
 def _played(games: DataFrame, by: list[str]) -> DataFrame:
@@ -45,7 +45,7 @@ def _played(games: DataFrame, by: list[str]) -> DataFrame:
     return done.select(*by, *ORDER, "home_id", "away_id", "home_score", "away_score")
 
 
-def glicko_fold(games: DataFrame, by: list[str], tau: float = glicko.TAU, block_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+def glicko_fold(games: DataFrame, by: list[str], tau: float = glicko.TAU, block_rows: int | None = None, at_most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Glicko-2 updated after every contest; both sides are read before either is changed."""
     fresh = (glicko.RATING, glicko.RD, glicko.VOLATILITY)
 
@@ -65,7 +65,7 @@ def glicko_fold(games: DataFrame, by: list[str], tau: float = glicko.TAU, block_
         return pd.DataFrame(out, columns=["contest_id", *names]), state
 
     names = [f"{side}_{c}" for side in ("home", "away") for c in ("rating", "rd", "volatility")]
-    return ordered_fold(_played(games, by), by, ORDER, step, _fields(*names), _fields("rating", "rd", "volatility", first="team"), block_rows)
+    return ordered_fold(_played(games, by), by, ORDER, step, _fields(*names), _fields("rating", "rd", "volatility", first="team"), block_rows, at_most=at_most)
 
 
 def _update_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

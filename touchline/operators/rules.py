@@ -195,7 +195,7 @@ def recency_verdict(matches: DataFrame, by: list[str], cutoff: str) -> DataFrame
     drift = F.when((F.col("full_p") != 0) & (F.col("recent_p") != 0), F.col("recent_p") - F.col("full_p"))
     weak = F.col("recent_lower") < 0.55
     verdict = (F.when(F.col("recent_n") < 5, "small n").when(F.col("recent_p").isNull(), "no data").when(F.col("drift").isNull(), "?")
-               .when(~lower_bound_ok(F.col("full_lower"), F.col("avg_odds")), "DROP - lower bound EV<=0")
+               .when(~lower_bound_ok(F.col("full_lower"), F.col("avg_odds")), "DROP - lo95 EV<=0")
                .when((F.col("drift") < -0.15) & weak, "DROP - decayed").when((F.col("drift") < -0.05) & weak, "watch - weakening")
                .when(F.col("recent_p") >= F.col("full_p") - 0.03, "stable").otherwise("mild drift"))
     return got.withColumn("drift", drift).withColumn("verdict", verdict)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from touchline.operators import form as fm
 from touchline.operators.history import as_of_date, asof_attach, trailing
 from touchline.plans import views as v
-from touchline.plans.registry import query, rounded, sql_rounded
+from touchline.functions.scalars import rnd
+from touchline.plans.registry import ORACLES, query, rounded, sql_rounded
 from touchline.sources.tables import read_table
 
 KEYS = ["contest_id", "team", "side"]
@@ -227,6 +228,31 @@ def pair_deltas(spark, sf):
     return rounded(fm.pair_deltas(wide, names), ["contest_id"], [f"delta_{c}" for c in names])
 
 
+MIXED = ["dominance", "quality_gap", "home_edge", "away_hotness"]
+
+
+@query("interactions", f"""WITH t AS ({ORACLES["team_state"]}), s AS ({ORACLES["side_splits"]}), l AS (WITH {v.LOG_SQL} SELECT contest_id, side, pool, rating, pts FROM log),
+pr AS (SELECT pool, avg((pts = 3)::INT) AS prior FROM l WHERE side = 'home' GROUP BY pool),
+j AS (SELECT t.*, l.pool, l.rating, s.ppg_home_10 FROM t JOIN s USING (contest_id, team, side) JOIN l USING (contest_id, side)),
+x AS (SELECT h.contest_id, (h.rating - w.rating) * ((h.xg_for_10 - h.xg_against_10) - (w.xg_for_10 - w.xg_against_10)) AS dominance, (h.xg_for_10 - w.xg_against_10) - (w.xg_for_10 - h.xg_against_10) AS quality_gap,
+CAST(sign(h.form_5 - w.form_5) + sign({v.sql_rnd('h.xg_trend - w.xg_trend', 5)}) + sign(h.rating_momentum - w.rating_momentum) AS INT) AS alignment, h.ppg_home_10 - prior * 3 AS home_edge, w.win_streak * w.xg_trend AS away_hotness
+FROM j h JOIN j w ON w.contest_id = h.contest_id AND h.side = 'home' AND w.side = 'away' JOIN pr ON pr.pool = h.pool) SELECT contest_id, alignment, {sql_rounded(MIXED, 4)} FROM x""")
+def interactions(spark, sf):
+    """Composite columns built from both sides' states and the pool's home win rate."""
+    hot = v.hot_teams(spark, sf)
+    log = v.team_log(spark, sf, ["score", "xg", "poss", "sot", "pass_acc", "pass_tot", "rating"])
+    names = ["xg_for_10", "xg_against_10", "form_5", "xg_trend", "rating_momentum", "ppg_home_10"]
+    state = fm.side_splits(fm.team_state(log, hot), hot)
+    state = state.select("contest_id", "side", "pool", "rating", "win_streak", *[rnd(c).alias(c) for c in names])
+    wide = fm.to_contest(state, [*names, "rating", "win_streak", "pool"]).withColumnRenamed("home_pool", "pool")
+    prior = log.where("side = 'home'").groupBy("pool").agg(F.avg((F.col("pts") == 3).cast("double")).alias("prior_home_wr"))
+    h, w = (lambda c: F.col(f"home_{c}")), (lambda c: F.col(f"away_{c}"))
+    m = wide.join(prior, "pool").withColumns({
+        "rating_gap": h("rating") - w("rating"), "xg_diff_gap": (h("xg_for_10") - h("xg_against_10")) - (w("xg_for_10") - w("xg_against_10")), "form_gap": h("form_5") - w("form_5"),
+        "xg_trend_gap": rnd(h("xg_trend") - w("xg_trend"), 5), "momentum_gap": h("rating_momentum") - w("rating_momentum")})
+    return rounded(fm.interactions(m), ["contest_id", "alignment"], MIXED, 4)
+
+
 def absence_reports(spark, sf):
     """Later lines of an order name absent members of either side."""
     li = read_table(spark, sf, "lineitem").where(F.col("l_linenumber") >= 3)

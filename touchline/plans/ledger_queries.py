@@ -107,19 +107,19 @@ UNION ALL SELECT p.strategy, p.rn, p.id, p.put, p.pnl, CASE WHEN p.pnl IS NULL T
 
 @query("restake_fold", _restake_sql("SELECT strategy, id, stake, pnl, bank AS bank_after FROM r WHERE rn > 0"))
 def restake_fold(spark, sf):
-    return lg.restake(kelly_ledger(spark, sf), BY)[0]
+    return lg.restake(kelly_ledger(spark, sf), BY, at_most=v.rows_in(spark, sf, "orders"))[0]
 
 
 @query("current_balance", _restake_sql("SELECT strategy, arg_max(bank, rn) AS bank FROM r GROUP BY strategy"))
 def current_balance(spark, sf):
-    return lg.restake(kelly_ledger(spark, sf), BY)[1]
+    return lg.restake(kelly_ledger(spark, sf), BY, at_most=v.rows_in(spark, sf, "orders"))[1]
 
 
 @query("rebalance_open", _restake_sql(f""", fin AS (SELECT strategy, arg_max(bank, rn) AS bank FROM r GROUP BY strategy)
 SELECT id, strategy, {sql_rnd('least(bank * fraction, bank * 0.1)', 2)} AS stake FROM k JOIN fin USING (strategy) WHERE result IS NULL AND fraction > 0""").replace("\n, fin", ", fin"))
 def rebalance_open(spark, sf):
     book = kelly_ledger(spark, sf)
-    return lg.rebalance_open(book, lg.restake(book, BY)[1], BY).select("id", "strategy", "stake")
+    return lg.rebalance_open(book, lg.restake(book, BY, at_most=v.rows_in(spark, sf, "orders"))[1], BY).select("id", "strategy", "stake")
 
 
 def picks(spark, sf):
@@ -189,11 +189,15 @@ def clv(spark, sf):
 AS_OF = "2001-08-01"
 
 
-@query("clv_health", f"""WITH {CLV_SQL}, h AS (SELECT strategy, count(*) AS n, avg(clv) AS avg_clv, avg((clv > 0)::INT) AS positive FROM clv
-WHERE clv IS NOT NULL AND ts >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY GROUP BY strategy HAVING count(*) >= 5)
+@query("clv_health", f"""WITH {v.CONTESTS_SQL}, {CLV_SQL}, t AS (SELECT clv.*, coalesce(g.ts, clv.ts) AS placed FROM clv LEFT JOIN contests g ON g.contest_id = clv.id + 3000),
+h AS (SELECT strategy, count(*) AS n, avg(clv) AS avg_clv, avg((clv > 0)::INT) AS positive FROM t
+WHERE clv IS NOT NULL AND placed >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY GROUP BY strategy HAVING count(*) >= 5)
 SELECT strategy, n, CASE WHEN avg_clv >= 0 THEN 'healthy' WHEN avg_clv >= -0.02 THEN 'warning' ELSE 'alert' END AS status, {sql_rounded(['avg_clv', 'positive'])} FROM h""")
 def clv_health(spark, sf):
-    return rounded(lg.clv_health(clv_ledger(spark, sf), BY, AS_OF), ["strategy", "n", "status"], ["avg_clv", "positive"])
+    """Rolling line value per strategy; rows without a contest are placed by their own date."""
+    games = v.contests(spark, sf).select((F.col("contest_id") - 3000).alias("contest_id"), "ts")
+    book = clv_ledger(spark, sf).withColumn("contest_id", F.col("id"))
+    return rounded(lg.clv_health(book, BY, AS_OF, games), ["strategy", "n", "status"], ["avg_clv", "positive"])
 
 
 @query("clv_transitions", f"""WITH {CLV_SQL}, d AS (SELECT strategy, CAST(ts AS DATE) AS day, avg(clv) AS a, count(*) AS n FROM clv WHERE clv IS NOT NULL GROUP BY ALL),

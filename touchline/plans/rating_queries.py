@@ -28,7 +28,7 @@ FROM (SELECT n.*, r.l, r.l[n.h] AS rh, r.l[n.a] AS ra, 32.0 * (n.s - 1.0 / (1.0
 
 @query("elo_pool", _ELO + f"SELECT pool, contest_id, {sql_rounded(['home_elo', 'away_elo'], 5)} FROM r WHERE rn > 0")
 def elo_pool(spark, sf):
-    return rounded(rt.elo_fold(v.contests(spark, sf), ["pool"])[0], ["pool", "contest_id"], ["home_elo", "away_elo"], 5)
+    return rounded(rt.elo_fold(v.contests(spark, sf), ["pool"], at_most=v.rows_in(spark, sf, "orders"))[0], ["pool", "contest_id"], ["home_elo", "away_elo"], 5)
 
 
 @query("elo_table", _ELO + f""", fin AS (SELECT pool, arg_max(l, rn) AS l FROM r GROUP BY pool), f AS (SELECT pool, unnest(l) AS elo, unnest(range(len(l))) AS team FROM fin),
@@ -38,7 +38,7 @@ def elo_table(spark, sf):
     """The twenty best current ratings with contests played and last contest."""
     games = v.contests(spark, sf)
     log = games.select("pool", "ts", F.explode(F.array("home_id", "away_id")).alias("team"))
-    return rounded(rt.rating_table(rt.elo_fold(games, ["pool"])[1], log, ["pool"], "elo", 20), ["pool", "team", "played", "last_ts"], ["elo"], 5)
+    return rounded(rt.rating_table(rt.elo_fold(games, ["pool"], at_most=v.rows_in(spark, sf, "orders"))[1], log, ["pool"], "elo", 20), ["pool", "team", "played", "last_ts"], ["elo"], 5)
 
 
 @query("elo_step", f"""WITH {v.CONTESTS_SQL}, x AS (SELECT contest_id, 1400.0 + home_id AS h, 1450.0 + away_id * 0.5 AS a, CASE WHEN home_score > away_score THEN 1.0 WHEN home_score = away_score THEN 0.5 ELSE 0.0 END AS s FROM contests),
@@ -54,7 +54,7 @@ def elo_step(spark, sf):
 
 @query("glicko_pool")
 def glicko_pool(spark, sf):
-    shots = rt.glicko_fold(v.contests(spark, sf), ["pool"])[0]
+    shots = rt.glicko_fold(v.contests(spark, sf), ["pool"], at_most=v.rows_in(spark, sf, "orders"))[0]
     return rounded(rt.glicko_chances(shots), ["pool", "contest_id"], ["home_rating", "home_rd", "away_rating", "away_rd", "p_home", "p_draw", "p_away"], 4)
 
 

@@ -45,9 +45,14 @@ def hot_in(spark: SparkSession, sf: str, table: str, column: str) -> list[tuple]
     return _HOT[key]
 
 
+def rows_in(spark: SparkSession, sf: str, table: str) -> int:
+    """Row count from parquet footers."""
+    return read_table(spark, sf, table).count()
+
+
 def big(spark: SparkSession, sf: str, table: str) -> bool:
     """Whether a table is large enough that some key of it could be hot (footer count only)."""
-    return read_table(spark, sf, table).count() > hot_limit(spark)
+    return rows_in(spark, sf, table) > hot_limit(spark)
 
 
 def hot_teams(spark, sf):
