@@ -1,6 +1,8 @@
 """Glicko-2 update on numpy arrays (Glickman, "Example of the Glicko-2 system"). Used inside tasks."""
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 from touchline.functions.scalars import GLICKO_SCALE
@@ -60,3 +62,56 @@ def update(rating, rd, volatility, v_inverse, gain, tau: float = TAU):
     phi_new = np.where(played, 1.0 / np.sqrt(1.0 / np.square(wide) + 1.0 / v), wide)
     mu_new = np.where(played, mu + np.square(phi_new) * gain, mu)
     return mu_new * GLICKO_SCALE + RATING, phi_new * GLICKO_SCALE, sigma
+
+
+def _volatility_one(sigma: float, phi2: float, v: float, delta2: float, tau: float) -> float:
+    """The same root for one player, by bisection kept inside a bracket and sped up by secants."""
+    base = 2.0 * math.log(sigma)
+    known = phi2 + v
+
+    def gap(x: float) -> float:
+        e = math.exp(x)
+        return e * (delta2 - known - e) / (2.0 * (known + e) ** 2) - (x - base) / (tau * tau)
+
+    # gap falls through zero: positive at `low`, negative at `high`.
+    low, high = base, base
+    if gap(base) > 0:
+        high = max(base, math.log(delta2 - known)) if delta2 > known else base + tau
+        while gap(high) > 0:
+            high += tau
+    else:
+        low = base - tau
+        while gap(low) < 0:
+            low -= tau
+    g_low, g_high = gap(low), gap(high)
+    while high - low > 1e-9:
+        x = low + (high - low) * g_low / (g_low - g_high) if g_low != g_high else low
+        if not low + 1e-10 < x < high - 1e-10:
+            x = 0.5 * (low + high)
+        g = gap(x)
+        wide = high - low
+        if g > 0:
+            low, g_low = x, g
+        else:
+            high, g_high = x, g
+        if high - low > 0.5 * wide:
+            x = 0.5 * (low + high)
+            g = gap(x)
+            low, g_low, high, g_high = (x, g, high, g_high) if g > 0 else (low, g_low, x, g)
+    return math.exp(0.25 * (low + high))
+
+
+def rate_pair(a: tuple, b: tuple, score: float, tau: float = TAU) -> tuple[tuple, tuple]:
+    """Both players' new (rating, rd, volatility) after one contest; score is a's."""
+    out = []
+    for me, other, s in ((a, b, score), (b, a, 1.0 - score)):
+        mu, phi = (me[0] - RATING) / GLICKO_SCALE, me[1] / GLICKO_SCALE
+        phi_o = other[1] / GLICKO_SCALE
+        g = 1.0 / math.sqrt(1.0 + 3.0 * phi_o * phi_o / math.pi ** 2)
+        e = 1.0 / (1.0 + math.exp(-g * (mu - (other[0] - RATING) / GLICKO_SCALE)))
+        v = 1.0 / (g * g * e * (1.0 - e))
+        gain = g * (s - e)
+        sigma = _volatility_one(me[2], phi * phi, v, (v * gain) ** 2, tau)
+        phi2 = 1.0 / (1.0 / (phi * phi + sigma * sigma) + 1.0 / v)
+        out.append(((mu + phi2 * gain) * GLICKO_SCALE + RATING, math.sqrt(phi2) * GLICKO_SCALE, sigma))
+    return out[0], out[1]

@@ -53,13 +53,9 @@ def glicko_fold(games: DataFrame, by: list[str], tau: float = glicko.TAU, block_
         now = {t: (r, d, s) for t, r, d, s in zip(prior["team"], prior["rating"], prior["rd"], prior["volatility"])}
         out = []
         for cid, h, a, hs, as_ in zip(rows["contest_id"], rows["home_id"], rows["away_id"], rows["home_score"], rows["away_score"]):
-            pair = np.array([now.get(h, fresh), now.get(a, fresh)])
-            mu, phi = (pair[:, 0] - glicko.RATING) / GLICKO_SCALE, pair[:, 1] / GLICKO_SCALE
-            win = 0.5 * (1 + (hs > as_) - (hs < as_))
-            g, e = glicko.spread(phi[::-1]), glicko.expected(mu, mu[::-1], phi[::-1])
-            r, d, s = glicko.update(pair[:, 0], pair[:, 1], pair[:, 2], g * g * e * (1 - e), g * (np.array([win, 1 - win]) - e), tau)
-            out.append((cid, *pair[0], *pair[1]))
-            now[h], now[a] = (r[0], d[0], s[0]), (r[1], d[1], s[1])
+            mine, theirs = now.get(h, fresh), now.get(a, fresh)
+            out.append((cid, *mine, *theirs))
+            now[h], now[a] = glicko.rate_pair(mine, theirs, 0.5 * (1 + (hs > as_) - (hs < as_)), tau)
         names = [f"{side}_{c}" for side in ("home", "away") for c in ("rating", "rd", "volatility")]
         state = pd.DataFrame([(t, *x) for t, x in now.items()], columns=["team", "rating", "rd", "volatility"])
         return pd.DataFrame(out, columns=["contest_id", *names]), state

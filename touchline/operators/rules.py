@@ -82,20 +82,31 @@ def tier_picks(scored: DataFrame, min_odds: float = 1.5, fraction: float = 0.25,
 def scaled_scores(active: DataFrame, variants: dict[str, dict[str, float]], overrides: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """Scores of (contest, side) under weight variants: group multipliers and / or replaced weights.
 
-    active(contest_id, side, active): the sum is a fold over the row's own factor array with literal
-    weight maps, so there is no join and no shuffle.
+    active(contest_id, side, active): group sums are read off the row's own factor array once, variants combine
+    them; there is no join and no shuffle. Factor names differ between the sides.
     """
     overrides = overrides or {}
-    names = sorted({*variants, *overrides})
+    changed = {n for new in overrides.values() for n in new}
+
+    def has(name: str) -> Column:
+        return F.when(F.array_contains("active", F.lit(name)), 1.0).otherwise(0.0)
+
+    groups: dict[str, Column] = {}
+    for _, name, _, weight, group in FACTORS:
+        if name not in changed:
+            groups[group] = groups.get(group, F.lit(0.0)) + has(name) * float(weight)
+    known = {name: (float(weight), group) for _, name, _, weight, group in FACTORS}
+    keep = [c for c in active.columns if c != "active"]
+    sums = active.select(*keep, *[c.alias(f"_g_{g}") for g, c in groups.items()], *[has(n).alias(f"_f_{n}") for n in sorted(changed)])
     scores = []
-    for v in names:
+    for v in sorted({*variants, *overrides}):
         mult, new = variants.get(v, {}), overrides.get(v, {})
-        items = [x for s, n, _, w, g in FACTORS for x in (F.lit(f"{s}:{n}"), F.lit(float(new.get(n, int(w))) * float(mult.get(g, 1.0))))]
-        table = F.create_map(*items)
-        total = F.aggregate("active", F.lit(0.0), lambda acc, f: acc + F.coalesce(F.element_at(table, F.concat_ws(":", F.col("side"), f)), F.lit(0.0)))
+        total = sum((F.col(f"_g_{g}") * float(mult.get(g, 1.0)) for g in groups), F.lit(0.0))
+        for n in sorted(changed):
+            weight, group = known[n]
+            total = total + F.col(f"_f_{n}") * (float(new.get(n, weight)) * float(mult.get(group, 1.0)))
         scores.append(F.struct(F.lit(v).alias("variant"), total.alias("score")))
-    return active.select(*[c for c in active.columns if c != "active"], F.explode(F.array(*scores)).alias("v")).select(
-        *[c for c in active.columns if c != "active"], "v.*")
+    return sums.select(*keep, F.explode(F.array(*scores)).alias("v")).select(*keep, "v.*")
 
 
 # ---- rule strings ----------------------------------------------------------------------------------------------------

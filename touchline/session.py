@@ -15,6 +15,7 @@ def local_session(cores: str = "8", app: str = "touchline", **extra: str) -> Spa
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in extra.items():
