@@ -75,8 +75,10 @@ def month_dense(spark, sf):
 _MONTHLY = ["flat", "flat_total", "ln_balance"]
 
 
-@query("monthly_balance", f"""WITH {CURVE_SQL}, m AS (SELECT strategy, CAST(date_trunc('month', ts) AS DATE) AS month, count(*) AS n,
+@query("monthly_balance", f"""WITH {CURVE_SQL}, h AS (SELECT strategy, CAST(date_trunc('month', ts) AS DATE) AS month, count(*) AS n,
 sum(CASE WHEN result = 'win' THEN odds - 1 ELSE -1 END) AS flat, sum(ln(1 + gain)) AS lg FROM curve GROUP BY ALL),
+s AS (SELECT strategy, CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH)) AS DATE) AS month FROM h GROUP BY strategy),
+m AS (SELECT s.strategy, s.month, coalesce(n, 0) AS n, coalesce(flat, 0) AS flat, coalesce(lg, 0) AS lg FROM s LEFT JOIN h ON h.strategy = s.strategy AND h.month = s.month),
 x AS (SELECT strategy, month, n, month >= DATE '2000-01-01' AS oos, flat, sum(flat) OVER w AS flat_total, ln(1000.0) + sum(lg) OVER w AS ln_balance FROM m WINDOW w AS (PARTITION BY strategy ORDER BY month))
 SELECT strategy, month, n, oos, {sql_rounded(_MONTHLY)} FROM x""")
 def monthly_balance(spark, sf):
