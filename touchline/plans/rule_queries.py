@@ -14,7 +14,7 @@ from touchline.operators.ledger import first_rows
 from touchline.plans import matrix as mt
 from touchline.plans import views as v
 from touchline.plans.metric_queries import HIT, _HIT_SQL, wilson_sql
-from touchline.plans.quote_queries import ODDS, best_sql, shin_cte
+from touchline.plans.quote_queries import ODDS, shin_cte
 from touchline.plans.registry import query, rounded, sql_rounded
 from touchline.plans.views import sql_rnd
 from touchline.sources.tables import read_table
