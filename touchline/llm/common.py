@@ -93,3 +93,17 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def ranges(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """rows with `bucket`: the number of range bounds at or below the key, so that buckets follow the order of the key.
+
+    The bounds are quantiles of the key over all of `ids` (only that column is read), as many as the shuffle is wide; nulls lie in bucket -1.
+    """
+    n = width(ids.sparkSession)
+    bounds = ids.select(F.percentile_approx(key, [i / n for i in range(1, n)], 100_000).alias("q")).first()["q"] if n > 1 else None
+    bounds = sorted(set(bounds or []))
+    place = F.lit(0)
+    if bounds:
+        place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key)))
+    return rows.withColumn("bucket", F.when(F.col(key).isNull(), -1).otherwise(place))
