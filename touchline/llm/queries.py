@@ -1,3 +1,3 @@
 """All operators of this folder; importing them fills the registry."""
-from touchline.llm import minhash, packing, secrets, simhash  # noqa: F401
+from touchline.llm import html, minhash, packing, secrets, simhash, urls  # noqa: F401
 from touchline.llm.registry import ORACLES, QUERIES  # noqa: F401
