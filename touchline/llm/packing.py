@@ -95,7 +95,7 @@ class Encoder:
         out = []
         for text in texts:
             pieces = self.cut(text or "")
-            new = set(pieces) - self.cache.keys()
+            new = {p for p in set(pieces) if p not in self.cache}
             if new:
                 if len(self.cache) + len(new) > CACHE_WORDS:
                     self.cache.clear()
