@@ -176,7 +176,8 @@ class Pieces:
         out = []
         for at in range(0, len(split), 1024):
             some = split[at: at + 1024]
-            new = {w for words in some for w in words} - self.cache.keys()
+            new = {w for words in some for w in words}
+            new = {w for w in new if w not in self.cache}
             if len(self.cache) + len(new) > CACHE_WORDS:
                 self.cache.clear()
                 new = {w for words in some for w in words}
