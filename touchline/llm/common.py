@@ -98,9 +98,10 @@ def components(edges: DataFrame) -> DataFrame:
 def ranges(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """rows with `bucket`: the number of range bounds at or below the key, so that buckets follow the order of the key.
 
-    The bounds are quantiles of the key over all of `ids` (only that column is read), as many as the shuffle is wide; nulls lie in bucket -1.
+    The bounds are quantiles of the key over all of `ids` (only that column is read), a few times as many as the shuffle is wide, so that
+    several small buckets even out in a task; nulls lie in bucket -1.
     """
-    n = width(ids.sparkSession)
+    n = max(width(ids.sparkSession), min(4 * width(ids.sparkSession), 4096))
     bounds = ids.select(F.percentile_approx(key, [i / n for i in range(1, n)], 100_000).alias("q")).first()["q"] if n > 1 else None
     bounds = sorted(set(bounds or []))
     place = F.lit(0)

@@ -186,15 +186,15 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, rules=RULES) -> DataFrame:
-    """All spans per row: (doc_id, text, found array<struct<start, order, end, kind, n>>).
+def scan(docs: DataFrame, rules=RULES, extra: list[str] = ()) -> DataFrame:
+    """All spans per row: (doc_id, text, found array<struct<start, order, end, kind, n>>), and the columns named in extra.
 
     docs needs doc_id and text; other columns are not read. A null text counts as empty. The candidate list is keyed by doc_id, null
     included; repeated rows and rows sharing a doc_id each get their own spans, since a candidate is only a permission to verify.
     Rules without mandatory trigrams (runs of hex digits) scan every text. An empty table gives no rows.
     """
     asked = {r.kind for r in rules if trigram_query(r.pattern) != [frozenset()]}
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
+    rows = docs.select("doc_id", *extra, F.coalesce("text", F.lit("")).alias("_text"))
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string,n:int>>")
     if asked:
         cand = candidates(docs, [r for r in rules if r.kind in asked])
@@ -203,7 +203,26 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
         rows = rows.withColumn("kinds", F.array().cast("array<string>"))
     found = [F.when(F.array_contains("kinds", r.kind), _spans(r, i)).otherwise(none) if r.kind in asked
              else F.when(F.regexp_like("_text", F.lit(r.pattern)), _spans(r, i)).otherwise(none) for i, r in enumerate(rules)]
-    return rows.select("doc_id", F.col("_text").alias("text"), F.concat(*[F.coalesce(f, none) for f in found]).alias("found"))
+    return rows.select("doc_id", *extra, F.col("_text").alias("text"), F.concat(*[F.coalesce(f, none) for f in found]).alias("found"))
+
+
+def redact(docs: DataFrame, rules=RULES, mark: str = "[secret]") -> DataFrame:
+    """docs with every found span of the text replaced by the mark, overlapping spans by one; a null text stays null. n_chars, where there is one, follows the text.
+
+    The candidates are joined to the rows, which keep all their columns; a text without secrets is unchanged.
+    """
+    kept = [c for c in docs.columns if c != "text"]
+    rows = scan(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")), rules, extra=["_row"])
+    spans = F.array_sort("found")
+    clean = F.aggregate(spans, F.struct(F.lit(1).alias("at"), F.lit("").alias("out")), lambda a, s: F.struct(
+        F.greatest(a["at"], s["end"] + 1).alias("at"),
+        F.when(s["start"] + 1 >= a["at"], F.concat(a["out"], F.substring(F.col("text"), a["at"], s["start"] + 1 - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out")),
+        lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"], F.length("text"))))
+    text = F.when(F.size("found") == 0, F.col("_row.text")).otherwise(clean)
+    out = rows.select(*[F.col(f"_row.{c}").alias(c) for c in kept], text.alias("text"))
+    if "n_chars" in kept:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def _count(kind: str) -> Column:

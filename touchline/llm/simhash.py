@@ -3,7 +3,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.common import components, cut, shingle_hashes, table
@@ -79,6 +80,100 @@ def near_classes(docs: DataFrame, words: int = 3) -> DataFrame:
     return each.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Segments end after a word whose hash is divisible by CUT, and have LEAST_WORDS words at least.
+CUT, LEAST_WORDS = 8, 4
+#: Texts of five-word likeness 0.8 or more agree in at least this share of their segments: each edit changes five shingles, but seldom two segments.
+AGREE = 0.6
+#: Hamming distance beyond which a pair is not looked at more closely; likeness 0.8 gives about 7 of 64 bits, never near 20.
+FAR_BITS = 20
+FIRST_LEADERS = 4
+
+
+class _Ends(dict):
+    """Words after which a segment may end, remembered within a worker."""
+
+    def __missing__(self, word):
+        self[word] = x = xxhash.xxh32_intdigest(word, 7) % CUT == 0
+        return x
+
+
+_ends = _Ends()
+
+
+def segments(text: str | None) -> list[int]:
+    """Hashes of the different segments of a text: cuts follow the words themselves, so an edit changes only the segment it is in."""
+    if len(_ends) > 1_000_000:
+        _ends.clear()
+    words, first, found = (text or "").encode("utf-8", "surrogatepass").lower().split(), 0, set()
+    for i in [i for i, end in enumerate(map(_ends.__getitem__, words)) if end]:
+        if i + 1 - first >= LEAST_WORDS:
+            found.add(xxhash.xxh64_intdigest(b" ".join(words[first:i + 1]), 11))
+            first = i + 1
+    if first < len(words):
+        found.add(xxhash.xxh64_intdigest(b" ".join(words[first:]), 11))
+    return [x - (1 << 64) if x >> 63 else x for x in found]
+
+
+def likeness_links(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """Links (a, b) between ids of different texts (doc_id not null and unique, text, fp) of Jaccard likeness `similarity` or more over shingles of `words` words.
+
+    Candidates share one of the rarest segments of either text: texts that agree in a share AGREE of their segments agree in one of the rarest 1 - AGREE, so
+    passages that many documents share bring no candidates. In a family of near copies not all pairs are formed: in each round the first few
+    undecided members of a bucket lead it, all others are compared with them, and members found alike leave all buckets, as do the leaders. The number of leaders
+    doubles each round until no bucket has two undecided members. So every text is either linked to a leader or was compared, leader or not, with
+    every undecided text of its buckets: no two texts stay that are alike and share a bucket.
+    """
+    @F.pandas_udf("array<bigint>")
+    def segs(texts: pd.Series) -> pd.Series:
+        return pd.Series([segments(t) for t in texts], index=texts.index, dtype=object)
+
+    @F.pandas_udf("array<bigint>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, words)])).view(np.int64) for t in texts], index=texts.index, dtype=object)
+
+    rows = cut(docs.select(F.col("doc_id").alias("id"), "fp", segs("text").alias("s")).select("id", "fp", F.size("s").alias("k"), F.explode("s").alias("seg")))
+    sizes = cut(rows.groupBy("seg").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = rows.join(sizes, "seg")
+    by_doc = Window.partitionBy("id")
+    ranked = shared.withColumn("lone", F.col("k") - F.count("*").over(by_doc)).withColumn("r", F.row_number().over(by_doc.orderBy("n", "seg")))
+    first = cut(ranked.where(F.col("r") + F.col("lone") <= F.ceil((1 - AGREE) * F.col("k")) + 1).select("seg", "id", "fp"))
+    held = cut(first.groupBy("seg").agg(F.count("*").alias("n")).where("n > 1").select("seg"))
+    alive = cut(first.join(held, "seg"))
+    ids = cut(alive.select(F.col("id").alias("doc_id")).distinct())
+    sets = cut(docs.join(ids, "doc_id").select(F.col("doc_id").alias("id"), shingles("text").alias("set")))
+    links, leaders = None, FIRST_LEADERS
+    while alive.limit(1).count():
+        lead = cut(alive.withColumn("r", F.row_number().over(Window.partitionBy("seg").orderBy("id"))).where(F.col("r") <= leaders).select("seg", "id", "fp"))
+        pairs = cut(alive.join(lead.select("seg", F.col("id").alias("lead"), F.col("fp").alias("lead_fp")), "seg")
+                    .where((F.col("lead") < F.col("id")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead_fp"))) <= FAR_BITS)).select("lead", "id").distinct())
+        both = pairs.join(sets, "id").withColumnRenamed("set", "x").join(sets.select(F.col("id").alias("lead"), F.col("set").alias("y")), "lead")
+        same = F.size(F.array_intersect("x", "y"))
+        found = cut(both.where(same >= F.lit(similarity - 1e-9) * (F.size("x") + F.size("y") - same)).select(F.col("id").alias("a"), F.col("lead").alias("b")))
+        links = found if links is None else links.unionByName(found)
+        left = alive.join(lead.select("seg", "id"), ["seg", "id"], "left_anti").join(cut(found.select(F.col("a").alias("id")).distinct()), "id", "left_anti")
+        left = cut(left.select("seg", "id", "fp"))
+        held = left.groupBy("seg").agg(F.count("*").alias("n")).where("n > 1").select("seg")
+        alive = cut(left.join(held, "seg"))
+        leaders *= 2
+    return docs.sparkSession.createDataFrame([], "a bigint, b bigint") if links is None else links
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """The rows of docs without those of a near-duplicate group's other documents; all columns stay.
+
+    First the groups of near_classes (exact copies and fingerprints within two bits), then, among one document of each, the groups of
+    likeness_links. The smallest doc_id of a group stays. Rows with a null doc_id cannot be named and stay; rows sharing a doc_id are one document
+    and share its fate. Null and empty texts are one group. An empty table gives no rows.
+    """
+    named = docs.where("doc_id is not null")
+    classes = cut(near_classes(named))
+    firsts = cut(classes.where("doc_id = component_id").select("doc_id", "fp").distinct())
+    texts = named.select("doc_id", "text").join(firsts, "doc_id").dropDuplicates(["doc_id"])
+    later = components(likeness_links(texts, similarity, words))
+    stay = cut(firsts.join(later.where("node <> root").select(F.col("node").alias("doc_id")), "doc_id", "left_anti").select("doc_id"))
+    return named.join(stay, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 @query("op9_simhash")
 def op9_simhash(spark, sf_dir):
     out = near_classes(table(spark, sf_dir, "documents"))
