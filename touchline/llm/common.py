@@ -5,7 +5,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.session import cut, ensure_checkpoint_dir
@@ -67,6 +67,37 @@ def shingle_hashes(text: str | None, words: int, seed: int = SEED):
         yield np.array([digest(b" ".join(carry), seed)], np.uint64)
 
 
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The different shingle hashes of a text as signed integers."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)])).view(np.int64)
+
+
+def leader_links(alive: DataFrame, sets: DataFrame, similarity: float, near: Column | None = None, leaders: int = 4) -> DataFrame:
+    """Links (a, b) of Jaccard likeness `similarity` or more between members of common buckets (seg, id, fp); sets are (id, set array).
+
+    Not all pairs of a bucket are formed. In each round its first few undecided members lead it and all others are compared with them; members found
+    alike leave all their buckets, as do the leaders theirs. The number of leaders doubles each round until no bucket has two undecided members.
+    So every id is either linked to a leader, or was compared with every other undecided id of its buckets: no two ids without links are
+    alike and share a bucket. `near` is a cheap condition on fp and lead_fp that alike pairs fulfil.
+    """
+    links = None
+    while alive.limit(1).count():
+        lead = cut(alive.withColumn("r", F.row_number().over(Window.partitionBy("seg").orderBy("id"))).where(F.col("r") <= leaders).select("seg", "id", "fp"))
+        pairs = alive.join(lead.select("seg", F.col("id").alias("lead"), F.col("fp").alias("lead_fp")), "seg").where(F.col("lead") < F.col("id"))
+        pairs = cut((pairs if near is None else pairs.where(near)).select("lead", "id").distinct())
+        both = pairs.join(sets, "id").withColumnRenamed("set", "x").join(sets.select(F.col("id").alias("lead"), F.col("set").alias("y")), "lead")
+        same = F.size(F.array_intersect("x", "y"))
+        found = cut(both.where(same >= F.lit(similarity - 1e-9) * (F.size("x") + F.size("y") - same)).select(F.col("id").alias("a"), F.col("lead").alias("b")))
+        links = found if links is None else links.unionByName(found)
+        left = alive.join(lead.select("seg", "id"), ["seg", "id"], "left_anti").join(cut(found.select(F.col("a").alias("id")).distinct()), "id", "left_anti")
+        left = cut(left.select("seg", "id", "fp"))
+        held = left.groupBy("seg").agg(F.count("*").alias("n")).where("n > 1").select("seg")
+        alive = cut(left.join(held, "seg"))
+        leaders *= 2
+    kind = sets.schema["id"].dataType.simpleString()
+    return sets.sparkSession.createDataFrame([], f"a {kind}, b {kind}") if links is None else links
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the edges (a, b): every node of them with the smallest node it can reach, as (node, root).
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import ranges, shingle_hashes, table, width
+from touchline.llm.common import components, cut, leader_links, ranges, shingle_hashes, shingle_set, table, width
 from touchline.llm.registry import query
 
 WORDS, PERMUTATIONS, CHUNK = 5, 128, 2048
@@ -16,6 +16,7 @@ _rng = np.random.default_rng(20240917)
 #: Fixed draws of the universal hashes h(x) = high half of (a * x + b), a odd, over 64-bit integers.
 A = _rng.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 B = _rng.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2)
+_FOLD = (_rng.integers(0, 1 << 63, 5, np.uint64) * np.uint64(2) + np.uint64(1)).view(np.uint64)
 EMPTY = np.full(PERMUTATIONS, (1 << 32) - 1, np.uint32)
 
 
@@ -80,7 +81,8 @@ def fingerprints_with_next(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 if last is not None:
                     out.append(_row(last, text, sig, words))
                 last = (doc, text, bucket, tail, sig)
-            yield pd.DataFrame(out, columns=COLUMNS).astype({"doc_id": "Int64"})
+            if out:
+                yield pd.DataFrame(out, columns=COLUMNS).astype({"doc_id": "Int64"})
 
     return rows.mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
@@ -96,6 +98,39 @@ def _row(last, nxt: str, next_sig: np.ndarray, words: int):
             as_hex(sig), as_hex(edited_sig), likeness(sig, edited_sig), likeness(sig, next_sig))
 
 
+#: Bands of ROWS minima each: texts of likeness 0.8 share one with probability 0.9999.
+BANDS, ROWS = 25, 5
+
+
+def near_classes(docs: DataFrame, similarity: float = 0.8, words: int = WORDS) -> DataFrame:
+    """(doc_id, class_id): the smallest doc_id of the near-duplicate class of each row.
+
+    Equal texts are one text (by their 128-bit digest). Bands of the signatures of different texts are joined, and the Jaccard likeness of shared shingle sets is
+    verified; only texts with a shared band carry their sets. Null and empty texts are one class; a null doc_id takes part and names a class only if it is alone.
+    """
+    @F.pandas_udf("array<bigint>")
+    def bands(texts: pd.Series) -> pd.Series:
+        return pd.Series([(np.ascontiguousarray(text_signature(t, words)[: BANDS * ROWS].reshape(BANDS, ROWS)).astype(np.uint64) @ _FOLD).view(np.int64) for t in texts], index=texts.index, dtype=object)
+
+    @F.pandas_udf("array<bigint>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, words) for t in texts], index=texts.index, dtype=object)
+
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    each = cut(base.select("doc_id", F.md5(F.col("text").cast("binary")).alias("id")))
+    ids = cut(each.groupBy("id").agg(F.min("doc_id").alias("first")))
+    chosen = base.join(ids.where("first is not null").withColumnRenamed("first", "doc_id"), "doc_id").where(F.md5(F.col("text").cast("binary")) == F.col("id"))
+    chosen = chosen.unionByName(base.where("doc_id is null").withColumn("id", F.md5(F.col("text").cast("binary"))).join(ids.where("first is null").select("id"), "id").select(*chosen.columns))
+    rows = cut(chosen.select("id", F.posexplode(bands("text"))).select("id", F.xxhash64("pos", "col").alias("seg"), F.lit(0).alias("fp")).distinct())
+    held = cut(rows.groupBy("seg").agg(F.count("*").alias("n")).where("n > 1").select("seg"))
+    alive = cut(rows.join(held, "seg"))
+    sets = cut(chosen.join(cut(alive.select("id").distinct()), "id").dropDuplicates(["id"]).select("id", shingles("text").alias("set")))
+    roots = components(leader_links(alive, sets, similarity))
+    rooted = cut(ids.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "first", F.coalesce("root", "id").alias("root")))
+    classes = cut(rooted.groupBy("root").agg(F.min("first").alias("class_id")))
+    return each.join(cut(rooted.join(classes, "root").select("id", "class_id")), "id").select("doc_id", "class_id")
+
+
 @query("op5_fingerprints")
 def op5_fingerprints(spark, sf_dir):
     return fingerprints_with_next(table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import components, cut, shingle_hashes, table
+from touchline.llm.common import components, cut, leader_links, shingle_hashes, shingle_set, table
 from touchline.llm.registry import query
 
 #: Fingerprint bits are cut into four blocks; two fingerprints that differ in two bits agree in two blocks at least.
@@ -86,7 +86,6 @@ CUT, LEAST_WORDS = 8, 4
 AGREE = 0.6
 #: Hamming distance beyond which a pair is not looked at more closely; likeness 0.8 gives about 7 of 64 bits, never near 20.
 FAR_BITS = 20
-FIRST_LEADERS = 4
 
 
 class _Ends(dict):
@@ -118,10 +117,7 @@ def likeness_links(docs: DataFrame, similarity: float = 0.8, words: int = 5) ->
     """Links (a, b) between ids of different texts (doc_id not null and unique, text, fp) of Jaccard likeness `similarity` or more over shingles of `words` words.
 
     Candidates share one of the rarest segments of either text: texts that agree in a share AGREE of their segments agree in one of the rarest 1 - AGREE, so
-    passages that many documents share bring no candidates. In a family of near copies not all pairs are formed: in each round the first few
-    undecided members of a bucket lead it, all others are compared with them, and members found alike leave all buckets, as do the leaders. The number of leaders
-    doubles each round until no bucket has two undecided members. So every text is either linked to a leader or was compared, leader or not, with
-    every undecided text of its buckets: no two texts stay that are alike and share a bucket.
+    passages that many documents share bring no candidates. In a family of near copies not all pairs are formed (leader_links).
     """
     @F.pandas_udf("array<bigint>")
     def segs(texts: pd.Series) -> pd.Series:
@@ -129,7 +125,7 @@ def likeness_links(docs: DataFrame, similarity: float = 0.8, words: int = 5) ->
 
     @F.pandas_udf("array<bigint>")
     def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, words)])).view(np.int64) for t in texts], index=texts.index, dtype=object)
+        return pd.Series([shingle_set(t, words) for t in texts], index=texts.index, dtype=object)
 
     rows = cut(docs.select(F.col("doc_id").alias("id"), "fp", segs("text").alias("s")).select("id", "fp", F.size("s").alias("k"), F.explode("s").alias("seg")))
     sizes = cut(rows.groupBy("seg").agg(F.count("*").alias("n")).where("n > 1"))
@@ -141,21 +137,8 @@ def likeness_links(docs: DataFrame, similarity: float = 0.8, words: int = 5) ->
     alive = cut(first.join(held, "seg"))
     ids = cut(alive.select(F.col("id").alias("doc_id")).distinct())
     sets = cut(docs.join(ids, "doc_id").select(F.col("doc_id").alias("id"), shingles("text").alias("set")))
-    links, leaders = None, FIRST_LEADERS
-    while alive.limit(1).count():
-        lead = cut(alive.withColumn("r", F.row_number().over(Window.partitionBy("seg").orderBy("id"))).where(F.col("r") <= leaders).select("seg", "id", "fp"))
-        pairs = cut(alive.join(lead.select("seg", F.col("id").alias("lead"), F.col("fp").alias("lead_fp")), "seg")
-                    .where((F.col("lead") < F.col("id")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead_fp"))) <= FAR_BITS)).select("lead", "id").distinct())
-        both = pairs.join(sets, "id").withColumnRenamed("set", "x").join(sets.select(F.col("id").alias("lead"), F.col("set").alias("y")), "lead")
-        same = F.size(F.array_intersect("x", "y"))
-        found = cut(both.where(same >= F.lit(similarity - 1e-9) * (F.size("x") + F.size("y") - same)).select(F.col("id").alias("a"), F.col("lead").alias("b")))
-        links = found if links is None else links.unionByName(found)
-        left = alive.join(lead.select("seg", "id"), ["seg", "id"], "left_anti").join(cut(found.select(F.col("a").alias("id")).distinct()), "id", "left_anti")
-        left = cut(left.select("seg", "id", "fp"))
-        held = left.groupBy("seg").agg(F.count("*").alias("n")).where("n > 1").select("seg")
-        alive = cut(left.join(held, "seg"))
-        leaders *= 2
-    return docs.sparkSession.createDataFrame([], "a bigint, b bigint") if links is None else links
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead_fp"))) <= FAR_BITS
+    return leader_links(alive, sets, similarity, near)
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:

@@ -142,6 +142,8 @@ def _counts(texts: DataFrame, terms) -> DataFrame:
                 by[t].update(found)
                 held[t].update(found.keys())
             every = list(by[0].keys() | by[1].keys())
+            if not every:
+                continue
             yield pd.DataFrame({"term": every, "bad": [by[1][w] for w in every], "good": [by[0][w] for w in every],
                                 "bad_texts": [held[1][w] for w in every], "good_texts": [held[0][w] for w in every]})
 
@@ -168,19 +170,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.1) -
     return [float(b) for b in beta]
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with `score` and `predicted`; every row's whole text is scored, a null text as an empty one. The columns of docs stay as they are."""
+def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """docs with the score in column `out`; every row's whole text is scored, a null text as an empty one. The other columns and all rows stay as they are."""
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         scorer = Scorer(model)
-        return texts.map(scorer.score, na_action=None)
+        return pd.Series([scorer.score(t) for t in texts], index=texts.index, dtype=float)
 
-    out = docs.withColumn("score", scored("text"))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return docs.withColumn(out, scored("text"))
 
 
 @query("op3_toxicity")
 def op3_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = learn(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
