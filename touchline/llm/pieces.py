@@ -12,8 +12,8 @@ from touchline.llm.registry import query
 
 SPACE, LITERAL = 0x2581, 0x110000  # the mark of a space; the same character in a text, which no piece matches
 UNKNOWN = -1000.0
-#: Words up to this length are advanced together, longer runs one by one; words of one step; words a worker remembers.
-TOGETHER, GROUP, CACHE_WORDS = 48, 4096, 400_000
+#: Words up to this length are advanced together, longer runs one by one; words of one step; words a worker remembers; words of a run of texts.
+TOGETHER, GROUP, CACHE_WORDS, TEXT_RUN = 48, 2048, 300_000, 200_000
 _BASE = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -172,10 +172,13 @@ class Pieces:
 
     def encode(self, texts) -> list[np.ndarray]:
         """Ids of each text. Words begin at a space; a text has one space more in front (the dummy prefix), an empty or null text has no ids."""
-        split = [t.split(" ") if t else [] for t in texts]
-        out = []
-        for at in range(0, len(split), 1024):
-            some = split[at: at + 1024]
+        out, at = [], 0
+        while at < len(texts):
+            some, size = [], 0
+            while at < len(texts) and size < TEXT_RUN:  # words of a bounded run of texts are held at once
+                some.append(texts[at].split(" ") if texts[at] else [])
+                size += len(some[-1])
+                at += 1
             new = {w for words in some for w in words}
             new = {w for w in new if w not in self.cache}
             if len(self.cache) + len(new) > CACHE_WORDS:
