@@ -2,10 +2,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchline.llm.common import table
 from touchline.llm.registry import query
@@ -13,7 +14,7 @@ from touchline.llm.registry import query
 SPACE, LITERAL = 0x2581, 0x110000  # the mark of a space; the same character in a text, which no piece matches
 UNKNOWN = -1000.0
 #: Words up to this length are advanced together, longer runs one by one; words of one step; words a worker remembers; words of a run of texts.
-TOGETHER, GROUP, CACHE_WORDS, TEXT_RUN = 48, 2048, 300_000, 200_000
+TOGETHER, GROUP, CACHE_WORDS, TEXT_RUN = 48, 2048, 400_000, 200_000
 _BASE = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -151,10 +152,12 @@ class Pieces:
         return np.concatenate(out[::-1]).astype(np.int32)
 
     @staticmethod
-    def codes(word: str) -> np.ndarray:
-        """Code points of a word with the mark of the space before it."""
-        c = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        return np.concatenate([[np.uint64(SPACE)], np.where(c == SPACE, np.uint64(LITERAL), c)])
+    def codes(words: list[str]) -> np.ndarray:
+        """Code points of words of one length, each with the mark of the space before it (words x places)."""
+        c = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), -1)
+        out = np.full((len(words), c.shape[1] + 1), SPACE, np.uint64)
+        out[:, 1:] = np.where(c == SPACE, LITERAL, c)
+        return out
 
     def learn(self, words) -> None:
         by_length: dict[int, list[str]] = {}
@@ -163,15 +166,15 @@ class Pieces:
         for length, group in by_length.items():
             if length + 1 > TOGETHER:
                 for w in group:
-                    self.cache[w] = self.long_path(self.codes(w)).astype("<i4").tobytes()
+                    self.cache[w] = self.long_path(self.codes([w])[0]).astype("<i4").tobytes()
                 continue
             for at in range(0, len(group), GROUP):
                 some = group[at: at + GROUP]
-                for w, ids in zip(some, self.best_paths(np.stack([self.codes(w) for w in some]))):
+                for w, ids in zip(some, self.best_paths(self.codes(some))):
                     self.cache[w] = ids
 
-    def encode(self, texts) -> list[np.ndarray]:
-        """Ids of each text. Words begin at a space; a text has one space more in front (the dummy prefix), an empty or null text has no ids."""
+    def encode(self, texts) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers. Words begin at a space; a text has one space more in front (the dummy prefix), an empty or null text has no ids."""
         out, at = [], 0
         while at < len(texts):
             some, size = [], 0
@@ -185,7 +188,7 @@ class Pieces:
                 self.cache.clear()
                 new = {w for words in some for w in words}
             self.learn(new)
-            out += [np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<i4") for words in some]
+            out += [b"".join(map(self.cache.__getitem__, words)) for words in some]
         return out
 
     def decode(self, ids) -> str:
@@ -204,23 +207,42 @@ def pieces(path: str) -> Pieces:
     return _LOADED[path]
 
 
+#: Rows that leave a Python worker together.
+OUT_ROWS = 1000
+
+
 def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """docs with the ids of the whole text as array<int>; null and empty texts give an empty array. The other columns stay; nothing is shuffled."""
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series(pieces(model).encode(texts.tolist()), index=texts.index, dtype=object)
+    """docs with the ids of the whole text as array<int> in a last column; null and empty texts give an empty array. Other columns stay; nothing is shuffled."""
+    kept = [c for c in docs.columns if c != out]
+    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField(out, T.ArrayType(T.IntegerType()))])
 
-    return docs.withColumn(out, ids(F.coalesce(F.col(text), F.lit(""))))
+    def run(batches):
+        table = pieces(model)
+        for b in batches:
+            for at in range(0, b.num_rows, OUT_ROWS):
+                part = b.slice(at, OUT_ROWS)
+                ids = table.encode(part.column(part.schema.get_field_index(text)).to_pylist())
+                ends = np.cumsum([0, *[len(i) // 4 for i in ids]], dtype=np.int32)
+                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                yield pa.RecordBatch.from_arrays([*part.columns, column], [*kept, out])
 
+    return docs.select(*kept).mapInArrow(run, schema)
 
-def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "text") -> DataFrame:
-    """rows with the text of the ids. A null array gives null."""
-    @F.pandas_udf("string")
-    def text(arrays: pd.Series) -> pd.Series:
-        p = pieces(model)
-        return pd.Series([None if a is None else p.decode(a.tolist()) for a in arrays], index=arrays.index, dtype=object)
 
-    return rows.withColumn(out, text(ids))
+def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "text") -> DataFrame:
+    """rows with the text of the ids in a last column. A null array gives null."""
+    kept = [c for c in rows.columns if c != out]
+    schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField(out, T.StringType())])
+
+    def run(batches):
+        table = pieces(model)
+        for b in batches:
+            for at in range(0, b.num_rows, OUT_ROWS):
+                part = b.slice(at, OUT_ROWS)
+                texts = [None if a is None else table.decode(a) for a in part.column(part.schema.get_field_index(ids)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*kept, out])
+
+    return rows.select(*kept).mapInArrow(run, schema)
 
 
 @query("op2_pieces")
