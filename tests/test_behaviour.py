@@ -114,18 +114,17 @@ def test_best_price(spark):
     assert qt.closing_preferred(q).count() == 0
 
 
-@pytest.mark.parametrize("split", [True, False])
-def test_line_movement_cases(spark, split):
+def test_line_movement_cases(spark):
     def snaps(book, prices, cid):
         return [(cid, book, "home", p, None, f"2024-01-01 1{i // 2}:{'00' if i % 2 == 0 else '30'}:00", False) for i, p in enumerate(prices)]
     rows = (snaps("a", (1.95, 2.00, 2.10), 1) + snaps("b", (1.97, 2.05, 2.12), 1) + snaps("a", (2.10, 2.00, 1.90), 2) + snaps("a", (1.5, 1.5, 1.5), 3) + snaps("b", (2.5, 2.5, 2.5), 3))
-    m = {r["contest_id"]: r for r in qt.line_movement(quote_rows(spark, rows), split=split).collect()}
+    m = {r["contest_id"]: r for r in qt.line_movement(quote_rows(spark, rows)).collect()}
     assert m[1]["drift"] > 0.05 and (m[1]["n_snaps"], m[1]["n_sources"]) == (3, 2)
     assert m[2]["drift"] < 0 and m[2]["dispersion"] is None and m[2]["n_sources"] == 1
     assert m[3]["dispersion"] == pytest.approx(0.25)
-    gate = {r["contest_id"]: r["reason"] for r in qt.movement_gate(qt.line_movement(quote_rows(spark, rows), split=split)).collect()}
+    gate = {r["contest_id"]: r["reason"] for r in qt.movement_gate(qt.line_movement(quote_rows(spark, rows))).collect()}
     assert gate == {1: "drift", 2: None, 3: "dispersion"}
-    off = qt.movement_gate(qt.line_movement(quote_rows(spark, rows), split=split), on=False)
+    off = qt.movement_gate(qt.line_movement(quote_rows(spark, rows)), on=False)
     assert off.where("skip").count() == 0
 
 

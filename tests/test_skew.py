@@ -1,16 +1,15 @@
 """Splitting hot keys, blocks and bands never changes a result."""
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline.operators import calibrate as cb
 from touchline.operators import form as fm
 from touchline.operators import ledger as lg
-from touchline.operators import quotes as qt
 from touchline.operators import ratings as rt
-from touchline.operators import standings as st
 from touchline.operators.history import HOT_ROWS, asof_attach, hot_keys, trailing
 from touchline.operators.metrics import class_rows
-from touchline.operators.prefix import month_block, quantiles, running
+from touchline.operators.prefix import BANDS, day_block, quantiles, running, value_block
 from touchline.plans import views as v
 
 
@@ -59,24 +58,34 @@ def test_split_history_with_gaps_longer_than_a_block(spark):
 @pytest.mark.parametrize("kind", ["sum", "count", "min", "max", "first", "last"])
 @pytest.mark.parametrize("inclusive", [True, False])
 def test_running_in_two_levels(log, kind, inclusive):
-    args = (["team"], ["ts", "contest_id", "side"], month_block("ts"), {"r": (kind, F.col("sot"))}, inclusive)
-    same(running(log, *args, split=True).select("contest_id", "side", "r"), running(log, *args, split=False).select("contest_id", "side", "r"))
-
-
-def test_line_movement_both_ways(spark, sf):
-    q = v.quotes(spark, sf).withColumn("contest_id", F.when(F.col("snap_id") % 3 == 0, F.lit(0)).otherwise(F.col("contest_id")))
-    same(qt.line_movement(q, split=True), qt.line_movement(q, split=False))
-
-
-def test_standings_split(spark, sf):
-    log = v.team_log(spark, sf)
-    same(st.standings_before(log), st.standings_before(log, split_teams=False, split_pools=False))
-
-
-def test_asof_split(spark, sf):
+    gaps = log.withColumn("team", F.when(F.col("contest_id") % 5 != 0, F.col("team"))).withColumn("ts", F.when(F.col("contest_id") % 7 != 0, F.col("ts")))
+    order = ["ts", "contest_id", "side"]
+    w = W.partitionBy("team").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    x = F.col("sot")
+    plain = {"sum": F.coalesce(F.sum(x).over(w), F.lit(0)), "count": F.coalesce(F.count(x).over(w), F.lit(0)), "min": F.min(x).over(w), "max": F.max(x).over(w),
+             "first": F.first(x, ignorenulls=True).over(w), "last": F.last(x, ignorenulls=True).over(w)}[kind]
+    got = running(gaps, ["team"], order, day_block("ts"), {"r": (kind, x)}, inclusive).select("contest_id", "side", "r")
+    assert got.count() == gaps.count()
+    same(got, gaps.select("contest_id", "side", plain.alias("r")))
+
+
+def test_bands_follow_the_values(spark):
+    near = spark.range(20_000).select((F.col("id") * 1e-6).alias("x"), (F.col("id") % 10).cast("string").alias("k"))
+    rows = near.withColumn("k", F.when(F.col("k") != "0", "hot")).unionByName(spark.createDataFrame([(1e12, "hot"), (-1e12, None), (None, "hot")], "x double, k string"))
+    banded, band = value_block(rows, ["k"], "x")
+    sizes = banded.withColumn("b", band).groupBy("k", "b").count()
+    assert banded.count() == rows.count() and sizes.agg(F.max("count")).first()[0] <= 4 * 18_000 / BANDS
+    assert quantiles(rows, ["k"], "x", {"q": 0.5}).count() == 2
+
+
+def test_asof_keeps_rows_without_key_or_time(spark, sf):
     log = v.team_log(spark, sf, ["score", "rating"])
-    left = log.select("team", "ts", "contest_id")
-    same(asof_attach(left, log, ["team"], "ts", "contest_id", ["rating"], split=True), asof_attach(left, log, ["team"], "ts", "contest_id", ["rating"], split=False))
+    left = log.select(F.when(F.col("contest_id") % 5 != 0, F.col("team")).alias("team"), F.when(F.col("contest_id") % 7 != 0, F.col("ts")).alias("ts"), "contest_id", "side")
+    got = asof_attach(left, log, ["team"], "ts", "contest_id", ["rating"])
+    assert got.count() == left.count()
+    old = log.select(F.col("team").alias("t"), F.col("ts").alias("at"), F.struct("ts", "contest_id").alias("o"), "rating")
+    want = left.join(old, (left["team"] == old["t"]) & (old["at"] < left["ts"]), "left").groupBy("team", left["ts"], "contest_id", "side").agg(F.max_by("rating", "o").alias("rating"))
+    same(got, want)
 
 
 def test_folds_in_blocks(spark, sf):
@@ -91,11 +100,6 @@ def test_restake_in_blocks(spark, sf):
     same(lg.restake(book, ["strategy"], block_rows=70)[0], lg.restake(book, ["strategy"])[0])
 
 
-def test_equity_split(spark, sf):
-    book = lg.with_kelly(v.ledger(spark, sf))
-    same(lg.compound_equity(book, ["strategy"]), lg.compound_equity(book, ["strategy"], split=False), 8)
-
-
 def test_isotonic_in_bands(spark, sf, monkeypatch):
     rows = class_rows(v.scored(spark, sf).withColumn("head", F.lit("all")), ["head"])
     whole = cb.isotonic_heads(rows, ["head", "cls"]).collect()

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.operators.prefix import month_block, running
+from touchline.operators.prefix import day_block, running
 from touchline.session import cut
 
 BLOCK_ROWS = "touchline.fold.rows"
@@ -48,7 +48,7 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], step: Callabl
 
     blocks = 1
     if (df.count() if at_most is None else at_most) > block_rows:
-        numbered = running(df, keys, order, month_block(order[0]), {"_rn": ("count", F.lit(1))})
+        numbered = running(df, keys, order, day_block(order[0]), {"_rn": ("count", F.lit(1))})
         df = cut(numbered.withColumn("_block", F.floor((F.col("_rn") - 1) / block_rows)).drop("_rn"))
         blocks = int(df.agg(F.max("_block").alias("m")).first()["m"]) + 1
     shape = T.StructType([*key_fields, *state.fields])

@@ -5,14 +5,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from touchline.operators.prefix import month_block, running
+from touchline.operators.prefix import day_block, running, same
 
 
-def chronological_halves(df: DataFrame, by: list[str], order: list[str], split: bool = True) -> DataFrame:
-    """half = 1 for the first floor(n / 2) rows of a key in order, else 2."""
-    run = running(df, by, order, month_block(order[0]), {"_rn": ("count", F.lit(1))}, split=split)
+def chronological_halves(df: DataFrame, by: list[str], order: list[str], fraction: float = 0.5) -> DataFrame:
+    """half = 1 for the first floor(n * fraction) rows of a key in order, else 2. Rows with NULL keys are a group of their own."""
+    run = running(df, by, order, day_block(order[0]), {"_rn": ("count", F.lit(1))})
     total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_total"))
-    return run.join(total, by).withColumn("half", F.when(F.col("_rn") <= F.floor(F.col("_total") / 2), 1).otherwise(2)).drop("_rn", "_total")
+    return same(run, total, by).withColumn("half", F.when(F.col("_rn") <= F.floor(F.col("_total") * fraction), 1).otherwise(2)).drop("_rn", "_total")
 
 
 def months_between(start: Column, ts: Column) -> Column:
@@ -74,7 +74,7 @@ def reverse_folds(df: DataFrame, ts: str, n_folds: int = 12, val_months: int = 2
 
 def row_count_steps(df: DataFrame, order: list[str], train: int, step: int, offset: int = 0) -> DataFrame:
     """Rows after the first `train` (+ offset) in global order, numbered in steps of `step` rows."""
-    run = running(df.withColumn("_all", F.lit(0)), ["_all"], order, month_block(order[0]), {"_rn": ("count", F.lit(1))})
+    run = running(df.withColumn("_all", F.lit(0)), ["_all"], order, day_block(order[0]), {"_rn": ("count", F.lit(1))})
     first = train + offset
     return run.where(F.col("_rn") > first).withColumn("step", F.floor((F.col("_rn") - 1 - first) / step).cast("int")).drop("_rn", "_all")
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from touchline.operators.prefix import month_block, running
+from touchline.operators.prefix import day_block, month_block, running
 
 HOT_ROWS = "touchline.hot.rows"
 HOT_ROWS_DEFAULT = "4000000"
@@ -113,10 +113,10 @@ def streaks(df: DataFrame, keys: list[str], order: list[str], flags: dict[str, C
 
 
 def asof_attach(left: DataFrame, right: DataFrame, keys: list[str], ts: str, tie: str, cols: list[str],
-                block: Column | None = None, split: bool = True) -> DataFrame:
+                block: Column | None = None) -> DataFrame:
     """Attach to each left row the latest right row of the key with a strictly earlier `ts`.
 
-    Union, then a two-level running `last`: no range join, and hot keys spread over calendar blocks.
+    Union, then a two-level running `last`: no range join, and hot keys spread over daily blocks.
     Rows with equal `ts` on the right are ordered by `tie`.
     """
     extra = [c for c in left.columns if c not in {*keys, ts}]
@@ -127,7 +127,7 @@ def asof_attach(left: DataFrame, right: DataFrame, keys: list[str], ts: str, tie
     r = right.select(*keys, ts, F.lit(1).alias("_side"), F.col(tie).cast("long").alias("_tie"),
                      F.lit(None).cast(l_type).alias("_left"), F.struct(*cols).alias("_right"))
     both = running(l.unionByName(r), keys, [ts, "_side", "_tie"],
-                   month_block(ts) if block is None else block, {"_right": ("last", F.col("_right"))}, split=split)
+                   day_block(ts) if block is None else block, {"_right": ("last", F.col("_right"))})
     return both.where("_side = 0").select(*keys, ts, "_left.*", *[F.col(f"_right.{c}").alias(c) for c in cols])
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from touchline.functions.scalars import closing_line_value, expected_value, kelly_fraction, profit, rnd, settle
 from touchline.operators.fold import ordered_fold
-from touchline.operators.prefix import month_block, running
+from touchline.operators.prefix import day_block, running
 
 ORDER = ["ts", "id"]
 
@@ -32,25 +32,25 @@ def _gain() -> Column:
     return F.when(F.col("result") == "win", F.col("fraction") * (F.col("odds") - 1)).otherwise(-F.col("fraction"))
 
 
-def compound_equity(ledger: DataFrame, by: list[str], start: float = START, split: bool = True) -> DataFrame:
+def compound_equity(ledger: DataFrame, by: list[str], start: float = START) -> DataFrame:
     """Unrounded compounding over settled rows: balance, peak and drawdown after each.
 
     Balances are kept as logarithms (ln_balance, ln_peak): a running sum that splits into blocks and
     does not overflow on long ledgers.
     """
     done = ledger.where(F.col("result").isNotNull())
-    run = running(done, by, ORDER, month_block("ts"), {"_ln": ("sum", F.log1p(_gain()))}, split=split)
+    run = running(done, by, ORDER, day_block("ts"), {"_ln": ("sum", F.log1p(_gain()))})
     curve = run.withColumn("ln_balance", F.lit(math.log(start)) + F.col("_ln")).drop("_ln")
-    top = running(curve, by, ORDER, month_block("ts"), {"ln_peak": ("max", F.col("ln_balance"))}, split=split)
+    top = running(curve, by, ORDER, day_block("ts"), {"ln_peak": ("max", F.col("ln_balance"))})
     peak = F.greatest(F.col("ln_peak"), F.lit(math.log(start)))
     return top.withColumn("ln_peak", peak).withColumn("drawdown", F.expm1(F.col("ln_balance") - F.col("ln_peak")))
 
 
-def flat_equity(ledger: DataFrame, by: list[str], start: float = 0.0, split: bool = True) -> DataFrame:
+def flat_equity(ledger: DataFrame, by: list[str], start: float = 0.0) -> DataFrame:
     """Running sum of one-unit profits over settled rows."""
     done = ledger.where(F.col("result").isNotNull())
     unit = F.when(F.col("result") == "win", F.col("odds") - 1).otherwise(F.lit(-1.0))
-    run = running(done.withColumn("unit", unit), by, ORDER, month_block("ts"), {"_sum": ("sum", F.col("unit"))}, split=split)
+    run = running(done.withColumn("unit", unit), by, ORDER, day_block("ts"), {"_sum": ("sum", F.col("unit"))})
     return run.withColumn("balance", F.lit(start) + F.col("_sum")).drop("_sum")
 
 
@@ -187,7 +187,7 @@ def clv_transitions(ledger: DataFrame, by: list[str]) -> DataFrame:
     """Days on which a strategy's daily line-value status enters or leaves 'alert'."""
     daily = (ledger.where(F.col("clv").isNotNull()).groupBy(*by, F.col("ts").cast("date").alias("day"))
              .agg(F.avg("clv").alias("avg_clv"), F.count(F.lit(1)).alias("n")).withColumn("status", classify_clv(F.col("avg_clv"))))
-    run = running(daily, by, ["day"], month_block("day"), {"was": ("last", F.col("status"))}, inclusive=False)
+    run = running(daily, by, ["day"], day_block("day"), {"was": ("last", F.col("status"))}, inclusive=False)
     crossed = ((F.col("status") == "alert") & (F.coalesce("was", F.lit("")) != "alert")) | ((F.col("status") != "alert") & (F.col("was") == "alert"))
     return run.where(crossed).withColumn("event", F.when(F.col("status") == "alert", "alert").otherwise("recovery"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import wilson
-from touchline.operators.prefix import quantiles, running
+from touchline.operators.prefix import quantiles, running, same, value_block
 
 
 def hit_aggs(won: str = "won", odds: str = "odds") -> list[Column]:
@@ -85,7 +85,7 @@ def position_of_median(df: DataFrame, group: Column, names: list[str]) -> DataFr
 def quartile_contrast(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Win rate and mean return in the lowest and highest quarter of a value."""
     cuts = quantiles(df, by, value, {"q25": 0.25, "q75": 0.75})
-    rows = df.join(cuts, by)
+    rows = same(df, cuts, by)
     unit = F.when(F.col("won") == 1, F.col("odds") - 1).otherwise(F.lit(-1.0))
     low, high = F.col(value) <= F.col("q25"), F.col(value) >= F.col("q75")
     return rows.groupBy(*by).agg(*[fn.alias(f"{tag}_{n}") for tag, cond in (("low", low), ("high", high)) for n, fn in (
@@ -141,7 +141,8 @@ def ranking_metrics(rows: DataFrame, by: list[str], score: str = "p", label: str
     """Exact AUC and average precision per key, from counts of equal scores and running totals."""
     at = rows.groupBy(*by, score).agg(F.sum(label).cast("long").alias("pos"), F.count(F.lit(1)).alias("n"))
     at = at.withColumn("neg", F.col("n") - F.col("pos")).withColumn("_desc", -F.col(score))
-    run = running(at, by, ["_desc"], F.floor(F.col("_desc") * 1000),
+    banded, band = value_block(at, by, "_desc")
+    run = running(banded, by, ["_desc"], band,
                   {"tp": ("sum", F.col("pos")), "seen": ("sum", F.col("n")), "fp": ("sum", F.col("neg"))})
     neg_above = F.col("fp") - F.col("neg")
     agg = run.groupBy(*by).agg(

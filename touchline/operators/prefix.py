@@ -1,8 +1,9 @@
 """Running totals in two levels, so that one hot key never lands in one task.
 
-Rows are grouped by (key, block), a block being a slice of the order (a month, a score band). Block
+Rows are grouped by (key, block), a block being a slice of the order (a day, a band of equally many values). Block
 totals are aggregated map-side, summed over earlier blocks (a handful of rows per key) and joined
-back; the row-level window then runs inside (key, block) only.
+back; the row-level window then runs inside (key, block) only. The same path runs at every size, and NULL keys,
+times and values are groups and blocks like any other.
 """
 from __future__ import annotations
 
@@ -18,20 +19,32 @@ def month_block(ts) -> Column:
     return F.year(c) * 12 + F.month(c)
 
 
+def day_block(ts) -> Column:
+    """Day number: blocks of a key stay small as its rows grow; NULL times are a block of their own, before all others."""
+    return F.datediff(F.col(ts) if isinstance(ts, str) else ts, F.lit("1970-01-01").cast("date"))
+
+
+def same(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join that pairs NULL keys with NULL keys; the key columns come from the left side."""
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    cond = F.lit(True)
+    for c in on:
+        cond = cond & left[c].eqNullSafe(renamed[f"_r_{c}"])
+    return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in on])
+
+
 def _before(order: list[Column]):
     return F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], block: Column,
-            aggs: dict[str, tuple[str, Column]], inclusive: bool = True, split: bool = True) -> DataFrame:
+            aggs: dict[str, tuple[str, Column]], inclusive: bool = True) -> DataFrame:
     """Add running aggregates over `keys` ordered by `order` (ascending, unique inside a key).
 
     aggs maps a new column to (kind, expression), kind being sum, count, min, max, first or last
-    (first and last skip NULL). `block` must not decrease along `order`. With inclusive=False the
-    row itself is left out. split=False says that no key is hot, so one plain window does.
+    (first and last skip NULL). `block` must not decrease along `order` (NULL comes first). With inclusive=False the
+    row itself is left out.
     """
-    if not split:
-        return _plain(df, keys, order, aggs, inclusive)
     src = df.withColumn(_BLOCK, block)
     cols = [F.col(c) for c in order]
     place = _before(cols)
@@ -62,7 +75,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], block: Column,
     totals = src.groupBy(*keys, _BLOCK).agg(*parts)
     offsets = totals.select(*keys, _BLOCK, *carry)
     body = src.select("*", *inside)
-    joined = body.join(offsets, [*keys, _BLOCK])
+    joined = same(body, offsets, [*keys, _BLOCK])
     final = {}
     for name, (kind, _) in aggs.items():
         here, prior = F.col(f"_i_{name}"), F.col(f"_p_{name}")
@@ -78,21 +91,22 @@ def running(df: DataFrame, keys: list[str], order: list[str], block: Column,
     return joined.select(*keep, *[c.alias(n) for n, c in final.items()])
 
 
-def _plain(df: DataFrame, keys: list[str], order: list[str], aggs: dict[str, tuple[str, Column]], inclusive: bool) -> DataFrame:
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
-    make = {"sum": lambda e: F.coalesce(F.sum(e).over(w), F.lit(0)), "count": lambda e: F.coalesce(F.count(e).over(w), F.lit(0)),
-            "min": lambda e: F.min(e).over(w), "max": lambda e: F.max(e).over(w),
-            "first": lambda e: F.first(e, ignorenulls=True).over(w), "last": lambda e: F.last(e, ignorenulls=True).over(w)}
-    keep = [c for c in df.columns if c not in aggs]
-    return df.select(*keep, *[make[kind](expr).alias(name) for name, (kind, expr) in aggs.items()])
+#: Bands per key of value_block, a power of two.
+BANDS = 1024
+
 
+def value_block(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, Column]:
+    """Attach per-key quantile bounds of `value` and return the band expression for `running`.
 
-def value_block(df: DataFrame, keys: list[str], value: str, bands: int = 1024) -> tuple[DataFrame, Column]:
-    """Attach per-key bounds of `value` and return the band expression for `running`."""
-    bounds = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    band = F.when(width > 0, F.floor((F.col(value) - F.col("_lo")) / width * bands)).otherwise(F.lit(0))
-    return df.join(bounds, keys), band.cast("int")
+    Bands hold about equally many rows however the values lie, so neither an outlier nor a crowd of near values fills one band. The bounds are a
+    mergeable sketch per key; a row finds its band by bisection. NULL values are a band of their own.
+    """
+    probs = F.array(*[F.lit(i / BANDS) for i in range(1, BANDS)])
+    bounds = df.groupBy(*keys).agg(F.percentile_approx(F.col(value).cast("double"), probs, 20_000).alias("_bounds"))
+    steps = F.array(*[F.lit(BANDS >> i) for i in range(1, BANDS.bit_length())])
+    at = F.aggregate(steps, F.lit(0), lambda a, step: F.when(F.element_at("_bounds", a + step) <= F.col(value).cast("double"), a + step).otherwise(a))
+    joined = same(df, bounds, keys) if keys else df.crossJoin(bounds)
+    return joined, F.when(F.col(value).isNotNull(), at)
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
@@ -104,7 +118,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     banded, band = value_block(counts, keys, value)
     placed = running(banded, keys, [value], band, {"_cum": ("sum", F.col("_n"))})
     sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    ranked = placed.join(sizes, keys)
+    ranked = same(placed, sizes, keys)
     picks = []
     for name, p in probs.items():
         pos = F.lit(float(p)) * (F.col("_size") - 1)

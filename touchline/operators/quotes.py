@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline.functions.devig import SIDES
-from touchline.operators.prefix import month_block, running
+from touchline.operators.prefix import day_block, running
 
 # Reference source and its fallbacks, best first; and the movement gate limits.
 REFERENCE_SOURCES = ["Pinnacle", "Bet365", "William Hill", "Bwin", "1xBet", "Unibet"]
@@ -47,8 +47,8 @@ def double_chance(q: DataFrame) -> DataFrame:
         *[F.max(F.when(F.col("outcome") == o, F.col("price"))).alias(f"dc_{o.lower()}_odds") for o in ("1X", "2X")])
 
 
-def _series_by_groups(q: DataFrame, minutes: int, order: list[str]) -> DataFrame:
-    """First, last and look-back price per series by map-side aggregation, for tables with hot contests.
+def _series(q: DataFrame, minutes: int, order: list[str]) -> DataFrame:
+    """First, last and look-back price per series by map-side aggregation.
 
     The look-back row is found by joining the series summary to the rows (a skewed join AQE splits).
     """
@@ -63,24 +63,12 @@ def _series_by_groups(q: DataFrame, minutes: int, order: list[str]) -> DataFrame
                                                        F.coalesce(F.nullif(F.col("first.opening"), F.lit(0.0)), F.col("first.price")).alias("base"))
 
 
-def _series_by_window(q: DataFrame, minutes: int, order: list[str]) -> DataFrame:
-    """The same from one sort per series: each series is read off its newest row."""
-    slim = q.select(*SERIES, *order, "price", "opening")
-    rows = W.partitionBy(*SERIES).orderBy(*order)
-    seconds = F.col(order[0]).cast("timestamp").cast("long")
-    back = W.partitionBy(*SERIES).orderBy(seconds).rangeBetween(W.unboundedPreceding, -60 * minutes)
-    wide = slim.select(*SERIES, "price", F.row_number().over(rows).alias("snaps"), F.lead(F.lit(1)).over(rows).alias("more"),
-                       F.first(F.coalesce(F.nullif(F.col("opening"), F.lit(0.0)), F.col("price"))).over(rows.rowsBetween(W.unboundedPreceding, 0)).alias("base"),
-                       F.max(F.struct(*order, "price")).over(back)["price"].alias("before"))
-    return wide.where("more IS NULL").select(*SERIES, "snaps", "before", F.col("price").alias("latest"), "base")
-
-
-def line_movement(q: DataFrame, minutes: int = 30, order: list[str] = TIE, split: bool = True) -> DataFrame:
+def line_movement(q: DataFrame, minutes: int = 30, order: list[str] = TIE) -> DataFrame:
     """Drift, velocity, dispersion, source and snapshot counts per (contest, outcome).
 
     First one row per (contest, outcome, source), then medians over the sources of a contest.
     """
-    series = (_series_by_groups if split else _series_by_window)(q, minutes, order)
+    series = _series(q, minutes, order)
     latest, base, before = F.col("latest"), F.col("base"), F.col("before")
     per = series.where("base > 0").select(*SERIES, "snaps", "latest", ((latest - base) / base).alias("d"), F.when(before > 0, (latest - before) / base).alias("v"))
     got = per.groupBy("contest_id", "outcome").agg(
@@ -101,9 +89,9 @@ def movement_gate(moves: DataFrame, on: bool = True, limits: dict = GATE) -> Dat
     return wide.withColumn("reason", reason).withColumn("skip", F.col("reason").isNotNull())
 
 
-def opening_carry(q: DataFrame, order: list[str] = TIE, split: bool = True) -> DataFrame:
+def opening_carry(q: DataFrame, order: list[str] = TIE) -> DataFrame:
     """Opening price of each snapshot: lowest earlier opening, else its own, else the price itself."""
-    earlier = running(q, ["contest_id", "outcome"], order, month_block(order[0]), {"_min": ("min", F.col("opening"))}, inclusive=False, split=split)
+    earlier = running(q, ["contest_id", "outcome"], order, day_block(order[0]), {"_min": ("min", F.col("opening"))}, inclusive=False)
     return earlier.withColumn("opening_carried", F.coalesce("_min", "opening", "price")).drop("_min")
 
 

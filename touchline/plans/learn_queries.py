@@ -103,7 +103,7 @@ w AS (SELECT contest_id, head, max(c) FILTER (cls = 'H') AS h, max(c) FILTER (cl
 z AS (SELECT contest_id, head, h / greatest(h + d + a, 1e-9) AS c_home, d / greatest(h + d + a, 1e-9) AS c_draw, a / greatest(h + d + a, 1e-9) AS c_away FROM w) SELECT contest_id, head, {sql_rounded(['c_home', 'c_draw', 'c_away'])} FROM z""")
 def isotonic(spark, sf):
     """Calibrated chances by league, cluster or global head."""
-    return rounded(cb.calibrate(v.scored(spark, sf), min_league=15, split=v.big(spark, sf, "part")), ["contest_id", "head"], ["c_home", "c_draw", "c_away"])
+    return rounded(cb.calibrate(v.scored(spark, sf), min_league=15), ["contest_id", "head"], ["c_home", "c_draw", "c_away"])
 
 
 @query("kmeans_profile")
@@ -114,7 +114,7 @@ def kmeans_profile(spark, sf):
 @query("cluster_calibration")
 def cluster_calibration(spark, sf):
     """Calibration with k-means clusters as the middle head."""
-    return rounded(cb.calibrate(cut(cb.with_clusters(v.scored(spark, sf), "kmeans-3")), tail=0.10, min_league=20, split=v.big(spark, sf, "part")), ["contest_id", "head"], ["c_home", "c_draw", "c_away"], 4)
+    return rounded(cb.calibrate(cut(cb.with_clusters(v.scored(spark, sf), "kmeans-3")), tail=0.10, min_league=20), ["contest_id", "head"], ["c_home", "c_draw", "c_away"], 4)
 
 
 @query("platt_scaling")
@@ -133,7 +133,7 @@ def filtered_model(spark, sf):
     top = got.join(quantiles(got, ["fold"], "p_win", {"cut": 0.65}), "fold").where("p_win >= cut").withColumn("ev", expected_value("p_win", "odds")).where("ev >= 0")
     bets = top.select(F.lit("all").alias("strategy"), F.col("contest_id").alias("id"), "ts", "fold", "odds", F.when(F.col("won") == 1, "win").otherwise("loss").alias("result"),
                       F.least(kelly_fraction("p_win", "odds", 0.25), F.lit(0.04)).alias("fraction"))
-    return rounded(lg.compound_equity(bets, ["strategy"], split=False), ["id", "fold", "result"], ["ln_balance", "drawdown"], 4)
+    return rounded(lg.compound_equity(bets, ["strategy"]), ["id", "fold", "result"], ["ln_balance", "drawdown"], 4)
 
 
 @query("confidence_sweep")

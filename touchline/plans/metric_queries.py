@@ -8,7 +8,7 @@ from touchline.functions import scalars as sc
 from touchline.operators import folds as fl
 from touchline.operators import ledger as lg
 from touchline.operators import metrics as mx
-from touchline.operators.prefix import month_block, quantiles, running
+from touchline.operators.prefix import day_block, quantiles, running
 from touchline.plans import views as v
 from touchline.plans.registry import query, rounded, sql_rounded
 from touchline.plans.views import sql_rnd
@@ -195,7 +195,7 @@ def coverage(spark, sf):
 @query("half_split", f"""WITH {v.FACTORS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY league ORDER BY ts, contest_id) AS rn, count(*) OVER (PARTITION BY league) AS total FROM factors),
 h AS (SELECT league, CASE WHEN rn <= total // 2 THEN 1 ELSE 2 END AS half, {_HIT_SQL} FROM r GROUP BY ALL), w AS (SELECT *, {wilson_sql()} AS lower FROM h) SELECT league, half, n, wins, {sql_rounded([*HIT, 'lower'])} FROM w""")
 def half_split(spark, sf):
-    got = mx.hit_block(fl.chronological_halves(v.factors(spark, sf), ["league"], ["ts", "contest_id"], split=v.big(spark, sf, "orders")), ["league", "half"])
+    got = mx.hit_block(fl.chronological_halves(v.factors(spark, sf), ["league"], ["ts", "contest_id"]), ["league", "half"])
     return rounded(got, ["league", "half", "n", "wins"], [*HIT, "lower"])
 
 
@@ -335,4 +335,15 @@ def set_compare(spark, sf):
 
 @query("running_count", f"WITH {v.LOG_SQL} SELECT contest_id, team, count(*) OVER (PARTITION BY team ORDER BY ts, contest_id) AS played FROM log")
 def running_count(spark, sf):
-    return running(v.team_log(spark, sf), ["team"], ["ts", "contest_id"], month_block("ts"), {"played": ("count", F.lit(1))}, split=bool(v.hot_teams(spark, sf))).select("contest_id", "team", "played")
+    return running(v.team_log(spark, sf), ["team"], ["ts", "contest_id"], day_block("ts"), {"played": ("count", F.lit(1))}).select("contest_id", "team", "played")
+
+
+@query("running_count_nulls", """SELECT event_id, count(*) OVER w AS seen, sum(value) OVER w AS total FROM (
+  SELECT event_id, value, CASE WHEN event_id % 7 <> 0 THEN user_id % 5 END AS k, CASE WHEN event_id % 11 <> 0 THEN ts END AS t FROM events)
+WINDOW w AS (PARTITION BY k ORDER BY t NULLS FIRST, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def running_count_nulls(spark, sf):
+    """Running totals of few hot keys, with NULL keys and NULL times among them."""
+    e = read_table(spark, sf, "events")
+    rows = e.select("event_id", "value", F.when(F.col("event_id") % 7 != 0, F.col("user_id") % 5).alias("k"), F.when(F.col("event_id") % 11 != 0, F.col("ts")).alias("t"))
+    got = running(rows, ["k"], ["t", "event_id"], day_block("t"), {"seen": ("count", F.lit(1)), "total": ("sum", F.col("value"))})
+    return got.select("event_id", "seen", "total")

@@ -333,7 +333,7 @@ cand AS (SELECT *, n1 >= 5 AND n2 >= 5 AND lower1 >= 0.10 AND lower2 >= 0.10 AS
 def candidate_rules(spark, sf):
     """Candidate grid with both chronological halves in one cube; a rule needs a strength or form factor."""
     from touchline.functions.scalars import wilson
-    rows = fl.chronological_halves(v.factors(spark, sf), ["league", "side"], ["ts", "contest_id"], split=v.big(spark, sf, "orders"))
+    rows = fl.chronological_halves(v.factors(spark, sf), ["league", "side"], ["ts", "contest_id"])
     gap = F.when(F.col("side") == "home", F.col("elo")).otherwise(-F.col("elo"))
     dims = [sw.Dim(k, gap if k == "gap" else F.col(k), steps, op) for k, (steps, op) in CAND.items()]
     keys = ["league", "side", "lo", "hi"]

@@ -50,11 +50,6 @@ def rows_in(spark: SparkSession, sf: str, table: str) -> int:
     return read_table(spark, sf, table).count()
 
 
-def big(spark: SparkSession, sf: str, table: str) -> bool:
-    """Whether a table is large enough that some key of it could be hot (footer count only)."""
-    return rows_in(spark, sf, table) > hot_limit(spark)
-
-
 def hot_teams(spark, sf):
     return hot_in(spark, sf, "lineitem", "l_suppkey")
 
