@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import os
 import re
-import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -16,11 +16,15 @@ from touchline.llm.registry import query
 
 #: A block closes at the end of the first document that brings it to so many ids.
 BLOCK_IDS = 1 << 16
-#: A worker forgets its word cache beyond so many words; it only saves time.
-CACHE_WORDS = 600_000
+#: Words after which a worker's cache takes a turn; it only saves time.
+CACHE_WORDS = 400_000
 BLOCKS = "bucket int, block long, first long, n_ids long, bits int, payload binary, doc_ids array<bigint>, doc_firsts array<bigint>"
 
 
+#: Widths whose fields are whole machine integers: the same bytes without shifting.
+_WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
+
+
 def bits_for(vocabulary: int) -> int:
     """Least number of bits that holds every id of a vocabulary."""
     return max(1, (vocabulary - 1).bit_length())
@@ -28,6 +32,8 @@ def bits_for(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids as consecutive fields of `bits` bits, least significant bit first; eight ids fill exactly `bits` bytes."""
+    if bits in _WHOLE:
+        return ids.astype(_WHOLE[bits]).tobytes()
     groups = -(-len(ids) // 8)
     padded = np.zeros(groups * 8, np.uint64)
     padded[: len(ids)] = ids
@@ -42,6 +48,8 @@ def pack(ids: np.ndarray, bits: int) -> bytes:
 
 def unpack(payload: bytes, bits: int, first: int, n: int) -> np.ndarray:
     """Ids first .. first + n - 1 of a payload; only their bytes are touched."""
+    if bits in _WHOLE:
+        return np.frombuffer(payload, _WHOLE[bits], n, first * bits // 8).astype(np.uint32)
     at = first * bits
     low, high = at // 8, (at + n * bits + 7) // 8
     data = payload[low:high] + bytes(8)
@@ -50,8 +58,25 @@ def unpack(payload: bytes, bits: int, first: int, n: int) -> np.ndarray:
     return ((words >> (offsets & 7).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
+class _Words(dict):
+    """Pieces of texts and their ids as bytes. What has not been asked for since the last turn is forgotten at the next one."""
+
+    def __init__(self, tok, older: dict | None = None):
+        self.tok, self.older = tok, older or {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            if len(piece) > 2 and piece[-1] in ",." and piece[-2].isalpha() and piece[-2] < "ɐ":
+                ids = self[piece[:-1]] + self[piece[-1]]
+            else:
+                ids = array("I", self.tok.encode_batch_fast([piece], add_special_tokens=False)[0].ids).tobytes()
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """Whole texts to ids with the tokenizers library, word by word with a cache.
+    """Whole texts to ids with the tokenizers library, piece by piece with a cache.
 
     The byte-level pattern of the tokenizer always begins a new token at a space that is followed by something else than
     white space, and between a letter and a comma or full stop. So a text is cut there, each different piece is encoded
@@ -62,19 +87,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> None:
-        stems, tails = {}, {}
-        for w in words:
-            cut = len(w) - 1 if w[-1:] in ",." and w[-2:-1].isalpha() and w[-2:-1] < "ɐ" else len(w)
-            stems[w], tails[w] = w[:cut], w[cut:]
-        new = [s for s in {*stems.values(), *tails.values(), ""} if s]
-        got = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        got[""] = b""
-        for w in words:
-            self.cache[w] = got[stems[w]] + got[tails[w]]
+        self.words = _Words(Tokenizer.from_file(path))
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -94,14 +107,9 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out = []
         for text in texts:
-            pieces = self.cut(text or "")
-            new = {p for p in set(pieces) if p not in self.cache}
-            if new:
-                if len(self.cache) + len(new) > CACHE_WORDS:
-                    self.cache.clear()
-                    new = set(pieces)
-                self._learn(new)
-            out.append(b"".join(map(self.cache.__getitem__, pieces)))
+            out.append(b"".join(map(self.words.__getitem__, self.cut(text))) if text else b"")
+            if len(self.words) > CACHE_WORDS:
+                self.words = _Words(self.words.tok, dict(self.words))
         return out
 
 
