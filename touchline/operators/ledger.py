@@ -90,9 +90,10 @@ def monthly_balance(ledger: DataFrame, by: list[str], oos_from: str, start: floa
 
 
 def month_pivot(df: DataFrame, by: list[str], months: list[str], value: str = "unit") -> DataFrame:
-    """One column pair (n, pnl) per listed month."""
-    tagged = df.withColumn("m", F.date_format("ts", "yyyy-MM"))
-    return tagged.groupBy(*by).pivot("m", months).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("pnl"))
+    """One column pair (n, pnl) per listed month, and one pair `other` for all rows outside of them."""
+    m = F.date_format("ts", "yyyy-MM")
+    tagged = df.withColumn("m", F.when(m.isin(months), m).otherwise("other"))
+    return tagged.groupBy(*by).pivot("m", [*months, "other"]).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("pnl"))
 
 
 def closed_form_growth(block: DataFrame, fraction: float = 0.25, cap: float = 0.04) -> DataFrame:

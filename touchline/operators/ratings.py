@@ -113,10 +113,10 @@ def glicko_chances(df: DataFrame, draw_share: float = 0.25) -> DataFrame:
     return df.select("*", *[c.alias(n) for n, c in three_way(e, draw_share).items()])
 
 
-def rating_table(final: DataFrame, log: DataFrame, by: list[str], value: str, top: int) -> DataFrame:
-    """Current ratings with contests played and last contest time; the `top` best."""
+def rating_table(final: DataFrame, log: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Current ratings of every participant with contests played and last contest time."""
     seen = log.groupBy(*by, "team").agg(F.count(F.lit(1)).alias("played"), F.max("ts").alias("last_ts"))
-    return final.join(seen, [*by, "team"]).orderBy(F.col(value).desc(), *by, "team").limit(top)
+    return final.join(seen, [*by, "team"]).select(*by, "team", value, "played", "last_ts")
 
 
 def goal_grid(df: DataFrame, home: str, away: str, rho: float = 0.0, most: int = 8) -> DataFrame:

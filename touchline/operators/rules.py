@@ -47,12 +47,11 @@ def minimum_ev(score_col: Column | str) -> Column:
     return out
 
 
-SCENARIO = {
-    "home": ["market_home_prob > 0.50", "home_form_points > 0.55", "away_form_points < 0.45", "elo_diff > 50",
-             "home_xg_for_avg_10 > away_xg_against_avg_10", "home_rest_days >= 5", "away_injured_count > home_injured_count", "elo_diff > 25"],
-    "away": ["market_away_prob > 0.38", "away_form_points > 0.55", "home_form_points < 0.45", "elo_diff < -50",
-             "away_xg_for_avg_10 > home_xg_against_avg_10", "away_rest_days >= 5", "home_injured_count > away_injured_count", "elo_diff < -25"],
-}
+# The conditions of a scenario seen from one side; `other` is the opponent, `lead` the rating lead of the side, `market` its least market chance.
+_SCENARIO = ("market_{side}_prob > {market}", "{side}_form_points > 0.55", "{other}_form_points < 0.45", "{lead} > 50",
+             "{side}_xg_for_avg_10 > {other}_xg_against_avg_10", "{side}_rest_days >= 5", "{other}_injured_count > {side}_injured_count", "{lead} > 25")
+SCENARIO = {side: [c.format(side=side, other=other, lead=lead, market=market) for c in _SCENARIO]
+            for side, other, lead, market in (("home", "away", "elo_diff", 0.50), ("away", "home", "-elo_diff", 0.38))}
 
 
 def scenario_count(side: str) -> Column:
@@ -194,22 +193,28 @@ def lower_bound_ok(lower: Column, odds: Column) -> Column:
     return F.coalesce(lower * odds - 1.0 > 0, F.lit(False))
 
 
+# Rows needed, falls of the hit rate, the lower bound that saves a rule, the tolerance of a stable one.
+RECENCY = {"rows": 5, "rates": 3, "fall": -0.15, "dip": -0.05, "bound": 0.55, "steady": 0.03}
+
+
 def recency_verdict(matches: DataFrame, by: list[str], cutoff: str) -> DataFrame:
-    """Whole-history against recent hit rate with a verdict per rule."""
+    """Whole-history against recent hit rate with a verdict code per rule: thin, unknown, unpaid (no value at the lower bound), lost, fading, steady or lower."""
+    lim = RECENCY
     late = F.col("ts") >= F.lit(cutoff).cast("timestamp_ntz")
-    got = matches.groupBy(*by).agg(F.count(F.lit(1)).alias("full_n"), F.sum("won").alias("fw"), F.avg("odds").alias("avg_odds"),
-                                   F.count(F.when(late, 1)).alias("recent_n"), F.sum(F.when(late, F.col("won"))).alias("rw"))
-    got = got.select(*by, "full_n", "recent_n", "avg_odds", F.when(F.col("full_n") >= 3, F.col("fw") / F.col("full_n")).alias("full_p"),
-                     wilson("fw", "full_n").alias("full_lower"),
-                     F.when(F.col("recent_n") >= 3, F.col("rw") / F.nullif(F.col("recent_n"), F.lit(0))).alias("recent_p"),
-                     F.when(F.col("recent_n") > 0, wilson("rw", F.nullif(F.col("recent_n"), F.lit(0)))).otherwise(0.0).alias("recent_lower"))
-    drift = F.when((F.col("full_p") != 0) & (F.col("recent_p") != 0), F.col("recent_p") - F.col("full_p"))
-    weak = F.col("recent_lower") < 0.55
-    verdict = (F.when(F.col("recent_n") < 5, "small n").when(F.col("recent_p").isNull(), "no data").when(F.col("drift").isNull(), "?")
-               .when(~lower_bound_ok(F.col("full_lower"), F.col("avg_odds")), "DROP - lo95 EV<=0")
-               .when((F.col("drift") < -0.15) & weak, "DROP - decayed").when((F.col("drift") < -0.05) & weak, "watch - weakening")
-               .when(F.col("recent_p") >= F.col("full_p") - 0.03, "stable").otherwise("mild drift"))
-    return got.withColumn("drift", drift).withColumn("verdict", verdict)
+
+    def block(tag: str, cond: Column) -> list[Column]:
+        return [F.count(F.when(cond, 1)).alias(f"{tag}_n"), F.sum(F.when(cond, F.col("won"))).alias(f"_{tag}_w")]
+
+    got = matches.groupBy(*by).agg(*block("full", F.lit(True)), *block("recent", late), F.avg("odds").alias("avg_odds"))
+    for tag in ("full", "recent"):
+        n, w = F.col(f"{tag}_n"), F.col(f"_{tag}_w")
+        got = got.withColumn(f"{tag}_p", F.when(n >= lim["rates"], w / F.nullif(n, F.lit(0)))).withColumn(
+            f"{tag}_lower", F.when(n > 0, wilson(f"_{tag}_w", F.nullif(n, F.lit(0)))).otherwise(0.0)).drop(f"_{tag}_w")
+    got = got.withColumn("drift", F.nullif(F.col("recent_p"), F.lit(0.0)) - F.nullif(F.col("full_p"), F.lit(0.0)))
+    exposed = F.col("recent_lower") < lim["bound"]
+    codes = {"thin": F.col("recent_n") < lim["rows"], "unknown": F.col("drift").isNull(), "unpaid": ~lower_bound_ok(F.col("full_lower"), F.col("avg_odds")),
+             "lost": exposed & (F.col("drift") < lim["fall"]), "fading": exposed & (F.col("drift") < lim["dip"]), "steady": F.col("recent_p") >= F.col("full_p") - lim["steady"]}
+    return got.withColumn("verdict", F.coalesce(*[F.when(cond, code) for code, cond in codes.items()], F.lit("lower")))
 
 
 def efficiency_score(stats: DataFrame, years: float) -> DataFrame:

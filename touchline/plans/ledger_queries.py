@@ -86,14 +86,14 @@ def monthly_balance(spark, sf):
 
 
 MONTHS = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13) if (y, m) <= (2001, 8)]
-_PIV = ", ".join(f"count(*) FILTER (m = '{x}') AS \"{x}_n\", sum(unit) FILTER (m = '{x}') AS \"{x}_pnl\"" for x in MONTHS)
-_PIV_OUT = ", ".join(f"CASE WHEN \"{x}_n\" > 0 THEN \"{x}_n\" END AS \"{x}_n\", {sql_rnd(f'\"{x}_pnl\"')} AS \"{x}_pnl\"" for x in MONTHS)
+_PIV = ", ".join(f"count(*) FILTER (m = '{x}') AS \"{x}_n\", sum(unit) FILTER (m = '{x}') AS \"{x}_pnl\"" for x in [*MONTHS, "other"])
+_PIV_OUT = ", ".join(f"CASE WHEN \"{x}_n\" > 0 THEN \"{x}_n\" END AS \"{x}_n\", {sql_rnd(f'\"{x}_pnl\"')} AS \"{x}_pnl\"" for x in [*MONTHS, "other"])
 
 
-@query("month_pivot", f"WITH {FLAT_SQL}, t AS (SELECT *, strftime(ts, '%Y-%m') AS m FROM u), p AS (SELECT strategy, {_PIV} FROM t GROUP BY strategy) SELECT strategy, {_PIV_OUT} FROM p")
+@query("month_pivot", f"WITH {FLAT_SQL}, t AS (SELECT *, CASE WHEN list_contains({MONTHS}, strftime(ts, '%Y-%m')) THEN strftime(ts, '%Y-%m') ELSE 'other' END AS m FROM u), p AS (SELECT strategy, {_PIV} FROM t GROUP BY strategy) SELECT strategy, {_PIV_OUT} FROM p")
 def month_pivot(spark, sf):
     wide = lg.month_pivot(flat(spark, sf), BY, MONTHS)
-    return wide.select("strategy", *[c for x in MONTHS for c in (F.col(f"{x}_n"), sc.rnd(F.col(f"{x}_pnl")).alias(f"{x}_pnl"))])
+    return wide.select("strategy", *[c for x in [*MONTHS, "other"] for c in (F.col(f"{x}_n"), sc.rnd(F.col(f"{x}_pnl")).alias(f"{x}_pnl"))])
 
 
 def _restake_sql(tail: str) -> str:
@@ -248,12 +248,16 @@ def day_picks(spark, sf):
 
 
 @query("history_by_date", f"""WITH {v.LEDGER_SQL} SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (result = 'win') AS wins,
-{sql_rnd("sum(CASE result WHEN 'win' THEN odds - 1 WHEN 'loss' THEN -1 END)")} AS units FROM ledger GROUP BY 1 ORDER BY 1 DESC LIMIT 50""")
-def history_by_date(spark, sf):
+{sql_rnd("sum(CASE result WHEN 'win' THEN odds - 1 WHEN 'loss' THEN -1 END)")} AS units FROM ledger GROUP BY 1""")
+def history_by_date(spark, sf, days: int | None = None):
+    """Totals per day, of the whole ledger or of the last `days` days before its newest entry."""
     units = F.when(F.col("result") == "win", F.col("odds") - 1).when(F.col("result") == "loss", F.lit(-1.0))
-    got = v.ledger(spark, sf).groupBy(F.col("ts").cast("date").alias("day")).agg(
+    rows = v.ledger(spark, sf)
+    if days is not None:
+        newest = rows.agg(F.max("ts")).first()[0]
+        rows = rows.where(F.lit(newest is not None) & (F.col("ts").cast("date") > F.date_sub(F.lit(newest).cast("date"), days)))
+    return rows.groupBy(F.col("ts").cast("date").alias("day")).agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("result") == "win", 1)).alias("wins"), sc.rnd(F.sum(units)).alias("units"))
-    return got.orderBy(F.col("day").desc()).limit(50)
 
 
 @query("closed_form_growth", f"""WITH {v.LEDGER_SQL}, h AS (SELECT strategy, CAST(id % 30 AS INT) AS grp, count(*) AS n, avg((result = 'win')::INT) AS win_rate, avg(odds) AS avg_odds FROM ledger WHERE result IS NOT NULL GROUP BY ALL),

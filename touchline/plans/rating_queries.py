@@ -33,12 +33,12 @@ def elo_pool(spark, sf):
 
 @query("elo_table", _ELO + f""", fin AS (SELECT pool, arg_max(l, rn) AS l FROM r GROUP BY pool), f AS (SELECT pool, unnest(l) AS elo, unnest(range(len(l))) AS team FROM fin),
 seen AS (SELECT pool, team, count(*) AS played, max(ts) AS last_ts FROM (SELECT pool, ts, h - 1 AS team FROM num UNION ALL SELECT pool, ts, a - 1 FROM num) GROUP BY ALL)
-SELECT pool, team, played, last_ts, {sql_rounded(['elo'], 5)} FROM f JOIN seen USING (pool, team) ORDER BY f.elo DESC, pool, team LIMIT 20""")
+SELECT pool, team, played, last_ts, {sql_rounded(['elo'], 5)} FROM f JOIN seen USING (pool, team)""")
 def elo_table(spark, sf):
-    """The twenty best current ratings with contests played and last contest."""
+    """Every current rating with contests played and last contest."""
     games = v.contests(spark, sf)
     log = games.select("pool", "ts", F.explode(F.array("home_id", "away_id")).alias("team"))
-    return rounded(rt.rating_table(rt.elo_fold(games, ["pool"], at_most=v.rows_in(spark, sf, "orders"))[1], log, ["pool"], "elo", 20), ["pool", "team", "played", "last_ts"], ["elo"], 5)
+    return rounded(rt.rating_table(rt.elo_fold(games, ["pool"], at_most=v.rows_in(spark, sf, "orders"))[1], log, ["pool"], "elo"), ["pool", "team", "played", "last_ts"], ["elo"], 5)
 
 
 @query("elo_step", f"""WITH {v.CONTESTS_SQL}, x AS (SELECT contest_id, 1400.0 + home_id AS h, 1450.0 + away_id * 0.5 AS a, CASE WHEN home_score > away_score THEN 1.0 WHEN home_score = away_score THEN 0.5 ELSE 0.0 END AS s FROM contests),

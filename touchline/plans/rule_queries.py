@@ -58,7 +58,7 @@ def scenario(spark, sf):
     return m.select("contest_id", ru.scenario_count("home").alias("n_home"), ru.scenario_count("away").alias("n_away")).where("n_home >= 3 OR n_away >= 3")
 
 
-VARIANTS = {"base": {}, "no_market": {"market": 0.0}, "form_up": {"form": 1.5, "streak": 1.5}, "rating_up": {"rating": 2.0}}
+VARIANTS = {"base": {}, "no_market": {"market": 0.0}, "form_up": {"form": 1.5, "new": 1.5}, "rating_up": {"elo": 2.0}}
 OVERRIDES = {"soft_rating": {"elo_gap_large": 4, "elo_gap_away_large": 6, "home_elo_weak": 8, "elo_win_prob_low": 6}}
 
 
@@ -180,8 +180,8 @@ _REC = ["full_p", "full_lower", "recent_p", "recent_lower", "drift", "avg_odds"]
 @query("recency_verdict", f"""WITH {_M}, g AS (SELECT league, side, rule, count(*) AS full_n, sum(won) AS fw, avg(odds) AS avg_odds, count(*) FILTER (ts >= TIMESTAMP '{CUT}') AS recent_n, sum(won) FILTER (ts >= TIMESTAMP '{CUT}') AS rw FROM m GROUP BY ALL),
 s AS (SELECT *, CASE WHEN full_n >= 3 THEN fw / full_n END AS full_p, {wilson_sql('fw', 'full_n')} AS full_lower, CASE WHEN recent_n >= 3 THEN rw / recent_n END AS recent_p, CASE WHEN recent_n > 0 THEN {wilson_sql('rw', 'recent_n')} ELSE 0.0 END AS recent_lower FROM g),
 d AS (SELECT *, CASE WHEN full_p <> 0 AND recent_p <> 0 THEN recent_p - full_p END AS drift FROM s)
-SELECT league, side, rule, full_n, recent_n, CASE WHEN recent_n < 5 THEN 'small n' WHEN recent_p IS NULL THEN 'no data' WHEN drift IS NULL THEN '?' WHEN NOT coalesce(full_lower * avg_odds - 1 > 0, false) THEN 'DROP - lo95 EV<=0'
-WHEN drift < -0.15 AND recent_lower < 0.55 THEN 'DROP - decayed' WHEN drift < -0.05 AND recent_lower < 0.55 THEN 'watch - weakening' WHEN recent_p >= full_p - 0.03 THEN 'stable' ELSE 'mild drift' END AS verdict, {sql_rounded(_REC)} FROM d""")
+SELECT league, side, rule, full_n, recent_n, CASE WHEN recent_n < 5 THEN 'thin' WHEN drift IS NULL THEN 'unknown' WHEN NOT coalesce(full_lower * avg_odds - 1 > 0, false) THEN 'unpaid'
+WHEN drift < -0.15 AND recent_lower < 0.55 THEN 'lost' WHEN drift < -0.05 AND recent_lower < 0.55 THEN 'fading' WHEN recent_p >= full_p - 0.03 THEN 'steady' ELSE 'lower' END AS verdict, {sql_rounded(_REC)} FROM d""")
 def recency_verdict(spark, sf):
     return rounded(ru.recency_verdict(matched(spark, sf), ["league", "side", "rule"], CUT), ["league", "side", "rule", "full_n", "recent_n", "verdict"], _REC)
 
