@@ -216,7 +216,7 @@ _STORE = " UNION ALL ".join(f"SELECT contest_id, '{s}' AS side, CASE WHEN ts < T
 
 
 @query("factor_store", f"WITH {mt.MATRIX_SQL}, d2 AS (SELECT contest_id, ts, target, " + ", ".join(
-    f"coalesce({c}, {x}) AS {c}" if not c.startswith("table_") else f"CAST({x} AS DOUBLE) AS {c}" for c, x in ru.DEFAULTS.items()) + f" FROM matrix), a AS ({_STORE}) SELECT contest_id, side, fold, score, part, won FROM a")
+    f"coalesce({c}, {x}) AS {c}" for c, x in ru.DEFAULTS.items()) + f" FROM matrix), a AS ({_STORE}) SELECT contest_id, side, fold, score, part, won FROM a")
 def factor_store(spark, sf):
     """One row per (contest, side) written by fold and read back."""
     from touchline.sources.tables import write_features

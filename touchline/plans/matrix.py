@@ -8,7 +8,9 @@ from touchline.functions.devig import with_probs
 from touchline.functions.scalars import elo_expected, rnd
 from touchline.operators import form as fm
 from touchline.operators import quotes as qt
+from touchline.operators import standings as st
 from touchline.plans import form_queries as fq
+from touchline.plans import rating_queries as rq
 from touchline.plans import views as v
 from touchline.plans.registry import ORACLES, query
 from touchline.plans.views import sql_rnd
@@ -51,13 +53,20 @@ def market_columns(spark, sf) -> DataFrame:
                                    rnd("mkt_p_away").alias("market_away_prob"))
 
 
+def table_columns(spark, sf) -> DataFrame:
+    """Gap of both sides in the league table before the contest: places (negative: home stands higher) and points."""
+    rows = st.standings_before(v.team_log(spark, sf), **rq.ranks(spark, sf))
+    gap = lambda c: F.sum(F.when(F.col("side") == "home", F.col(c)).otherwise(-F.col(c))).cast("double")
+    return rows.groupBy("contest_id").agg(gap("position").alias("table_position_diff"), gap("table_pts").alias("table_points_diff"))
+
+
 def contest_matrix(spark, sf) -> DataFrame:
-    """Contest rows with home_ / away_ features, gaps, ratings, absences, market chances and the target."""
+    """Contest rows with home_ / away_ features, gaps, ratings, league table, absences, market chances and the target."""
     log = side_log(spark, sf).select("contest_id", "ts", "pool", "side", F.col("team").alias("id"), "score", *[F.col(c).alias(n) for n, c in SIDE_FEATURES.items()])
     pivot = [F.max(F.when(F.col("side") == s, F.col(n))).alias(f"{s}_{n}") for n in ("id", "score", *SIDE_FEATURES) for s in ("home", "away")]
     games = log.groupBy("contest_id").agg(F.max("ts").alias("ts"), F.max("pool").alias("pool"), *pivot)
     away = fm.absences(games, fq.absence_reports(spark, sf).select("contest_id", "team"))
-    rows = away.join(market_columns(spark, sf), "contest_id", "left")
+    rows = away.join(market_columns(spark, sf), "contest_id", "left").join(table_columns(spark, sf), "contest_id", "left")
     return rows.select(
         "contest_id", "ts", "pool", "home_odds", "draw_odds", "away_odds", "market_home_prob", "market_away_prob",
         F.col("home_absent").alias("home_injured_count"), F.col("away_absent").alias("away_injured_count"),
@@ -66,7 +75,7 @@ def contest_matrix(spark, sf) -> DataFrame:
         F.col("home_side_wins").alias("home_home_form_wins"), F.col("away_side_wins").alias("away_away_form_wins"),
         F.col("home_side_losses").alias("home_home_form_losses"), F.col("away_side_losses").alias("away_away_form_losses"),
         (F.col("home_elo") - F.col("away_elo")).alias("elo_diff"), rnd(elo_expected("home_elo", "away_elo")).alias("elo_home_win_prob"),
-        (F.col("home_rest_days") - F.col("away_rest_days")).alias("rest_days_diff"),
+        "table_position_diff", "table_points_diff", (F.col("home_rest_days") - F.col("away_rest_days")).alias("rest_days_diff"),
         (F.col("home_sot_avg") - F.col("away_sot_avg")).alias("delta_shots_ot_for_avg"), (F.col("home_poss_avg") - F.col("away_poss_avg")).alias("delta_possession_avg"),
         (F.col("home_pass_pct") - F.col("away_pass_pct")).alias("delta_pass_accuracy_pct"), (F.col("home_conv") - F.col("away_conv")).alias("delta_shot_conversion_rate"),
         F.when(F.col("home_score") > F.col("away_score"), "home").when(F.col("home_score") == F.col("away_score"), "draw").otherwise("away").alias("target"))
@@ -88,15 +97,17 @@ FROM t WHERE t IS NOT NULL)"""
 _PLAIN = [n for n in SIDE_FEATURES if not n.startswith("side_")]
 MATRIX_SQL = f"""{_SIDE_SQL}, {_MKT_SQL}, gm AS (WITH {v.CONTESTS_SQL} SELECT contest_id, ts, pool, home_score, away_score FROM contests),
 ab AS ({ORACLES['absence_counts']}),
+tb AS MATERIALIZED (SELECT contest_id, CAST(sum(CASE WHEN side = 'home' THEN position ELSE -position END) AS DOUBLE) AS table_position_diff,
+CAST(sum(CASE WHEN side = 'home' THEN table_pts ELSE -table_pts END) AS DOUBLE) AS table_points_diff FROM ({ORACLES['standings_before']}) GROUP BY contest_id),
 matrix AS (SELECT gm.contest_id, ts, pool, home_odds, draw_odds, away_odds, market_home_prob, market_away_prob, home_absent AS home_injured_count, away_absent AS away_injured_count,
 {", ".join(f"{t}.{n} AS {s}_{n}" for n in _PLAIN for t, s in (("h", "home"), ("w", "away")))},
 h.side_points AS home_home_form_points, w.side_points AS away_away_form_points, h.side_wins AS home_home_form_wins, w.side_wins AS away_away_form_wins,
 h.side_losses AS home_home_form_losses, w.side_losses AS away_away_form_losses, h.elo - w.elo AS elo_diff, {sql_rnd('1 / (1 + power(10, (w.elo - h.elo) / 400))')} AS elo_home_win_prob,
-h.rest_days - w.rest_days AS rest_days_diff, h.sot_avg - w.sot_avg AS delta_shots_ot_for_avg, h.poss_avg - w.poss_avg AS delta_possession_avg,
+table_position_diff, table_points_diff, h.rest_days - w.rest_days AS rest_days_diff, h.sot_avg - w.sot_avg AS delta_shots_ot_for_avg, h.poss_avg - w.poss_avg AS delta_possession_avg,
 h.pass_pct - w.pass_pct AS delta_pass_accuracy_pct, h.conv - w.conv AS delta_shot_conversion_rate,
 CASE WHEN home_score > away_score THEN 'home' WHEN home_score = away_score THEN 'draw' ELSE 'away' END AS target
 FROM gm JOIN side_feats h ON h.contest_id = gm.contest_id AND h.side = 'home' JOIN side_feats w ON w.contest_id = gm.contest_id AND w.side = 'away'
-JOIN ab ON ab.contest_id = gm.contest_id LEFT JOIN mk ON mk.contest_id = gm.contest_id)"""
+JOIN ab ON ab.contest_id = gm.contest_id LEFT JOIN tb ON tb.contest_id = gm.contest_id LEFT JOIN mk ON mk.contest_id = gm.contest_id)"""
 DELTAS = ["delta_shots_ot_for_avg", "delta_possession_avg", "delta_pass_accuracy_pct", "delta_shot_conversion_rate"]
 
 

@@ -82,7 +82,7 @@ spots AS (SELECT n.pool, n.contest_id, n.g, t.team FROM num n JOIN teams t USING
 cur AS (SELECT a.contest_id, a.pool, a.team, s.pts, s.gd, s.gf FROM spots a ASOF JOIN st s ON a.pool = s.pool AND a.team = s.team AND s.g < a.g)"""
 
 
-def _ranks(spark, sf):
+def ranks(spark, sf):
     return {"max_rank": 2 * read_table(spark, sf, "orders").count()}
 
 
@@ -92,7 +92,7 @@ SELECT l.contest_id, l.team, l.side, CASE WHEN coalesce(n, 0) < 4 THEN 10.0 ELSE
 CAST(CASE WHEN coalesce(n, 0) < 4 THEN 0 ELSE coalesce(r.pts, 0) END AS BIGINT) AS table_pts, CAST(CASE WHEN coalesce(n, 0) < 4 THEN 0 ELSE coalesce(r.gd, 0) END AS BIGINT) AS table_gd
 FROM log l LEFT JOIN cnt USING (contest_id) LEFT JOIN rk r ON r.contest_id = l.contest_id AND r.team = l.team""")
 def standings_before(spark, sf):
-    return st.standings_before(v.team_log(spark, sf), **_ranks(spark, sf)).select("contest_id", "team", "side", "position", "table_pts", "table_gd")
+    return st.standings_before(v.team_log(spark, sf), **ranks(spark, sf)).select("contest_id", "team", "side", "position", "table_pts", "table_gd")
 
 
 @query("standings_points_only", f"""WITH {_STATES},
@@ -100,7 +100,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY contest_id ORDER BY pts DESC, t
 SELECT l.contest_id, l.team, l.side, CAST(coalesce(pos, coalesce(n, 0) + 1) AS DOUBLE) AS position, CAST(coalesce(r.pts, 0) AS BIGINT) AS table_pts
 FROM log l LEFT JOIN cnt USING (contest_id) LEFT JOIN rk r ON r.contest_id = l.contest_id AND r.team = l.team""")
 def standings_points_only(spark, sf):
-    return st.standings_before(v.team_log(spark, sf), points_only=True, **_ranks(spark, sf)).select("contest_id", "team", "side", "position", "table_pts")
+    return st.standings_before(v.team_log(spark, sf), points_only=True, **ranks(spark, sf)).select("contest_id", "team", "side", "position", "table_pts")
 
 
 @query("standings_at", f"""WITH {v.LOG_SQL}, t AS (SELECT pool, team, CAST(sum(pts) AS BIGINT) AS points, CAST(sum(score - score_ag) AS BIGINT) AS gd, CAST(sum(score) AS BIGINT) AS gf, count(*) AS played

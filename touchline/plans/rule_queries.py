@@ -21,7 +21,7 @@ from touchline.sources.tables import read_table
 
 # ---- factor scores over the contest matrix ----------------------------------------------------------------------------
 _DEF_SQL = "d AS (SELECT contest_id, home_odds, draw_odds, away_odds, target, " + ", ".join(
-    f"coalesce({c}, {x}) AS {c}" if not c.startswith("table_") else f"CAST({x} AS DOUBLE) AS {c}" for c, x in DEFAULTS.items()) + " FROM matrix)"
+    f"coalesce({c}, {x}) AS {c}" for c, x in DEFAULTS.items()) + " FROM matrix)"
 
 
 def score_sql(side: str, subset=None) -> str:
@@ -29,7 +29,7 @@ def score_sql(side: str, subset=None) -> str:
 
 
 _TIER = "CASE " + " ".join(f"WHEN {{s}} >= {a} THEN {e}" for a, e in EV_TIERS) + " END"
-STRUCTURE = {n for s, n, _, _, g in FACTORS if g in ("rating", "table", "xg")}
+STRUCTURE = {n for s, n, _, _, g in FACTORS if g in ("elo", "table")}
 _SCORES_SQL = f"""{mt.MATRIX_SQL}, {_DEF_SQL}, sc AS (SELECT *, {score_sql('home')} AS score_home, {score_sql('away')} AS score_away,
 {score_sql('home', STRUCTURE)} AS part_home, {score_sql('away', STRUCTURE)} AS part_away FROM d)"""
 
