@@ -44,7 +44,7 @@ def test_pooling_against_definition():
 
 def test_goal_model_solves_the_likelihood_equations(spark, sf):
     games = v.contests(spark, sf)
-    params, home = ln.goal_strengths(games, half_scale_days=1e12, rounds=60)
+    params, home = ln.goal_strengths(games, half_scale_days=1e12, tolerance=1e-6)
     m = ln.goal_means(games, params, home)
     by = m.groupBy("home_id").agg(F.sum("home_score").alias("g"), F.sum("lam").alias("e"))
     whole = m.agg(F.sum("home_score").alias("g"), F.sum("lam").alias("e"), F.sum("away_score").alias("ga"), F.sum("mu").alias("ea")).first()

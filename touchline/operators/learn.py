@@ -76,6 +76,8 @@ def walk_forward(df: DataFrame, folds: list[tuple[str, str]], model: Callable[[D
             continue
         fitted = model(train).fit(train)
         out.append(probabilities(fitted.transform(test), names).withColumn("fold", F.lit(i)))
+    if not out:  # every fold was too thin
+        return df.select("*", *[F.lit(None).cast("double").alias(n) for n in names], F.lit(None).cast("int").alias("fold")).limit(0)
     return reduce(DataFrame.unionByName, out)
 
 
@@ -106,12 +108,12 @@ def weighted_average(bases: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 
 def platt(scored: DataFrame, score: str, label: str, order: str = "ts", tail: float = 0.2) -> DataFrame:
-    """Logistic calibration of a score, fitted on the newest fifth."""
+    """Logistic calibration of a score: fitted on the last but one `tail` of time, applied to the rows after it, so no row is scored by a fit on itself."""
     timed = scored.withColumn("_t", F.col(order).cast("timestamp").cast("double")).withColumn("_all", F.lit(0)).withColumn("label", F.col(label).cast("double"))
-    rows = timed.join(quantiles(timed.select("_all", "_t"), ["_all"], "_t", {"_c": 1 - tail}), "_all")
+    rows = timed.join(quantiles(timed.select("_all", "_t"), ["_all"], "_t", {"_c": 1 - tail, "_from": 1 - 2 * tail}), "_all")
     assembler = VectorAssembler(inputCols=[score], outputCol="scaled")
-    model = LogisticRegression(featuresCol="scaled", labelCol="label", maxIter=50).fit(assembler.transform(rows.where("_t >= _c")))
-    got = model.transform(assembler.transform(rows))
+    model = LogisticRegression(featuresCol="scaled", labelCol="label", maxIter=50).fit(assembler.transform(rows.where("_t >= _from AND _t < _c")))
+    got = model.transform(assembler.transform(rows.where("_t >= _c")))
     return got.select(*scored.columns, vector_to_array("probability")[1].alias("calibrated"))
 
 
@@ -169,12 +171,13 @@ def permutation_importance(test: DataFrame, features: list[str], fitted, seed: i
 
 # ---- goal model ------------------------------------------------------------------------------------------------------
 
-def goal_strengths(games: DataFrame, half_scale_days: float = 365.0, rounds: int = 6) -> tuple[DataFrame, float]:
+def goal_strengths(games: DataFrame, half_scale_days: float = 365.0, tolerance: float = 1e-4, rounds: int = 200) -> tuple[DataFrame, float]:
     """Attack and defence factors per team and the home factor of a time-weighted Poisson goal model.
 
     Goals of i against j have mean attack_i * defence_j (* home). The likelihood equations are solved by fitting the
     margins in turn: each round is two sums over (team, opponent, side) totals, a table that is aggregated
-    once. There is no design matrix, so the number of teams is not limited.
+    once. There is no design matrix, so the number of teams is not limited. Rounds go on until no factor moves by more than `tolerance`
+    (attack is scaled to mean one, as only its product with defence counts); not reaching it within `rounds` is an error.
     """
     latest = games.agg(F.max("ts").alias("t")).first()["t"]
     days = (F.lit(latest.isoformat()).cast("timestamp_ntz").cast("timestamp").cast("long") - F.col("ts").cast("timestamp").cast("long")) / 86400
@@ -189,11 +192,17 @@ def goal_strengths(games: DataFrame, half_scale_days: float = 365.0, rounds: int
         defence = params.select(F.col("team").alias("opp"), "defence")
         attack = pairs.join(defence, "opp").groupBy("team").agg((F.sum("g") / F.sum(F.col("w") * F.col("defence") * factor)).alias("attack"))
         attack = attack.withColumn("attack", F.greatest(F.col("attack"), F.lit(1e-3)))
+        mean = cut(attack).agg(F.avg("attack").alias("m")).first()["m"]
+        attack = attack.withColumn("attack", F.col("attack") / F.lit(mean))
         against = pairs.join(attack, "team").groupBy("opp").agg((F.sum("g") / F.sum(F.col("w") * F.col("attack") * factor)).alias("defence"))
-        params = cut(attack.join(against.select(F.col("opp").alias("team"), F.greatest(F.col("defence"), F.lit(1e-3)).alias("defence")), "team"))
+        was, params = params, cut(attack.join(against.select(F.col("opp").alias("team"), F.greatest(F.col("defence"), F.lit(1e-3)).alias("defence")), "team"))
         fit = pairs.where("at_home = 1").join(params.select("team", "attack"), "team").join(params.select(F.col("team").alias("opp"), "defence"), "opp")
-        home = fit.agg((F.sum("g") / F.sum(F.col("w") * F.col("attack") * F.col("defence"))).alias("h")).first()["h"]
-    return params, float(home)
+        old, home = home, fit.agg((F.sum("g") / F.sum(F.col("w") * F.col("attack") * F.col("defence"))).alias("h")).first()["h"]
+        moved = was.select("team", F.col("attack").alias("_a"), F.col("defence").alias("_d")).join(params, "team").agg(
+            F.max(F.greatest(F.abs(F.col("attack") - F.col("_a")), F.abs(F.col("defence") - F.col("_d")))).alias("x")).first()["x"]
+        if max(moved or 0.0, abs(home - old)) < tolerance:
+            return params, float(home)
+    raise RuntimeError(f"the goal model still moves after {rounds} rounds")
 
 
 def goal_means(games: DataFrame, params: DataFrame, home: float) -> DataFrame:
@@ -205,12 +214,18 @@ def goal_means(games: DataFrame, params: DataFrame, home: float) -> DataFrame:
     return out.withColumn("lam", F.col("_home_a") * F.col("_away_d") * F.lit(home)).withColumn("mu", F.col("_away_a") * F.col("_home_d")).drop("_home_a", "_home_d", "_away_a", "_away_d")
 
 
-def best_rho(rows: DataFrame, grid: tuple[float, ...] = tuple(round(-0.2 + 0.02 * i, 2) for i in range(21))) -> float:
-    """Low-score correction with the highest likelihood on a grid: one aggregation."""
+def best_rho(rows: DataFrame, low: float = -0.5, high: float = 0.5, steps: int = 20, digits: int = 4) -> float:
+    """Low-score correction with the highest likelihood: a grid over the whole range, refined around its best point to so many digits; one aggregation a level."""
     lam, mu, h, a = F.col("lam"), F.col("mu"), F.col("home_score"), F.col("away_score")
 
     def corr(r: float):
         c = (F.when((h == 0) & (a == 0), 1 - lam * mu * r).when((h == 0) & (a == 1), 1 + lam * r).when((h == 1) & (a == 0), 1 + mu * r).when((h == 1) & (a == 1), F.lit(1.0 - r)))
         return F.sum(F.log(F.greatest(c, F.lit(1e-10))))
-    low = rows.where((h <= 1) & (a <= 1)).agg(*[F.coalesce(corr(r), F.lit(0.0)).alias(f"r{i}") for i, r in enumerate(grid)]).first()
-    return grid[max(range(len(grid)), key=lambda i: low[i])]
+    few = cut(rows.where((h <= 1) & (a <= 1)).select("lam", "mu", "home_score", "away_score"))
+    while True:
+        grid = [low + (high - low) * i / steps for i in range(steps + 1)]
+        got = few.agg(*[F.coalesce(corr(r), F.lit(0.0)).alias(f"r{i}") for i, r in enumerate(grid)]).first()
+        best = max(range(len(grid)), key=lambda i: (got[i], -abs(grid[i])))
+        if grid[1] - grid[0] < 10 ** -digits:
+            return round(grid[best], digits)
+        low, high = grid[max(best - 1, 0)], grid[min(best + 1, steps)]

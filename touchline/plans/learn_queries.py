@@ -1,7 +1,10 @@
 """Queries of the learning and calibration family."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import Imputer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.devig import with_probs
@@ -265,8 +268,14 @@ def agreement_runner(spark, sf):
                              .withColumn("gap", F.col("home_rating") - F.col("away_rating"))))
     folds = [("2000-01-01", "2000-10-01"), ("2000-10-01", "2001-09-01")]
     model = ln.walk_forward(rows, folds, lambda train: ln.logistic(["gap", "home_rating", "away_rating"]))
-    params, home = ln.goal_strengths(games.where(F.col("ts") < F.lit(folds[0][0]).cast("timestamp_ntz")), rounds=4)
-    other = rt.goal_grid(ln.goal_means(rows.where(F.col("ts") >= F.lit(folds[0][0]).cast("timestamp_ntz")), params, home), "lam", "mu")
+    parts = []
+    for start, end in folds:  # the goal model is fitted anew on what lies before each fold
+        lo, hi = (F.lit(x).cast("timestamp_ntz") for x in (start, end))
+        train = games.where(F.col("ts") < lo)
+        params, home = ln.goal_strengths(train)
+        rho = ln.best_rho(ln.goal_means(train, params, home))
+        parts.append(rt.goal_grid(ln.goal_means(rows.where((F.col("ts") >= lo) & (F.col("ts") < hi)), params, home), "lam", "mu", rho))
+    other = reduce(DataFrame.unionByName, parts)
     both = ln.base_columns({"m": model, "g": other})
     joint = ln.weighted_average(both, {"m": 0.5, "g": 0.5}).where("agree = 2")
     return rounded(joint, ["contest_id", "agree"], ln.PROBS, 4)
