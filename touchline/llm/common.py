@@ -68,15 +68,15 @@ def shingle_hashes(text: str | None, words: int, seed: int = SEED):
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """The different shingle hashes of a text as signed integers."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)])).view(np.int64)
+    """The different shingles of a text as 32-bit hashes (half of each 64-bit hash; two shingles of a pair of texts seldom share one)."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint32), *[(h >> np.uint64(32)).astype(np.uint32) for h in shingle_hashes(text, words)]])).view(np.int32)
 
 
-def leader_links(alive: DataFrame, sets: DataFrame, similarity: float, near: Column | None = None, leaders: int = 4) -> DataFrame:
+def leader_links(alive: DataFrame, sets: DataFrame, similarity: float, near: Column | None = None, leaders: int = 1) -> DataFrame:
     """Links (a, b) of Jaccard likeness `similarity` or more between members of common buckets (seg, id, fp); sets are (id, set array).
 
-    Not all pairs of a bucket are formed. In each round its first few undecided members lead it and all others are compared with them; members found
-    alike leave all their buckets, as do the leaders theirs. The number of leaders doubles each round until no bucket has two undecided members.
+    Not all pairs of a bucket are formed. In each round its first undecided members lead it and all others are compared with them; members found
+    alike leave all their buckets, as do the leaders theirs. The number of leaders doubles each round until every bucket is empty.
     So every id is either linked to a leader, or was compared with every other undecided id of its buckets: no two ids without links are
     alike and share a bucket. `near` is a cheap condition on fp and lead_fp that alike pairs fulfil.
     """
@@ -89,10 +89,8 @@ def leader_links(alive: DataFrame, sets: DataFrame, similarity: float, near: Col
         same = F.size(F.array_intersect("x", "y"))
         found = cut(both.where(same >= F.lit(similarity - 1e-9) * (F.size("x") + F.size("y") - same)).select(F.col("id").alias("a"), F.col("lead").alias("b")))
         links = found if links is None else links.unionByName(found)
-        left = alive.join(lead.select("seg", "id"), ["seg", "id"], "left_anti").join(cut(found.select(F.col("a").alias("id")).distinct()), "id", "left_anti")
-        left = cut(left.select("seg", "id", "fp"))
-        held = left.groupBy("seg").agg(F.count("*").alias("n")).where("n > 1").select("seg")
-        alive = cut(left.join(held, "seg"))
+        met = found.select(F.col("a").alias("id")).distinct()
+        alive = cut(alive.join(lead.select("seg", "id"), ["seg", "id"], "left_anti").join(met, "id", "left_anti").select("seg", "id", "fp"))
         leaders *= 2
     kind = sets.schema["id"].dataType.simpleString()
     return sets.sparkSession.createDataFrame([], f"a {kind}, b {kind}") if links is None else links
@@ -101,31 +99,30 @@ def leader_links(alive: DataFrame, sets: DataFrame, similarity: float, near: Col
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the edges (a, b): every node of them with the smallest node it can reach, as (node, root).
 
-    Large-star and small-star rounds (Kiveris et al. 2014): each round is two joins with a per-node minimum, and the
-    number of rounds grows with the logarithm of the longest path. Lineage is cut by a reliable checkpoint in each round.
+    Large-star and small-star rounds (Kiveris et al. 2014) until only stars are left: each round is two joins with a per-node minimum, and
+    the number of rounds grows with the logarithm of the longest path. Lineage is cut by a reliable checkpoint in each round.
     Nulls and self-links are ignored; repeated links count once. A hub's links are joined to one minimum each, and both
     sides of that join are plain shuffles, which adaptive execution may split.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = cut(large)
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
-        small = joined.select("a", F.col("m").alias("b")).unionByName(
-            joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        edges = cut(small)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == mark:
-            break
-        mark = now
+        large = cut(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        joined = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        edges = cut(joined.select("a", F.col("m").alias("b")).unionByName(
+            joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node either has one link downwards or is only linked to from above: then all links lead to the smallest node of their component."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").limit(1).count() == 0
+
+
 def ranges(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """rows with `bucket`: the number of range bounds at or below the key, so that buckets follow the order of the key.
 

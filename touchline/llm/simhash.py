@@ -113,8 +113,8 @@ def segments(text: str | None) -> list[int]:
     return [x - (1 << 64) if x >> 63 else x for x in found]
 
 
-def likeness_links(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """Links (a, b) between ids of different texts (doc_id not null and unique, text, fp) of Jaccard likeness `similarity` or more over shingles of `words` words.
+def likeness_links(docs: DataFrame, firsts: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """Links (a, b) between those documents (doc_id, text) that firsts (doc_id, fp) names, of Jaccard likeness `similarity` or more over shingles of `words` words.
 
     Candidates share one of the rarest segments of either text: texts that agree in a share AGREE of their segments agree in one of the rarest 1 - AGREE, so
     passages that many documents share bring no candidates. In a family of near copies not all pairs are formed (leader_links).
@@ -123,20 +123,23 @@ def likeness_links(docs: DataFrame, similarity: float = 0.8, words: int = 5) ->
     def segs(texts: pd.Series) -> pd.Series:
         return pd.Series([segments(t) for t in texts], index=texts.index, dtype=object)
 
-    @F.pandas_udf("array<bigint>")
+    @F.pandas_udf("array<int>")
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, words) for t in texts], index=texts.index, dtype=object)
 
-    rows = cut(docs.select(F.col("doc_id").alias("id"), "fp", segs("text").alias("s")).select("id", "fp", F.size("s").alias("k"), F.explode("s").alias("seg")))
+    # texts stay where they are; only the arrays of segment hashes are joined, and rows are exploded from them when needed
+    cutted = docs.select("doc_id", segs("text").alias("s")).join(firsts, "doc_id").dropDuplicates(["doc_id"])
+    cutted = cut(cutted.select(F.col("doc_id").alias("id"), "fp", "s"))
+    rows = cutted.select("id", F.explode("s").alias("seg"))
     sizes = cut(rows.groupBy("seg").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = rows.join(sizes, "seg")
+    shared = rows.join(sizes, "seg").join(cutted.select("id", "fp", F.size("s").alias("k")), "id")
     by_doc = Window.partitionBy("id")
     ranked = shared.withColumn("lone", F.col("k") - F.count("*").over(by_doc)).withColumn("r", F.row_number().over(by_doc.orderBy("n", "seg")))
     first = cut(ranked.where(F.col("r") + F.col("lone") <= F.ceil((1 - AGREE) * F.col("k")) + 1).select("seg", "id", "fp"))
-    held = cut(first.groupBy("seg").agg(F.count("*").alias("n")).where("n > 1").select("seg"))
+    held = first.groupBy("seg").agg(F.count("*").alias("n")).where("n > 1").select("seg")
     alive = cut(first.join(held, "seg"))
     ids = cut(alive.select(F.col("id").alias("doc_id")).distinct())
-    sets = cut(docs.join(ids, "doc_id").select(F.col("doc_id").alias("id"), shingles("text").alias("set")))
+    sets = cut(docs.select("doc_id", "text").join(ids, "doc_id").select(F.col("doc_id").alias("id"), shingles("text").alias("set")).dropDuplicates(["id"]))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead_fp"))) <= FAR_BITS
     return leader_links(alive, sets, similarity, near)
 
@@ -151,8 +154,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFr
     named = docs.where("doc_id is not null")
     classes = cut(near_classes(named))
     firsts = cut(classes.where("doc_id = component_id").select("doc_id", "fp").distinct())
-    texts = named.select("doc_id", "text").join(firsts, "doc_id").dropDuplicates(["doc_id"])
-    later = components(likeness_links(texts, similarity, words))
+    later = components(likeness_links(named, firsts, similarity, words))
     stay = cut(firsts.join(later.where("node <> root").select(F.col("node").alias("doc_id")), "doc_id", "left_anti").select("doc_id"))
     return named.join(stay, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
