@@ -11,6 +11,7 @@ from touchline.plans import views as v
 from touchline.plans.quote_queries import PRIORITY, _RANK
 from touchline.plans.registry import query, rounded, sql_rounded
 from touchline.plans.views import sql_rnd
+from touchline.sources.tables import read_table
 
 BY = ["strategy"]
 MARKETS = ["1x2", "total", "btts", "double_chance", "handicap", "corners"]
@@ -233,6 +234,25 @@ def strategy_stats(spark, sf):
     return rounded(mx.settled_roi(book, BY), ["strategy", "n"], ["win_rate", "roi", "avg_odds", "avg_clv", "profit"])
 
 
+DAYS = 365
+
+
+@query("report_by_league", f"""WITH {v.LEDGER_SQL}, j AS (SELECT c_mktsegment AS league, result, odds, ts FROM ledger LEFT JOIN customer ON c_custkey = owner),
+w AS (SELECT * FROM j WHERE CAST(ts AS DATE) > (SELECT CAST(max(ts) AS DATE) FROM ledger) - {DAYS})
+SELECT league, count(*) AS n, count(result) AS settled, count(*) FILTER (result = 'win') AS wins, {sql_rnd("avg((result = 'win')::INT)")} AS win_rate,
+{sql_rnd("sum(CASE result WHEN 'win' THEN odds - 1 WHEN 'loss' THEN -1 END)")} AS units, {sql_rnd("avg(odds)")} AS avg_odds FROM w GROUP BY league""")
+def report_by_league(spark, sf, days: int = DAYS):
+    """Picks, settled picks, hit rate and units per league over the last `days` days before the newest entry."""
+    book = v.ledger(spark, sf)
+    newest = F.lit(book.agg(F.max("ts")).first()[0]).cast("date")
+    owner = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("owner"), F.col("c_mktsegment").alias("league"))
+    rows = book.where(F.col("ts").cast("date") > F.date_sub(newest, days)).join(owner, "owner", "left")
+    won = F.col("result") == "win"
+    got = rows.groupBy("league").agg(F.count(F.lit(1)).alias("n"), F.count("result").alias("settled"), F.count(F.when(won, 1)).alias("wins"), F.avg(won.cast("double")).alias("win_rate"),
+                                     F.sum(F.when(won, F.col("odds") - 1).when(F.col("result") == "loss", F.lit(-1.0))).alias("units"), F.avg("odds").alias("avg_odds"))
+    return rounded(got, ["league", "n", "settled", "wins"], ["win_rate", "units", "avg_odds"])
+
+
 @query("last20_results", f"""WITH {v.LEDGER_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY ts DESC, id DESC) AS rn FROM ledger WHERE result IS NOT NULL)
 SELECT strategy, string_agg(upper(result[1]), '' ORDER BY rn DESC) AS last, count(*) AS n FROM r WHERE rn <= 20 GROUP BY strategy""")
 def last20(spark, sf):

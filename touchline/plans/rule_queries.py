@@ -174,6 +174,33 @@ def rule_best(spark, sf):
     return rounded(got, ["contest_id", "rule", "odds", "won"], ["p_is", "ev", "kelly"])
 
 
+def _best_by(rank: str) -> str:
+    """One rule per contest by another in-sample rank; equal ranks go by rule."""
+    return f"""WITH {_M}, {_STATS_SQL}, k AS (SELECT *, {sql_rnd(rank, 9)} AS rank FROM stats),
+c AS (SELECT m.contest_id, m.rule, m.odds, m.won, p_is, rank, p_is * m.odds - 1 AS ev, least(CASE WHEN m.odds > 1 THEN greatest(0.0, (p_is * (m.odds - 1) - (1 - p_is)) / (m.odds - 1) * 0.25) ELSE 0 END, 0.04) AS kelly
+FROM m JOIN k ON k.league = m.league AND k.side = m.side AND k.rule = m.rule),
+r AS (SELECT *, row_number() OVER (PARTITION BY contest_id ORDER BY rank DESC, rule) AS rn FROM c WHERE ev > 0 AND kelly > 0) SELECT contest_id, rule, odds, won, {sql_rounded(['p_is', 'rank', 'ev', 'kelly'])} FROM r WHERE rn = 1"""
+
+
+def _best_picks(spark, sf, rank):
+    m = matched(spark, sf)
+    stats = ru.rule_stats(m, ["league", "side", "rule"], CUT).select("league", "side", "rule", "p_is", rnd(rank, 9).alias("rank"))
+    got = ru.best_rule_picks(m.join(stats, ["league", "side", "rule"]), "p_is", "rank")
+    return rounded(got, ["contest_id", "rule", "odds", "won"], ["p_is", "rank", "ev", "kelly"])
+
+
+@query("rule_best_lower", _best_by("lower"))
+def rule_best_lower(spark, sf):
+    """One rule per contest: highest lower bound of the in-sample rate."""
+    return _best_picks(spark, sf, F.col("lower"))
+
+
+@query("rule_best_roi", _best_by("p_is * avg_odds - 1"))
+def rule_best_roi(spark, sf):
+    """One rule per contest: highest in-sample return."""
+    return _best_picks(spark, sf, F.col("p_is") * F.col("avg_odds") - 1)
+
+
 _REC = ["full_p", "full_lower", "recent_p", "recent_lower", "drift", "avg_odds"]
 
 
