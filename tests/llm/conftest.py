@@ -1,7 +1,5 @@
 import pytest
 
-from touchline.llm.common import scratch  # noqa: F401
-
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, bucket string, score string, kinds string, seg string"
 
 
