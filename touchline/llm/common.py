@@ -1,6 +1,7 @@
 """Shared pieces: reading tables, shuffle width, scratch folders, word shingles, components."""
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -34,6 +35,12 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver forget finished rounds: Spark deletes their shuffle files (and checkpoints, if told to) once nothing refers to them any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def pieces(data: bytes, block: int = 1 << 20):
     """Cut bytes at white space into pieces of about `block` bytes, so a very long text is never split as a whole."""
     at, n = 0, len(data)
@@ -92,6 +99,8 @@ def leader_links(alive: DataFrame, sets: DataFrame, similarity: float, near: Col
         met = found.select(F.col("a").alias("id")).distinct()
         alive = cut(alive.join(lead.select("seg", "id"), ["seg", "id"], "left_anti").join(met, "id", "left_anti").select("seg", "id", "fp"))
         leaders *= 2
+        del lead, pairs, both, met
+        release(sets.sparkSession)
     kind = sets.schema["id"].dataType.simpleString()
     return sets.sparkSession.createDataFrame([], f"a {kind}, b {kind}") if links is None else links
 
@@ -112,6 +121,8 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         edges = cut(joined.select("a", F.col("m").alias("b")).unionByName(
             joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
+        del both, low, large, joined
+        release(edges.sparkSession)
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 

@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import components, cut, leader_links, shingle_hashes, shingle_set, table
+from touchline.llm.common import components, cut, leader_links, release, shingle_hashes, shingle_set, table
 from touchline.llm.registry import query
 
 #: Fingerprint bits are cut into four blocks; two fingerprints that differ in two bits agree in two blocks at least.
@@ -140,6 +140,8 @@ def likeness_links(docs: DataFrame, firsts: DataFrame, similarity: float = 0.8,
     alive = cut(first.join(held, "seg"))
     ids = cut(alive.select(F.col("id").alias("doc_id")).distinct())
     sets = cut(docs.select("doc_id", "text").join(ids, "doc_id").select(F.col("doc_id").alias("id"), shingles("text").alias("set")).dropDuplicates(["id"]))
+    del cutted, rows, sizes, shared, ranked, first, held, ids
+    release(docs.sparkSession)
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead_fp"))) <= FAR_BITS
     return leader_links(alive, sets, similarity, near)
 
@@ -154,6 +156,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFr
     named = docs.where("doc_id is not null")
     classes = cut(near_classes(named))
     firsts = cut(classes.where("doc_id = component_id").select("doc_id", "fp").distinct())
+    release(docs.sparkSession)
     later = components(likeness_links(named, firsts, similarity, words))
     stay = cut(firsts.join(later.where("node <> root").select(F.col("node").alias("doc_id")), "doc_id", "left_anti").select("doc_id"))
     return named.join(stay, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
