@@ -100,6 +100,24 @@ def test_one_of_each_near_duplicate_group_stays(make, prose):
     assert simhash.keep_one(make([])).count() == 0
 
 
+def test_short_near_copies_are_found(make, prose):
+    rng, rows = random.Random(3), []
+    for k, n in enumerate([8, 9, 10, 12, 15, 18, 22, 30, 40] * 14):
+        words = prose(3000 + k, n).split()
+        other = list(words)
+        at = rng.choice([0, n - 1, rng.randrange(n)])
+        if rng.random() < 0.5:
+            other[at] = "edited"
+        else:
+            other = ["extra", *other] if at < n // 2 else [*other, "extra"]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    docs = make(rows)
+    text = dict(rows)
+    want = {(b, a) for a, b in combinations(text, 2) if jaccard(text[a], text[b]) >= 0.8}
+    got = simhash.likeness_links(docs, simhash.fingerprints(docs).withColumn("fp", F.lit(0).cast("long")))
+    assert len(want) > 40 and {(r["a"], r["b"]) for r in got.collect()} == want
+
+
 def test_fingerprints_and_next_document(make, prose):
     rows = [(3 * i, prose(i, 3 + 9 * i)) for i in range(40)] + [(1, None), (2, ""), (4, "é" * 9), (None, "first of all"), (6, "x y z " * 50_000), (9, "tie b"), (9, "tie a"), (9, "tie a")]
     order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))

@@ -1,9 +1,10 @@
 """SimHash near-duplicates: fingerprints, pigeonhole blocks, Hamming check, linked groups."""
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,67 +81,74 @@ def near_classes(docs: DataFrame, words: int = 3) -> DataFrame:
     return each.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Segments end after a word whose hash is divisible by CUT, and have LEAST_WORDS words at least.
-CUT, LEAST_WORDS = 8, 4
-#: Texts of five-word likeness 0.8 or more agree in at least this share of their segments: each edit changes five shingles, but seldom two segments.
-AGREE = 0.6
+#: Counters of the sketch of shingle counts, and the blocks they are summed in.
+SLOTS, SKETCH_BLOCKS = 1 << 20, 64
 #: Hamming distance beyond which a pair is not looked at more closely; likeness 0.8 gives about 7 of 64 bits, never near 20.
 FAR_BITS = 20
 
 
-class _Ends(dict):
-    """Words after which a segment may end, remembered within a worker."""
+def shingle_counts(docs: DataFrame, words: int = 5) -> np.ndarray:
+    """Sketch of how many texts of docs hold each shingle: one counter for all hashes that agree modulo SLOTS. All rows count; each task sends its counters once."""
+    def count(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for t in b["text"]:
+                slots = (_distinct(t, words) & np.uint64(SLOTS - 1)).astype(np.int64)
+                if len(slots) > SLOTS // 8:
+                    total += np.bincount(slots, minlength=SLOTS)
+                else:
+                    np.add.at(total, slots, 1)
+        if total.any():
+            yield pd.DataFrame({"k": range(SKETCH_BLOCKS), "counts": [x.tobytes() for x in np.split(total, SKETCH_BLOCKS)]})
+
+    def add(part):
+        return pd.DataFrame({"k": part["k"][:1], "counts": [sum(np.frombuffer(x, np.int64) for x in part["counts"]).tobytes()]})
 
-    def __missing__(self, word):
-        self[word] = x = xxhash.xxh32_intdigest(word, 7) % CUT == 0
-        return x
+    kind, total = "k int, counts binary", np.zeros((SKETCH_BLOCKS, SLOTS // SKETCH_BLOCKS), np.int64)
+    for k, counts in docs.select("text").mapInPandas(count, kind).groupBy("k").applyInPandas(add, kind).collect():
+        total[k] = np.frombuffer(counts, np.int64)
+    return total.ravel()
 
 
-_ends = _Ends()
+def _distinct(text: str | None, words: int) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))
 
 
-def segments(text: str | None) -> list[int]:
-    """Hashes of the different segments of a text: cuts follow the words themselves, so an edit changes only the segment it is in."""
-    if len(_ends) > 1_000_000:
-        _ends.clear()
-    words, first, found = (text or "").encode("utf-8", "surrogatepass").lower().split(), 0, set()
-    for i in [i for i, end in enumerate(map(_ends.__getitem__, words)) if end]:
-        if i + 1 - first >= LEAST_WORDS:
-            found.add(xxhash.xxh64_intdigest(b" ".join(words[first:i + 1]), 11))
-            first = i + 1
-    if first < len(words):
-        found.add(xxhash.xxh64_intdigest(b" ".join(words[first:]), 11))
-    return [x - (1 << 64) if x >> 63 else x for x in found]
+def prefix(text: str | None, counts: np.ndarray, similarity: float, words: int) -> tuple[int, np.ndarray]:
+    """Number n of different shingles of a text, and the n - ceil(similarity * n) + 1 that come first by (count, hash).
+
+    Two texts of that Jaccard likeness share ceil(similarity * n) shingles of either at least, so the first of them lies among these of both. That holds for any
+    one order of all shingles; rare ones come first so that few texts share them.
+    """
+    found = _distinct(text, words)
+    most = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1 if len(found) else 0
+    first = np.lexsort((found, counts[(found & np.uint64(SLOTS - 1)).astype(np.int64)]))[:most]
+    return len(found), found[first].view(np.int64)
 
 
 def likeness_links(docs: DataFrame, firsts: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
     """Links (a, b) between those documents (doc_id, text) that firsts (doc_id, fp) names, of Jaccard likeness `similarity` or more over shingles of `words` words.
 
-    Candidates share one of the rarest segments of either text: texts that agree in a share AGREE of their segments agree in one of the rarest 1 - AGREE, so
-    passages that many documents share bring no candidates. In a family of near copies not all pairs are formed (leader_links).
+    Candidates are all pairs that share a shingle of their prefixes: no pair of that likeness is missed, whatever its length (shingles count as equal if their hashes do).
+    Passages that many documents share come last in the order and bring no candidates. In a family of near copies not all pairs are formed (leader_links).
     """
-    @F.pandas_udf("array<bigint>")
-    def segs(texts: pd.Series) -> pd.Series:
-        return pd.Series([segments(t) for t in texts], index=texts.index, dtype=object)
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, words))
+
+    @F.pandas_udf("n int, segs array<bigint>")
+    def prefixes(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([prefix(t, counts.value, similarity, words) for t in texts], columns=["n", "segs"], index=texts.index)
 
     @F.pandas_udf("array<int>")
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, words) for t in texts], index=texts.index, dtype=object)
 
-    # texts stay where they are; only the arrays of segment hashes are joined, and rows are exploded from them when needed
-    cutted = docs.select("doc_id", segs("text").alias("s")).join(firsts, "doc_id").dropDuplicates(["doc_id"])
-    cutted = cut(cutted.select(F.col("doc_id").alias("id"), "fp", "s"))
-    rows = cutted.select("id", F.explode("s").alias("seg"))
-    sizes = cut(rows.groupBy("seg").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = rows.join(sizes, "seg").join(cutted.select("id", "fp", F.size("s").alias("k")), "id")
-    by_doc = Window.partitionBy("id")
-    ranked = shared.withColumn("lone", F.col("k") - F.count("*").over(by_doc)).withColumn("r", F.row_number().over(by_doc.orderBy("n", "seg")))
-    first = cut(ranked.where(F.col("r") + F.col("lone") <= F.ceil((1 - AGREE) * F.col("k")) + 1).select("seg", "id", "fp"))
-    held = first.groupBy("seg").agg(F.count("*").alias("n")).where("n > 1").select("seg")
-    alive = cut(first.join(held, "seg"))
+    # texts stay where they are; only the prefixes are joined
+    first = docs.select("doc_id", prefixes("text").alias("p")).join(firsts, "doc_id").dropDuplicates(["doc_id"])
+    rows = first.select(F.col("doc_id").alias("id"), "fp", F.explode("p.segs").alias("seg"))
+    alive = cut(rows.withColumn("many", F.count("*").over(Window.partitionBy("seg"))).where("many > 1").select("seg", "id", "fp"))
     ids = cut(alive.select(F.col("id").alias("doc_id")).distinct())
     sets = cut(docs.select("doc_id", "text").join(ids, "doc_id").select(F.col("doc_id").alias("id"), shingles("text").alias("set")).dropDuplicates(["id"]))
-    del cutted, rows, sizes, shared, ranked, first, held, ids
+    del first, rows, ids
     release(docs.sparkSession)
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead_fp"))) <= FAR_BITS
     return leader_links(alive, sets, similarity, near)
