@@ -118,6 +118,17 @@ def test_short_near_copies_are_found(make, prose):
     assert len(want) > 40 and {(r["a"], r["b"]) for r in got.collect()} == want
 
 
+def test_repeated_lines_do_not_part_copies(make, prose):
+    rows = []
+    for k in range(4):
+        text, line = prose(4000 + k, 200), prose(4100 + k, 10)
+        rows += [(2 * k, f"{text} {line}"), (2 * k + 1, f"{text} {' '.join([line] * 20)}")]
+    text = dict(rows)
+    assert all(jaccard(text[2 * k], text[2 * k + 1]) >= 0.8 for k in range(4))
+    assert any((plain_simhash(text[2 * k]) ^ plain_simhash(text[2 * k + 1])).bit_count() > 20 for k in range(4))
+    assert sorted(r["doc_id"] for r in simhash.keep_one(make(rows)).collect()) == [0, 2, 4, 6]
+
+
 def test_fingerprints_and_next_document(make, prose):
     rows = [(3 * i, prose(i, 3 + 9 * i)) for i in range(40)] + [(1, None), (2, ""), (4, "é" * 9), (None, "first of all"), (6, "x y z " * 50_000), (9, "tie b"), (9, "tie a"), (9, "tie a")]
     order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))

@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.session import cut, ensure_checkpoint_dir
@@ -79,25 +79,25 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint32), *[(h >> np.uint64(32)).astype(np.uint32) for h in shingle_hashes(text, words)]])).view(np.int32)
 
 
-def leader_links(alive: DataFrame, sets: DataFrame, similarity: float, near: Column | None = None, leaders: int = 1) -> DataFrame:
-    """Links (a, b) of Jaccard likeness `similarity` or more between members of common buckets (seg, id, fp); sets are (id, set array).
+def leader_links(alive: DataFrame, sets: DataFrame, similarity: float, leaders: int = 1) -> DataFrame:
+    """Links (a, b) of Jaccard likeness `similarity` or more between members of common buckets (seg, id, n); sets are (id, set array of n).
 
     Not all pairs of a bucket are formed. In each round its first undecided members lead it and all others are compared with them; members found
     alike leave all their buckets, as do the leaders theirs. The number of leaders doubles each round until every bucket is empty.
     So every id is either linked to a leader, or was compared with every other undecided id of its buckets: no two ids without links are
-    alike and share a bucket. `near` is a cheap condition on fp and lead_fp that alike pairs fulfil.
+    alike and share a bucket. Sizes whose ratio is below `similarity` rule a pair out before its sets are read.
     """
     links = None
     while alive.limit(1).count():
-        lead = cut(alive.withColumn("r", F.row_number().over(Window.partitionBy("seg").orderBy("id"))).where(F.col("r") <= leaders).select("seg", "id", "fp"))
-        pairs = alive.join(lead.select("seg", F.col("id").alias("lead"), F.col("fp").alias("lead_fp")), "seg").where(F.col("lead") < F.col("id"))
-        pairs = cut((pairs if near is None else pairs.where(near)).select("lead", "id").distinct())
+        lead = cut(alive.withColumn("r", F.row_number().over(Window.partitionBy("seg").orderBy("id"))).where(F.col("r") <= leaders).select("seg", "id", "n"))
+        pairs = alive.join(lead.select("seg", F.col("id").alias("lead"), F.col("n").alias("lead_n")), "seg").where(F.col("lead") < F.col("id"))
+        pairs = cut(pairs.where(F.least("n", "lead_n") >= F.lit(similarity - 1e-9) * F.greatest("n", "lead_n")).select("lead", "id").distinct())
         both = pairs.join(sets, "id").withColumnRenamed("set", "x").join(sets.select(F.col("id").alias("lead"), F.col("set").alias("y")), "lead")
         same = F.size(F.array_intersect("x", "y"))
         found = cut(both.where(same >= F.lit(similarity - 1e-9) * (F.size("x") + F.size("y") - same)).select(F.col("id").alias("a"), F.col("lead").alias("b")))
         links = found if links is None else links.unionByName(found)
         met = found.select(F.col("a").alias("id")).distinct()
-        alive = cut(alive.join(lead.select("seg", "id"), ["seg", "id"], "left_anti").join(met, "id", "left_anti").select("seg", "id", "fp"))
+        alive = cut(alive.join(lead.select("seg", "id"), ["seg", "id"], "left_anti").join(met, "id", "left_anti").select("seg", "id", "n"))
         leaders *= 2
         del lead, pairs, both, met
         release(sets.sparkSession)

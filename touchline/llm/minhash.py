@@ -121,11 +121,11 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, words: int = WORDS) -
     ids = cut(each.groupBy("id").agg(F.min("doc_id").alias("first")))
     chosen = base.join(ids.where("first is not null").withColumnRenamed("first", "doc_id"), "doc_id").where(F.md5(F.col("text").cast("binary")) == F.col("id"))
     chosen = chosen.unionByName(base.where("doc_id is null").withColumn("id", F.md5(F.col("text").cast("binary"))).join(ids.where("first is null").select("id"), "id").select(*chosen.columns))
-    rows = cut(chosen.select("id", F.posexplode(bands("text"))).select("id", F.xxhash64("pos", "col").alias("seg"), F.lit(0).alias("fp")).distinct())
+    rows = cut(chosen.select("id", F.posexplode(bands("text"))).select("id", F.xxhash64("pos", "col").alias("seg")).distinct())
     held = cut(rows.groupBy("seg").agg(F.count("*").alias("n")).where("n > 1").select("seg"))
     alive = cut(rows.join(held, "seg"))
     sets = cut(chosen.join(cut(alive.select("id").distinct()), "id").dropDuplicates(["id"]).select("id", shingles("text").alias("set")))
-    roots = components(leader_links(alive, sets, similarity))
+    roots = components(leader_links(alive.join(sets.select("id", F.size("set").alias("n")), "id"), sets, similarity))
     rooted = cut(ids.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "first", F.coalesce("root", "id").alias("root")))
     classes = cut(rooted.groupBy("root").agg(F.min("first").alias("class_id")))
     return each.join(cut(rooted.join(classes, "root").select("id", "class_id")), "id").select("doc_id", "class_id")

@@ -83,8 +83,6 @@ def near_classes(docs: DataFrame, words: int = 3) -> DataFrame:
 
 #: Counters of the sketch of shingle counts, and the blocks they are summed in.
 SLOTS, SKETCH_BLOCKS = 1 << 20, 64
-#: Hamming distance beyond which a pair is not looked at more closely; likeness 0.8 gives about 7 of 64 bits, never near 20.
-FAR_BITS = 20
 
 
 def shingle_counts(docs: DataFrame, words: int = 5) -> np.ndarray:
@@ -127,7 +125,7 @@ def prefix(text: str | None, counts: np.ndarray, similarity: float, words: int)
 
 
 def likeness_links(docs: DataFrame, firsts: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """Links (a, b) between those documents (doc_id, text) that firsts (doc_id, fp) names, of Jaccard likeness `similarity` or more over shingles of `words` words.
+    """Links (a, b) between those documents (doc_id, text) that firsts (doc_id) names, of Jaccard likeness `similarity` or more over shingles of `words` words.
 
     Candidates are all pairs that share a shingle of their prefixes: no pair of that likeness is missed, whatever its length (shingles count as equal if their hashes do).
     Passages that many documents share come last in the order and bring no candidates. In a family of near copies not all pairs are formed (leader_links).
@@ -144,14 +142,13 @@ def likeness_links(docs: DataFrame, firsts: DataFrame, similarity: float = 0.8,
 
     # texts stay where they are; only the prefixes are joined
     first = docs.select("doc_id", prefixes("text").alias("p")).join(firsts, "doc_id").dropDuplicates(["doc_id"])
-    rows = first.select(F.col("doc_id").alias("id"), "fp", F.explode("p.segs").alias("seg"))
-    alive = cut(rows.withColumn("many", F.count("*").over(Window.partitionBy("seg"))).where("many > 1").select("seg", "id", "fp"))
+    rows = first.select(F.col("doc_id").alias("id"), "p.n", F.explode("p.segs").alias("seg"))
+    alive = cut(rows.withColumn("many", F.count("*").over(Window.partitionBy("seg"))).where("many > 1").select("seg", "id", "n"))
     ids = cut(alive.select(F.col("id").alias("doc_id")).distinct())
     sets = cut(docs.select("doc_id", "text").join(ids, "doc_id").select(F.col("doc_id").alias("id"), shingles("text").alias("set")).dropDuplicates(["id"]))
     del first, rows, ids
     release(docs.sparkSession)
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("lead_fp"))) <= FAR_BITS
-    return leader_links(alive, sets, similarity, near)
+    return leader_links(alive, sets, similarity)
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
@@ -163,7 +160,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFr
     """
     named = docs.where("doc_id is not null")
     classes = cut(near_classes(named))
-    firsts = cut(classes.where("doc_id = component_id").select("doc_id", "fp").distinct())
+    firsts = cut(classes.where("doc_id = component_id").select("doc_id").distinct())
     release(docs.sparkSession)
     later = components(likeness_links(named, firsts, similarity, words))
     stay = cut(firsts.join(later.where("node <> root").select(F.col("node").alias("doc_id")), "doc_id", "left_anti").select("doc_id"))
