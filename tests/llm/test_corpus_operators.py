@@ -114,8 +114,10 @@ def test_short_near_copies_are_found(make, prose):
     docs = make(rows)
     text = dict(rows)
     want = {(b, a) for a, b in combinations(text, 2) if jaccard(text[a], text[b]) >= 0.8}
-    got = simhash.likeness_links(docs, simhash.fingerprints(docs).withColumn("fp", F.lit(0).cast("long")))
-    assert len(want) > 40 and {(r["a"], r["b"]) for r in got.collect()} == want
+    texts = docs.select(simhash._text_id().alias("id"), F.col("doc_id").alias("first"))
+    name = {r["id"]: r["first"] for r in texts.collect()}
+    got = {(max(x), min(x)) for x in ((name[r["a"]], name[r["b"]]) for r in simhash.likeness_links(docs, texts).collect())}
+    assert len(want) > 40 and got == want
 
 
 def test_repeated_lines_do_not_part_copies(make, prose):
@@ -129,6 +131,21 @@ def test_repeated_lines_do_not_part_copies(make, prose):
     assert sorted(r["doc_id"] for r in simhash.keep_one(make(rows)).collect()) == [0, 2, 4, 6]
 
 
+def test_chains_are_one_group_in_any_order_of_ids(make, prose):
+    words, rows, chains = prose(5000, 400).split(), [], []
+    for order in ((0, 1, 2, 3, 4, 5), (5, 4, 3, 2, 1, 0), (2, 0, 4, 1, 5, 3), (1, 3, 5, 0, 2, 4)):
+        base = 10 * len(chains)
+        window = [prose(5100 + base, 300).split()[18 * k: 18 * k + 200] for k in range(6)]
+        chains.append({base + i: " ".join(window[k]) for k, i in enumerate(order)})
+    for c in chains:
+        assert 5 <= sum(jaccard(x, y) >= 0.8 for x, y in combinations(c.values(), 2)) < 10
+        rows += c.items()
+    rows += [(100 + i, " ".join(words[:60]) + " " + prose(5200 + i, 150)) for i in range(20)]
+    assert sorted(r["doc_id"] for r in simhash.keep_one(make(rows)).collect()) == [0, 10, 20, 30, *range(100, 120)]
+    ids = {r["doc_id"]: r["class_id"] for r in minhash.near_classes(make(rows)).collect()}
+    assert all(ids[i] == 10 * k for k, c in enumerate(chains) for i in c)
+
+
 def test_fingerprints_and_next_document(make, prose):
     rows = [(3 * i, prose(i, 3 + 9 * i)) for i in range(40)] + [(1, None), (2, ""), (4, "é" * 9), (None, "first of all"), (6, "x y z " * 50_000), (9, "tie b"), (9, "tie a"), (9, "tie a")]
     order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))

@@ -82,24 +82,29 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 def leader_links(alive: DataFrame, sets: DataFrame, similarity: float, leaders: int = 1) -> DataFrame:
     """Links (a, b) of Jaccard likeness `similarity` or more between members of common buckets (seg, id, n); sets are (id, set array of n).
 
-    Not all pairs of a bucket are formed. In each round its first undecided members lead it and all others are compared with them; members found
-    alike leave all their buckets, as do the leaders theirs. The number of leaders doubles each round until every bucket is empty.
-    So every id is either linked to a leader, or was compared with every other undecided id of its buckets: no two ids without links are
-    alike and share a bucket. Sizes whose ratio is below `similarity` rule a pair out before its sets are read.
+    The links connect exactly what all such pairs connect, but not all pairs are formed. In each round the first members of a bucket lead it: they are
+    compared with all other members that are not yet in their component, and leave it. Members found alike stay and lead later, after those who
+    stand for a component. A bucket ends once all its members are in one component, so a family of near copies ends after its first leaders. The number of leaders
+    doubles each round. Sizes whose ratio is below `similarity` rule a pair out before its sets are read.
     """
-    links = None
+    by_seg, links = Window.partitionBy("seg"), None
+    alive = cut(alive.select("seg", "id", "n", F.col("id").alias("root")))
     while alive.limit(1).count():
-        lead = cut(alive.withColumn("r", F.row_number().over(Window.partitionBy("seg").orderBy("id"))).where(F.col("r") <= leaders).select("seg", "id", "n"))
-        pairs = alive.join(lead.select("seg", F.col("id").alias("lead"), F.col("n").alias("lead_n")), "seg").where(F.col("lead") < F.col("id"))
-        pairs = cut(pairs.where(F.least("n", "lead_n") >= F.lit(similarity - 1e-9) * F.greatest("n", "lead_n")).select("lead", "id").distinct())
-        both = pairs.join(sets, "id").withColumnRenamed("set", "x").join(sets.select(F.col("id").alias("lead"), F.col("set").alias("y")), "lead")
+        ranked = cut(alive.withColumn("r", F.row_number().over(by_seg.orderBy(F.col("id") != F.col("root"), "id"))))
+        lead = ranked.where(F.col("r") <= leaders).select("seg", *[F.col(c).alias(f"lead_{c}") for c in ("id", "n", "root", "r")])
+        pairs = ranked.join(lead, "seg").where((F.col("lead_r") < F.col("r")) & (F.col("lead_root") != F.col("root")))
+        pairs = pairs.where(F.least("n", "lead_n") >= F.lit(similarity - 1e-9) * F.greatest("n", "lead_n"))
+        pairs = cut(pairs.select(F.greatest("id", "lead_id").alias("a"), F.least("id", "lead_id").alias("b"), F.greatest("root", "lead_root").alias("p"), F.least("root", "lead_root").alias("q")).distinct())
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
         same = F.size(F.array_intersect("x", "y"))
-        found = cut(both.where(same >= F.lit(similarity - 1e-9) * (F.size("x") + F.size("y") - same)).select(F.col("id").alias("a"), F.col("lead").alias("b")))
-        links = found if links is None else links.unionByName(found)
-        met = found.select(F.col("a").alias("id")).distinct()
-        alive = cut(alive.join(lead.select("seg", "id"), ["seg", "id"], "left_anti").join(met, "id", "left_anti").select("seg", "id", "n"))
+        found = cut(both.where(same >= F.lit(similarity - 1e-9) * (F.size("x") + F.size("y") - same)).select("a", "b", "p", "q"))
+        links = found.select("a", "b") if links is None else links.unionByName(found.select("a", "b"))
+        moved = components(found.select(F.col("p").alias("a"), F.col("q").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("to"))
+        rest = ranked.where(F.col("r") > leaders).join(moved, "root", "left").select("seg", "id", "n", F.coalesce("to", "root").alias("root"))
+        split = rest.withColumn("low", F.min("root").over(by_seg)).withColumn("high", F.max("root").over(by_seg)).where("low <> high")
+        alive = cut(split.select("seg", "id", "n", "root"))
         leaders *= 2
-        del lead, pairs, both, met
+        del ranked, lead, pairs, both, found, moved, rest, split
         release(sets.sparkSession)
     kind = sets.schema["id"].dataType.simpleString()
     return sets.sparkSession.createDataFrame([], f"a {kind}, b {kind}") if links is None else links

@@ -30,11 +30,14 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp long) of every row; null and empty texts have fingerprint 0. Only the columns doc_id and text are read."""
+    return docs.select("doc_id", _fp(words)("text").alias("fp"))
+
+
+def _fp(words: int):
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))
-
-    return docs.select("doc_id", fp("text").alias("fp"))
+    return fp
 
 
 def _blocks():
@@ -124,8 +127,8 @@ def prefix(text: str | None, counts: np.ndarray, similarity: float, words: int)
     return len(found), found[first].view(np.int64)
 
 
-def likeness_links(docs: DataFrame, firsts: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """Links (a, b) between those documents (doc_id, text) that firsts (doc_id) names, of Jaccard likeness `similarity` or more over shingles of `words` words.
+def likeness_links(docs: DataFrame, texts: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
+    """Links (a, b) between the different texts (id, first doc_id) of docs that connect all pairs of Jaccard likeness `similarity` or more over shingles of `words` words.
 
     Candidates are all pairs that share a shingle of their prefixes: no pair of that likeness is missed, whatever its length (shingles count as equal if their hashes do).
     Passages that many documents share come last in the order and bring no candidates. In a family of near copies not all pairs are formed (leader_links).
@@ -141,29 +144,43 @@ def likeness_links(docs: DataFrame, firsts: DataFrame, similarity: float = 0.8,
         return pd.Series([shingle_set(t, words) for t in texts], index=texts.index, dtype=object)
 
     # texts stay where they are; only the prefixes are joined
-    first = docs.select("doc_id", prefixes("text").alias("p")).join(firsts, "doc_id").dropDuplicates(["doc_id"])
-    rows = first.select(F.col("doc_id").alias("id"), "p.n", F.explode("p.segs").alias("seg"))
+    each = docs.select(_text_id().alias("id"), prefixes("text").alias("p")).dropDuplicates(["id"])
+    rows = each.select("id", "p.n", F.explode("p.segs").alias("seg"))
     alive = cut(rows.withColumn("many", F.count("*").over(Window.partitionBy("seg"))).where("many > 1").select("seg", "id", "n"))
-    ids = cut(alive.select(F.col("id").alias("doc_id")).distinct())
-    sets = cut(docs.select("doc_id", "text").join(ids, "doc_id").select(F.col("doc_id").alias("id"), shingles("text").alias("set")).dropDuplicates(["id"]))
-    del first, rows, ids
+    ids = cut(texts.join(alive.select("id").distinct(), "id").select("id", F.col("first").alias("doc_id")))
+    chosen = docs.select("doc_id", "text").join(ids, "doc_id").where(_text_id() == F.col("id"))
+    sets = cut(chosen.select("id", shingles("text").alias("set")).dropDuplicates(["id"]))
+    del each, rows, ids, chosen
     release(docs.sparkSession)
     return leader_links(alive, sets, similarity)
 
 
+def _text_id():
+    """Number of a text: equal for equal texts, null counts as empty."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
     """The rows of docs without those of a near-duplicate group's other documents; all columns stay.
 
-    First the groups of near_classes (exact copies and fingerprints within two bits), then, among one document of each, the groups of
-    likeness_links. The smallest doc_id of a group stays. Rows with a null doc_id cannot be named and stay; rows sharing a doc_id are one document
+    Groups are the connected components of all different texts, linked if their fingerprints are (near_classes) or if they are alike
+    (likeness_links). The smallest doc_id of a group stays. Rows with a null doc_id cannot be named and stay; rows sharing a doc_id are one document
     and share its fate. Null and empty texts are one group. An empty table gives no rows.
     """
     named = docs.where("doc_id is not null")
-    classes = cut(near_classes(named))
-    firsts = cut(classes.where("doc_id = component_id").select("doc_id").distinct())
+    each = cut(named.select("doc_id", _text_id().alias("id"), _fp(3)("text").alias("fp")))
+    texts = cut(each.groupBy("id").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")))
+    of_fp = cut(texts.groupBy("fp").agg(F.min("id").alias("id")))
+    near = of_fp.withColumnRenamed("id", "least")
+    alike = links(of_fp.select("fp"))
+    tied = texts.join(near, "fp").select(F.col("id").alias("a"), F.col("least").alias("b")).where("a <> b")
+    across = alike.join(of_fp.select(F.col("fp").alias("a"), F.col("id").alias("x")), "a").join(of_fp.select(F.col("fp").alias("b"), F.col("id").alias("y")), "b")
+    tied = cut(tied.unionByName(across.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    del each, of_fp, near, alike, across
     release(docs.sparkSession)
-    later = components(likeness_links(named, firsts, similarity, words))
-    stay = cut(firsts.join(later.where("node <> root").select(F.col("node").alias("doc_id")), "doc_id", "left_anti").select("doc_id"))
+    groups = components(tied.unionByName(likeness_links(named, texts, similarity, words)))
+    rooted = texts.join(groups.withColumnRenamed("node", "id"), "id", "left").select("first", F.coalesce("root", "id").alias("root"))
+    stay = cut(rooted.groupBy("root").agg(F.min("first").alias("doc_id")).select("doc_id").distinct())
     return named.join(stay, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
