@@ -210,6 +210,21 @@ def test_decontamination_recall(prose, share):
     assert found >= 0.95 * len(items)
 
 
+@pytest.mark.parametrize("n", [1, 4, 5, 8, 10, 12, 15, 16, 18, 25, 40])
+def test_decontamination_misses_no_length(n):
+    rng = random.Random(n)
+    some = lambda k: [f"w{rng.randrange(20_000)}" for _ in range(k)]
+    items = [(k, " ".join(some(n))) for k in range(150)]
+    index, most = decontaminate.Index(items), decontaminate.allowed(n)
+    for edits in {0, most}:
+        for k, t in items:
+            words = t.split()
+            for j in range(edits):
+                words[int((j + 0.5) * n / edits)] = f"new{j}"
+            text = " ".join(some(40) + words + some(40))
+            assert any(j == k and e <= edits for _, j, e, _ in index.search([decontaminate.word_codes(text)]))
+
+
 def test_decontamination_in_spark(spark, make, prose):
     item, short = prose(1, 20), "alpha beta gamma delta epsilon"
     items = spark.createDataFrame([(1, item), (2, short), (3, None), (4, ""), (5, "solo"), (6, item)], "item_id long, text string")
