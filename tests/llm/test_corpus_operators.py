@@ -303,3 +303,8 @@ def test_pipeline_on_an_empty_and_an_odd_table(spark, make, sf):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf)
         assert docs.count() == {0: 0, 5: 4}[len(rows)]
+
+
+def test_pipeline_ids_decode_to_the_text(spark, make, sf):
+    out = corpus_pipeline.encode(spark, make([(1, "Plain words, naïve \u2581 ones\n\n"), (2, ""), (3, None)]), sf)
+    assert {r["doc_id"]: (r["n_tokens"] > 0, r["round_trip"]) for r in out.collect()} == {1: (True, True), 2: (False, True), 3: (False, True)}
