@@ -226,6 +226,13 @@ def test_density_decides_without_an_article():
     assert "Short." in text and len([t for t in text if t.startswith("The man")]) == 2 and not any("link" in t for t in text) and "end" not in text
 
 
+def test_attributes_are_read_by_their_full_names():
+    for attrs in (' data-hidden="false"', ' title="a hidden gem"', ' data-id="ads"', ' class="commentary"', " alt='id=ads' data-class=ad", ' href=/x?class=ad'):
+        assert not html._off("div", attrs, False), attrs
+    for attrs in (' hidden', ' title="x" HIDDEN', ' id=ads', " class='post comment-body'", ' class="commentform"', ' aria-hidden="true"', ' style="display: none"', ' role=navigation'):
+        assert html._off("div", attrs, False), attrs
+
+
 def test_pages_of_the_tables(spark):
     import html as entities
 

@@ -33,7 +33,9 @@ OFF = re.compile(r"""^(?:nav(?:bar|igation)?|menus?|header|footer|masthead|topba
 |related|recommend\w*|breadcrumbs?|pag(?:er|ination)|widgets?|toolbar|copyright|legal|disclaimer|search|form|paywall|skip)$""".replace("\n", ""))
 BODY = frozenset("content article main post entry story body text".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>|<[!?][^>]*+>""", re.S)
-_ATTR = re.compile(r"""(?i)\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Every name with its value is consumed, so names are never found inside values or longer names.
+_ATTR = re.compile(r"""([^\s"'>/=][^\s"'>/=]*+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+COMMENT = re.compile(r"^comment(?:s|ers?|ing|s?(?:area|author|block|body|box|container|count|form|list|meta|reply|section|text|thread|wrap(?:per)?)s?)?$")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
@@ -59,7 +61,7 @@ def _off(tag: str, attrs: str, held: bool) -> bool:
         if name in ("class", "id"):
             for one in value.split():
                 parts = [p.lower() for p in _PART.findall(one)]
-                if any(p.startswith("comment") for p in parts) or (any(OFF.match(p) for p in parts) and not BODY & set(parts)):
+                if any(COMMENT.match(p) for p in parts) or (any(OFF.match(p) for p in parts) and not BODY & set(parts)):
                     return True
     return False
 
