@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.session import cut, ensure_checkpoint_dir
@@ -139,6 +139,24 @@ def _stars(edges: DataFrame) -> bool:
     return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").limit(1).count() == 0
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once a row: a lambda that names an expression would compute it again for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running_sums(sizes: Column, block: int = 64) -> Column:
+    """Inclusive running sums of an array of integers, in two levels so that long arrays stay cheap. Null gives null, an empty array an empty one."""
+    def of_block(s, b, n):
+        return F.aggregate(F.slice(s, b * block + 1, n), F.lit(0), lambda a, x: a + x)
+
+    def sums(s):
+        whole = F.transform(F.sequence(F.lit(0), (F.size(s) / block).cast("int")), lambda b: of_block(s, b, F.lit(block)))
+        before = let(whole, lambda w: F.aggregate(w, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))))
+        return let(before, lambda p: F.transform(s, lambda x, i: F.element_at(p, (i / block).cast("int") + 1) + of_block(s, (i / block).cast("int"), i % block + 1)))
+
+    return let(sizes, sums)
+
+
 def ranges(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """rows with `bucket`: the number of range bounds at or below the key, so that buckets follow the order of the key.
 

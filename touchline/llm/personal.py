@@ -11,9 +11,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import table
+from touchline.llm.common import let, running_sums, table
 from touchline.llm.registry import query
-from touchline.llm.secrets import _running
 from touchline.session import cut
 
 
@@ -117,19 +116,22 @@ def _features(kind: Kind, value: Column, before: Column, after: Column) -> Colum
 def _spans(order: int, kind: Kind) -> Column:
     """Spans of a kind's leftmost non-overlapping matches with votes and features. Context reaches to the kind's next match at most, so long texts stay linear."""
     pattern = F.lit(kind.pattern)
-    found = F.regexp_extract_all("_text", pattern, F.lit(0))
-    gaps = F.split("_text", kind.pattern, -1)
-    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
-    ends = F.zip_with(_running(steps), steps, lambda a, b: a + b)
-    near = F.zip_with(F.transform(F.slice(gaps, 1, F.size(found)), lambda g: F.right(g, F.lit(BEFORE))),
-                      F.transform(F.slice(gaps, F.lit(2), F.size(found)), lambda g: F.left(g, F.lit(AFTER))), lambda b, a: F.struct(b.alias("b"), a.alias("a")))
-    placed = F.zip_with(F.zip_with(found, ends, lambda m, e: F.struct(m.alias("m"), e.alias("e"))), near, lambda s, c: F.struct(
-        s["m"].alias("m"), s["e"].alias("e"), c["b"].alias("b"), c["a"].alias("a")))
-    held = F.filter(placed, lambda s: _valid(kind.name, s["m"])) if kind.base else F.filter(placed, lambda s: ~F.regexp_like(s["b"], F.lit(r"\+[0-9][\x20().0-9-]*$")))
-    made = F.transform(held, lambda s: F.struct(
-        (s["e"] - F.length(s["m"])).alias("start"), F.lit(order).alias("order"), s["e"].alias("end"), F.lit(kind.name).alias("kind"), s["m"].alias("value"), F.lit(kind.base).alias("base"),
-        F.concat_ws(",", *[v.cast("string") for v in _votes(kind, s["m"], s["b"], s["a"])]).alias("votes"), _features(kind, s["m"], s["b"], s["a"]).alias("features")))
-    return F.when(F.regexp_like("_text", pattern), made.cast(CANDIDATE)).otherwise(F.array().cast(CANDIDATE))
+
+    def placed(found, gaps):
+        ends = running_sums(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m)))
+        near = F.zip_with(F.transform(F.slice(gaps, 1, F.size(found)), lambda g: F.right(g, F.lit(BEFORE))),
+                          F.transform(F.slice(gaps, F.lit(2), F.size(found)), lambda g: F.left(g, F.lit(AFTER))), lambda b, a: F.struct(b.alias("b"), a.alias("a")))
+        return F.zip_with(F.zip_with(found, ends, lambda m, e: F.struct(m.alias("m"), e.alias("e"))), near, lambda s, c: F.struct(
+            s["m"].alias("m"), s["e"].alias("e"), c["b"].alias("b"), c["a"].alias("a")))
+
+    def made(s):
+        return F.struct((s["e"] - F.length(s["m"])).alias("start"), F.lit(order).alias("order"), s["e"].alias("end"), F.lit(kind.name).alias("kind"), s["m"].alias("value"),
+                        F.lit(kind.base).alias("base"), F.concat_ws(",", *[v.cast("string") for v in _votes(kind, s["m"], s["b"], s["a"])]).alias("votes"),
+                        _features(kind, s["m"], s["b"], s["a"]).alias("features"))
+
+    spans = let(F.regexp_extract_all("_text", pattern, F.lit(0)), lambda found: let(F.split("_text", kind.pattern, -1), lambda gaps: placed(found, gaps)))
+    held = F.filter(spans, lambda s: _valid(kind.name, s["m"]) if kind.base else ~F.regexp_like(s["b"], F.lit(r"\+[0-9][\x20().0-9-]*$")))
+    return F.when(F.regexp_like("_text", pattern), F.transform(held, made).cast(CANDIDATE)).otherwise(F.array().cast(CANDIDATE))
 
 
 def candidates(docs: DataFrame, extra: list[str] = (), kinds=KINDS) -> DataFrame:
