@@ -9,8 +9,10 @@ from touchline.plans import ledger_queries as lq
 from touchline.plans import rating_queries as rq
 from touchline.plans import views as v
 from touchline.plans.registry import ORACLES, query, rounded, sql_rounded
+from touchline.session import cut
 from touchline.sources.tables import read_table
 from touchline.streaming import streams as sm
+from touchline.streaming import timers as tm
 
 
 def quote_stream(spark, sf):
@@ -86,18 +88,91 @@ def stream_thinned(spark, sf):
     return _naive(sm.run_to_files(rows, sm.work_folder(spark, "thinned")), "bucket")
 
 
+# ---- feeds of many files, one a trigger, not in the order of time ----------------------------------------------------
+
+FILES, FIRST_DAY, DAYS, LATE = 6, "1992-01-01", 2500, "1400 days"
+
+
+def arriving(df, at: str, jitter, folder: str):
+    """A feed as a stream of FILES files, one a trigger: neighbouring files are swapped, rows with a jitter of 1 come a file late; a heartbeat ends it."""
+    spark = df.sparkSession
+    part = F.floor(F.datediff(F.col(at).cast("date"), F.lit(FIRST_DAY).cast("date")) * FILES / DAYS) + jitter
+    rows = cut(df.withColumn("_file", F.least(part, F.lit(FILES - 1))))
+    beat = spark.range(1).select(*[F.lit("2100-01-01" if c == at else None).cast(t).alias(c) for c, t in df.dtypes])
+    for i in range(FILES):
+        rows.where(F.col("_file") == (i ^ 1)).drop("_file").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    beat.write.mode("append").parquet(f"{folder}/in")
+    return sm.read_files(spark, f"{folder}/in", df.schema, per_batch=1)
+
+
+def score_updates(spark, sf):
+    """Updates of two feeds made of the contests: the first feed never ends every seventh contest and is late for every eleventh; the second repeats some
+    finals with a score that must not be used, and is sometimes first with a phase."""
+    games = v.contests(spark, sf).select("contest_id", "home_score", "away_score", (F.unix_seconds(F.col("ts").cast("timestamp")) + F.col("contest_id") % 24 * 3600).alias("kick"))
+    k, h, a = F.col("contest_id"), F.col("home_score").cast("long"), F.col("away_score").cast("long")
+    none, half_h, half_a = F.lit(None).cast("long"), F.least(h, F.lit(1)), F.least(a, F.lit(1))
+
+    def update(priority, status, minute, home, away, when=F.lit(True)):
+        return F.when(when, F.struct(F.lit(priority).alias("priority"), F.lit(status).alias("status"), home.alias("home_score"), away.alias("away_score"),
+                                     F.timestamp_seconds(F.col("kick") + minute * 60).alias("recorded_at")))
+
+    end = F.when(k % 11 == 0, 650).otherwise(110)
+    told = F.array(update(0, "Not Started", F.lit(-10), none, none), update(0, "1H", F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long")),
+                   update(0, "1H", F.lit(3), F.lit(0).cast("long"), F.lit(0).cast("long")), update(0, "HT", F.lit(46), half_h, half_a), update(0, "2H", F.lit(61), half_h, half_a),
+                   update(0, "Finished", F.lit(108), none, none, k % 13 == 0), update(0, "Finished", end, h, a, k % 7 != 0),
+                   update(1, "2H", F.lit(60), half_h, half_a, k % 5 == 0), update(1, "Finished", F.lit(115), F.when((k % 7 == 0) | (k % 11 == 0), h).otherwise(h + 10), a,
+                                                                                 (k % 3 == 0) | (k % 7 == 0) | (k % 11 == 0)))
+    return games.select("contest_id", F.explode(F.array_compact(told)).alias("u")).select("contest_id", "u.*")
+
+
+def _score_stream(spark, sf, folder):
+    return arriving(score_updates(spark, sf), "recorded_at", F.col("contest_id") % 2, folder)
+
+
+_UPDATES = f"""{v.CONTESTS_SQL}, g AS (SELECT contest_id AS k, CAST(home_score AS BIGINT) AS h, CAST(away_score AS BIGINT) AS a, ts + INTERVAL 1 HOUR * CAST(contest_id % 24 AS INT) AS kick FROM contests),
+u AS (SELECT k, 0 AS priority, 'Not Started' AS status, NULL::BIGINT AS hs, NULL::BIGINT AS aw, kick - INTERVAL 10 MINUTE AS at_ FROM g
+UNION ALL SELECT k, 0, '1H', 0, 0, kick FROM g UNION ALL SELECT k, 0, 'HT', least(h, 1), least(a, 1), kick + INTERVAL 46 MINUTE FROM g
+UNION ALL SELECT k, 0, '2H', least(h, 1), least(a, 1), kick + INTERVAL 61 MINUTE FROM g UNION ALL SELECT k, 0, 'Finished', NULL, NULL, kick + INTERVAL 108 MINUTE FROM g WHERE k % 13 = 0
+UNION ALL SELECT k, 0, 'Finished', h, a, kick + CASE WHEN k % 11 = 0 THEN INTERVAL 650 MINUTE ELSE INTERVAL 110 MINUTE END FROM g WHERE k % 7 <> 0
+UNION ALL SELECT k, 1, '2H', least(h, 1), least(a, 1), kick + INTERVAL 60 MINUTE FROM g WHERE k % 5 = 0
+UNION ALL SELECT k, 1, 'Finished', CASE WHEN k % 7 = 0 OR k % 11 = 0 THEN h ELSE h + 10 END, a, kick + INTERVAL 115 MINUTE FROM g WHERE k % 3 = 0 OR k % 7 = 0 OR k % 11 = 0)"""
+
+
+@query("stream_scores", f"""WITH {_UPDATES}, phase AS (SELECT k, 'phase' AS kind, at_, status, hs, aw, priority FROM u
+ QUALIFY row_number() OVER (PARTITION BY k, status ORDER BY at_, priority, hs NULLS FIRST, aw NULLS FIRST) = 1),
+done AS (SELECT * FROM u WHERE status = 'Finished' AND hs IS NOT NULL AND aw IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k, priority ORDER BY at_, hs, aw) = 1),
+fin AS (SELECT coalesce(f.k, s.k) AS k, f.k IS NOT NULL AND (s.k IS NULL OR f.at_ <= s.at_ + INTERVAL 3 HOUR) AS own, f.at_ AS ft, f.hs AS fh, f.aw AS fa, s.at_ + INTERVAL 3 HOUR AS st, s.hs AS sh, s.aw AS sa
+ FROM (SELECT * FROM done WHERE priority = 0) f FULL JOIN (SELECT * FROM done WHERE priority = 1) s ON f.k = s.k)
+SELECT k AS contest_id, kind, at_ AS recorded_at, status, hs AS home_score, aw AS away_score, priority FROM phase
+UNION ALL SELECT k, 'final', CASE WHEN own THEN ft ELSE st END, 'Finished', CASE WHEN own THEN fh ELSE sh END, CASE WHEN own THEN fa ELSE sa END, CASE WHEN own THEN 0 ELSE 1 END FROM fin""")
+def stream_scores(spark, sf):
+    """Every phase change and final score of two polled feeds, files not in time order."""
+    folder = sm.work_folder(spark, "scores")
+    got = sm.run_to_files(tm.score_events(_score_stream(spark, sf, folder), delay=LATE), folder)
+    return _naive(got, "recorded_at")
+
+
 @query("stream_settle", ORACLES["settle_open"])
 def stream_settle(spark, sf):
-    """Scores from two feeds settle open ledger rows once; the second feed only where the first lacks a contest."""
+    """Open picks graded by the final scores of two feeds; the second feed counts where the first has none within its grace."""
     folder = sm.work_folder(spark, "settle")
-    scores = v.contests(spark, sf).select("contest_id", F.col("ts").alias("recorded_at"), "home_score", "away_score").withColumn("status", F.lit("Finished"))
-    scores.where("contest_id % 3 <> 0").write.parquet(f"{folder}/first")
-    # The second feed also repeats some contests of the first, with a score that must not be used.
-    late = scores.withColumn("home_score", F.when(F.col("contest_id") % 3 == 0, F.col("home_score")).otherwise(99))
-    late.where("contest_id % 3 = 0 OR contest_id % 5 = 0").write.parquet(f"{folder}/second")
-    feeds = [sm.read_files(spark, f"{folder}/{n}", scores.schema) for n in ("first", "second")]
-    got = sm.settle_batches(sm.two_sources(*feeds), lq.picks(spark, sf), lg.settle_open, F.col("status") == "Finished", folder)
-    return got.select("id", "result", "pnl")
+    graded = tm.settled_picks(_score_stream(spark, sf, folder), lq.picks(spark, sf), lg.settle_open, delay=LATE)
+    return sm.run_to_files(graded.select("id", "result", "pnl"), folder)
+
+
+@query("stream_health", f"""WITH {lq.CLV_SQL}, d AS (SELECT strategy, CAST(ts AS DATE) AS day, sum(clv) AS s, count(clv) AS c FROM clv WHERE clv IS NOT NULL GROUP BY ALL),
+roll AS (SELECT strategy, day, sum(s) OVER w AS s, sum(c) OVER w AS n FROM d WINDOW w AS (PARTITION BY strategy ORDER BY day RANGE BETWEEN INTERVAL 29 DAY PRECEDING AND CURRENT ROW)),
+e AS (SELECT strategy, day, CAST(n AS BIGINT) AS n, s / n AS avg_clv, CASE WHEN s / n >= 0 THEN 'healthy' WHEN s / n >= -0.02 THEN 'warning' ELSE 'alert' END AS status FROM roll WHERE n >= 5),
+t AS (SELECT *, lag(status) OVER (PARTITION BY strategy ORDER BY day) AS was FROM e)
+SELECT strategy, day, n, status, was, CASE status WHEN 'alert' THEN 'alert' ELSE 'recovery' END AS event, {sql_rounded(['avg_clv'])} FROM t
+WHERE (status = 'alert' AND coalesce(was, '') <> 'alert') OR (status <> 'alert' AND was = 'alert')""")
+def stream_health(spark, sf):
+    """Days on which a strategy's 30-day mean line value enters or leaves 'alert', kept up by daily sums that expire."""
+    folder = sm.work_folder(spark, "health")
+    values = lq.clv_ledger(spark, sf).select("strategy", F.col("ts").cast("timestamp").alias("ts"), "clv", "id")
+    feed = arriving(values, "ts", F.col("id") % 2, folder)
+    got = sm.run_to_files(tm.rolling_status(feed, delay=LATE), folder)
+    return rounded(got, ["strategy", "day", "n", "status", "was", "event"], ["avg_clv"])
 
 
 @query("stream_status", """WITH x AS (SELECT o_orderpriority AS strategy, o_orderdate AS ts, o_orderkey AS id, CASE WHEN o_totalprice >= 250000 THEN 'healthy' WHEN o_totalprice >= 150000 THEN 'warning' ELSE 'alert' END AS status FROM orders),
