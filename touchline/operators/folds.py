@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline.operators.prefix import day_block, running, same
+from touchline.operators.scan import BLOCK, row_blocks
 
 
 def chronological_halves(df: DataFrame, by: list[str], order: list[str], fraction: float = 0.5) -> DataFrame:
@@ -74,7 +75,7 @@ def reverse_folds(df: DataFrame, ts: str, n_folds: int = 12, val_months: int = 2
 
 def row_count_steps(df: DataFrame, order: list[str], train: int, step: int, offset: int = 0) -> DataFrame:
     """Rows after the first `train` (+ offset) in global order, numbered in steps of `step` rows."""
-    run = running(df.withColumn("_all", F.lit(0)), ["_all"], order, day_block(order[0]), {"_rn": ("count", F.lit(1))})
+    run = running(row_blocks(df.withColumn("_all", F.lit(0)), ["_all"], *order), ["_all"], order, F.col(BLOCK), {"_rn": ("count", F.lit(1))}).drop(BLOCK)
     first = train + offset
     return run.where(F.col("_rn") > first).withColumn("step", F.floor((F.col("_rn") - 1 - first) / step).cast("int")).drop("_rn", "_all")
 

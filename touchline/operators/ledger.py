@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from touchline.functions.scalars import closing_line_value, expected_value, kelly_fraction, profit, rnd, settle
 from touchline.operators.fold import ordered_fold
 from touchline.operators.prefix import day_block, running
+from touchline.operators.scan import BLOCK, log_curve, row_blocks
 
 ORDER = ["ts", "id"]
 
@@ -38,20 +39,15 @@ def compound_equity(ledger: DataFrame, by: list[str], start: float = START) -> D
     Balances are kept as logarithms (ln_balance, ln_peak): a running sum that splits into blocks and
     does not overflow on long ledgers.
     """
-    done = ledger.where(F.col("result").isNotNull())
-    run = running(done, by, ORDER, day_block("ts"), {"_ln": ("sum", F.log1p(_gain()))})
-    curve = run.withColumn("ln_balance", F.lit(math.log(start)) + F.col("_ln")).drop("_ln")
-    top = running(curve, by, ORDER, day_block("ts"), {"ln_peak": ("max", F.col("ln_balance"))})
-    peak = F.greatest(F.col("ln_peak"), F.lit(math.log(start)))
-    return top.withColumn("ln_peak", peak).withColumn("drawdown", F.expm1(F.col("ln_balance") - F.col("ln_peak")))
+    return log_curve(ledger.where(F.col("result").isNotNull()), by, ORDER, _gain(), start)
 
 
 def flat_equity(ledger: DataFrame, by: list[str], start: float = 0.0) -> DataFrame:
     """Running sum of one-unit profits over settled rows."""
     done = ledger.where(F.col("result").isNotNull())
     unit = F.when(F.col("result") == "win", F.col("odds") - 1).otherwise(F.lit(-1.0))
-    run = running(done.withColumn("unit", unit), by, ORDER, day_block("ts"), {"_sum": ("sum", F.col("unit"))})
-    return run.withColumn("balance", F.lit(start) + F.col("_sum")).drop("_sum")
+    run = running(row_blocks(done.withColumn("unit", unit), by, *ORDER), by, ORDER, F.col(BLOCK), {"_sum": ("sum", F.col("unit"))})
+    return run.withColumn("balance", F.lit(start) + F.col("_sum")).drop("_sum", BLOCK)
 
 
 def weekly(curve: DataFrame, by: list[str], value: str = "unit") -> DataFrame:

@@ -7,6 +7,7 @@ from touchline.functions import scalars as sc
 from touchline.operators import ledger as lg
 from touchline.operators import metrics as mx
 from touchline.operators import quotes as qt
+from touchline.operators import scan as sn
 from touchline.plans import views as v
 from touchline.plans.quote_queries import PRIORITY, _RANK
 from touchline.plans.registry import query, rounded, sql_rounded
@@ -298,3 +299,21 @@ g AS (SELECT strategy, CAST(cap AS DOUBLE) AS cap, CAST(share AS DOUBLE) AS shar
 SELECT strategy, cap, share, n, {sql_rounded(['ln_growth'])} FROM g""")
 def stake_sweep(spark, sf):
     return rounded(lg.stake_sweep(v.ledger(spark, sf), BY, CAPS, FRACTIONS), ["strategy", "cap", "share", "n"], ["ln_growth"])
+
+
+LEAST_EV = [0.05, 0.08, 0.10, 0.12, 0.14, 0.16, 0.17, 0.18, 0.20, 0.22, 0.25, 0.28, 0.30, 0.35, 0.40]
+
+
+@query("stake_offsets", f"""WITH {v.LEDGER_SQL}, d AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY ts, id) AS rn FROM ledger WHERE result IS NOT NULL),
+f AS (SELECT d.*, CAST(c.cap AS DOUBLE) AS cap, CAST(h.share AS DOUBLE) AS share, least(greatest(0.0, (prob * (odds - 1) - (1 - prob)) / (odds - 1) * h.share), c.cap) AS fr
+ FROM d, (SELECT unnest({CAPS}) AS cap) c, (SELECT unnest({FRACTIONS}) AS share) h),
+g AS (SELECT strategy, ts, id, rn, cap, share, prob * odds - 1 AS ev, result, ln(1 + CASE WHEN result = 'win' THEN fr * (odds - 1) ELSE -fr END) AS x FROM f WHERE fr > 0),
+e AS (SELECT g.*, CAST(t.min_ev AS DOUBLE) AS min_ev, CAST(o.start AS INT) AS start FROM g JOIN (SELECT unnest({LEAST_EV}) AS min_ev) t ON g.ev >= t.min_ev JOIN range(10) o(start) ON g.rn > 50 * o.start),
+s AS (SELECT *, sum(x) OVER (PARTITION BY strategy, cap, share, min_ev, start ORDER BY ts, id) AS total FROM e),
+p AS (SELECT *, greatest(0.0, max(total) OVER (PARTITION BY strategy, cap, share, min_ev, start ORDER BY ts, id)) AS peak FROM s),
+r AS (SELECT strategy, cap, share, min_ev, start, count(*) AS n, count(*) FILTER (result = 'win') AS wins, sum(x) AS ln_growth, exp(min(total - peak)) - 1 AS max_drawdown FROM p GROUP BY ALL)
+SELECT strategy, cap, share, min_ev, start, n, wins, {sql_rounded(['ln_growth', 'max_drawdown'])} FROM r""")
+def stake_offsets(spark, sf):
+    """Growth and deepest fall for every cap, share, least EV and start offset."""
+    got = sn.stake_offsets(v.ledger(spark, sf), BY, CAPS, FRACTIONS, LEAST_EV)
+    return rounded(got, ["strategy", "cap", "share", "min_ev", "start", "n", "wins"], ["ln_growth", "max_drawdown"])
