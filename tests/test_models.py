@@ -8,6 +8,7 @@ from touchline.operators import learn as ln
 from touchline.operators import ratings as rt
 from touchline.plans import catalog
 from touchline.plans import views as v
+from touchline.streaming import late_ratings as lr
 from touchline.streaming import streams as sm
 
 MID = "/root/testdata/sf0.01"
@@ -58,9 +59,9 @@ def test_ratings_stream_in_two_runs(spark, sf, tmp_path):
     folder = f"{tmp_path}/r"
     games.where(F.col("ts") < cut).write.parquet(f"{folder}/in/a")
     stream = lambda: sm.read_files(spark, f"{folder}/in/*", games.schema)
-    sm.rate_batches(stream(), ["pool"], folder)
+    lr.rate_batches(stream(), ["pool"], folder)
     games.where(F.col("ts") >= cut).write.parquet(f"{folder}/in/b")
-    shots, final = sm.rate_batches(stream(), ["pool"], folder)
+    shots, final = lr.rate_batches(stream(), ["pool"], folder)
     want, end = rt.elo_fold(games, ["pool"])
     key = lambda df, c: {tuple(r[k] for k in c[:-1]): round(r[c[-1]], 6) for r in df.select(*c).collect()}
     assert key(shots, ["pool", "contest_id", "home_elo"]) == key(want, ["pool", "contest_id", "home_elo"])

@@ -11,6 +11,7 @@ from touchline.plans import views as v
 from touchline.plans.registry import ORACLES, query, rounded, sql_rounded
 from touchline.session import cut
 from touchline.sources.tables import read_table
+from touchline.streaming import late_ratings as lr
 from touchline.streaming import streams as sm
 from touchline.streaming import timers as tm
 
@@ -194,5 +195,13 @@ def stream_ratings(spark, sf):
     folder = sm.work_folder(spark, "ratings")
     contests = v.contests(spark, sf).select(*rq.GAME)
     contests.write.parquet(f"{folder}/in")
-    shots, _ = sm.rate_batches(sm.read_files(spark, f"{folder}/in", contests.schema), ["pool"], folder)
+    shots, _ = lr.rate_batches(sm.read_files(spark, f"{folder}/in", contests.schema), ["pool"], folder)
     return rounded(shots, ["pool", "contest_id"], ["home_elo", "away_elo"], 5)
+
+
+@query("stream_ratings_late", ORACLES["elo_pool"])
+def stream_ratings_late(spark, sf):
+    """The same ratings from many files that are not in the order of time: late contests replay what follows them."""
+    folder = sm.work_folder(spark, "late")
+    feed = arriving(v.contests(spark, sf).select(*rq.GAME), "ts", (F.col("contest_id") % 2).cast("int"), folder)
+    return rounded(lr.rate_batches(feed, ["pool"], folder)[0], ["pool", "contest_id"], ["home_elo", "away_elo"], 5)

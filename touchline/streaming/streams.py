@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from touchline.operators.ratings import elo_fold
 from touchline.session import ensure_checkpoint_dir
 
 # Least gap between snapshots and the look-ahead.
@@ -131,27 +130,3 @@ def status_changes(values: DataFrame, classify: Callable[[pd.Series], pd.Series]
         yield rows.assign(status=status, was=prior)[status != prior][out.names]
 
     return src.groupBy("strategy").applyInPandasWithState(watch, out, "status string", "append", GroupStateTimeout.NoTimeout)
-
-
-# ---- ratings ---------------------------------------------------------------------------------------------------------
-
-def rate_batches(stream: DataFrame, by: list[str], folder: str) -> tuple[DataFrame, DataFrame]:
-    """Elo kept up by micro-batch: each batch folds its contests in order from the ratings of the batch before.
-
-    Ratings are written per batch, so a repeated batch starts from the same state. Contests older than those
-    of earlier batches are rated when they arrive.
-    """
-    spark = stream.sparkSession
-    last: dict[str, DataFrame] = {}
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        prior = spark.read.parquet(f"{folder}/ratings/batch={batch_id - 1}") if batch_id else None
-        shots, final = elo_fold(batch, by, prior=prior)
-        if prior is not None:
-            final = final.unionByName(prior.join(final.select(*by, "team"), [*by, "team"], "left_anti"))
-        final.write.mode("overwrite").parquet(f"{folder}/ratings/batch={batch_id}")
-        shots.write.mode("overwrite").parquet(f"{folder}/shots/batch={batch_id}")
-        last["path"] = f"{folder}/ratings/batch={batch_id}"
-
-    run_batches(stream, each, folder)
-    return spark.read.parquet(f"{folder}/shots").drop("batch"), spark.read.parquet(last["path"])
