@@ -1,6 +1,8 @@
 """Small hand-made cases."""
 import datetime as dt
 import math
+import pathlib
+import random
 
 import numpy as np
 import pytest
@@ -226,9 +228,42 @@ def test_upsert_keeps_what_is_not_updated(spark):
 
 
 def test_contest_resolution(spark):
-    games = ntz(spark.createDataFrame([(1, "2025-01-01 15:00:00", "Manchester City FC", "Everton", 2, 0), (2, "2025-01-01 18:00:00", "Leeds United", "Everton B", 1, 1)],
-                                      "contest_id long, ts string, home_name string, away_name string, home_score int, away_score int"), "ts")
-    rows = spark.createDataFrame([(1, dt.date(2025, 1, 1), "Man City", "everton", 2, 1), (2, dt.date(2025, 1, 1), "Leeds Utd", "Everton", 1, 1), (3, dt.date(2025, 1, 2), "Leeds", "Everton", 1, 1)],
+    games = ntz(spark.createDataFrame([(1, "2025-01-01 15:00:00", 10, 11, 2, 0), (2, "2025-01-01 18:00:00", 12, 13, 1, 1), (4, "2025-01-01 18:00:00", 12, 13, None, None)],
+                                      "contest_id long, ts string, home_id int, away_id int, home_score int, away_score int"), "ts")
+    names = spark.createDataFrame([(10, "Manchester City FC"), (11, "Everton"), (12, "Leeds United"), (13, "Everton B"), (14, None), (15, "")], "id int, name string")
+    aliases = spark.createDataFrame([("man city", "Manchester City"), ("MC", "X")], "alias string, name string")
+    day = dt.date(2025, 1, 1)
+    rows = spark.createDataFrame([(1, day, "Man City", "everton", 2, 1), (2, day, "Leeds Utd", "Everton", 1, 1), (3, dt.date(2025, 1, 2), "Leeds", "Everton", 1, 1), (5, day, None, "Everton", 1, 1),
+                                  (6, day, "ed", "B", 1, 1), (7, day, "", "", 1, 1), (8, day, "zzz", "Everton", 1, 1)],
                                  "row_id int, day date, home string, away string, home_score int, away_score int")
-    got = {r["row_id"]: (r["contest_id"], r["score_differs"]) for r in resolve.resolve_contests(rows, games, {"man city": "Manchester City"}).collect()}
-    assert got == {1: (1, True), 2: (2, False)}
+    got = {r["row_id"]: (r["contest_id"], r["score_differs"]) for r in resolve.resolve_contests(rows, games, names, aliases).collect()}
+    assert got == {1: (1, True), 2: (2, False), 6: (2, False)}
+
+
+def test_containment_index_equals_all_pairs(spark):
+    r = random.Random(3)
+    names = [(i, "".join(r.choices("aAbBc ", k=r.randint(0, 9)))) for i in range(150)]
+    words = sorted({"".join(r.choices("abc", k=r.randint(1, 5))) for _ in range(60)})
+    got = {tuple(x) for x in resolve.containing(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame(names, "id int, name string")).collect()}
+    assert got == {(w, i) for w in words for i, n in names if w in n.lower()}
+
+
+def test_bucketed_merges_leave_other_files_alone(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    table = merge.KeyedTable(spark, path, ["k"], 32)
+    table.create(spark.createDataFrame([(i, float(i), "a") for i in range(500)], "k int, x double, opening string"))
+    files = lambda: {str(f.relative_to(path)): f.stat().st_mtime_ns for f in pathlib.Path(path).rglob("part-*")}
+    before = files()
+    new = spark.createDataFrame([(7, 70.0, "z", 1), (7, 71.0, "y", 2), (900, 9.0, "c", 1)], "k int, x double, opening string, seq int")
+    touched = table.upsert(new, ["seq"], ["x"])
+    after = files()
+    assert 1 <= len(touched) <= 2
+    kept = {f for f in before if int(f.split("=")[1].split("/")[0]) not in touched}
+    assert kept and all(after[f] == before[f] for f in kept)
+    rows = {r["k"]: (r["x"], r["opening"]) for r in table.read().collect()}
+    assert len(rows) == 501 and rows[7] == (71.0, "a") and rows[900] == (9.0, "c") and rows[8] == (8.0, "a")
+    table.replace(spark.createDataFrame([(7, 1.0, "p"), (7, 2.0, "q")], "k int, x double, opening string"))
+    assert sorted(r["x"] for r in table.read().where("k = 7").collect()) == [1.0, 2.0]
+    table.delete(table.read().where("k <> 8"))
+    assert [r["k"] for r in table.read().collect()] == [8] and table.change(new.limit(0), lambda old, fresh: old) == []
+

@@ -1,12 +1,16 @@
 """Queries of the scan, payload and merge family. Payload texts are rendered from the tables themselves."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import rnd
+from touchline.operators import resolve as rs
 from touchline.plans import views as v
 from touchline.plans.registry import query
 from touchline.plans.views import sql_rnd
+from touchline.session import ensure_checkpoint_dir
 from touchline.sources import ledger_import, merge, payloads
 from touchline.sources import tables as tb
 from touchline.sources.tables import read_table
@@ -189,3 +193,42 @@ def ledger_import_query(spark, sf):
                                                             F.when(k % 2 == 0, "home").otherwise("away").alias("pick"))
     rows = ledger_import.import_rows(raw.where("o_orderpriority <> '1-URGENT'"), "match_list", "s")
     return ledger_import.without_known(rows, known).select("match_date", "home_name", "away_name", "pick", "odds", "result")
+
+
+@query("merge_buckets", """WITH n AS (SELECT o_custkey AS k, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS bal, max(o_orderdate) AS at FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey % 8 <> 3 GROUP BY o_custkey),
+o AS (SELECT c_custkey AS k, c_acctbal AS bal, TIMESTAMP '1990-01-01' AS at FROM customer WHERE c_custkey % 2 = 0)
+SELECT coalesce(o.k, n.k) AS k, coalesce(n.bal, o.bal) AS bal, coalesce(o.at, n.at) AS at FROM o FULL JOIN n ON o.k = n.k WHERE coalesce(o.k, n.k) % 5 <> 4""")
+def merge_buckets(spark, sf):
+    """Upsert and delete on a stored table of hash buckets; only buckets with changed keys are rewritten."""
+    old = read_table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bal"), F.lit("1990-01-01").cast("timestamp_ntz").alias("at"))
+    new = read_table(spark, sf, "orders").where("o_orderpriority = '1-URGENT' AND o_custkey % 8 <> 3").select(
+        F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("bal"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("seq"))
+    table = merge.KeyedTable(spark, f"{ensure_checkpoint_dir(spark)}/keyed-{uuid.uuid4().hex}", ["k"], 16)
+    table.create(old)
+    table.upsert(new, ["at", "seq"], ["bal"])
+    table.delete(table.read().where("k % 5 = 4"))
+    return table.read().select("k", "bal", "at")
+
+
+_NAMED = """names AS (SELECT s_suppkey AS id, n_name || ' ' || s_name AS name, s_name FROM supplier JOIN nation ON n_nationkey = s_nationkey)"""
+
+
+@query("resolve_contests", f"""WITH {v.CONTESTS_SQL}, {_NAMED},
+q AS (SELECT contest_id AS row_id, CAST(ts AS DATE) AS day, CASE WHEN contest_id % 3 = 0 THEN h.s_name ELSE lower(h.name) END AS home, CASE WHEN contest_id % 5 = 0 THEN a.s_name ELSE upper(a.name) END AS away,
+ home_score + CASE WHEN contest_id % 7 = 0 THEN 1 ELSE 0 END AS hs, away_score AS aw FROM contests JOIN names h ON h.id = home_id JOIN names a ON a.id = away_id WHERE contest_id % 4 = 0),
+hit AS (SELECT q.*, c.contest_id, c.home_score <> q.hs OR c.away_score <> q.aw AS score_differs, row_number() OVER (PARTITION BY row_id ORDER BY c.contest_id) AS rn FROM q JOIN contests c ON CAST(c.ts AS DATE) = q.day
+ JOIN names h ON h.id = c.home_id AND h.name ILIKE '%' || split_part(q.home, ' ', 1) || '%' JOIN names a ON a.id = c.away_id AND a.name ILIKE '%' || split_part(q.away, ' ', 1) || '%')
+SELECT row_id, contest_id, score_differs FROM hit WHERE rn = 1""")
+def resolve_contests(spark, sf):
+    """Contests found by day, aliases and parts of names, with a flag where the score differs."""
+    supplier, nation = read_table(spark, sf, "supplier"), read_table(spark, sf, "nation")
+    names = supplier.join(nation, supplier["s_nationkey"] == nation["n_nationkey"]).select(F.col("s_suppkey").alias("id"), F.concat_ws(" ", "n_name", "s_name").alias("name"), "s_name")
+    aliases = names.select(F.concat(F.lit("Alias "), F.col("id").cast("string")).alias("alias"), F.col("s_name").alias("name"))
+    games = v.contests(spark, sf)
+    side = lambda s: names.select(F.col("id").alias(f"{s}_id"), F.col("name").alias(f"{s}_name"))
+    k = F.col("contest_id")
+    rows = games.where(k % 4 == 0).join(side("home"), "home_id").join(side("away"), "away_id").select(
+        k.alias("row_id"), F.col("ts").cast("date").alias("day"), F.when(k % 3 == 0, F.concat(F.lit("ALIAS "), F.col("home_id").cast("string"))).otherwise(F.lower("home_name")).alias("home"),
+        F.when(k % 5 == 0, F.concat(F.lit("alias "), F.col("away_id").cast("string"))).otherwise(F.upper("away_name")).alias("away"),
+        (F.col("home_score") + (k % 7 == 0).cast("int")).alias("home_score"), "away_score")
+    return rs.resolve_contests(rows, games, names.select("id", "name"), aliases)
