@@ -7,6 +7,7 @@ from touchline.functions.devig import with_probs
 from touchline.functions.scalars import rnd
 from touchline.operators import folds as fl
 from touchline.operators import metrics as mx
+from touchline.operators import rule_index as ri
 from touchline.operators import rules as ru
 from touchline.operators import sweep as sw
 from touchline.operators.factor_table import DEFAULTS, EV_TIERS, FACTORS
@@ -526,3 +527,43 @@ def overlap_dedup(spark, sf):
     m = matched(spark, sf)
     stats = ru.rule_stats(m, ["league", "side", "rule"], CUT).where("lower IS NOT NULL").select("league", "side", "rule", rnd("lower").alias("lower"))
     return ru.greedy_dedup(stats, ru.overlap_pairs(m, ["league", "side"]), ["league", "side"], "lower", 0.6, "coverage")
+
+
+# ---- a rule grid at full size: 17 thresholds, 44,800 rules ------------------------------------------------------------
+
+GRID_RULES, GRID_RANGES = 4480, [(1.3, 1.8), (1.55, 2.0), (1.7, 2.1), (1.85, 2.4), (2.1, 3.0)]
+_OWN = {"min_xg_diff": ("xg", 0.8, 0.2), "min_glicko_gap": ("elo", -60.0, 40.0), "min_form_advantage": ("form", 1.0, 0.4), "max_market_prob": ("mkt", 0.6, -0.05)}
+
+
+def _grid_columns():
+    """(threshold column, feature, feature as an expression, lowest threshold, step): four features of the factor table, the others spread over contests."""
+    for i, (col, _) in enumerate(ru.LABELS.values()):
+        own, low, step = _OWN.get(col, (f"CASE WHEN contest_id % {i + 11} <> 0 THEN CAST((contest_id * {2 * i + 3} + {7 * i}) % 101 AS DOUBLE) / 100 END", 0.2, 0.15))
+        yield col, "x" + col[3:], own, low, step
+
+
+def _grid_threshold(i: int, low: float, step: float) -> str:
+    return f"CASE WHEN (j * {2 * i + 3} + {i}) % 5 = 0 THEN CAST({low} AS DOUBLE) + CAST({step} AS DOUBLE) * ((j + {i}) % 4) END"
+
+
+_GRID_BOUND = {n: "CASE j % 5 " + " ".join(f"WHEN {k} THEN CAST({r[n]} AS DOUBLE)" for k, r in enumerate(GRID_RANGES)) + " END" for n in (0, 1)}
+_GRID_COLS = list(_grid_columns())
+
+
+@query("rule_match_grid", f"""WITH {v.FACTORS_SQL}, c AS (SELECT league, side, odds, won, {", ".join(f"{e} AS {f}" for _, f, e, _, _ in _GRID_COLS)} FROM factors),
+r AS (SELECT s.side || '#' || j AS rule, l.league, s.side, {_GRID_BOUND[0]} AS lo, {_GRID_BOUND[1]} AS hi, {", ".join(f"{_grid_threshold(i, low, step)} AS {t}" for i, (t, _, _, low, step) in enumerate(_GRID_COLS))}
+ FROM range({GRID_RULES}) g(j), (SELECT unnest({LEAGUES}) AS league) l, (SELECT unnest(['home', 'away']) AS side) s)
+SELECT r.league, r.side, rule, count(*) AS n, CAST(sum(won) AS BIGINT) AS wins, {sql_rnd('sum(odds)', 2)} AS odds FROM c JOIN r ON r.league = c.league AND r.side = c.side AND c.odds >= lo AND c.odds <= hi
+ AND {" AND ".join(f"({t} IS NULL OR coalesce({f} {'<=' if t.startswith('max') else '>='} {t}, false))" for t, f, _, _, _ in _GRID_COLS)} GROUP BY ALL""")
+def rule_match_grid(spark, sf):
+    """Hits of 44,800 rules of up to 17 thresholds, closed price ranges, missing features failing."""
+    feats = [F.expr(e).alias(f) for _, f, e, _, _ in _GRID_COLS]
+    cands = v.factors(spark, sf).select("league", "side", "odds", "won", *feats)
+    groups = spark.range(GRID_RULES).withColumnRenamed("id", "j").select("j", F.explode(F.array(*map(F.lit, LEAGUES))).alias("league")).select(
+        "j", "league", F.explode(F.array(F.lit("home"), F.lit("away"))).alias("side"))
+    rules = groups.select("league", "side", F.concat("side", F.lit("#"), F.col("j").cast("string")).alias("rule"), F.expr(_GRID_BOUND[0]).alias("lo"), F.expr(_GRID_BOUND[1]).alias("hi"),
+                          *[F.expr(_grid_threshold(i, low, step)).alias(t) for i, (t, _, _, low, step) in enumerate(_GRID_COLS)])
+    least = {f: t for t, f, _, _, _ in _GRID_COLS if t.startswith("min")}
+    most = {f: t for t, f, _, _, _ in _GRID_COLS if t.startswith("max")}
+    got = ri.match_index(cands, rules, ["league", "side"], least, most, {"n": F.count(F.lit(1)), "wins": F.sum("won"), "odds": F.sum("odds")})
+    return got.select("league", "side", "rule", "n", "wins", rnd("odds", 2).alias("odds"))
