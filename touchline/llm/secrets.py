@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import table
+from touchline.llm.common import let, running_sums, table
 from touchline.llm.registry import query
 
 
@@ -160,26 +160,20 @@ def _placed(terms, gram):
             yield kind, clause, order.index(g), n
 
 
-def _running(sizes: Column, block: int = 64) -> Column:
-    """Exclusive running sums of an array of integers in two levels, so long arrays stay cheap."""
-    whole = F.transform(F.sequence(F.lit(0), (F.size(sizes) / block).cast("int")),
-                        lambda b: F.aggregate(F.slice(sizes, b * block + 1, block), F.lit(0), lambda a, x: a + x))
-    before = F.aggregate(whole, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    return F.transform(sizes, lambda x, i: F.element_at(before, (i / block).cast("int") + 1)
-                       + F.aggregate(F.slice(sizes, (i / block).cast("int") * block + 1, i % block), F.lit(0), lambda a, v: a + v))
-
-
 def _spans(rule: Rule, order: int) -> Column:
     """Spans of a rule's leftmost non-overlapping matches, in code points, end exclusive."""
     pat = F.lit(rule.pattern)
-    found = F.regexp_extract_all("_text", pat, F.lit(0))
-    gaps = F.split("_text", rule.pattern, -1)
-    kept = F.regexp_extract_all("_text", pat, F.lit(rule.group)) if rule.group else found
-    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
-    ends = F.zip_with(_running(steps), steps, lambda a, b: a + b)
-    span = F.zip_with(F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"))), kept, lambda s, k: F.struct(
-        s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(rule.kind).alias("kind"), F.length(k).alias("n")))
-    return F.filter(span, lambda s: s["n"] >= rule.least)
+
+    def placed(found, kept, gaps):
+        ends = running_sums(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.length(g) + F.length(m)))
+        return F.zip_with(F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"))), kept, lambda s, k: F.struct(
+            s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(rule.kind).alias("kind"), F.length(k).alias("n")))
+
+    def with_groups(found, gaps):
+        return let(F.regexp_extract_all("_text", pat, F.lit(rule.group)), lambda kept: placed(found, kept, gaps)) if rule.group else placed(found, found, gaps)
+
+    spans = let(F.regexp_extract_all("_text", pat, F.lit(0)), lambda found: let(F.split("_text", rule.pattern, -1), lambda gaps: with_groups(found, gaps)))
+    return F.filter(spans, lambda s: s["n"] >= rule.least)
 
 
 def _joined(spans: Column) -> Column:
