@@ -20,13 +20,15 @@ ROWS, PIECES = 250_000, 1024
 def row_blocks(df: DataFrame, keys: list[str], ts: str, tie: str, rows: int = ROWS) -> DataFrame:
     """df with `_block`, which does not decrease along (ts, tie) inside a key and holds at most about 2 * rows rows, however they lie in time.
 
-    Days are counted and neighbouring small days share a block. A day of more than `rows` rows is cut by a mergeable sketch of its times, and an
-    instant of more than that by one of `tie` (a number), each into up to PIECES pieces of equally many rows. NULL times are the first day. Only the counts and sketches are
-    shuffled; they are joined to the rows as small tables.
+    Days are counted first. If none has more than `rows` rows they are the blocks. Else neighbouring small days share a block, a crowded day is cut by a mergeable sketch of its
+    times, and a crowded instant by one of `tie` (a number), each into up to PIECES pieces of equally many rows. NULL times are the first day. Only counts and
+    sketches are shuffled; they are joined to the rows as small tables.
     """
     day = "_day"
     src = df.withColumn(day, day_block(ts))
     days = src.groupBy(*keys, day).agg(F.count(F.lit(1)).alias("_n"))
+    if not days.where(F.col("_n") > rows).limit(1).count():
+        return src.withColumnRenamed(day, BLOCK)
     before = F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy(day).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     # a crowded day starts blocks of its own: it and the days after it in the same stretch of rows are told apart by the rows before
     days = days.select(*keys, day, F.floor(before / rows).alias("_a"), "_n", F.when(F.col("_n") > rows, before + 1).otherwise(0).alias("_first"))

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from touchline.functions.scalars import elo_after
 from touchline.operators.prefix import same
 from touchline.operators.ratings import elo_fold
+from touchline.session import cut
 from touchline.streaming.streams import run_batches
 
 GAME = ["contest_id", "ts", "home_id", "away_id", "home_score", "away_score"]
@@ -27,8 +28,9 @@ class Versions:
             "snapshots": T.StructType([*keys, month, T.StructField("team", T.LongType()), T.StructField("elo", elo)]),
             "written": T.StructType([*keys, month]),
         }
-        for name, shape in self.shapes.items():  # a stream that has seen nothing reads as empty
-            self.spark.createDataFrame([], shape).write.mode("overwrite").parquet(f"{folder}/{name}/batch=-1")
+        for name in self.shapes:  # a stream that has seen nothing reads as empty
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
 
     def write(self, name: str, rows: DataFrame, batch: int) -> None:
         rows.select(*self.shapes[name].names).write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
@@ -62,7 +64,7 @@ def rate_batches(stream: DataFrame, by: list[str], folder: str) -> tuple[DataFra
 
         logged = same(tables.read("log", batch_id + 1), starts, by).where("month >= from_month")
         latest = F.max_by(F.struct(*[c for c in GAME if c != "contest_id"]), "batch").alias("g")
-        replay = logged.groupBy(*by, "month", "contest_id").agg(latest).select(*by, "month", "contest_id", "g.*")
+        replay = cut(logged.groupBy(*by, "month", "contest_id").agg(latest).select(*by, "month", "contest_id", "g.*"))
         untouched = same(tables.valid(batch_id), starts, by).where("month < from_month")
         resume = untouched.groupBy(*by).agg(F.max_by(F.struct("month", "batch"), "month").alias("v")).select(*by, "v.month", "v.batch")
         prior = tables.current("snapshots", resume).select(*by, "team", "elo")
