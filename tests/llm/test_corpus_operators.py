@@ -272,9 +272,9 @@ def test_url_rules_and_aliases(spark, duck):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
-def test_ten_queries_and_the_pipeline_are_registered():
+def test_all_queries_and_the_pipeline_are_registered():
     names = entry.queries()
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14)) and "pipeline" in names
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and set(queries.QUERIES) <= set(names)
 
 

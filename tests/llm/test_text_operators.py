@@ -141,6 +141,31 @@ def test_pieces_in_spark(make):
     assert pieces.encode(make([]), model).count() == 0
 
 
+ODD = ["", " ", "  a", "a  b", "a \n b", "x.", ".", " ,", "a,", "ab, cd.", "1, 2.", "é. ǝ. ʒ, 数.", "a ", "\n", " \n.", "don't, can't.", "a . b", "A,. b.,", "tab\t, x", "\u00a0x \u00a0 y", "ab, ab ab, ab."]
+
+
+@pytest.mark.parametrize("words, chars", [(400_000, 1 << 20), (3, 1), (5, 12)])
+def test_ids_are_those_of_the_library(monkeypatch, prose, words, chars):
+    """Whatever the cache holds and however texts are run together."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", words)
+    monkeypatch.setattr(packing, "RUN_CHARS", chars)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [*ODD, None, prose(1, 200), *ODD, prose(1, 200), prose(2, 50) + ", " + prose(3, 50) + "."]
+    tok, enc = Tokenizer.from_file(path), packing.Encoder(path)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc(texts)] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_ids_beyond_the_width_are_an_error():
+    assert packing.vocabulary_size(public_tokenizers.path("byte_bpe_50k.json")) == 50_257
+    for bits in (8, 11, 16):
+        packing.pack(np.array([(1 << bits) - 1], np.uint32), bits)
+        with pytest.raises(ValueError):
+            packing.pack(np.array([0, 1 << bits], np.uint32), bits)
+
+
 @pytest.mark.parametrize("bits", [1, 3, 7, 8, 11, 16, 17, 20, 31, 32])
 def test_packing_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 2 ** bits, 1003).astype(np.uint32)

@@ -18,6 +18,10 @@ from touchline.llm.registry import query
 BLOCK_IDS = 1 << 16
 #: Words after which a worker's cache takes a turn; it only saves time.
 CACHE_WORDS = 400_000
+#: Characters of texts that are cut at a time.
+RUN_CHARS = 1 << 18
+#: Pieces of one call of the library.
+CALL_PIECES = 2048
 BLOCKS = "bucket int, block long, first long, n_ids long, bits int, payload binary, doc_ids array<bigint>, doc_firsts array<bigint>"
 
 
@@ -25,13 +29,22 @@ BLOCKS = "bucket int, block long, first long, n_ids long, bits int, payload bina
 _WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
 
 
+def vocabulary_size(path: str) -> int:
+    """Ids of a tokenizer file, special ones included."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size()
+
+
 def bits_for(vocabulary: int) -> int:
     """Least number of bits that holds every id of a vocabulary."""
     return max(1, (vocabulary - 1).bit_length())
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    """Ids as consecutive fields of `bits` bits, least significant bit first; eight ids fill exactly `bits` bytes."""
+    """Ids as consecutive fields of `bits` bits, least significant bit first; eight ids fill exactly `bits` bytes. An id that needs more bits is an error."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} does not fit in {bits} bits")
     if bits in _WHOLE:
         return ids.astype(_WHOLE[bits]).tobytes()
     groups = -(-len(ids) // 8)
@@ -58,59 +71,85 @@ def unpack(payload: bytes, bits: int, first: int, n: int) -> np.ndarray:
     return ((words >> (offsets & 7).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
-class _Words(dict):
-    """Pieces of texts and their ids as bytes. What has not been asked for since the last turn is forgotten at the next one."""
-
-    def __init__(self, tok, older: dict | None = None):
-        self.tok, self.older = tok, older or {}
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            if len(piece) > 2 and piece[-1] in ",." and piece[-2].isalpha() and piece[-2] < "ɐ":
-                ids = self[piece[:-1]] + self[piece[-1]]
-            else:
-                ids = array("I", self.tok.encode_batch_fast([piece], add_special_tokens=False)[0].ids).tobytes()
-        self[piece] = ids
-        return ids
-
-
 class Encoder:
     """Whole texts to ids with the tokenizers library, piece by piece with a cache.
 
     The byte-level pattern of the tokenizer always begins a new token at a space that is followed by something else than
     white space, and between a letter and a comma or full stop. So a text is cut there, each different piece is encoded
-    once, and the ids are joined; the result is that of encoding the text at once.
+    once, and the ids are joined; the result is that of encoding the text at once. The pieces of a run of texts that the cache lacks go to the library in one call.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.words = _Words(Tokenizer.from_file(path))
+        self.tok = Tokenizer.from_file(path)
+        self.marks = {m: self._library([m])[0] for m in ",."}
+        self.spaced: dict[str, bytes] = {}  # ids of a piece that follows a space, which is not in the key
+        self.before: dict[str, bytes] = {}  # the turn before; what has not been asked for since is forgotten
+
+    def _library(self, pieces: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(pieces), CALL_PIECES):  # what the library returns is large beside the ids
+            out += [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(pieces[i:i + CALL_PIECES], add_special_tokens=False)]
+        return out
 
     @staticmethod
     def cut(text: str) -> list[str]:
-        """Pieces of a text; all but the first begin with a space."""
+        """Pieces of a text; all but the first follow a space, which they do not hold."""
         parts = text.split(" ")
         if not _LOOSE.search(text):
-            return [parts[0], *[" " + p for p in parts[1:]]]
+            return parts
         out = [parts[0]]
         for p in parts[1:]:
             if not p or p[0].isspace():
                 out[-1] += " " + p
             else:
-                out.append(" " + p)
+                out.append(p)
         return out
 
+    def _learn(self, pieces: set[str]) -> None:
+        known, older = self.spaced, self.before
+        stems, marked = [], []
+        for p in pieces:
+            ids = older.get(p)
+            if ids is not None:
+                known[p] = ids
+            elif len(p) > 1 and p[-1] in ",." and p[-2].isalpha() and p[-2] < "ɐ":
+                marked.append(p)
+            else:
+                stems.append(p)
+        extra = {p[:-1] for p in marked}.difference(known, stems)
+        for p in [p for p in extra if p in older]:
+            known[p] = older[p]
+            extra.discard(p)
+        stems.extend(extra)
+        known.update(zip(stems, self._library([" " + p for p in stems])))
+        for p in marked:
+            known[p] = known[p[:-1]] + self.marks[p[-1]]
+
     def __call__(self, texts) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out = []
+        out, run, size = [], [], 0
         for text in texts:
-            out.append(b"".join(map(self.words.__getitem__, self.cut(text))) if text else b"")
-            if len(self.words) > CACHE_WORDS:
-                self.words = _Words(self.words.tok, dict(self.words))
-        return out
+            run.append(text or "")
+            size += len(run[-1])
+            if size >= RUN_CHARS:
+                out += self._run(run)
+                run, size = [], 0
+        return out + self._run(run)
+
+    def _run(self, texts: list[str]) -> list[bytes]:
+        cut = [self.cut(t) for t in texts]
+        first = self._library([c[0] for c in cut])
+        if len(self.spaced) > CACHE_WORDS:
+            self.before, self.spaced = self.spaced, {}
+        rest = [c[1:] for c in cut]
+        missing = set().union(*rest).difference(self.spaced)
+        if missing:
+            self._learn(missing)
+        look = self.spaced.__getitem__
+        return [f + b"".join(map(look, r)) for f, r in zip(first, rest)]
 
 
 _LOOSE = re.compile(r" (?:\s|$)")
@@ -234,5 +273,6 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 @query("op7_token_files")
 def op7_token_files(spark, sf_dir):
     path = scratch(spark, "tokens")
-    write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), 50_257)
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    write(table(spark, sf_dir, "documents"), path, tokenizer, vocabulary_size(tokenizer))
     return read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
