@@ -231,9 +231,9 @@ def pair_deltas(spark, sf):
 MIXED = ["dominance", "quality_gap", "home_edge", "away_hotness"]
 
 
-@query("interactions", f"""WITH t AS ({ORACLES["team_state"]}), s AS ({ORACLES["side_splits"]}), l AS (WITH {v.LOG_SQL} SELECT contest_id, side, pool, rating, pts FROM log),
+@query("interactions", f"""WITH t AS MATERIALIZED ({ORACLES["team_state"]}), s AS MATERIALIZED ({ORACLES["side_splits"]}), l AS MATERIALIZED (WITH {v.LOG_SQL} SELECT contest_id, side, pool, rating, pts FROM log),
 pr AS (SELECT pool, avg((pts = 3)::INT) AS prior FROM l WHERE side = 'home' GROUP BY pool),
-j AS (SELECT t.*, l.pool, l.rating, s.ppg_home_10 FROM t JOIN s USING (contest_id, team, side) JOIN l USING (contest_id, side)),
+j AS MATERIALIZED (SELECT t.*, l.pool, l.rating, s.ppg_home_10 FROM t JOIN s USING (contest_id, team, side) JOIN l USING (contest_id, side)),
 x AS (SELECT h.contest_id, (h.rating - w.rating) * ((h.xg_for_10 - h.xg_against_10) - (w.xg_for_10 - w.xg_against_10)) AS dominance, (h.xg_for_10 - w.xg_against_10) - (w.xg_for_10 - h.xg_against_10) AS quality_gap,
 CAST(sign(h.form_5 - w.form_5) + sign({v.sql_rnd('h.xg_trend - w.xg_trend', 5)}) + sign(h.rating_momentum - w.rating_momentum) AS INT) AS alignment, h.ppg_home_10 - prior * 3 AS home_edge, w.win_streak * w.xg_trend AS away_hotness
 FROM j h JOIN j w ON w.contest_id = h.contest_id AND h.side = 'home' AND w.side = 'away' JOIN pr ON pr.pool = h.pool) SELECT contest_id, alignment, {sql_rounded(MIXED, 4)} FROM x""")
