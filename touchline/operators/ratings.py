@@ -80,7 +80,7 @@ def glicko_periods(games: DataFrame, by: list[str], unit: str = "quarter") -> tu
     spark = games.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/contests-{uuid.uuid4().hex}"
     period = F.trunc(F.col("ts").cast("date"), unit)
-    _played(games, by).withColumn("period", period).repartition("period").write.partitionBy("period").parquet(path)
+    _played(games, by).withColumn("period", period).hint("rebalance", "period").write.partitionBy("period").parquet(path)
     table = spark.read.parquet(path)
     state = spark.createDataFrame([], T.StructType([games.schema[k] for k in by] + list(_fields("rating", "rd", "volatility", first="team"))))
     shots = []

@@ -38,8 +38,8 @@ def missing_children(parents: DataFrame, children: DataFrame, key: str) -> DataF
 
 
 def write_features(df: DataFrame, path: str, partition: list[str]) -> None:
-    """Feature tables as parquet folders by season or pool; one shuffle keeps the file count low."""
-    df.repartition(*partition).write.mode("overwrite").partitionBy(*partition).parquet(path)
+    """Feature tables as parquet folders by season or pool. The shuffle is rebalanced: small values share a task, a large one is split by size over several."""
+    df.hint("rebalance", *partition).write.mode("overwrite").partitionBy(*partition).parquet(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, encoding: str = "UTF-8") -> DataFrame:
