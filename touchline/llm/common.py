@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from touchline.session import cut, ensure_checkpoint_dir
 
 SEED = 42
+#: Bytes of a row group of tables between steps: a task holds one while it writes.
+ROW_GROUP = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,27 +89,41 @@ def leader_links(alive: DataFrame, sets: DataFrame, similarity: float, leaders:
     stand for a component. A bucket ends once all its members are in one component, so a family of near copies ends after its first leaders. The number of leaders
     doubles each round. Sizes whose ratio is below `similarity` rule a pair out before its sets are read.
     """
-    by_seg, links = Window.partitionBy("seg"), None
+    by_seg, links, spark = Window.partitionBy("seg"), None, sets.sparkSession
     alive = cut(alive.select("seg", "id", "n", F.col("id").alias("root")))
+    path = scratch(spark, "sets")
+    sets.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+    sets = spark.read.parquet(path)
     while alive.limit(1).count():
         ranked = cut(alive.withColumn("r", F.row_number().over(by_seg.orderBy(F.col("id") != F.col("root"), "id"))))
         lead = ranked.where(F.col("r") <= leaders).select("seg", *[F.col(c).alias(f"lead_{c}") for c in ("id", "n", "root", "r")])
         pairs = ranked.join(lead, "seg").where((F.col("lead_r") < F.col("r")) & (F.col("lead_root") != F.col("root")))
         pairs = pairs.where(F.least("n", "lead_n") >= F.lit(similarity - 1e-9) * F.greatest("n", "lead_n"))
         pairs = cut(pairs.select(F.greatest("id", "lead_id").alias("a"), F.least("id", "lead_id").alias("b"), F.greatest("root", "lead_root").alias("p"), F.least("root", "lead_root").alias("q")).distinct())
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+        asked = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
+        asked_path = scratch(spark, "asked")
+        asked.write.option("parquet.block.size", str(ROW_GROUP)).parquet(asked_path)
+        asked = spark.read.parquet(asked_path)
+        both = pairs.join(asked.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(asked.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
         same = F.size(F.array_intersect("x", "y"))
         found = cut(both.where(same >= F.lit(similarity - 1e-9) * (F.size("x") + F.size("y") - same)).select("a", "b", "p", "q"))
+        drop_folder(spark, asked_path)
         links = found.select("a", "b") if links is None else links.unionByName(found.select("a", "b"))
         moved = components(found.select(F.col("p").alias("a"), F.col("q").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("to"))
         rest = ranked.where(F.col("r") > leaders).join(moved, "root", "left").select("seg", "id", "n", F.coalesce("to", "root").alias("root"))
         split = rest.withColumn("low", F.min("root").over(by_seg)).withColumn("high", F.max("root").over(by_seg)).where("low <> high")
         alive = cut(split.select("seg", "id", "n", "root"))
         leaders *= 2
-        del ranked, lead, pairs, both, found, moved, rest, split
-        release(sets.sparkSession)
+        del ranked, lead, pairs, asked, both, found, moved, rest, split
+        release(spark)
+        # only the sets of members that are still compared are read on
+        left = scratch(spark, "sets")
+        sets.join(alive.select("id").distinct(), "id", "left_semi").write.option("parquet.block.size", str(ROW_GROUP)).parquet(left)
+        drop_folder(spark, path)
+        path, sets = left, spark.read.parquet(left)
     kind = sets.schema["id"].dataType.simpleString()
-    return sets.sparkSession.createDataFrame([], f"a {kind}, b {kind}") if links is None else links
+    drop_folder(spark, path)
+    return spark.createDataFrame([], f"a {kind}, b {kind}") if links is None else links
 
 
 def components(edges: DataFrame) -> DataFrame:

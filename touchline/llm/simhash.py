@@ -5,10 +5,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import components, cut, leader_links, release, shingle_hashes, shingle_set, table
+from touchline.llm.common import ROW_GROUP, components, cut, drop_folder, leader_links, release, scratch, shingle_hashes, shingle_set, table
 from touchline.llm.registry import query
 
 #: Fingerprint bits are cut into four blocks; two fingerprints that differ in two bits agree in two blocks at least.
@@ -116,7 +116,7 @@ def _distinct(text: str | None, words: int) -> np.ndarray:
 
 
 def prefix(text: str | None, counts: np.ndarray, similarity: float, words: int) -> tuple[int, np.ndarray]:
-    """Number n of different shingles of a text, and the n - ceil(similarity * n) + 1 that come first by (count, hash).
+    """Number n of different shingles of a text, and of the n - ceil(similarity * n) + 1 that come first by (count, hash) those that another text can hold.
 
     Two texts of that Jaccard likeness share ceil(similarity * n) shingles of either at least, so the first of them lies among these of both. That holds for any
     one order of all shingles; rare ones come first so that few texts share them.
@@ -124,7 +124,8 @@ def prefix(text: str | None, counts: np.ndarray, similarity: float, words: int)
     found = _distinct(text, words)
     most = len(found) - math.ceil(similarity * len(found) - 1e-9) + 1 if len(found) else 0
     first = np.lexsort((found, counts[(found & np.uint64(SLOTS - 1)).astype(np.int64)]))[:most]
-    return len(found), found[first].view(np.int64)
+    lone = counts[(found[first] & np.uint64(SLOTS - 1)).astype(np.int64)] < 2  # no other text holds it
+    return len(found), found[first[~lone]].view(np.int64)
 
 
 def likeness_links(docs: DataFrame, texts: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
@@ -133,26 +134,27 @@ def likeness_links(docs: DataFrame, texts: DataFrame, similarity: float = 0.8, w
     Candidates are all pairs that share a shingle of their prefixes: no pair of that likeness is missed, whatever its length (shingles count as equal if their hashes do).
     Passages that many documents share come last in the order and bring no candidates. In a family of near copies not all pairs are formed (leader_links).
     """
-    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, words))
-
-    @F.pandas_udf("n int, segs array<bigint>")
-    def prefixes(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([prefix(t, counts.value, similarity, words) for t in texts], columns=["n", "segs"], index=texts.index)
-
-    @F.pandas_udf("array<int>")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, words) for t in texts], index=texts.index, dtype=object)
-
-    # texts stay where they are; only the prefixes are joined
-    each = docs.select(_text_id().alias("id"), prefixes("text").alias("p")).dropDuplicates(["id"])
-    rows = each.select("id", "p.n", F.explode("p.segs").alias("seg"))
-    alive = cut(rows.withColumn("many", F.count("*").over(Window.partitionBy("seg"))).where("many > 1").select("seg", "id", "n"))
-    ids = cut(texts.join(alive.select("id").distinct(), "id").select("id", F.col("first").alias("doc_id")))
-    chosen = docs.select("doc_id", "text").join(ids, "doc_id").where(_text_id() == F.col("id"))
-    sets = cut(chosen.select("id", shingles("text").alias("set")).dropDuplicates(["id"]))
-    del each, rows, ids, chosen
-    release(docs.sparkSession)
-    return leader_links(alive, sets, similarity)
+    spark = docs.sparkSession
+    counts = spark.sparkContext.broadcast(shingle_counts(docs, words))
+
+    @F.pandas_udf("n int, segs array<bigint>, set array<int>")
+    def shingled(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(*prefix(t, counts.value, similarity, words), shingle_set(t, words)) for t in texts], columns=["n", "segs", "set"], index=texts.index)
+
+    # texts stay where they are: one pass writes what is compared later, and only prefixes are joined
+    path = scratch(spark, "shingled")
+    docs.select(_text_id().alias("id"), shingled("text").alias("s")).select("id", "s.*").write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+    each = spark.read.parquet(path)
+    rows = each.select("id", "n", F.explode("segs").alias("seg"))
+    shared = cut(rows.groupBy("seg").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("seg"))
+    release(spark)
+    alive = cut(rows.join(shared, "seg").distinct())
+    del shared
+    release(spark)
+    sets = each.select("id", "set").join(alive.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    found = leader_links(alive, sets, similarity)
+    drop_folder(spark, path)
+    return found
 
 
 def _text_id():
