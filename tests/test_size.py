@@ -1,13 +1,17 @@
 """Faults that show at size only, made small: long ledgers, crowded blocks of the league table, states in streams."""
+import math
 from collections import defaultdict
 from datetime import datetime, timedelta
 from random import Random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from check import rows_of
 from touchline.operators import standings as st
 from touchline.operators.history import HOT_ROWS
+from touchline.plans import catalog
 
 
 def made_log(spark, n=400, teams=30):
@@ -67,3 +71,24 @@ def test_standings_without_a_pool(spark):
     rows, log = made_log(spark, 20, 4)
     got = st.standings_before(log.withColumn("pool", F.lit(None).cast("string"))).collect()
     assert len(got) == len(rows) and {(r["position"], r["table_pts"]) for r in got} == {(10.0, 0)}
+
+
+def test_long_ledger_outgrows_doubles(spark, tmp_path):
+    """6,300 wins carry the balance past the largest double: the fold goes on as the SQL does."""
+    kinds = [*"F" * 6300, "P", "O", "F", "P"]
+    at = datetime(1995, 1, 1)
+    rows = [(149 + 150 * i, 1, s, 1.0, at + timedelta(hours=i), "1-URGENT") for i, s in enumerate(kinds)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    for name in ("restake_fold", "current_balance", "rebalance_open"):
+        df = catalog.QUERIES[name](spark, str(tmp_path))
+        res = con.execute(catalog.ORACLES[name])
+        got, cols = [tuple(r) for r in df.collect()], [d[0] for d in res.description]
+        want = res.fetchall()
+        assert sorted(cols) == sorted(df.columns) and rows_of(got, df.columns) == rows_of(want, cols)
+        if name == "restake_fold":
+            assert any(r[cols.index("bank_after")] == math.inf for r in want)
+            nan = lambda x: x is not None and math.isnan(x)
+            assert sum(nan(dict(zip(df.columns, r))["pnl"]) for r in got) == sum(nan(dict(zip(cols, r))["pnl"]) for r in want) > 0
+            assert sum(dict(zip(df.columns, r))["pnl"] is None for r in got) == 2

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.functions.scalars import closing_line_value, expected_value, kelly_fraction, profit, rnd, settle
+from touchline.functions.scalars import closing_line_value, expected_value, kelly_fraction, profit, settle
 from touchline.operators.fold import ordered_fold
 from touchline.operators.prefix import day_block, running
 from touchline.operators.scan import BLOCK, log_curve, row_blocks
@@ -100,11 +100,13 @@ def closed_form_growth(block: DataFrame, fraction: float = 0.25, cap: float = 0.
 
 
 def _round2(x: float) -> float:
-    return math.floor(x * 100.0 + 0.500001) / 100.0
+    """Half-up cents. A balance beyond the range of doubles becomes infinite, as in SQL; what follows from it is infinite or not a number."""
+    cents = x * 100.0 + 0.500001
+    return math.floor(cents) / 100.0 if math.isfinite(cents) else cents
 
 
 RESTAKE_OUT = T.StructType([T.StructField("id", T.LongType()), T.StructField("stake", T.DoubleType()),
-                            T.StructField("pnl", T.DoubleType()), T.StructField("bank_after", T.DoubleType())])
+                            T.StructField("pnl", T.DoubleType()), T.StructField("bank_after", T.DoubleType()), T.StructField("graded", T.BooleanType())])
 RESTAKE_STATE = T.StructType([T.StructField("bank", T.DoubleType())])
 
 
@@ -127,16 +129,21 @@ def restake(ledger: DataFrame, by: list[str], start: float = START, cap: float =
             if pnl is not None:
                 bank = _round2(bank + pnl)
                 bank = bank if floor is None else max(bank, floor)
-            out.append((id_, put, pnl, bank))
+            out.append((id_, put, pnl, bank, pnl is not None))
         return pd.DataFrame(out, columns=RESTAKE_OUT.names), pd.DataFrame({"bank": [bank]})
 
     live = ledger.where(F.col("fraction") > 0).select(*by, *ORDER, "fraction", "odds", "result")
-    return ordered_fold(live, by, ORDER, step, RESTAKE_OUT, RESTAKE_STATE, block_rows, at_most=at_most)
+    rows, final = ordered_fold(live, by, ORDER, step, RESTAKE_OUT, RESTAKE_STATE, block_rows, at_most=at_most)
+    # pandas gives "not a number" back as NULL; only the profit of an open row is NULL
+    number = lambda c: F.coalesce(c, F.lit(float("nan"))).alias(c)
+    return (rows.select(*by, "id", number("stake"), F.when(F.col("graded"), F.coalesce("pnl", F.lit(float("nan")))).alias("pnl"), number("bank_after")),
+            final.select(*by, number("bank")))
 
 
 def rebalance_open(ledger: DataFrame, balances: DataFrame, by: list[str], cap: float = STAKE_CAP) -> DataFrame:
     """New stakes for open rows only, from the current balance of their strategy."""
-    put = rnd(F.least(F.col("bank") * F.col("fraction"), F.col("bank") * cap), 2)
+    cents = F.least(F.col("bank") * F.col("fraction"), F.col("bank") * cap) * 100.0 + 0.500001
+    put = F.when(cents < float(1 << 53), F.floor(cents)).otherwise(cents) / 100.0  # F.floor gives a long, which large and infinite balances exceed
     return ledger.where(F.col("result").isNull() & (F.col("fraction") > 0)).join(balances, by).withColumn("stake", put)
 
 
