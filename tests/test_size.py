@@ -12,6 +12,8 @@ from check import rows_of
 from touchline.operators import standings as st
 from touchline.operators.history import HOT_ROWS
 from touchline.plans import catalog
+from touchline.streaming import streams as sm
+from touchline.streaming import timers as tm
 
 
 def made_log(spark, n=400, teams=30):
@@ -92,3 +94,14 @@ def test_long_ledger_outgrows_doubles(spark, tmp_path):
             nan = lambda x: x is not None and math.isnan(x)
             assert sum(nan(dict(zip(df.columns, r))["pnl"]) for r in got) == sum(nan(dict(zip(cols, r))["pnl"]) for r in want) > 0
             assert sum(dict(zip(df.columns, r))["pnl"] is None for r in got) == 2
+
+
+def test_score_states_are_few(spark, tmp_path):
+    """Contests share states: a batch of 3,000 contests calls Python for a bucket, not for a contest."""
+    rows = [(k, p, s, 1, 0, datetime(2024, 1, 1) + timedelta(minutes=k % 500 + m)) for k in range(3000) for p, s, m in ((0, "1H", 0), (1, tm.FINISHED, 115))]
+    schema = "contest_id long, priority int, status string, home_score long, away_score long, recorded_at timestamp"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    feed = sm.read_files(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
+    query = (tm.score_events(feed).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= tm.BUCKETS < 3000

@@ -1,14 +1,17 @@
 """Keyed state with event-time timers: scores of two feeds, and rolling line-value status.
 
-A key's state is a few numbers as JSON and goes when its last timer fires. Nothing is decided before the watermark has passed its time, so results
+A key's state is a few numbers (of contests: arrays, one state a bucket of contests) and goes when its last timer fires. Nothing is decided before the watermark has passed its time, so results
 do not hang on the order in which rows arrive, as long as they are late by the watermark's delay at most. A feed that is done sends a heartbeat, a row with a null
 key and a later time; it moves the watermark on and is counted nowhere.
 """
 from __future__ import annotations
 
 import json
+import pickle
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +22,9 @@ FINISHED = "Finished"
 HEALTHY_CLV, WARNING_CLV, MIN_ROWS, ROLLING_DAYS = 0.0, -0.02, 5, 30
 
 MICROS = 1_000_000
+#: Contests share BUCKETS states, so that a batch calls Python once a bucket and not once a contest.
+BUCKETS = 512
+PHASE, NEVER = 0, np.iinfo(np.int64).min
 EVENT = "contest_id long, kind string, at_us long, status string, home_score long, away_score long, priority int"
 
 
@@ -41,61 +47,98 @@ def score_events(updates: DataFrame, grace_s: int = 3 * 3600, delay: str = "1 da
     src = updates.withColumn("at_us", F.unix_micros("recorded_at")).withWatermark("recorded_at", delay)
     src = src.select("contest_id", "priority", "status", "home_score", "away_score", "recorded_at", "at_us")
 
+    grace, keep = grace_s * MICROS, keep_s * MICROS
+
     def track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        data = json.loads(state.get[0]) if state.exists else {"first": {}, "told": [], "done": None, "last": 0}
+        held, names = pickle.loads(zlib.decompress(state.get[0])) if state.exists else (None, [])
+        parts = [] if held is None else [held]
         for rows in batches:
-            if pd.isna(key[0]):
-                continue
-            for priority, status, home, away, at in zip(rows["priority"], rows["status"], rows["home_score"], rows["away_score"], rows["at_us"]):
-                entry = [int(at), int(priority), None if pd.isna(home) else int(home), None if pd.isna(away) else int(away)]
-                data["last"] = max(data["last"], entry[0])
-                names = [f"phase {status}"]
-                if status == FINISHED and entry[2] is not None and entry[3] is not None:
-                    names.append(f"final {entry[1]}")
-                for name in names:
-                    held = data["first"].get(name)
-                    if held is None or _earlier(entry, held):
-                        data["first"][name] = entry
-        if pd.isna(key[0]):
+            rows = rows[rows["contest_id"].notna() & rows["at_us"].notna()]
+            if len(rows):
+                parts += _entries(rows, names)
+        if not parts:
             return
+        e = _earliest({c: np.concatenate([p[c] for p in parts]) for c in parts[0]})
         now = state.getCurrentWatermarkMs() * 1000
-        due, waiting = [], []
-        for name, entry in data["first"].items():
-            if name.startswith("phase ") and name not in data["told"]:
-                (due if entry[0] < now else waiting).append((entry[0], "phase", name, entry))
-        if data["done"] is None and (choice := _final(data["first"], grace_s * MICROS)):
-            (due if choice[0] < now else waiting).append((choice[0], "final", f"phase {FINISHED}", choice[1]))
-        out = []
-        for at, kind, name, entry in sorted(due, key=lambda x: (x[0], x[1])):
-            out.append((key[0], kind, at, name[6:], entry[2], entry[3], entry[1]))
-            if kind == "phase":
-                data["told"].append(name)
-            else:
-                data["done"] = at
-        if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENT.split(", ")]).astype({"home_score": "Int64", "away_score": "Int64", "priority": "int32"})
-        end = (data["last"] if data["done"] is None else max(data["done"], data["last"])) + keep_s * MICROS
-        if not waiting and end < now:
+        starts = np.flatnonzero(_changes(e["contest_id"]))
+        game = np.cumsum(_changes(e["contest_id"])) - 1
+        last, done = np.maximum.reduceat(e["last"], starts), np.maximum.reduceat(e["done"], starts)
+        at_final, chosen = _finals(e, game, len(starts), grace)
+        open_final = (chosen >= 0) & (done == NEVER)
+        settled = open_final & (at_final < now)
+        done[settled] = at_final[settled]
+        told = (e["kind"] == PHASE) & ~e["told"] & (e["at"] < now)
+        e["told"] |= told
+        waiting = (e["kind"] == PHASE) & ~e["told"]
+        late = open_final & ~settled
+        busy = np.logical_or.reduceat(waiting, starts) | late
+        end = np.maximum(done, last) + keep
+        gone = ~busy & (end < now)
+        if told.any() or settled.any():
+            yield _told(e, names, np.concatenate([np.flatnonzero(told), chosen[settled]]), np.concatenate([e["at"][told], at_final[settled]]), int(told.sum()))
+        e["last"], e["done"] = last[game], done[game]
+        stay = ~gone[game]
+        if not stay.any():
             if state.exists:
                 state.remove()
             return
-        state.update((json.dumps(data),))
-        _wake(state, [t[0] for t in waiting] or [end])
+        state.update((zlib.compress(pickle.dumps(({c: x[stay] for c, x in e.items()}, names)), 1),))
+        times = np.concatenate([e["at"][waiting], at_final[late], end[~busy & ~gone]])
+        _wake(state, [int(times.min())])
 
-    events = src.groupBy("contest_id").applyInPandasWithState(track, EVENT, "data string", "append", GroupStateTimeout.EventTimeTimeout)
+    bucket = F.pmod(F.xxhash64("contest_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    events = src.select(bucket, "*").groupBy("bucket").applyInPandasWithState(track, EVENT, "data binary", "append", GroupStateTimeout.EventTimeTimeout)
     return events.select("contest_id", "kind", F.timestamp_micros("at_us").alias("recorded_at"), "status", "home_score", "away_score", "priority")
 
 
-def _earlier(a: list, b: list) -> bool:
-    return [x if x is not None else -1 for x in a] < [x if x is not None else -1 for x in b]
-
-
-def _final(first: dict, grace_us: int) -> tuple[int, list] | None:
-    """When the final score is settled and by which update, from what is known."""
-    own, other = first.get("final 0"), first.get("final 1")
-    if own and (not other or own[0] <= other[0] + grace_us):
-        return own[0], own
-    return (other[0] + grace_us, other) if other else None
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """True where a sorted run starts."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def _entries(rows: pd.DataFrame, names: list) -> list[dict]:
+    """Updates as entries: one for the status, one more for a finished score of either feed. `names` gets the statuses that are new."""
+    codes, found = pd.factorize(rows["status"])
+    names += [x for x in found if x not in names]
+    code = np.array([*[names.index(x) for x in found], -1], np.int32)[codes]
+    at, priority = rows["at_us"].to_numpy(np.int64), rows["priority"].to_numpy(np.int32)
+    home, away = rows["home_score"], rows["away_score"]
+    whole = lambda x: x.fillna(0).to_numpy(np.int64)
+    phase = {"contest_id": rows["contest_id"].to_numpy(np.int64), "kind": np.full(len(rows), PHASE, np.int8), "name": code, "at": at, "priority": priority,
+             "home": whole(home), "no_home": home.isna().to_numpy(), "away": whole(away), "no_away": away.isna().to_numpy(),
+             "told": np.zeros(len(rows), bool), "last": at, "done": np.full(len(rows), NEVER)}
+    done = (rows["status"] == FINISHED).to_numpy(bool) & ~phase["no_home"] & ~phase["no_away"] & ((priority == 0) | (priority == 1))
+    return [phase, {c: x[done] for c, x in phase.items()} | {"kind": (PHASE + 1 + priority[done]).astype(np.int8)}]
+
+
+def _earliest(e: dict) -> dict:
+    """One entry a contest, kind and status: the earliest, by feed and lower score on equal times (an unknown score first)."""
+    order = np.lexsort((np.where(e["no_away"], -1, e["away"]), np.where(e["no_home"], -1, e["home"]), e["priority"], e["at"], e["name"], e["kind"], e["contest_id"]))
+    e = {c: x[order] for c, x in e.items()}
+    starts = np.flatnonzero(_changes(e["contest_id"], e["kind"], e["name"]))
+    return {c: x[starts] for c, x in e.items()} | {"told": np.logical_or.reduceat(e["told"], starts)} | {c: np.maximum.reduceat(e[c], starts) for c in ("last", "done")}
+
+
+def _finals(e: dict, game: np.ndarray, n: int, grace: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each contest, when its final score is settled and by which entry (-1: none), from what is known."""
+    at = []
+    for kind in (PHASE + 1, PHASE + 2):
+        found = np.flatnonzero(e["kind"] == kind)
+        at.append(np.full(n, -1))
+        at[-1][game[found]] = found
+    own, other = at
+    by_own = (own >= 0) & ((other < 0) | (e["at"][own] <= e["at"][other] + grace))
+    return np.where(by_own, e["at"][own], e["at"][other] + grace), np.where(by_own, own, other)
+
+
+def _told(e: dict, names: list, which: np.ndarray, at: np.ndarray, phases: int) -> pd.DataFrame:
+    """Entries as rows of EVENT, phases first."""
+    score = lambda c: pd.Series(pd.arrays.IntegerArray(e[c][which], e[f"no_{c}"][which]))
+    kinds = np.where(np.arange(len(which)) < phases, "phase", "final")
+    return pd.DataFrame({"contest_id": e["contest_id"][which], "kind": kinds, "at_us": at, "status": np.array([*names, None], object)[e["name"][which]],
+                         "home_score": score("home"), "away_score": score("away"), "priority": e["priority"][which]})
 
 
 def settled_picks(updates: DataFrame, picks: DataFrame, settle, **limits) -> DataFrame:
