@@ -105,3 +105,20 @@ def test_score_states_are_few(spark, tmp_path):
     query = (tm.score_events(feed).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/progress").trigger(availableNow=True).start())
     query.awaitTermination()
     assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= tm.BUCKETS < 3000
+
+
+def test_status_changes_over_files(spark, tmp_path):
+    """No Python worker gets a strategy as one group, and a file goes on from the last status of the file before."""
+    rng, at = Random(3), datetime(2024, 1, 1)
+    rows = [(rng.choice(["a", "b", None]), at + timedelta(minutes=i // 2), i, float(rng.randrange(3))) for i in range(600)]
+    for i in range(3):
+        spark.createDataFrame(rows[i * 200:(i + 1) * 200], "strategy string, ts timestamp, id long, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    feed = sm.read_files(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, per_batch=1)
+    got = sm.status_changes(feed, lambda x: x.map({0.0: "low", 1.0: "mid", 2.0: "high"}), f"{tmp_path}/work").collect()
+    want, held = set(), {}
+    for key, _, id_, value in rows:
+        status = ["low", "mid", "high"][int(value)]
+        if held.get(key) != status:
+            want.add((key, id_, status, held.get(key)))
+        held[key] = status
+    assert {(r["strategy"], r["id"], r["status"], r["was"]) for r in got} == want and len(got) == len(want)

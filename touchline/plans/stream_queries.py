@@ -185,7 +185,7 @@ def stream_status(spark, sf):
 
     def classify(x: pd.Series) -> pd.Series:
         return pd.Series("alert", index=x.index).mask(x >= 150000, "warning").mask(x >= 250000, "healthy")
-    got = sm.run_to_files(sm.status_changes(rows, classify), sm.work_folder(spark, "status"))
+    got = sm.status_changes(rows, classify, sm.work_folder(spark, "status"))
     return _naive(got, "ts").select("strategy", "ts", "id", "status", "was")
 
 

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from touchline.session import ensure_checkpoint_dir
+from touchline.operators.prefix import running, same
+from touchline.operators.scan import BLOCK, row_blocks
+from touchline.session import ensure_checkpoint_dir, stored
 
 # Least gap between snapshots and the look-ahead.
 GAP_MINUTES, AHEAD_HOURS = 25, 36
@@ -115,18 +117,32 @@ def quoting_sessions(quotes: DataFrame, gap: str = "2 hours", delay: str = "10 m
 
 # ---- line-value health -----------------------------------------------------------------------------------------------
 
-def status_changes(values: DataFrame, classify: Callable[[pd.Series], pd.Series]) -> DataFrame:
-    """Emit a row when the status of a strategy changes; values(strategy, ts, id, value). State = last status."""
+def status_changes(values: DataFrame, classify: Callable[[pd.Series], pd.Series], folder: str) -> DataFrame:
+    """Run a stream of values(strategy, ts, id, value) and return the rows at which a strategy's status changes, with `status` and the one before, `was`.
+
+    A batch is labelled row by row and compared along (ts, id) in blocks of bounded rows, so that no task holds a strategy's rows; its last statuses are a small table that the next batch starts
+    from. A batch that is run again writes the same folders again.
+    """
+    spark, last = values.sparkSession, F.struct("ts", "id")
     src = values.select("strategy", "ts", "id", "value")
-    out = T.StructType([*src.schema.fields, T.StructField("status", T.StringType()), T.StructField("was", T.StringType())])
 
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        was = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
-        status = classify(rows["value"])
-        prior = status.shift(1)
-        prior.iloc[0] = was
-        state.update((status.iloc[-1],))
-        yield rows.assign(status=status, was=prior)[status != prior][out.names]
+    @F.pandas_udf("string")
+    def label(x: pd.Series) -> pd.Series:
+        return classify(x)
 
-    return src.groupBy("strategy").applyInPandasWithState(watch, out, "status string", "append", GroupStateTimeout.NoTimeout)
+    out = T.StructType([*src.schema.fields, T.StructField("status", T.StringType()), T.StructField("was", T.StringType())])
+    held = T.StructType([src.schema["strategy"], T.StructField("status", T.StringType())])
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        rows = stored(batch.withColumn("status", label("value")))
+        prior = spark.read.schema(held).parquet(f"{folder}/state/batch={batch_id - 1}")
+        run = running(row_blocks(rows, ["strategy"], "ts", "id"), ["strategy"], ["ts", "id"], F.col(BLOCK), {"was": ("last", F.col("status"))}, inclusive=False)
+        run = same(run, prior.withColumnRenamed("status", "_held"), ["strategy"], "left").withColumn("was", F.coalesce("was", "_held"))
+        run.where("was IS NULL OR was <> status").select(*out.names).write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+        newest = rows.groupBy("strategy").agg(F.max_by("status", last).alias("status")).withColumn("_new", F.lit(1)).unionByName(prior.withColumn("_new", F.lit(0)))
+        newest.groupBy("strategy").agg(F.max_by("status", "_new").alias("status")).write.mode("overwrite").parquet(f"{folder}/state/batch={batch_id}")
+
+    for part, schema in (("out", out), ("state", held)):
+        spark.createDataFrame([], schema).write.parquet(f"{folder}/{part}/batch=-1")
+    run_batches(src, each, folder)
+    return spark.read.schema(T.StructType([*out.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{folder}/out").drop("batch")
