@@ -1,5 +1,6 @@
 """Faults that show at size only, made small: long ledgers, crowded blocks of the league table, states in streams."""
 import math
+import re
 from collections import defaultdict
 from datetime import datetime, timedelta
 from random import Random
@@ -9,9 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from check import rows_of
+from touchline.operators import form as fm
 from touchline.operators import standings as st
 from touchline.operators.history import HOT_ROWS
 from touchline.plans import catalog
+from touchline.plans import matrix as mt
 from touchline.streaming import streams as sm
 from touchline.streaming import timers as tm
 
@@ -122,3 +125,28 @@ def test_status_changes_over_files(spark, tmp_path):
             want.add((key, id_, status, held.get(key)))
         held[key] = status
     assert {(r["strategy"], r["id"], r["status"], r["was"]) for r in got} == want and len(got) == len(want)
+
+
+def plan_without_broadcast(spark, build):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = build()
+        return df, df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_absences_leave_the_games_where_they_are(spark):
+    games = spark.createDataFrame([(1, 10, 11), (2, 10, None), (3, 12, 12), (None, 10, 11), (4, 13, 14)], "contest_id long, home_id long, away_id long")
+    reports = spark.createDataFrame([(1, 10), (1, 10), (1, 11), (1, 99), (2, None), (2, 10), (3, 12), (None, 10), (5, 10)], "contest_id long, team long")
+    got, plan = plan_without_broadcast(spark, lambda: fm.absences(games.repartition("contest_id"), reports))
+    assert not re.search(r"hashpartitioning\(contest_id#\d+L?, (home|away)_id", plan)
+    assert sorted((r["contest_id"] or 0, r["home_absent"], r["away_absent"], r["absent_diff"], r["home_any_absent"], r["away_any_absent"]) for r in got.collect()) == [
+        (0, 0, 0, 0, 0, 0), (1, 2, 1, 1, 1, 1), (2, 1, 0, 1, 1, 0), (3, 1, 1, 0, 1, 1), (4, 0, 0, 0, 0, 0)]
+
+
+def test_matrix_shuffles_lines_once_and_wide_rows_by_contest(spark, sf):
+    _, plan = plan_without_broadcast(spark, lambda: mt.contest_matrix(spark, sf))
+    assert "l_quantity" not in plan  # the lines of contests are read by the stored step alone
+    assert not re.search(r"hashpartitioning\(contest_id#\d+L?, (home|away)_id", plan)
