@@ -27,7 +27,7 @@ from touchline.plans.quote_queries import ODDS
 from touchline.plans.registry import query, rounded, sql_rounded
 from touchline.plans.rule_queries import STRUCTURE, score_sql
 from touchline.plans.views import sql_rnd
-from touchline.session import cut
+from touchline.session import cut, stored
 
 FEATURES = ["strength", "size", "mkt_p_home", "mkt_p_away", "home_odds", "away_odds"]
 FOLDS = [("2000-01-01", "2000-07-01"), ("2000-07-01", "2001-01-01"), ("2001-01-01", "2001-11-01")]
@@ -186,14 +186,14 @@ def flag_rows(spark, sf, side="home"):
 def factor_weights(spark, sf):
     """Integer factor weights from a class-balanced logistic model on the factor flags."""
     rows, names = flag_rows(spark, sf)
-    return fl.rescale_weights(ln.factor_coefficients(cut(rows), names), "coef").select("factor", "weight", rnd("coef", 4).alias("coef"))
+    return fl.rescale_weights(ln.factor_coefficients(stored(rows), names), "coef").select("factor", "weight", rnd("coef", 4).alias("coef"))
 
 
 @query("flag_model")
 def flag_model(spark, sf):
     """A model whose features are the factor flags."""
     rows, names = flag_rows(spark, sf)
-    rows = cut(rows.withColumn("label", F.col("won").cast("double")))
+    rows = stored(rows.withColumn("label", F.col("won").cast("double")))
     start = F.lit("1999-06-01").cast("timestamp_ntz")
     fitted = ln.logistic(names, binary=True).fit(rows.where(F.col("ts") < start))
     got = ln.probabilities(fitted.transform(rows.where(F.col("ts") >= start)), ["p_loss", "p_win"])
