@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from check import rows_of
 from touchline.operators import form as fm
+from touchline.operators import learn as ln
 from touchline.operators import standings as st
 from touchline.operators.history import HOT_ROWS
 from touchline.plans import catalog
@@ -150,3 +151,43 @@ def test_matrix_shuffles_lines_once_and_wide_rows_by_contest(spark, sf):
     _, plan = plan_without_broadcast(spark, lambda: mt.contest_matrix(spark, sf))
     assert "l_quantity" not in plan  # the lines of contests are read by the stored step alone
     assert not re.search(r"hashpartitioning\(contest_id#\d+L?, (home|away)_id", plan)
+
+
+def goals_by_hand(games, scale, tolerance=1e-5):
+    """The alternating margins over plain dictionaries."""
+    last = max(g[0] for g in games)
+    rows = [(t, o, at, math.exp(-(last - d).days / scale), g) for d, h, a, hs, as_ in games for t, o, at, g in ((h, a, 1, hs), (a, h, 0, as_))]
+    teams, home = {r[0] for r in rows}, 1.1
+    att, dfn = dict.fromkeys(teams, 1.0), dict.fromkeys(teams, 1.0)
+    for _ in range(500):
+        was = {**{("a", t): x for t, x in att.items()}, **{("d", t): x for t, x in dfn.items()}, "home": home}
+        f = lambda at: home if at else 1.0
+        att = {t: max(sum(w * g for x, _, _, w, g in rows if x == t) / sum(w * dfn[o] * f(at) for x, o, at, w, _ in rows if x == t), 1e-3) for t in teams}
+        mean = sum(att.values()) / len(att)
+        att = {t: x / mean for t, x in att.items()}
+        dfn = {t: max(sum(w * g for _, x, _, w, g in rows if x == t) / sum(w * att[o] * f(at) for o, x, at, w, _ in rows if x == t), 1e-3) for t in teams}
+        home = sum(w * g for _, _, at, w, g in rows if at) / sum(w * att[t] * dfn[o] for t, o, at, w, _ in rows if at)
+        now = {**{("a", t): x for t, x in att.items()}, **{("d", t): x for t, x in dfn.items()}, "home": home}
+        if max(abs(now[k] - was[k]) for k in now) < tolerance:
+            return att, dfn, home
+
+
+def test_goal_rounds_leave_the_pairs_in_place(spark, monkeypatch):
+    rng = Random(3)
+    games = [(datetime(2020, 1, 1) + timedelta(days=rng.randrange(300)), *rng.sample(range(14), 2), rng.randrange(4), rng.randrange(3)) for _ in range(300)]
+    df = spark.createDataFrame([*games, (datetime(2020, 1, 5), None, 3, 1, 1)], "ts timestamp_ntz, home_id long, away_id long, home_score int, away_score int")
+    seen, step = [], ln._pair_sums
+
+    def watched(pairs, *rest):
+        seen.append((pairs.select("cell").distinct().count(), pairs.groupBy("cell").cogroup(pairs.limit(1).groupBy("cell")).applyInPandas(lambda a, b: a, pairs.schema)) if not seen else None)
+        return step(pairs, *rest)
+    monkeypatch.setattr(ln, "_pair_sums", watched)
+    params, home = ln.goal_strengths(df, 200.0, 1e-5, 500, cell_rows=40)
+    cells, placed = seen[0]
+    assert cells > 4
+    left = placed._jdf.queryExecution().executedPlan().toString().split("\n   +- ")[0]
+    assert "Exchange hashpartitioning(cell" not in left
+    att, dfn, want = goals_by_hand(games, 200.0)
+    got = {r["team"]: (r["attack"], r["defence"]) for r in params.collect()}
+    assert home == pytest.approx(want, rel=1e-6) and got.keys() == att.keys()
+    assert all(got[t] == pytest.approx((att[t], dfn[t]), rel=1e-6) for t in att)

@@ -1,9 +1,12 @@
 """Models on Spark ML: walk-forward predictions, stacking, trees, importance, ablation and the goal model."""
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators.metrics import loss_metrics
 from touchline.operators.prefix import quantiles
-from touchline.session import cut
+from touchline.session import cut, cut_placed
 
 CLASSES = ("H", "D", "A")
 PROBS = ["p_home", "p_draw", "p_away"]
@@ -171,37 +174,76 @@ def permutation_importance(test: DataFrame, features: list[str], fitted, seed: i
 
 # ---- goal model ------------------------------------------------------------------------------------------------------
 
-def goal_strengths(games: DataFrame, half_scale_days: float = 365.0, tolerance: float = 1e-4, rounds: int = 200) -> tuple[DataFrame, float]:
+#: Pairs of a cell: a task of a round holds about so many.
+CELL_ROWS = 500_000
+
+
+def _weighted_sums(key: str, out: str):
+    """The step on one cell: for each `out` team the sums of weight times its partners' value, away (s0) and at home (s1)."""
+    def sums(pairs: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+        at = pd.Index(values["team"]).get_indexer(pairs[key])
+        x = np.where(at >= 0, pairs["w"].to_numpy() * values["value"].to_numpy()[at], 0.0) if len(values) else np.zeros(len(pairs))
+        codes, teams = pd.factorize(pairs[out])
+        home = pairs["at_home"].to_numpy() == 1
+        return pd.DataFrame({"team": teams, "s0": np.bincount(codes, np.where(home, 0.0, x), len(teams)), "s1": np.bincount(codes, np.where(home, x, 0.0), len(teams))})
+
+    return sums
+
+
+def _pair_sums(pairs: DataFrame, sides: int, values: DataFrame, key: str) -> DataFrame:
+    """s0 and s1 of every team from values(team, value) of its partners, `key` naming whose value counts.
+
+    The pairs lie by cell and stay there. A value goes to each of the `sides` cells that hold its team as `key`, and as many sums of a team come back.
+    """
+    out = "team" if key == "opp" else "opp"
+    block = F.pmod(F.xxhash64("team"), F.lit(sides))
+    other = F.explode(F.sequence(F.lit(0), F.lit(sides - 1)))
+    spread = values.select("team", "value", block.alias("_b"), other.alias("_o"))
+    cell = F.col("_o") * sides + F.col("_b") if key == "opp" else F.col("_b") * sides + F.col("_o")
+    copies = spread.select(cell.cast("long").alias("cell"), "team", "value")
+    kind = pairs.schema[out].dataType.simpleString()
+    parts = pairs.groupBy("cell").cogroup(copies.groupBy("cell")).applyInPandas(_weighted_sums(key, out), f"team {kind}, s0 double, s1 double")
+    return parts.groupBy("team").agg(F.sum("s0").alias("s0"), F.sum("s1").alias("s1"))
+
+
+def goal_strengths(games: DataFrame, half_scale_days: float = 365.0, tolerance: float = 1e-4, rounds: int = 200, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, float]:
     """Attack and defence factors per team and the home factor of a time-weighted Poisson goal model.
 
     Goals of i against j have mean attack_i * defence_j (* home). The likelihood equations are solved by fitting the
     margins in turn: each round is two sums over (team, opponent, side) totals, a table that is aggregated
     once. There is no design matrix, so the number of teams is not limited. Rounds go on until no factor moves by more than `tolerance`
     (attack is scaled to mean one, as only its product with defence counts); not reaching it within `rounds` is an error.
+    The totals are cut into cells, blocks of teams by blocks of opponents, and placed by cell once; a round moves only factors and sums, one per team and block.
+    The home factor needs no sum of its own: it follows from those that the next attack factors are taken from.
     """
-    latest = games.agg(F.max("ts").alias("t")).first()["t"]
-    days = (F.lit(latest.isoformat()).cast("timestamp_ntz").cast("timestamp").cast("long") - F.col("ts").cast("timestamp").cast("long")) / 86400
+    known = games.agg(F.max("ts").alias("t"), F.count(F.lit(1)).alias("n")).first()
+    days = (F.lit(known["t"].isoformat()).cast("timestamp_ntz").cast("timestamp").cast("long") - F.col("ts").cast("timestamp").cast("long")) / 86400
     w = F.exp(-F.floor(days) / F.lit(half_scale_days))
     both = F.explode(F.array(F.struct(F.col("home_id").alias("team"), F.col("away_id").alias("opp"), F.lit(1).alias("at_home"), F.col("home_score").alias("g")),
                              F.struct(F.col("away_id").alias("team"), F.col("home_id").alias("opp"), F.lit(0).alias("at_home"), F.col("away_score").alias("g")))).alias("v")
-    pairs = cut(games.select(w.alias("w"), both).groupBy("v.team", "v.opp", "v.at_home").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("v.g")).alias("g")))
-    params = pairs.groupBy("team").agg(F.lit(1.0).alias("attack"), F.lit(1.0).alias("defence"))
+    sides = math.ceil(math.sqrt(2 * known["n"] / cell_rows))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(sides))
+    rows = games.select(w.alias("w"), both).select("w", "v.*").where("team IS NOT NULL AND opp IS NOT NULL")
+    placed = rows.withColumn("cell", block("team") * sides + block("opp")).repartition(sides * sides, "cell")
+    pairs = cut_placed(placed.groupBy("cell", "team", "opp", "at_home").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("g")).alias("g")))
+    goals = pairs.groupBy("team").agg(F.sum("g").alias("scored")).join(pairs.groupBy(F.col("opp").alias("team")).agg(F.sum("g").alias("conceded")), "team")
+    at_home = pairs.where("at_home = 1").agg(F.sum("g").alias("g")).first()["g"]
+    params = cut(goals.select("*", F.lit(1.0).alias("attack"), F.lit(1.0).alias("defence"), F.lit(None).cast("double").alias("moved")))
     home = 1.1
-    for _ in range(rounds):
-        factor = F.when(F.col("at_home") == 1, F.lit(home)).otherwise(F.lit(1.0))
-        defence = params.select(F.col("team").alias("opp"), "defence")
-        attack = pairs.join(defence, "opp").groupBy("team").agg((F.sum("g") / F.sum(F.col("w") * F.col("defence") * factor)).alias("attack"))
-        attack = attack.withColumn("attack", F.greatest(F.col("attack"), F.lit(1e-3)))
-        mean = cut(attack).agg(F.avg("attack").alias("m")).first()["m"]
-        attack = attack.withColumn("attack", F.col("attack") / F.lit(mean))
-        against = pairs.join(attack, "team").groupBy("opp").agg((F.sum("g") / F.sum(F.col("w") * F.col("attack") * factor)).alias("defence"))
-        was, params = params, cut(attack.join(against.select(F.col("opp").alias("team"), F.greatest(F.col("defence"), F.lit(1e-3)).alias("defence")), "team"))
-        fit = pairs.where("at_home = 1").join(params.select("team", "attack"), "team").join(params.select(F.col("team").alias("opp"), "defence"), "opp")
-        old, home = home, fit.agg((F.sum("g") / F.sum(F.col("w") * F.col("attack") * F.col("defence"))).alias("h")).first()["h"]
-        moved = was.select("team", F.col("attack").alias("_a"), F.col("defence").alias("_d")).join(params, "team").agg(
-            F.max(F.greatest(F.abs(F.col("attack") - F.col("_a")), F.abs(F.col("defence") - F.col("_d")))).alias("x")).first()["x"]
-        if max(moved or 0.0, abs(home - old)) < tolerance:
-            return params, float(home)
+    for done in range(rounds + 1):
+        against = cut(params.join(_pair_sums(pairs, sides, params.select("team", F.col("defence").alias("value")), "opp"), "team"))
+        if done:
+            got = against.agg(F.sum(F.col("attack") * F.col("s1")).alias("fit"), F.max("moved").alias("moved")).first()
+            old, home = home, at_home / got["fit"]
+            if max(got["moved"] or 0.0, abs(home - old)) < tolerance:
+                return params.select("team", "attack", "defence"), float(home)
+        fresh = against.select("*", F.greatest(F.col("scored") / (F.col("s0") + F.col("s1") * F.lit(home)), F.lit(1e-3)).alias("_attack"))
+        mean = fresh.agg(F.avg("_attack").alias("m")).first()["m"]
+        fresh = fresh.select("team", "scored", "conceded", F.col("attack").alias("_a"), F.col("defence").alias("_d"), (F.col("_attack") / F.lit(mean)).alias("attack"))
+        let = _pair_sums(pairs, sides, fresh.select("team", F.col("attack").alias("value")), "team")
+        fresh = fresh.join(let, "team").select("*", F.greatest(F.col("conceded") / (F.col("s0") + F.col("s1") * F.lit(home)), F.lit(1e-3)).alias("defence"))
+        moved = F.greatest(F.abs(F.col("attack") - F.col("_a")), F.abs(F.col("defence") - F.col("_d")))
+        params = cut(fresh.select("team", "scored", "conceded", "attack", "defence", moved.alias("moved")))
     raise RuntimeError(f"the goal model still moves after {rounds} rounds")
 
 

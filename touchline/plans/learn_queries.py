@@ -251,7 +251,7 @@ def form_variants(spark, sf):
 @query("goal_model")
 def goal_model(spark, sf):
     """Goal-model chances of every contest from factors fitted on earlier ones."""
-    games = cut(v.contests(spark, sf).select("contest_id", "ts", "home_id", "away_id", "home_score", "away_score"))
+    games = stored(v.contests(spark, sf).select("contest_id", "ts", "home_id", "away_id", "home_score", "away_score"))
     start = F.lit("2000-01-01").cast("timestamp_ntz")
     train = games.where(F.col("ts") < start)
     params, home = ln.goal_strengths(train)
@@ -263,8 +263,8 @@ def goal_model(spark, sf):
 @query("agreement_runner")
 def agreement_runner(spark, sf):
     """Walk-forward picks that need the feature model and the goal model to agree on the side."""
-    games = cut(v.contests(spark, sf, ["score", "rating"]))
-    rows = cut(ln.with_label(games.withColumn("result", F.when(F.col("home_score") > F.col("away_score"), "H").when(F.col("home_score") == F.col("away_score"), "D").otherwise("A"))
+    games = stored(v.contests(spark, sf, ["score", "rating"]))
+    rows = stored(ln.with_label(games.withColumn("result", F.when(F.col("home_score") > F.col("away_score"), "H").when(F.col("home_score") == F.col("away_score"), "D").otherwise("A"))
                              .withColumn("gap", F.col("home_rating") - F.col("away_rating"))))
     folds = [("2000-01-01", "2000-10-01"), ("2000-10-01", "2001-09-01")]
     model = ln.walk_forward(rows, folds, lambda train: ln.logistic(["gap", "home_rating", "away_rating"]))
