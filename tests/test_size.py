@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from check import rows_of
 from touchline.operators import form as fm
 from touchline.operators import learn as ln
+from touchline.operators import rule_index as ri
 from touchline.operators import standings as st
 from touchline.operators.history import HOT_ROWS
 from touchline.plans import catalog
@@ -191,3 +192,31 @@ def test_goal_rounds_leave_the_pairs_in_place(spark, monkeypatch):
     got = {r["team"]: (r["attack"], r["defence"]) for r in params.collect()}
     assert home == pytest.approx(want, rel=1e-6) and got.keys() == att.keys()
     assert all(got[t] == pytest.approx((att[t], dfn[t]), rel=1e-6) for t in att)
+
+
+def test_rules_are_matched_by_steps_of_candidates(spark, monkeypatch):
+    monkeypatch.setattr(ri, "ROWS", 20)
+    monkeypatch.setattr(ri, "CHUNK", 7)
+    rng = Random(11)
+    draw = lambda *few: rng.choice([None, *few])
+    cands = [(rng.choice("xy"), rng.choice([1.5, 2.0, 2.5, None]), draw(0.1, 0.5, 0.9), draw(1.0, 2.0), draw(1), 2 ** 53 + rng.randrange(9)) for _ in range(300)]
+    rules = [(g, f"{g}{k}", lo, lo + rng.choice([0.0, 0.5, 1.0]), draw(0.2, 0.5), draw(1.0, 1.5)) for g in "xyz" for k, lo in enumerate(rng.choices([1.5, 1.8, 2.0], k=30))]
+    left = spark.createDataFrame(cands, "g string, odds double, a double, b double, won long, big long")
+    right = spark.createDataFrame(rules, "g string, rule string, lo double, hi double, min_a double, max_b double")
+    got = ri.match_index(left, right, ["g"], {"a": "min_a"}, {"b": "max_b"}, {"n": F.count(F.lit(1)), "won": F.sum("won"), "big": F.max("big")}, block=8)
+    assert "posexplode" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    summed = {}
+    for g, odds, a, b, won, big in cands:  # totals of candidates that agree in everything the rules see
+        if odds is not None:
+            key = (g, odds, 0 if a is None else sum(x <= a for x in sorted({r[4] for r in rules if r[0] == g} - {None})), 0 if b is None else sum(x >= b for x in {r[5] for r in rules if r[0] == g} - {None}))
+            n, w, m, *_ = summed.get(key, (0, None, 0))
+            summed[key] = (n + 1, w if won is None else (w or 0) + won, max(m, big), a, b)
+    for (g, odds, _, _), (n, w, m, a, b) in summed.items():
+        for rg, rule, lo, hi, mina, maxb in rules:
+            if rg == g and lo <= odds <= hi and (mina is None or (a is not None and a >= mina)) and (maxb is None or (b is not None and b <= maxb)):
+                x, y, z = want.get((g, rule), (0, None, 0))
+                want[g, rule] = (x + n, y if w is None else (y or 0) + w, z + m)
+    rows = {(r["g"], r["rule"]): (r["n"], r["won"], r["big"]) for r in got.collect()}
+    # prices between the same bounds share a segment, so only the sums that do not hang on it are compared one by one
+    assert {k: v[:2] for k, v in rows.items()} == {k: v[:2] for k, v in want.items()} and len(rows) > 20

@@ -1,8 +1,6 @@
 """Matching of large rule tables: price segments as the join key, and one bitmap of satisfied rules per threshold rank."""
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,9 +8,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline.operators.prefix import same
+from touchline.session import stored
 
 #: Rules of one index row; its bitmaps have as many bits.
 BLOCK = 4096
+#: Candidates (of different ranks) of a task at most, and of a step in it.
+ROWS, CHUNK = 200_000, 512
 
 
 def _segments(rules: DataFrame, on: list[str]) -> DataFrame:
@@ -71,7 +72,8 @@ def match_index(cands: DataFrame, rules: DataFrame, on: list[str], at_least: dic
 
     cands has the group columns, odds and the features; rules has rule, lo, hi and the threshold columns; at_least and at_most map a feature to its threshold column.
     totals are sums (COUNT and SUM aggregates) over candidates. Candidates that agree in segment and in the rank of every feature match the same rules, so they are summed up first: what meets the rules
-    is bounded by the grid, not by the candidates. A rule matches where the bitmaps of all features have its bit.
+    is bounded by the grid, not by the candidates. A rule matches where the bitmaps of all features have its bit; numpy tests a step of candidates against a block of rules at once. A (group, segment) of
+    many candidates is split over tasks, each with all its rules.
     """
     feats = [*at_least.items(), *at_most.items()]
     index = index_rules(rules, on, at_least, at_most, closed, block)
@@ -83,25 +85,58 @@ def match_index(cands: DataFrame, rules: DataFrame, on: list[str], at_least: dic
     segment = _place("edges", F.col("odds")).alias("segment")
     summed = known.select("*", segment, *[r.alias(f"_r{i}") for i, r in enumerate(ranks)]).groupBy(*on, "segment", *[f"_r{i}" for i in range(len(feats))]).agg(
         *[c.alias(n) for n, c in totals.items()])
-    back = summed.join(levels, on)
-    met = same(back, index, [*on, "segment"])
-    values = [F.when(F.col(f"_r{i}") > 0, F.element_at(f"_l{i}", F.col(f"_r{i}") if i < len(at_least) else F.size(f"_l{i}") - F.col(f"_r{i}") + 1)) for i in range(len(feats))]
-    maps = [_bitmap(i, values[i], i < len(at_least)) for i in range(len(feats))]
-    both = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)), maps)
-    hit = met.select(*on, *names, "rules", F.posexplode(both).alias("word", "bits")).where("bits <> 0")
-    spots = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit(F.col("bits"), b) == 1)
-    rows = hit.select(*on, *names, "rules", "word", F.explode(spots).alias("bit"))
-    rows = rows.select(*on, F.element_at("rules", F.col("word") * 64 + F.col("bit") + 1).alias("rule"), *names)
+    summed = stored(summed)
+    most = summed.groupBy(*on, "segment").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    parts = -(-most // ROWS) or 1
+    part = F.pmod(F.xxhash64(*[f"_r{i}" for i in range(len(feats))]), F.lit(parts)).alias("part")
+    lists = F.array(*[f"_l{i}" for i in range(len(feats))]).alias("levels")
+    spread = same(index, levels.select(*on, lists), on).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    spread = spread.select(*on, "segment", F.col("part").cast("long").alias("part"), "rules", "limits", "maps", "levels")
+    kinds = ", ".join(f"`{c}` {t}" for c, t in [*[(c, rules.schema[c].dataType.simpleString()) for c in (*on, "rule")], *[(n, summed.schema[n].dataType.simpleString()) for n in names]])
+    by = [*on, "segment", "part"]
+    rows = summed.select("*", part).groupBy(*by).cogroup(spread.groupBy(*by)).applyInPandas(_matcher(on, names, len(feats), len(at_least)), kinds)
     return rows.groupBy(*on, "rule").agg(*[F.sum(n).alias(n) for n in names])
 
 
+def _matcher(on: list[str], names: list[str], feats: int, at_least: int):
+    """The step on some candidates of a (group, segment) and all its blocks of rules: totals over the candidates that each rule matches."""
+    def match(cands: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        ranks = [cands[f"_r{i}"].to_numpy(dtype=np.int64) for i in range(feats)]
+        for b in blocks.itertuples() if len(cands) else ():
+            n, tables = len(b.rules), []
+            for i in range(feats):
+                own, every = np.asarray(b.limits[i], float), np.asarray(b.levels[i], float)
+                passed = [0, *[int(np.sum(own <= x if i < at_least else own >= x)) for x in (every if i < at_least else every[::-1])]]
+                tables.append(np.array([b.maps[i][r] for r in passed], dtype=np.int64))
+            hits, sums = np.zeros(n, np.int64), {c: np.zeros(n, np.int64 if pd.api.types.is_integer_dtype(cands[c]) else float) for c in names}
+            known = {c: np.zeros(n, np.int64) for c in names}
+            for at in range(0, len(cands), CHUNK):
+                cut = slice(at, at + CHUNK)
+                words = tables[0][ranks[0][cut]]
+                for t, r in zip(tables[1:], ranks[1:]):
+                    words &= t[r[cut]]
+                some = np.flatnonzero(words.any(axis=1))
+                bits = np.unpackbits(words[some].view(np.uint8), axis=1, bitorder="little")[:, :n].astype(float)
+                hits += bits.sum(axis=0).astype(np.int64)
+                for c in names:
+                    col = cands[c].iloc[cut].iloc[some]
+                    here = col.notna().to_numpy()
+                    value = col.fillna(0).to_numpy()
+                    exact = value.dtype.kind == "i" and np.abs(value.astype(float)).sum() >= 2 ** 53  # whole numbers too large for the sum in doubles
+                    got = value @ bits.astype(np.int64) if exact else value.astype(float) @ bits
+                    sums[c] += got.astype(sums[c].dtype)
+                    known[c] += (here.astype(float) @ bits).astype(np.int64)
+            met = np.flatnonzero(hits)
+            out = pd.DataFrame({"rule": [b.rules[k] for k in met]})
+            for c in names:
+                out[c] = pd.Series(sums[c][met], dtype=object).where(known[c][met] > 0, None)
+            found.append(out.assign(**{c: cands[c].iat[0] for c in on}))
+        return pd.concat(found)[[*on, "rule", *names]].astype(object) if found else pd.DataFrame(columns=[*on, "rule", *names])
+
+    return match
+
+
 def _rank(levels: str, feature: str, ge: bool) -> Column:
     """How many of the group's thresholds a feature satisfies; a missing one none."""
     return F.when(F.col(feature).isNull(), 0).otherwise(F.size(F.filter(levels, lambda x: (x <= F.col(feature)) if ge else (x >= F.col(feature)))))
-
-
-def _bitmap(i: int, value: Column, ge: bool) -> Column:
-    """The bitmap of a block for a value of feature i: its rank among the block's own thresholds."""
-    own = F.get("limits", F.lit(i))
-    rank = F.when(value.isNull(), 0).otherwise(F.size(F.filter(own, lambda x: (x <= value) if ge else (x >= value))))
-    return F.get(F.get("maps", F.lit(i)), rank)
