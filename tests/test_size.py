@@ -194,6 +194,22 @@ def test_goal_rounds_leave_the_pairs_in_place(spark, monkeypatch):
     assert all(got[t] == pytest.approx((att[t], dfn[t]), rel=1e-6) for t in att)
 
 
+def test_goal_rounds_move_an_array_a_block(spark, monkeypatch):
+    """Pairs lie packed, a row a cell, and what a round starts from has a size that Spark knows."""
+    rng = Random(4)
+    games = [(datetime(2020, 1, 1), *rng.sample(["a", "b", "c", "d", "e", "f", None], 2), rng.choice([0, 1, 2, None]), 1) for _ in range(80)]
+    df = spark.createDataFrame(games, "ts timestamp_ntz, home_id string, away_id string, home_score int, away_score int")
+    seen, step = [], ln._pair_sums
+
+    def watched(pairs, sides, values, *rest):
+        seen.append((pairs.count() == pairs.select("cell").distinct().count(), int(str(values._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())).bit_length()))
+        return step(pairs, sides, values, *rest)
+    monkeypatch.setattr(ln, "_pair_sums", watched)
+    params, _ = ln.goal_strengths(df, tolerance=0.01, cell_rows=20)
+    assert all(packed and bits < 64 for packed, bits in seen) and len(seen) > 4
+    assert sorted(r["team"] for r in params.collect()) == list("abcdef")
+
+
 def test_rules_are_matched_by_steps_of_candidates(spark, monkeypatch):
     monkeypatch.setattr(ri, "ROWS", 20)
     monkeypatch.setattr(ri, "CHUNK", 7)

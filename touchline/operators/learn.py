@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators.metrics import loss_metrics
 from touchline.operators.prefix import quantiles
-from touchline.session import cut, cut_placed
+from touchline.session import cut, cut_placed, stored
 
 CLASSES = ("H", "D", "A")
 PROBS = ["p_home", "p_draw", "p_away"]
@@ -174,77 +174,151 @@ def permutation_importance(test: DataFrame, features: list[str], fitted, seed: i
 
 # ---- goal model ------------------------------------------------------------------------------------------------------
 
-#: Pairs of a cell: a task of a round holds about so many.
-CELL_ROWS = 500_000
+#: Pairs of a cell and teams of a block: a task of a round holds about so many.
+CELL_ROWS, BLOCK_TEAMS = 500_000, 500_000
 
 
-def _weighted_sums(key: str, out: str):
-    """The step on one cell: for each `out` team the sums of weight times its partners' value, away (s0) and at home (s1)."""
-    def sums(pairs: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
-        at = pd.Index(values["team"]).get_indexer(pairs[key])
-        x = np.where(at >= 0, pairs["w"].to_numpy() * values["value"].to_numpy()[at], 0.0) if len(values) else np.zeros(len(pairs))
-        codes, teams = pd.factorize(pairs[out])
-        home = pairs["at_home"].to_numpy() == 1
-        return pd.DataFrame({"team": teams, "s0": np.bincount(codes, np.where(home, 0.0, x), len(teams)), "s1": np.bincount(codes, np.where(home, x, 0.0), len(teams))})
+def _doubles(x: np.ndarray) -> bytes:
+    return np.asarray(x, "<f8").tobytes()
+
+
+def _packed_cell(pairs: pd.DataFrame, teams: pd.DataFrame) -> pd.DataFrame:
+    """One row of a cell: its pairs as places in the two blocks' teams, and their weights."""
+    if not len(pairs):
+        return pd.DataFrame(columns=["cell", "home", "away", "w"])
+    of = {at_home: x for at_home, x in zip(teams["at_home"], teams["teams"])}
+    home, away = (pd.Index(of[at_home]).get_indexer(pairs[c]).astype("<i4") for at_home, c in ((True, "home_id"), (False, "away_id")))
+    return pd.DataFrame({"cell": pairs["cell"][:1], "home": [home.tobytes()], "away": [away.tobytes()], "w": [_doubles(pairs["w"])]})
+
+
+def _weighted_sums(sides: int):
+    """The step on one cell: the sums of weight times the partners' value, for the teams of its home block and of its away block."""
+    def sums(cells: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        of = {at_home: np.frombuffer(x, "<f8") for at_home, x in zip(values["at_home"], values["value"])}
+        for cell, home, away, w in zip(cells["cell"], cells["home"], cells["away"], cells["w"]):
+            home, away, w = np.frombuffer(home, "<i4"), np.frombuffer(away, "<i4"), np.frombuffer(w, "<f8")
+            out.append((cell // sides, True, _doubles(np.bincount(home, w * of[False][away], len(of[True])))))
+            out.append((cell % sides, False, _doubles(np.bincount(away, w * of[True][home], len(of[False])))))
+        return pd.DataFrame(out, columns=["block", "at_home", "sums"])
 
     return sums
 
 
-def _pair_sums(pairs: DataFrame, sides: int, values: DataFrame, key: str) -> DataFrame:
-    """s0 and s1 of every team from values(team, value) of its partners, `key` naming whose value counts.
+def _to_cells(blocks: DataFrame, sides: int, *cols: str) -> DataFrame:
+    """The columns of every block for each cell that has its teams at home (block * sides + other) or away (other * sides + block)."""
+    spread = blocks.select("block", *cols, F.explode(F.sequence(F.lit(0), F.lit(sides - 1))).alias("_o")).select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("at_home"))
+    cell = F.when(F.col("at_home"), F.col("block") * sides + F.col("_o")).otherwise(F.col("_o") * sides + F.col("block"))
+    return spread.select(cell.cast("long").alias("cell"), "at_home", *cols)
+
 
-    The pairs lie by cell and stay there. A value goes to each of the `sides` cells that hold its team as `key`, and as many sums of a team come back.
+def _pair_sums(pairs: DataFrame, sides: int, values: DataFrame) -> DataFrame:
+    """(block, at_home, sums): parts of the sums over partners' values of every team of a block, at home and away, from values(block, value).
+
+    The pairs lie by cell and stay there, a row each. A block's values go to the cells of its teams, and as many arrays of sums come back.
     """
-    out = "team" if key == "opp" else "opp"
-    block = F.pmod(F.xxhash64("team"), F.lit(sides))
-    other = F.explode(F.sequence(F.lit(0), F.lit(sides - 1)))
-    spread = values.select("team", "value", block.alias("_b"), other.alias("_o"))
-    cell = F.col("_o") * sides + F.col("_b") if key == "opp" else F.col("_b") * sides + F.col("_o")
-    copies = spread.select(cell.cast("long").alias("cell"), "team", "value")
-    kind = pairs.schema[out].dataType.simpleString()
-    parts = pairs.groupBy("cell").cogroup(copies.groupBy("cell")).applyInPandas(_weighted_sums(key, out), f"team {kind}, s0 double, s1 double")
-    return parts.groupBy("team").agg(F.sum("s0").alias("s0"), F.sum("s1").alias("s1"))
+    return pairs.groupBy("cell").cogroup(_to_cells(values, sides, "value").groupBy("cell")).applyInPandas(_weighted_sums(sides), "block long, at_home boolean, sums binary")
+
+
+def _added(parts: pd.DataFrame, at_home: bool, n: int) -> np.ndarray:
+    """The parts of one side added up, in the order of their bytes, so that a repeated task gives the same sums."""
+    return sum((np.frombuffer(x, "<f8") for x in sorted(parts["sums"][parts["at_home"] == at_home])), np.zeros(n))
+
+
+def _by_block(blocks: DataFrame, parts: DataFrame, step: Callable[[dict, pd.DataFrame], dict], schema: str) -> DataFrame:
+    """step(block, its parts) for every block; a block is a dict of arrays."""
+    def run(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        rows = [step(_arrays(r), parts) for r in own.to_dict("records")]
+        return pd.DataFrame([{k: _doubles(x) if isinstance(x, np.ndarray) else x for k, x in r.items()} for r in rows], columns=names)
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    return blocks.groupBy("block").cogroup(parts.groupBy("block")).applyInPandas(run, schema)
+
+
+def _arrays(row: dict) -> dict:
+    return {k: np.frombuffer(x, "<f8") if isinstance(x, (bytes, bytearray)) else x for k, x in row.items()}
 
 
 def goal_strengths(games: DataFrame, half_scale_days: float = 365.0, tolerance: float = 1e-4, rounds: int = 200, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, float]:
     """Attack and defence factors per team and the home factor of a time-weighted Poisson goal model.
 
     Goals of i against j have mean attack_i * defence_j (* home). The likelihood equations are solved by fitting the
-    margins in turn: each round is two sums over (team, opponent, side) totals, a table that is aggregated
+    margins in turn: each round is two sums over (home, away) totals, a table that is aggregated
     once. There is no design matrix, so the number of teams is not limited. Rounds go on until no factor moves by more than `tolerance`
     (attack is scaled to mean one, as only its product with defence counts); not reaching it within `rounds` is an error.
-    The totals are cut into cells, blocks of teams by blocks of opponents, and placed by cell once; a round moves only factors and sums, one per team and block.
+    The totals are cut into cells, blocks of teams by blocks of opponents, and packed by cell once, a row of arrays each; a round moves only factors and sums, an array
+    a block and cell. What a side's partners sum up to is the same table read by rows and by columns, so a contest is stored once.
+    Factors are stored as tables, whose size Spark knows: behind a checkpoint its estimate would be the product of all rounds' sizes, a number of twice as many digits in each.
     The home factor needs no sum of its own: it follows from those that the next attack factors are taken from.
     """
     known = games.agg(F.max("ts").alias("t"), F.count(F.lit(1)).alias("n")).first()
     days = (F.lit(known["t"].isoformat()).cast("timestamp_ntz").cast("timestamp").cast("long") - F.col("ts").cast("timestamp").cast("long")) / 86400
     w = F.exp(-F.floor(days) / F.lit(half_scale_days))
-    both = F.explode(F.array(F.struct(F.col("home_id").alias("team"), F.col("away_id").alias("opp"), F.lit(1).alias("at_home"), F.col("home_score").alias("g")),
-                             F.struct(F.col("away_id").alias("team"), F.col("home_id").alias("opp"), F.lit(0).alias("at_home"), F.col("away_score").alias("g")))).alias("v")
-    sides = math.ceil(math.sqrt(2 * known["n"] / cell_rows))
+    rows = games.where("home_id IS NOT NULL AND away_id IS NOT NULL").select(w.alias("w"), "home_id", "away_id", "home_score", "away_score")
+    both = F.explode(F.array(*[F.struct(F.col(f"{me}_id").alias("team"), F.col(f"{me}_score").alias("scored"), F.col(f"{you}_score").alias("conceded"))
+                               for me, you in (("home", "away"), ("away", "home"))])).alias("v")
+    goals = cut(rows.select("w", both).select("w", "v.*").groupBy("team").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("scored", "conceded")]))
+    at_home = rows.agg(F.sum(F.col("w") * F.col("home_score")).alias("g")).first()["g"]
+    n_teams, kind = goals.count(), goals.schema["team"].dataType
+    sides = max(math.ceil(math.sqrt(known["n"] / cell_rows)), math.ceil(n_teams / BLOCK_TEAMS))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(sides))
-    rows = games.select(w.alias("w"), both).select("w", "v.*").where("team IS NOT NULL AND opp IS NOT NULL")
-    placed = rows.withColumn("cell", block("team") * sides + block("opp")).repartition(sides * sides, "cell")
-    pairs = cut_placed(placed.groupBy("cell", "team", "opp", "at_home").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("g")).alias("g")))
-    goals = pairs.groupBy("team").agg(F.sum("g").alias("scored")).join(pairs.groupBy(F.col("opp").alias("team")).agg(F.sum("g").alias("conceded")), "team")
-    at_home = pairs.where("at_home = 1").agg(F.sum("g").alias("g")).first()["g"]
-    params = cut(goals.select("*", F.lit(1.0).alias("attack"), F.lit(1.0).alias("defence"), F.lit(None).cast("double").alias("moved")))
-    home = 1.1
+    state = "scored binary, conceded binary, attack binary, defence binary, moved double"
+
+    def gathered(own: pd.DataFrame) -> pd.DataFrame:
+        own, ones = own.sort_values("team"), _doubles(np.ones(len(own)))
+        return pd.DataFrame({"block": own["block"][:1], "teams": [own["team"].to_numpy()], "scored": [_doubles(own["scored"])], "conceded": [_doubles(own["conceded"])],
+                             "attack": [ones], "defence": [ones], "moved": [np.nan]})
+
+    blocks = cut(goals.withColumn("block", block("team")).groupBy("block").applyInPandas(gathered, f"block long, teams array<{kind.simpleString()}>, {state}"))
+    placed = rows.select("w", F.col("home_id").cast(kind), F.col("away_id").cast(kind)).withColumn("cell", block("home_id") * sides + block("away_id")).repartition(sides * sides, "cell")
+    totals = placed.groupBy("cell", "home_id", "away_id").agg(F.sum("w").alias("w"))
+    packed = totals.groupBy("cell").cogroup(_to_cells(blocks, sides, "teams").groupBy("cell")).applyInPandas(_packed_cell, "cell long, home binary, away binary, w binary")
+    pairs = cut_placed(packed.repartition(sides * sides, "cell"))
+    params, home = blocks.drop("teams"), 1.1
+
+    def summed(own, parts):
+        sums = {s: _added(parts, at, len(own["attack"])) for s, at in (("s0", False), ("s1", True))}
+        return {**own, **sums, "fit": float((own["attack"] * sums["s1"]).sum())}
+
+    def attack(own, mean):  # fmax: a team without any known score counts like one without goals
+        return np.fmax(own["scored"] / (own["s0"] + own["s1"] * home), 1e-3) / mean
+
     for done in range(rounds + 1):
-        against = cut(params.join(_pair_sums(pairs, sides, params.select("team", F.col("defence").alias("value")), "opp"), "team"))
+        against = stored(_by_block(params, _pair_sums(pairs, sides, params.select("block", F.col("defence").alias("value"))), summed, f"block long, {state}, s0 binary, s1 binary, fit double"))
         if done:
-            got = against.agg(F.sum(F.col("attack") * F.col("s1")).alias("fit"), F.max("moved").alias("moved")).first()
+            got = against.agg(F.sum("fit").alias("fit"), F.max("moved").alias("moved")).first()
             old, home = home, at_home / got["fit"]
             if max(got["moved"] or 0.0, abs(home - old)) < tolerance:
-                return params.select("team", "attack", "defence"), float(home)
-        fresh = against.select("*", F.greatest(F.col("scored") / (F.col("s0") + F.col("s1") * F.lit(home)), F.lit(1e-3)).alias("_attack"))
-        mean = fresh.agg(F.avg("_attack").alias("m")).first()["m"]
-        fresh = fresh.select("team", "scored", "conceded", F.col("attack").alias("_a"), F.col("defence").alias("_d"), (F.col("_attack") / F.lit(mean)).alias("attack"))
-        let = _pair_sums(pairs, sides, fresh.select("team", F.col("attack").alias("value")), "team")
-        fresh = fresh.join(let, "team").select("*", F.greatest(F.col("conceded") / (F.col("s0") + F.col("s1") * F.lit(home)), F.lit(1e-3)).alias("defence"))
-        moved = F.greatest(F.abs(F.col("attack") - F.col("_a")), F.abs(F.col("defence") - F.col("_d")))
-        params = cut(fresh.select("team", "scored", "conceded", "attack", "defence", moved.alias("moved")))
-    raise RuntimeError(f"the goal model still moves after {rounds} rounds")
+                break
+
+        def shares(batches):
+            for b in batches:
+                yield pd.DataFrame({"s": [float(attack(_arrays(r), 1.0).sum()) for r in b.to_dict("records")]})
+
+        def scaled(batches, mean):
+            for b in batches:
+                yield pd.DataFrame({"block": b["block"], "value": [_doubles(attack(_arrays(r), mean)) for r in b.to_dict("records")]})
+
+        def refreshed(own, parts, mean):
+            new, n = attack(own, mean), len(own["attack"])
+            # away at an opponent is at home for the opponent: the sides change places
+            defence = np.fmax(own["conceded"] / (_added(parts, True, n) + _added(parts, False, n) * home), 1e-3)
+            moved = max(np.abs(new - own["attack"]).max(), np.abs(defence - own["defence"]).max())
+            return {"block": own["block"], "scored": own["scored"], "conceded": own["conceded"], "attack": new, "defence": defence, "moved": float(moved)}
+
+        mean = against.mapInPandas(shares, "s double").agg(F.sum("s").alias("s")).first()["s"] / n_teams
+        value = against.mapInPandas(lambda bs, m=mean: scaled(bs, m), "block long, value binary")
+        params = stored(_by_block(against, _pair_sums(pairs, sides, value), lambda own, parts, m=mean: refreshed(own, parts, m), f"block long, {state}"))
+    else:
+        raise RuntimeError(f"the goal model still moves after {rounds} rounds")
+
+    def rows_of(batches):
+        for b in batches:
+            for teams, a, d in zip(b["teams"], b["attack"], b["defence"]):
+                yield pd.DataFrame({"team": teams, "attack": np.frombuffer(a, "<f8"), "defence": np.frombuffer(d, "<f8")})
+
+    found = blocks.select("block", "teams").join(params.select("block", "attack", "defence"), "block")
+    return found.mapInPandas(rows_of, f"team {kind.simpleString()}, attack double, defence double"), float(home)
 
 
 def goal_means(games: DataFrame, params: DataFrame, home: float) -> DataFrame:
