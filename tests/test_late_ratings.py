@@ -48,6 +48,17 @@ def test_a_corrected_score_and_open_contests(spark, tmp_path):
     close(shots, rt.elo_fold(spark.createDataFrame(rows[:5] + fixed + rows[6:], SCHEMA), ["pool"])[0], ["pool", "contest_id"])
 
 
+def test_a_replay_is_not_joined_to_its_ratings(spark, tmp_path, monkeypatch):
+    rows, joined, join = games(60, 5), [], lr.same
+    monkeypatch.setattr(lr, "same", lambda left, right, on, *how: (joined.append(on), join(left, right, on, *how))[1])
+    shots, _ = rated(spark, tmp_path, rows)
+    assert joined and not any("contest_id" in on for on in joined)
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept, _ = rt.elo_fold(df, ["pool"], block_rows=9, keep=["ts", "home_id", "away_score"])
+    close(shots, kept, ["pool", "contest_id"])
+    assert sorted((r["contest_id"], r["ts"], r["home_id"], r["away_score"]) for r in kept.collect()) == [(g[0], g[1], g[3], g[6]) for g in rows]
+
+
 def test_no_input(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/in")
     shots, final = rated(spark, tmp_path)

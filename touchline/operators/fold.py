@@ -44,7 +44,10 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], step: Callabl
         got, after = step(rows.sort_values(order, kind="stable"), prior)
         frames = [got.add_prefix("o_").assign(_is_state=False), after.add_prefix("s_").assign(_is_state=True)]
         frames = [f.reindex(columns=both.names) for f in frames if len(f)]
-        return pd.concat(frames, ignore_index=True).assign(**key)[both.names] if frames else pd.DataFrame(columns=both.names)
+        if not frames:
+            return pd.DataFrame(columns=both.names)
+        whole = pd.concat(frames, ignore_index=True).assign(**key)[both.names]
+        return whole.astype({c: object for c in both.names if whole[c].isna().all()})  # a pool without rows: null fits any type, a double does not
 
     blocks = 1
     if (df.count() if at_most is None else at_most) > block_rows:

@@ -25,8 +25,8 @@ def _fields(*names: str, first: str = "contest_id") -> T.StructType:
 
 
 def elo_fold(games: DataFrame, by: list[str], k: float = ELO_K, start: float = ELO_START, block_rows: int | None = None,
-             prior: DataFrame | None = None, at_most: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Ratings of both sides before every contest, updated contest by contest, and the final ratings."""
+             prior: DataFrame | None = None, at_most: int | None = None, keep: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Ratings of both sides before every contest, updated contest by contest, and the final ratings. The columns `keep` go with a contest, so that nothing is joined back."""
     def step(rows: pd.DataFrame, before: pd.DataFrame):
         now = dict(zip(before["team"], before["elo"]))
         out = []
@@ -35,14 +35,17 @@ def elo_fold(games: DataFrame, by: list[str], k: float = ELO_K, start: float = E
             move = k * (0.5 * (1 + (hs > as_) - (hs < as_)) - 1.0 / (1.0 + 10.0 ** ((ra - rh) / 400.0)))
             out.append((cid, rh, ra))
             now[h], now[a] = rh + move, ra - move
-        return pd.DataFrame(out, columns=["contest_id", "home_elo", "away_elo"]), pd.DataFrame(now.items(), columns=["team", "elo"])
+        rated = pd.DataFrame(out, columns=["contest_id", "home_elo", "away_elo"])
+        return rated.assign(**{c: rows[c].to_numpy() for c in keep}), pd.DataFrame(now.items(), columns=["team", "elo"])
 
-    return ordered_fold(_played(games, by), by, ORDER, step, _fields("home_elo", "away_elo"), _fields("elo", first="team"), block_rows, prior, at_most)
+    played = _played(games, by, keep)
+    shape = T.StructType([*_fields("home_elo", "away_elo"), *[played.schema[c] for c in keep]])
+    return ordered_fold(played, by, ORDER, step, shape, _fields("elo", first="team"), block_rows, prior, at_most)
 
 
-def _played(games: DataFrame, by: list[str]) -> DataFrame:
+def _played(games: DataFrame, by: list[str], keep: list[str] = ()) -> DataFrame:
     done = games.where(F.col("home_score").isNotNull() & F.col("away_score").isNotNull())
-    return done.select(*by, *ORDER, "home_id", "away_id", "home_score", "away_score")
+    return done.select(*by, *dict.fromkeys([*ORDER, "home_id", "away_id", "home_score", "away_score", *keep]))
 
 
 def glicko_fold(games: DataFrame, by: list[str], tau: float = glicko.TAU, block_rows: int | None = None, at_most: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from touchline.functions.scalars import elo_after
 from touchline.operators.prefix import same
 from touchline.operators.ratings import elo_fold
-from touchline.session import cut
+from touchline.session import cut, stored
 from touchline.streaming.streams import run_batches
 
 GAME = ["contest_id", "ts", "home_id", "away_id", "home_score", "away_score"]
@@ -60,24 +60,24 @@ def rate_batches(stream: DataFrame, by: list[str], folder: str) -> tuple[DataFra
         rated = batch.where("home_score IS NOT NULL AND away_score IS NOT NULL AND ts IS NOT NULL")
         tables.write("log", rated.withColumn("month", month), batch_id)
         fresh = tables.read("log").where(F.col("batch") == batch_id)
-        starts = fresh.groupBy(*by).agg(F.min("month").alias("from_month"))
+        # a row a key each: stored, their size is known, so that the log and the snapshots need no shuffle to meet them
+        starts = stored(fresh.groupBy(*by).agg(F.min("month").alias("from_month")))
 
         logged = same(tables.read("log", batch_id + 1), starts, by).where("month >= from_month")
         latest = F.max_by(F.struct(*[c for c in GAME if c != "contest_id"]), "batch").alias("g")
         replay = cut(logged.groupBy(*by, "month", "contest_id").agg(latest).select(*by, "month", "contest_id", "g.*"))
         untouched = same(tables.valid(batch_id), starts, by).where("month < from_month")
-        resume = untouched.groupBy(*by).agg(F.max_by(F.struct("month", "batch"), "month").alias("v")).select(*by, "v.month", "v.batch")
-        prior = tables.current("snapshots", resume).select(*by, "team", "elo")
+        resume = stored(untouched.groupBy(*by).agg(F.max_by(F.struct("month", "batch"), "month").alias("v")).select(*by, "v.month", "v.batch"))
+        prior = cut(tables.current("snapshots", resume).select(*by, "team", "elo"))
 
-        shots, _ = elo_fold(replay, by, prior=prior)
-        shots = same(shots, replay, [*by, "contest_id"])
+        # contests keep what the month ends need through the fold, so the replay is not joined to its own ratings
+        shots, _ = elo_fold(replay, by, prior=prior, keep=["month", *[c for c in GAME if c != "contest_id"]])
         tables.write("shots", shots, batch_id)
-        written = tables.read("shots").where(F.col("batch") == batch_id).select(*by, "month", "contest_id", "home_elo", "away_elo")
-        tables.write("snapshots", _month_ends(same(written, replay.drop("month"), [*by, "contest_id"]), prior, by), batch_id)
-        tables.write("written", written.select(*by, "month").distinct(), batch_id)
+        tables.write("snapshots", _month_ends(shots, prior, by), batch_id)
+        tables.write("written", shots.select(*by, "month").distinct(), batch_id)
 
     run_batches(stream, each, folder)
-    valid = tables.valid()
+    valid = stored(tables.valid())
     last = valid.groupBy(*by).agg(F.max_by(F.struct("month", "batch"), "month").alias("v")).select(*by, "v.month", "v.batch")
     return tables.current("shots", valid).drop("month"), tables.current("snapshots", last).drop("month")
 
