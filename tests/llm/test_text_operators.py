@@ -133,6 +133,31 @@ def test_pieces_are_the_best_path(table_of_pieces):
         assert np.array_equal(p.long_path(p.codes([w])[0]), np.frombuffer(p.cache[w], "<i4"))
 
 
+def test_finished_tasks_leave_no_cache(spark, make, prose):
+    """Workers are kept for later stages; what a task remembered is not."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = make([(i, prose(i, 50)) for i in range(40)])
+    assert pieces.encode(docs, model).count() == 40
+
+    def held(batches):
+        from pandas import DataFrame
+        from touchline.llm import pieces as there
+
+        for _ in batches:
+            yield DataFrame({"words": [sum(len(t.cache) for t in there._LOADED.values())]})
+
+    left = spark.range(0, 16, 1, 16).mapInPandas(held, "words long").collect()
+    assert left and all(r["words"] == 0 for r in left)
+
+
+def test_decoding_keeps_null_and_empty_rows(spark):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    texts = ["ab cd", "", "日本 x", " é"]
+    ids = [np.frombuffer(i, "<i4").tolist() for i in pieces.Pieces(model).encode(texts)]
+    rows = spark.createDataFrame([(k, i) for k, i in enumerate([None, *ids, None, []])], "k long, ids array<int>").coalesce(1)
+    assert [r["text"] for r in pieces.decode(rows, model).sort("k").collect()] == [None, *texts, None, ""]
+
+
 def test_pieces_in_spark(make):
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = make([*enumerate(ODD), (None, None), (2, ODD[2])])

@@ -1,10 +1,12 @@
 """Shared pieces: reading tables, shuffle width, scratch folders, word shingles, components."""
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,6 +45,28 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidy(run, forget=None):
+    """run, for mapInPandas or mapInArrow, with an end: Python workers outlive their tasks and wait beside those of later stages, so a finished task forgets its caches and gives freed memory back."""
+    def each(batches):
+        try:
+            yield from run(batches)
+        finally:
+            if forget is not None:
+                forget()
+            trim()
+
+    return each
+
+
+def trim() -> None:
+    """Give freed memory back to the system, as far as the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def pieces(data: bytes, block: int = 1 << 20):
     """Cut bytes at white space into pieces of about `block` bytes, so a very long text is never split as a whole."""
     at, n = 0, len(data)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.common import table
+from touchline.llm.common import table, tidy
 from touchline.llm.registry import query
 
 SPACE, LITERAL = 0x2581, 0x110000  # the mark of a space; the same character in a text, which no piece matches
@@ -226,7 +226,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids") ->
                 column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 yield pa.RecordBatch.from_arrays([*part.columns, column], [*kept, out])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(tidy(run, lambda: pieces(model).cache.clear()), schema)
 
 
 def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -239,10 +239,13 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "text") ->
         for b in batches:
             for at in range(0, b.num_rows, OUT_ROWS):
                 part = b.slice(at, OUT_ROWS)
-                texts = [None if a is None else table.decode(a) for a in part.column(part.schema.get_field_index(ids)).to_pylist()]
+                lists = part.column(part.schema.get_field_index(ids))
+                ends, values = lists.offsets.to_pylist(), lists.values.to_numpy(zero_copy_only=False)
+                # a row's ids become Python numbers only for that row
+                texts = [table.decode(values[a:z].tolist()) if held else None for a, z, held in zip(ends, ends[1:], lists.is_valid().to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*kept, out])
 
-    return rows.select(*kept).mapInArrow(run, schema)
+    return rows.select(*kept).mapInArrow(tidy(run), schema)
 
 
 @query("op2_pieces")

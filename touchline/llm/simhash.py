@@ -5,10 +5,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from touchline.llm.common import ROW_GROUP, components, cut, drop_folder, leader_links, release, scratch, shingle_hashes, shingle_set, table
+from touchline.llm.common import ROW_GROUP, components, cut, drop_folder, leader_links, release, scratch, shingle_hashes, shingle_set, table, tidy
 from touchline.llm.registry import query
 
 #: Fingerprint bits are cut into four blocks; two fingerprints that differ in two bits agree in two blocks at least.
@@ -93,20 +95,20 @@ def shingle_counts(docs: DataFrame, words: int = 5) -> np.ndarray:
     def count(batches):
         total = np.zeros(SLOTS, np.int64)
         for b in batches:
-            for t in b["text"]:
-                slots = (_distinct(t, words) & np.uint64(SLOTS - 1)).astype(np.int64)
+            for t in b.column(0):  # one text at a time is a Python string
+                slots = (_distinct(t.as_py(), words) & np.uint64(SLOTS - 1)).astype(np.int64)
                 if len(slots) > SLOTS // 8:
                     total += np.bincount(slots, minlength=SLOTS)
                 else:
                     np.add.at(total, slots, 1)
         if total.any():
-            yield pd.DataFrame({"k": range(SKETCH_BLOCKS), "counts": [x.tobytes() for x in np.split(total, SKETCH_BLOCKS)]})
+            yield pa.record_batch({"k": pa.array(range(SKETCH_BLOCKS), pa.int32()), "counts": pa.array([x.tobytes() for x in np.split(total, SKETCH_BLOCKS)], pa.binary())})
 
     def add(part):
         return pd.DataFrame({"k": part["k"][:1], "counts": [sum(np.frombuffer(x, np.int64) for x in part["counts"]).tobytes()]})
 
     kind, total = "k int, counts binary", np.zeros((SKETCH_BLOCKS, SLOTS // SKETCH_BLOCKS), np.int64)
-    for k, counts in docs.select("text").mapInPandas(count, kind).groupBy("k").applyInPandas(add, kind).collect():
+    for k, counts in docs.select("text").mapInArrow(tidy(count), kind).groupBy("k").applyInPandas(add, kind).collect():
         total[k] = np.frombuffer(counts, np.int64)
     return total.ravel()
 
@@ -128,6 +130,16 @@ def prefix(text: str | None, counts: np.ndarray, similarity: float, words: int)
     return len(found), found[first[~lone]].view(np.int64)
 
 
+#: Rows that leave a Python worker together.
+OUT_ROWS = 500
+
+
+def _lists(rows, kind: pa.DataType) -> pa.ListArray:
+    """numpy arrays as one Arrow column of lists."""
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows), kind))
+
+
 def likeness_links(docs: DataFrame, texts: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFrame:
     """Links (a, b) between the different texts (id, first doc_id) of docs that connect all pairs of Jaccard likeness `similarity` or more over shingles of `words` words.
 
@@ -137,13 +149,18 @@ def likeness_links(docs: DataFrame, texts: DataFrame, similarity: float = 0.8, w
     spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(shingle_counts(docs, words))
 
-    @F.pandas_udf("n int, segs array<bigint>, set array<int>")
-    def shingled(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(*prefix(t, counts.value, similarity, words), shingle_set(t, words)) for t in texts], columns=["n", "segs", "set"], index=texts.index)
+    def shingled(batches):
+        for b in batches:
+            ids = b.column(0)
+            for at in range(0, b.num_rows, OUT_ROWS):
+                found = [(*prefix(t, counts.value, similarity, words), shingle_set(t, words)) for t in (x.as_py() for x in b.column(1).slice(at, OUT_ROWS))]
+                n, segs, sets = zip(*found, strict=True)
+                yield pa.record_batch({"id": ids.slice(at, OUT_ROWS), "n": pa.array(n, pa.int32()), "segs": _lists(segs, pa.int64()), "set": _lists(sets, pa.int32())})
 
     # texts stay where they are: one pass writes what is compared later, and only prefixes are joined
     path = scratch(spark, "shingled")
-    docs.select(_text_id().alias("id"), shingled("text").alias("s")).select("id", "s.*").write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+    kind = "id long, n int, segs array<bigint>, set array<int>"
+    docs.select(_text_id().alias("id"), "text").mapInArrow(tidy(shingled), kind).write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     each = spark.read.parquet(path)
     rows = each.select("id", "n", F.explode("segs").alias("seg"))
     shared = cut(rows.groupBy("seg").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("seg"))
@@ -170,7 +187,14 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, words: int = 5) -> DataFr
     and share its fate. Null and empty texts are one group. An empty table gives no rows.
     """
     named = docs.where("doc_id is not null")
-    each = cut(named.select("doc_id", _text_id().alias("id"), _fp(3)("text").alias("fp")))
+
+    def printed(batches):
+        for b in batches:
+            fps = np.fromiter((fingerprint(t.as_py(), 3) for t in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "id", "fp"])
+
+    asked = named.select("doc_id", _text_id().alias("id"), "text")
+    each = cut(asked.mapInArrow(tidy(printed), T.StructType([asked.schema["doc_id"], asked.schema["id"], T.StructField("fp", T.LongType())])))
     texts = cut(each.groupBy("id").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")))
     of_fp = cut(texts.groupBy("fp").agg(F.min("id").alias("id")))
     near = of_fp.withColumnRenamed("id", "least")

@@ -4,15 +4,17 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import cut, table
+from touchline.llm.common import cut, table, tidy
 from touchline.llm.registry import query
 
 #: Insults to start from; their weights are learned, and words that the labels show are added.
@@ -127,7 +129,7 @@ def learn(docs: DataFrame, labels: DataFrame, seeds=SEEDS, exceptions=EXCEPTIONS
             yield pd.DataFrame([(*scorer.features(t), y) for t, y in zip(b["text"], b["toxic"])], columns=["x", "y", "toxic"])
 
     if bad and good:
-        got = sample.mapInPandas(features, "x double, y double, toxic int").groupBy("x", "y", "toxic").agg(F.count("*").alias("n")).toPandas()
+        got = sample.mapInPandas(tidy(features), "x double, y double, toxic int").groupBy("x", "y", "toxic").agg(F.count("*").alias("n")).toPandas()
         model = model._replace(**dict(zip(("intercept", "by_sum", "by_share"), _logistic(got[["x", "y"]].to_numpy(), got["toxic"].to_numpy(float), got["n"].to_numpy(float)), strict=True)))
     return model
 
@@ -148,7 +150,7 @@ def _counts(texts: DataFrame, terms) -> DataFrame:
                                 "bad_texts": [held[1][w] for w in every], "good_texts": [held[0][w] for w in every]})
 
     names = ("bad", "good", "bad_texts", "good_texts")
-    rows = texts.mapInPandas(count, "term string, " + ", ".join(f"{n} long" for n in names))
+    rows = texts.mapInPandas(tidy(count), "term string, " + ", ".join(f"{n} long" for n in names))
     return rows.groupBy("term").agg(*[F.sum(n).alias(n) for n in names])
 
 
@@ -172,10 +174,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.1) -
 
 def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     """docs with the score in column `out`; every row's whole text is scored, a null text as an empty one. The other columns and all rows stay as they are."""
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    def scores(batches):
         scorer = Scorer(model)
-        return pd.Series([scorer.score(t) for t in texts], index=texts.index, dtype=float)
+        for texts in batches:
+            yield pa.array([scorer.score(t.as_py()) for t in texts], pa.float64())  # one text at a time is a Python string
+
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return tidy(scores)(batches)
 
     return docs.withColumn(out, scored("text"))
 
