@@ -183,6 +183,22 @@ def test_ids_are_those_of_the_library(monkeypatch, prose, words, chars):
         assert [np.frombuffer(x, "<u4").tolist() for x in enc(texts)] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_words_of_letters_skip_the_steps_before_the_model(monkeypatch):
+    """Every letter before LATIN_END, alone and within a word, has the ids of the whole library; words of letters never go through it."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, enc = Tokenizer.from_file(path), packing.Encoder(path)
+    letters = [chr(c) for c in range(ord(packing.LATIN_END)) if chr(c).isalpha()]
+    words = [w for c in letters for w in (c, "a" + c, c + "b", "Th" + c * 3 + "ng")]
+    asked = []
+    library = enc._library
+    monkeypatch.setattr(enc, "_library", lambda pieces: asked.extend(pieces) or library(pieces))
+    got = [np.frombuffer(x, "<u4").tolist() for x in enc([" " + w for w in words])]
+    assert got == [tok.encode(" " + w, add_special_tokens=False).ids for w in words]
+    assert not any(asked)
+
+
 def test_ids_beyond_the_width_are_an_error():
     assert packing.vocabulary_size(public_tokenizers.path("byte_bpe_50k.json")) == 50_257
     for bits in (8, 11, 16):

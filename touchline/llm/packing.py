@@ -4,10 +4,12 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ CACHE_WORDS = 400_000
 RUN_CHARS = 1 << 18
 #: Pieces of one call of the library.
 CALL_PIECES = 2048
+#: Rows that are encoded and leave a Python worker together.
+OUT_ROWS = 500
 BLOCKS = "bucket int, block long, first long, n_ids long, bits int, payload binary, doc_ids array<bigint>, doc_firsts array<bigint>"
 
 
@@ -71,12 +75,36 @@ def unpack(payload: bytes, bits: int, first: int, n: int) -> np.ndarray:
     return ((words >> (offsets & 7).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
+#: Letters before this one have been letters in every version of Unicode that the library may know.
+LATIN_END = "ɐ"
+#: The byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+_BYTE_LETTERS = {b: 256 + k for k, b in enumerate(_HIDDEN)}
+_BYTE_SPACE = chr(_BYTE_LETTERS[32])
+
+
+class _Known(dict):
+    """Ids by piece; what is missing is taken from the turn before or made."""
+
+    def __init__(self, make, older):
+        super().__init__()
+        self.make, self.older = make, older
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.make(piece)
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Whole texts to ids with the tokenizers library, piece by piece with a cache.
 
     The byte-level pattern of the tokenizer always begins a new token at a space that is followed by something else than
     white space, and between a letter and a comma or full stop. So a text is cut there, each different piece is encoded
-    once, and the ids are joined; the result is that of encoding the text at once. The pieces of a run of texts that the cache lacks go to the library in one call.
+    once, and the ids are joined; the result is that of encoding the text at once. A piece of Latin letters alone is one word of that pattern, so it
+    goes to the library's BPE model without the steps before it; all other pieces go through the whole library.
     """
 
     def __init__(self, path: str):
@@ -85,8 +113,17 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.marks = {m: self._library([m])[0] for m in ",."}
-        self.spaced: dict[str, bytes] = {}  # ids of a piece that follows a space, which is not in the key
-        self.before: dict[str, bytes] = {}  # the turn before; what has not been asked for since is forgotten
+        self.model = self.tok.model.tokenize if self._plain() else None
+        self.spaced = _Known(self._ids, {})  # ids of a piece that follows a space, which is not in the key
+
+    def _plain(self) -> bool:
+        """Whether a space and letters are sure to reach the model as one word, in the byte-level alphabet and nothing else."""
+        from tokenizers import models, pre_tokenizers
+
+        tok, cut = self.tok, self.tok.pre_tokenizer
+        return (isinstance(tok.model, models.BPE) and not tok.model.dropout and isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space
+                and (tok.normalizer, tok.post_processor, tok.truncation, tok.padding) == (None,) * 4
+                and not any(t.content.strip().isalpha() for t in tok.get_added_tokens_decoder().values()))
 
     def _library(self, pieces: list[str]) -> list[bytes]:
         out = []
@@ -108,25 +145,12 @@ class Encoder:
                 out.append(p)
         return out
 
-    def _learn(self, pieces: set[str]) -> None:
-        known, older = self.spaced, self.before
-        stems, marked = [], []
-        for p in pieces:
-            ids = older.get(p)
-            if ids is not None:
-                known[p] = ids
-            elif len(p) > 1 and p[-1] in ",." and p[-2].isalpha() and p[-2] < "ɐ":
-                marked.append(p)
-            else:
-                stems.append(p)
-        extra = {p[:-1] for p in marked}.difference(known, stems)
-        for p in [p for p in extra if p in older]:
-            known[p] = older[p]
-            extra.discard(p)
-        stems.extend(extra)
-        known.update(zip(stems, self._library([" " + p for p in stems])))
-        for p in marked:
-            known[p] = known[p[:-1]] + self.marks[p[-1]]
+    def _ids(self, piece: str) -> bytes:
+        if len(piece) > 1 and piece[-1] in ",." and piece[-2].isalpha() and piece[-2] < LATIN_END:
+            return self.spaced[piece[:-1]] + self.marks[piece[-1]]
+        if self.model is not None and piece.isalpha() and (piece.isascii() or max(piece) < LATIN_END):
+            return array("I", [t.id for t in self.model(_BYTE_SPACE + piece.encode().decode("latin-1").translate(_BYTE_LETTERS))]).tobytes()
+        return self._library([" " + piece])[0]
 
     def __call__(self, texts) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -142,14 +166,11 @@ class Encoder:
     def _run(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut(t) for t in texts]
         first = self._library([c[0] for c in cut])
-        if len(self.spaced) > CACHE_WORDS:
-            self.before, self.spaced = self.spaced, {}
-        rest = [c[1:] for c in cut]
-        missing = set().union(*rest).difference(self.spaced)
-        if missing:
-            self._learn(missing)
+        if len(self.spaced) > CACHE_WORDS:  # what is not asked for in the next turn is forgotten
+            self.spaced.older = None
+            self.spaced = _Known(self._ids, self.spaced)
         look = self.spaced.__getitem__
-        return [f + b"".join(map(look, r)) for f, r in zip(first, rest)]
+        return [f + b"".join(map(look, islice(c, 1, None))) for f, c in zip(first, cut)]
 
 
 _LOOSE = re.compile(r" (?:\s|$)")
@@ -165,13 +186,17 @@ def encoder(path: str) -> Encoder:
 
 def encode(docs: DataFrame, tokenizer: str, bits: int, end: int = 0) -> DataFrame:
     """(doc_id, n_tokens, packed): the packed ids of each text with the end id. A null text is encoded as empty."""
+    tail = np.array([end], "<u4").tobytes()
+
     def run(batches):
         enc = encoder(tokenizer)
         for b in batches:
-            ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(end)) for x in enc(b["text"])]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [len(x) for x in ids], "packed": [pack(x, bits) for x in ids]})
+            for at in range(0, b.num_rows, OUT_ROWS):
+                part = b.slice(at, OUT_ROWS)
+                ids = [np.frombuffer(x + tail, "<u4") for x in enc(part.column(1).to_pylist())]
+                yield pa.record_batch({"doc_id": part.column(0), "n_tokens": pa.array([len(x) for x in ids], pa.int64()), "packed": pa.array([pack(x, bits) for x in ids], pa.binary())})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, packed binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, packed binary")
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, vocabulary: int, end: int = 0, block_ids: int = BLOCK_IDS) -> None:
