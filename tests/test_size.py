@@ -13,10 +13,12 @@ from check import rows_of
 from touchline.operators import form as fm
 from touchline.operators import learn as ln
 from touchline.operators import rule_index as ri
+from touchline.operators import rules as ru
 from touchline.operators import standings as st
 from touchline.operators.history import HOT_ROWS
 from touchline.plans import catalog
 from touchline.plans import matrix as mt
+from touchline.plans import rule_queries as rq
 from touchline.streaming import streams as sm
 from touchline.streaming import timers as tm
 
@@ -236,3 +238,35 @@ def test_rules_are_matched_by_steps_of_candidates(spark, monkeypatch):
     rows = {(r["g"], r["rule"]): (r["n"], r["won"], r["big"]) for r in got.collect()}
     # prices between the same bounds share a segment, so only the sums that do not hang on it are compared one by one
     assert {k: v[:2] for k, v in rows.items()} == {k: v[:2] for k, v in want.items()} and len(rows) > 20
+
+
+@pytest.mark.parametrize("name", ["scaled_scores", "weight_sweep"])
+def test_variant_scores_are_compiled(spark, sf, name):
+    """The JVM interprets methods of more than 8,000 bytes, which took most of the time on large tables."""
+    df = catalog.QUERIES[name](spark, sf)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = spark._jvm.PythonSQLUtils.explainString(df.select("*")._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert len(sizes) > 10 and max(sizes) < 8000
+
+
+def test_packed_factors_score_like_names(spark):
+    """Factors as bits, as names (in any order, twice, unknown or NULL) and added up by hand give the same scores of both sides."""
+    rng, columns = Random(7), list(ru.DEFAULTS)
+    rows = [(k, *[rng.choice([None, d - 60, d - 4, d - 0.3, d, d + 0.3, d + 4, d + 60, d - 150, d + 150]) for d in ru.DEFAULTS.values()]) for k in range(200)] + [(200, *[None] * len(columns))]
+    m = ru.with_defaults(spark.createDataFrame(rows, "contest_id long, " + ", ".join(f"{c} double" for c in columns)))
+    both = {kind: m.select("contest_id", *[ru.active_factors(s, kind == "bits").alias(s) for s in ("home", "away")]) for kind in ("names", "bits")}
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("active")) for s in ("home", "away")])).alias("v")
+    forms = {kind: df.select("contest_id", sides).select("contest_id", "v.*") for kind, df in both.items()}
+    forms["odd names"] = forms["names"].withColumn("active", F.concat(F.reverse("active"), "active", F.array(F.lit("unknown"), F.lit(None))))
+    scores = {kind: {(r["contest_id"], r["side"], r["variant"]): r["score"] for r in ru.scaled_scores(df, rq.VARIANTS, rq.OVERRIDES).collect()} for kind, df in forms.items()}
+    held = {(r["contest_id"], r["side"]): set(r["active"]) for r in forms["names"].collect()}
+    want = {(*key, v): sum(rq.OVERRIDES.get(v, {}).get(n, w) * rq.VARIANTS.get(v, {}).get(g, 1.0) for s, n, _, w, g in ru.FACTORS if n in names)
+            for key, names in held.items() for v in {**rq.VARIANTS, **rq.OVERRIDES}}
+    assert {n for names in held.values() for n in names} == {n for _, n, *_ in ru.FACTORS}
+    assert all(got == want for got in scores.values())
+    empty = forms["names"].withColumn("active", F.lit(None).cast("array<string>"))
+    assert {r["score"] for r in ru.scaled_scores(empty, rq.VARIANTS, rq.OVERRIDES).collect()} == {0.0}
